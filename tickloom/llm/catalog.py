@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tickloom.llm import decontaminate, langid
+import public_tokenizers
+from tickloom.llm import bpe, decontaminate, langid, urlrules
 from tickloom.llm.common import table
 
 
@@ -19,9 +20,18 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op4_query(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op10_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.op10_query(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op4_langid": op4_langid, "pipeline": corpus_pipeline.run}
+    return {"op1_decontaminate": op1_decontaminate, "op4_langid": op4_langid, "op8_bpe": op8_bpe, "op10_urlrules": op10_urlrules, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_urlrules": urlrules.op10_sql()}
