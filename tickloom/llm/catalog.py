@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 import public_tokenizers
-from tickloom.llm import bpe, decontaminate, langid, urlrules
+from tickloom.llm import bpe, decontaminate, langid, rans, urlrules
 from tickloom.llm.common import table
 
 
@@ -25,12 +25,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op9_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return rans.op9_query(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op10_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.op10_query(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op4_langid": op4_langid, "op8_bpe": op8_bpe, "op10_urlrules": op10_urlrules, "pipeline": corpus_pipeline.run}
+    return {"op1_decontaminate": op1_decontaminate, "op4_langid": op4_langid, "op8_bpe": op8_bpe, "op9_rans": op9_rans, "op10_urlrules": op10_urlrules, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
