@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 import public_tokenizers
-from tickloom.llm import bpe, decontaminate, langid, rans, urlrules
+from tickloom.llm import bpe, decontaminate, fixity, langid, rans, secrets, urlrules
 from tickloom.llm.common import table
 
 
@@ -16,10 +16,18 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op1_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.op3_query(table(spark, sf_dir, "pages"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op4_query(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op5_query(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -35,8 +43,8 @@ def op10_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op4_langid": op4_langid, "op8_bpe": op8_bpe, "op9_rans": op9_rans, "op10_urlrules": op10_urlrules, "pipeline": corpus_pipeline.run}
+    return {"op1_decontaminate": op1_decontaminate, "op3_fixity": op3_fixity, "op4_langid": op4_langid, "op5_secrets": op5_secrets, "op8_bpe": op8_bpe, "op9_rans": op9_rans, "op10_urlrules": op10_urlrules, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_urlrules": urlrules.op10_sql()}
+    return {"op3_fixity": fixity.op3_sql(), "op5_secrets": secrets.op5_sql(), "op10_urlrules": urlrules.op10_sql()}
