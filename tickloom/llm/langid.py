@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import only, remainder
 
-ROWS_PER_LANGUAGE = 1_500
-MAX_ENTRIES = 400_000
+ROWS_PER_LANGUAGE = 1_000
+MAX_ENTRIES = 160_000
 LONGEST_GRAM = 4
 UNKNOWN = "und"
 #: Words held by a task's cache of votes.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -43,18 +43,19 @@ def grams(word: str, n: int) -> list[str]:
 
 
 def _counted(pdf: pd.DataFrame, entries: int) -> pd.DataFrame:
+    """The most frequent words and n-grams of one language's rows; one table is held at a time."""
     words: Counter = Counter()
     for text in pdf["text"]:
         words.update(_WORD.findall(text.lower()))
-    tables = {0: words}
-    for n in range(1, LONGEST_GRAM + 1):
-        counts: Counter = Counter()
-        for word, c in words.items():
+    parts = []
+    for n in range(LONGEST_GRAM + 1):
+        counts = words if n == 0 else Counter()
+        for word, c in words.items() if n else ():
             for g in grams(word, n):
                 counts[g] += c
-        tables[n] = counts
-    rows = [(pdf["lang"].iloc[0], n, g, c, sum(counts.values())) for n, counts in tables.items() for g, c in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:entries]]
-    return pd.DataFrame(rows, columns=["lang", "n", "gram", "c", "total"])
+        first = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:entries]
+        parts.append(pd.DataFrame({"lang": pdf["lang"].iloc[0], "n": n, "gram": [g for g, _ in first], "c": [c for _, c in first], "total": sum(counts.values())}))
+    return pd.concat(parts)
 
 
 class Model:
@@ -129,7 +130,7 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_entries
     first = labelled.where(F.col("at") <= edge[F.col("lang")]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))).where(F.col("rank") <= rows_per_language)
     entries = max(1, max_entries // (len(sizes) * (LONGEST_GRAM + 1)))
     counted = first.select("lang", "text").groupBy("lang").applyInPandas(lambda pdf: _counted(pdf, entries), "lang string, n int, gram string, c long, total long")
-    return Model([tuple(r) for r in counted.orderBy("lang", "n", F.desc("c"), "gram").collect()])
+    return Model(sorted((tuple(r) for r in counted.collect()), key=lambda r: (r[0], r[1], -r[3], r[2])))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
