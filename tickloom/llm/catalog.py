@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 import public_tokenizers
-from tickloom.llm import bpe, decontaminate, fixity, jaccard, langid, rans, secrets, urlrules
+from tickloom.llm import bpe, decontaminate, fixity, jaccard, langid, lm, rans, secrets, urlrules
 from tickloom.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.op6_query(table(spark, sf_dir, "documents"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return lm.scored(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -47,7 +52,7 @@ def op10_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op3_fixity": op3_fixity, "op4_langid": op4_langid, "op5_secrets": op5_secrets, "op6_jaccard": op6_jaccard, "op8_bpe": op8_bpe, "op9_rans": op9_rans, "op10_urlrules": op10_urlrules, "pipeline": corpus_pipeline.run}
+    return {"op1_decontaminate": op1_decontaminate, "op3_fixity": op3_fixity, "op4_langid": op4_langid, "op5_secrets": op5_secrets, "op6_jaccard": op6_jaccard, "op7_lm": op7_lm, "op8_bpe": op8_bpe, "op9_rans": op9_rans, "op10_urlrules": op10_urlrules, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
