@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 import public_tokenizers
-from tickloom.llm import bpe, decontaminate, fixity, jaccard, langid, lm, rans, secrets, urlrules
+from tickloom.llm import bpe, decontaminate, fixity, jaccard, langid, lm, rans, secrets, topk, urlrules
 from tickloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op1_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op2_query(table(spark, sf_dir, "documents"))
+
+
 def op3_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.op3_query(table(spark, sf_dir, "pages"))
 
@@ -52,8 +56,8 @@ def op10_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op3_fixity": op3_fixity, "op4_langid": op4_langid, "op5_secrets": op5_secrets, "op6_jaccard": op6_jaccard, "op7_lm": op7_lm, "op8_bpe": op8_bpe, "op9_rans": op9_rans, "op10_urlrules": op10_urlrules, "pipeline": corpus_pipeline.run}
+    return {"op1_decontaminate": op1_decontaminate, "op2_topk": op2_topk, "op3_fixity": op3_fixity, "op4_langid": op4_langid, "op5_secrets": op5_secrets, "op6_jaccard": op6_jaccard, "op7_lm": op7_lm, "op8_bpe": op8_bpe, "op9_rans": op9_rans, "op10_urlrules": op10_urlrules, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_fixity": fixity.op3_sql(), "op5_secrets": secrets.op5_sql(), "op10_urlrules": urlrules.op10_sql()}
+    return {"op2_topk": topk.op2_sql(), "op3_fixity": fixity.op3_sql(), "op5_secrets": secrets.op5_sql(), "op10_urlrules": urlrules.op10_sql()}
