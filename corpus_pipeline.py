@@ -1,7 +1,69 @@
-"""A training-data pipeline over ``documents``."""
+"""A training-data pipeline over ``documents``: language, near duplicates, benchmark passages, secrets, token ids.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and reread as the next stage's docs. All
+but the last keep the columns of ``documents``. The last gives token ids with their digests.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.llm import bpe, decontaminate, jaccard, langid, secrets
+from tickloom.llm.common import table, written
+
+#: A text whose best language has less than this share of the belief is rejected.
+LEAST_SCORE = 0.5
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter, null texts, and texts whose language is in doubt. Learns from rows that are not held out."""
+    model = langid.fit(docs.where(~langid.held_out()))
+    judged = langid.identify(docs, model)
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the Jaccard join stays: that with the smallest id."""
+    return jaccard.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of whose words a twentieth or more lie in windows of benchmark items; the others stay as they are."""
+    return decontaminate.keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret's span; n_chars follows the text where it changed."""
+    before = docs.withColumn("__before", F.length("text"))
+    after = secrets.redacted(before)
+    changed = F.length("text") != F.col("__before")
+    columns = [F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(kind).alias("n_chars") if name == "n_chars" else F.col(f"`{name}`") for name, kind in docs.dtypes]
+    return after.select(*columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and digests of the ids and of the bytes that they decode to."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(docs, path, public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("near_duplicates", keep_one_of_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("bpe", encode),
+]
+
+#: SQL expresses neither the language model nor the encoding; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, each written and reread, over ``documents``; the last stage's rows."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,12 +17,13 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.llm.cutter import Cutter
+
 CACHE_PIECES = 250_000
 CACHE_PAIRS = 1_000_000
 #: Longer pieces are not cached.
@@ -128,7 +129,7 @@ class TextEncoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.encoder = PrefixEncoder(ranks)
-        self.find = regex.compile(pattern).findall
+        self.find = Cutter(pattern).find
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
         self.decimal = {rank: str(rank) for rank in ranks.values()}
@@ -203,8 +204,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return kept.mapInArrow(run, f"{fields}, decoded binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document, digests of its ids and of the bytes that they decode to; encodes and decodes in one pass."""
+def digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Per document, digests of its ids and of the bytes that they decode to (and the ids); encodes and decodes in one pass."""
     shared, key = _shared(docs, path)
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -212,12 +213,21 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         held = text_encoder(key, shared.value, pattern)
         decimal = held.decimal.__getitem__
         for batch in batches:
-            counts, ids_sha, decoded_sha = [], [], []
+            counts, ids_sha, decoded_sha, kept = [], [], [], []
             for text in batch.column(1):
                 ids = held.encode(text.as_py())
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(held.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                if with_ids:
+                    kept.append(pa.array(ids, pa.int32()))
+            arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                ends = pa.array([0, *accumulate(counts)], pa.int32())
+                arrays.append(pa.ListArray.from_arrays(ends, pa.concat_arrays(kept) if kept else pa.array([], pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)

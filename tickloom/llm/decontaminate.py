@@ -265,6 +265,30 @@ def _without(text: bytes | None, spans: list[tuple[int, int]]) -> bytes | None:
     return b"".join([*out, text[at:]])
 
 
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, numerator: int = 1, denominator: int = 20, max_words: int = MAX_WORDS) -> DataFrame:
+    """Documents, all columns, without the contaminated ones. Texts are judged in place: no row is shuffled."""
+    groups = _item_lists(items.select("item_id", "text"), max_words)
+    names, at = docs.columns, docs.columns.index("text")
+    fields = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
+    if len(groups) > 1:  # a document's hits of several automata must be united before they are judged
+        judged_ = judged(match_spans(docs.select("doc_id", "text"), items, window, max_words, keep_text=True), numerator, denominator).where("contaminated")
+        bad = judged_.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash")).distinct()
+        marked = docs.withColumn("__text_hash", F.xxhash64("text"))
+        return marked.join(bad, marked["doc_id"].eqNullSafe(bad["__id"]) & (marked["__text_hash"] == bad["__hash"]), "left_anti").select(*names)
+    shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(groups[0], window))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = []
+            for text in batch.column(at).cast(pa.binary()):
+                words = words_of(text.as_py())
+                hit = sum(e - b for b, e in shared.value.scan(words)[0])
+                clean.append(not hit or denominator * hit < numerator * len(words))
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(keep, fields)
+
+
 def op1_query(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The contract's digest of ``match_spans``."""
     spans = judged(match_spans(only(docs, "doc_id", "text"), only(items, "item_id", "text")))

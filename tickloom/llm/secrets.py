@@ -163,7 +163,7 @@ def candidates(held: DataFrame, queries: dict[str, Clauses]) -> DataFrame:
     return met.where(F.col("bits") == F.col("every")).groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
-def _spans(text: Column, found: Column, between: Column, kept: Column | None, least: int) -> Column:
+def _spans(found: Column, between: Column, kept: Column | None, least: int) -> Column:
     """Spans of the matches, from the matches and the pieces between them."""
     step = F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("len")))
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
@@ -186,30 +186,33 @@ def _labelled(spans: Column, place: int, kind: str) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """doc_id, text, and ``spans``: array of (start, place of the rule, end, kind), by start and then rule order."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """Adds ``secret_spans`` to documents: array of (start, place of the rule, end, kind), by start and then rule order.
+
+    All other columns pass through (an older ``secret_spans`` is replaced).
+    """
+    docs = docs.drop("secret_spans")
+    columns = docs.columns
+    out = docs.withColumn("__text", F.coalesce("text", F.lit("")))
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
     indexed = {kind: clauses for kind, clauses in queries.items() if clauses != ANY}
     trigrams = sorted({t for clauses in indexed.values() for clause in clauses for t in clause})
     if indexed:
-        found = candidates(postings(docs, trigrams), indexed).withColumnRenamed("doc_id", "__id")
-        out = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left").drop("__id")
-    else:
-        out = docs.withColumn("kinds", F.lit(None).cast("array<string>"))
-    # An absent candidate has no text to run on: the expression sees null and stops.
+        found = candidates(postings(docs.select("doc_id", "text"), trigrams), indexed).select(F.col("doc_id").alias("__id"), F.col("kinds").alias("__kinds"))
+        out = out.join(found, out["doc_id"].eqNullSafe(found["__id"]), "left")
+    # A document that is no candidate of a rule gives it no text: the expression sees null and stops.
     for rule in rules:
-        on = F.col("text") if rule.kind not in indexed else F.when(F.array_contains("kinds", rule.kind), F.col("text"))
-        out = out.withColumn(f"m_{rule.kind}", F.regexp_extract_all(on, F.lit(rule.pattern), F.lit(0)))
+        on = F.col("__text") if rule.kind not in indexed else F.when(F.array_contains("__kinds", rule.kind), F.col("__text"))
+        out = out.withColumn(f"__m_{rule.kind}", F.regexp_extract_all(on, F.lit(rule.pattern), F.lit(0)))
     for rule in rules:
-        some = F.when(F.size(f"m_{rule.kind}") > 0, F.col("text"))
-        out = out.withColumn(f"b_{rule.kind}", F.split(some, rule.pattern, -1))
+        some = F.when(F.size(f"__m_{rule.kind}") > 0, F.col("__text"))
+        out = out.withColumn(f"__b_{rule.kind}", F.split(some, rule.pattern, -1))
         if rule.group:
-            out = out.withColumn(f"g_{rule.kind}", F.regexp_extract_all(some, F.lit(rule.pattern), F.lit(rule.group)))
+            out = out.withColumn(f"__g_{rule.kind}", F.regexp_extract_all(some, F.lit(rule.pattern), F.lit(rule.group)))
     parts = []
     for i, rule in enumerate(rules):
-        spans = _spans(F.col("text"), F.col(f"m_{rule.kind}"), F.col(f"b_{rule.kind}"), F.col(f"g_{rule.kind}") if rule.group else None, rule.least)
+        spans = _spans(F.col(f"__m_{rule.kind}"), F.col(f"__b_{rule.kind}"), F.col(f"__g_{rule.kind}") if rule.group else None, rule.least)
         parts.append(_labelled(spans, i, rule.kind))
-    return out.select("doc_id", "text", F.array_sort(F.concat(*parts)).alias("spans"))
+    return out.select(*[F.col(f"`{c}`") for c in columns], F.array_sort(F.concat(*parts)).alias("secret_spans"))
 
 
 def _listed(spans: Column) -> Column:
@@ -217,27 +220,30 @@ def _listed(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
-    """doc_id and text with every span replaced by ``mark``; spans that overlap are replaced as one. A null text stays null."""
+    """Documents, all columns, with every span of the text replaced by ``mark``; overlapping spans are replaced as one. A null text stays null."""
+    columns = docs.columns
     empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    last = lambda acc: F.element_at(acc, -1)
     merged = F.aggregate(
-        "spans", empty,
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
+        "secret_spans", empty,
+        lambda acc, s: F.when((F.size(acc) > 0) & (last(acc)["end"] > s["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
     )
-    found = scan(docs, rules).withColumn("__merged", merged)
+    found = scan(docs, rules).withColumn("__merged", F.when(F.size("secret_spans") > 0, merged).otherwise(empty))
     built = F.aggregate(
         "__merged", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out")),
         lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)),
     )
-    return found.select("doc_id", F.when(F.size("spans") > 0, built).otherwise(F.col("text")).alias("text"), "spans")
+    text = F.when(F.size("secret_spans") > 0, built).otherwise(F.col("text"))
+    return found.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns])
 
 
 def op5_query(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
-    found = scan(docs)
-    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
-    base = F.filter("spans", lambda s: s["place"] < len(BASE))
-    return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    found = scan(docs.select("doc_id", "text"))
+    n = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("secret_spans", lambda s: s["place"] < len(BASE))
+    return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("secret_spans")).alias("spans"))
 
 
 def op5_sql() -> str:
