@@ -23,19 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import new_folder
+from tickloom.llm.cutter import Cutter
 
-LANES, STEPS, CHECKPOINT = 512, 128, 32
+LANES, STEPS, CHECKPOINT = 1024, 128, 32
 SEGMENT_IDS = 2_000_000
 SCALE = 20
 LOW = 1 << 31
 MAGIC = b"rANSseg1"
-CACHE_PIECES = 250_000
+CACHE_PIECES = 400_000
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -204,7 +204,7 @@ class LibraryTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.find = regex.compile(pattern).findall
+        self.find = Cutter(pattern).find
         self.letters = _byte_letters()
         self.end = struct.pack("<I", end_id)
         self.young: dict[str, bytes] = {}
