@@ -30,6 +30,9 @@ class FactorSpec:
         return f"{self.name}_change"
 
 
+#: Scores keep so many decimal places: scores that are equal but for the order of a sum then tie on every engine.
+PLACES = 10
+
 #: Names, formulas and families of the catalogue.
 SPECS = (
     FactorSpec("structural_activity_proxy", "log1p(turnover) + 0.25D * log1p(trade_count)", ("trades",), "activity_pressure"),
@@ -68,7 +71,7 @@ def levels(trades: DataFrame | None = None, orders: DataFrame | None = None, raw
     wide = parts[0]
     for part in parts[1:]:
         wide = wide.join(part, KEY, "full_outer")
-    return wide.select(*KEY, *[F.when(F.expr(" and ".join(f"__{lane}" for lane in spec.lanes)), F.expr(spec.expression)).alias(spec.name) for spec in specs])
+    return wide.select(*KEY, *[F.when(F.expr(" and ".join(f"__{lane}" for lane in spec.lanes)), F.round(F.expr(spec.expression), PLACES)).alias(spec.name) for spec in specs])
 
 
 def one_day_change(frame: DataFrame, steps: DataFrame, columns: list[str]) -> DataFrame:
@@ -89,7 +92,7 @@ def wide_factors(level: DataFrame, steps: DataFrame, specs: tuple[FactorSpec, ..
     days = steps.where(F.col("previous_date").isNotNull()).select("date", "previous_date")
     before = level.select(F.col("date").alias("previous_date"), "instrument_key", *[F.col(c).alias(f"__{c}") for c in names])
     joined = level.join(F.broadcast(days), "date", "left").join(before, ["previous_date", "instrument_key"], "left")
-    return joined.select(*KEY, *names, *[(F.col(c) - F.col(f"__{c}")).alias(f"{c}_change") for c in names])
+    return joined.select(*KEY, *names, *[F.round(F.col(c) - F.col(f"__{c}"), PLACES).alias(f"{c}_change") for c in names])
 
 
 def long(wide: DataFrame, columns: list[str]) -> DataFrame:

@@ -115,8 +115,8 @@ from lineitem join orders on o_orderkey = l_orderkey join supplier on s_suppkey
     q["regime_slice_summary"] = _entry(Lane.slices, ["factor", "slice_name", "slice_value", "date_count", "labeled_rows"], ["mean_rank_ic", "mean_abs_rank_ic", "mean_top_bottom_spread", "mean_coverage_ratio", "mean_nmi", "mean_nmi_ic_gap", "mean_mi_p_value", "mi_significant_date_ratio"], "slices")
     q["entropy_regime_digest"] = _entry(lambda x: regimes.entropy_digest(x.slices()), ["factor", "strongest_slice", "weakest_slice"], ["entropy_regime_dispersion"], "digest")
     q["factor_corr_by_date"] = _entry(Lane.correlations, [*PAIR, "date", "common_rows"], ["pearson_corr"], "corrs")
-    q["top_overlap_by_date"] = _entry(Lane.overlaps, [*PAIR, "date", "top_overlap_count"], [], "overlaps")
-    q["comparison_merge"] = _entry(lambda x: compare.merged_by_date(x.correlations(), x.overlaps()), [*PAIR, "date", "common_rows", "top_overlap_count"], ["pearson_corr"], "(select * from corrs full join overlaps using (left_factor, right_factor, date))")
+    q["top_overlap_by_date"] = _entry(Lane.overlaps, [*PAIR, "date", "top_overlap_count"], [], "over_counts")
+    q["comparison_merge"] = _entry(lambda x: compare.merged_by_date(x.correlations(), x.overlaps()), [*PAIR, "date", "common_rows", "top_overlap_count"], ["pearson_corr"], "(select * from corrs full join over_counts using (left_factor, right_factor, date))")
     q["baseline_redundancy"] = _entry(Lane.baseline, ["factor", "baseline_role", "baseline_peer_count"], ["mean_abs_baseline_corr", "mean_baseline_top_overlap"], "baseline")
     q["peer_redundancy"] = _entry(Lane.peers, ["factor"], ["mean_abs_peer_corr", "mean_top_overlap_count"], "peers")
     summary = "count(*) as rows, count(distinct instrument_key) as distinct_instruments, avg(score) as score_mean, min(score) as score_min, max(score) as score_max"

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from tickloom.operators.factors import BASELINES, SPECS, factor_names
+from tickloom.operators.factors import BASELINES, PLACES, SPECS, factor_names
 from tickloom.operators.universe import UNIVERSE_VERSION
 from tickloom.plans.policy import GATE_MONITOR, GATE_NAMES, GATE_OPTIONAL, GATE_PASS, HARD_REASONS, SOFT_REASONS
 
@@ -29,8 +29,8 @@ def _adaptive(n: str, least: int, most: int) -> str:
 
 
 _WIDE_RAW = "d.turnover as raw_turnover, d.trade_count as raw_count, d.morning_turnover, d.afternoon_turnover, d.buy_count, d.buy_notional, d.sell_notional, g.trade_size_gini, b.interval_cv"
-_LEVELS = ",\n  ".join(f"case when {' and '.join({'trades': 't_in', 'orders': 'o_in', 'raw': 'r_in'}[lane] for lane in s.lanes)} then {_duck(s.expression)} end as {s.name}" for s in SPECS)
-_CHANGES = ", ".join(f"l.{s.name} - p.{s.name} as {s.change}" for s in SPECS)
+_LEVELS = ",\n  ".join(f"case when {' and '.join({'trades': 't_in', 'orders': 'o_in', 'raw': 'r_in'}[lane] for lane in s.lanes)} then round({_duck(s.expression)}, {PLACES}) end as {s.name}" for s in SPECS)
+_CHANGES = ", ".join(f"round(l.{s.name} - p.{s.name}, {PLACES}) as {s.change}" for s in SPECS)
 
 STEPS = {
     "universe": "select lpad(cast(c_custkey as varchar), 5, '0') as instrument_key from customer where c_mktsegment <> 'MACHINERY'",
@@ -119,9 +119,9 @@ STEPS = {
     "corrs": """select a.factor as left_factor, b.factor as right_factor, a.date, count(*) as common_rows, case when stddev_pop(a.score) = 0 or stddev_pop(b.score) = 0 then null else corr(a.score, b.score) end as pearson_corr
   from scores a join scores b on a.date = b.date and a.instrument_key = b.instrument_key and a.factor < b.factor group by all""",
     "tops": "select * from (select *, row_number() over (partition by factor, date order by score desc, instrument_key) as place from scores) where place <= 20",
-    "overlaps": "select a.factor as left_factor, b.factor as right_factor, a.date, count(*) as top_overlap_count from tops a join tops b on a.date = b.date and a.instrument_key = b.instrument_key and a.factor < b.factor group by all",
+    "over_counts": "select a.factor as left_factor, b.factor as right_factor, a.date, count(*) as top_overlap_count from tops a join tops b on a.date = b.date and a.instrument_key = b.instrument_key and a.factor < b.factor group by all",
     "corr2": "select left_factor as factor, right_factor as peer, pearson_corr from corrs union all select right_factor, left_factor, pearson_corr from corrs",
-    "over2": "select left_factor as factor, right_factor as peer, top_overlap_count from overlaps union all select right_factor, left_factor, top_overlap_count from overlaps",
+    "over2": "select left_factor as factor, right_factor as peer, top_overlap_count from over_counts union all select right_factor, left_factor, top_overlap_count from over_counts",
     "baseline": f"""select n.factor, case when n.factor in {BASELINES} then 'baseline_anchor' else 'challenger' end as baseline_role,
   case when n.factor in {BASELINES} then {len(BASELINES) - 1} else coalesce(c.k, 0) end as baseline_peer_count, c.v as mean_abs_baseline_corr, o.v as mean_baseline_top_overlap
   from (select distinct factor from corr2) n left join (select factor, count(distinct peer) as k, avg(abs(pearson_corr)) as v from corr2 where peer in {BASELINES} and factor not in {BASELINES} group by factor) c using (factor)
@@ -218,7 +218,7 @@ def query(text: str) -> str:
 
 
 def rounded(step: str, keys: list[str], numbers: list[str], where: str = "") -> str:
-    return query(f"select {', '.join(keys)}, {', '.join(f'round({n}, 8) as {n}' for n in numbers)} from {step} {where}")
+    return query(f"select {', '.join([*keys, *(f'round({n}, 8) as {n}' for n in numbers)])} from {step} {where}")
 
 
 VERSION = UNIVERSE_VERSION
