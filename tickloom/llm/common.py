@@ -55,3 +55,23 @@ def ascii_lower(column: Column | str) -> Column:
 def only(docs: DataFrame, *columns: str) -> DataFrame:
     """Just these columns: other columns, whatever their names, can't clash with what an operator adds."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a written intermediate that nothing will read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """The frame, marked for broadcast only if it was counted to have at most so many rows; a shuffle joins it otherwise."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def small_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
+    """The frame, with Arrow batches of at most so many rows from now on: whole texts are long, and a Python worker holds a batch at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(df.sparkSession.conf.get(name))
+    if held <= 0 or held > rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df

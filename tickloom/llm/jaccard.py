@@ -10,12 +10,14 @@ nothing. Two documents link when ``den * intersection >= num * union``; the resu
 2. Prefixes. A set of n shingles keeps its n - ceil(num/den * n) + 1 rarest as prefix: linked sets share one of them. Nodes with
    the same prefix and size form a *group*. Groups are filed under each prefix token; tokens that only one group has can
    link nothing across groups and go. A token that the sketch says may be very common is split by salt.
-3. Rounds. In each token's list (and each group's members) one node of each present component is compared with a leader:
-   a star, not all pairs. Pairs are verified on whole sets; links merge components. So a large family of near copies
-   collapses in a few rounds, each linear in its list. Leaders, salts and size bands change from round to round.
+3. Rounds. In each token's list (and among each group's members) one node of each present component is compared with a
+   leader: a star, not all pairs. A pair first passes a bitmap filter (the parities of 1024 hash buckets bound the overlap
+   from above), then is verified on whole sets; links merge components, and lists whose groups have all met go. Lists with
+   more than LONG_LIST entries left take further rounds with other leaders, salts and size bands as long as they link
+   anything, so a large family of near copies collapses in a few rounds, each linear in its lists.
 4. Rest. Group pairs that share a token, lie in different components, and pass the size and the position filter are
-   expanded to the members in different components, and all of these pairs are verified. No pair is capped or skipped,
-   so the components are those of the full join; within one component no more links are needed.
+   expanded to the members in different components, and all of these pairs are filtered and verified. No pair is capped or
+   skipped, so the components are those of the full join; within one component no more links are needed.
 
 Defined results: null text, empty text and text without words: size 0, a component of its own. Repeated rows and repeated
 ids are rows of their own (a row is its id and its text's hash). A component is named by its smallest id; nulls are
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import written
+from tickloom.llm.common import new_folder, removed, small, small_batches, written
 from tickloom.llm.components import components
 
 WORDS = 5
@@ -46,6 +48,11 @@ SALT_ROWS = 20_000
 #: Bytes hashed at once.
 CHUNK = 1 << 20
 MOST_ROUNDS = 12
+#: Entries up to which a list's pairs are left to the last step.
+LONG_LIST = 24
+#: Parity bits of the bitmap filter; keys are broadcast up to this many rows.
+BITS = 1024
+FEW_ROWS = 300_000
 
 _ODD = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20_240_229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,14 +149,20 @@ def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
     return n + (-num * n) // den + 1 if n else 0
 
 
+def bitmap(held: np.ndarray) -> np.ndarray:
+    """Parities of the shingles' low bits: two sets' overlap is at most (n + m - differing bits) / 2."""
+    odd = np.bincount((held & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """Per distinct set of a task: node, n, gid, its prefix tokens and how often each is split."""
+    """Per distinct set of a task: node, n, gid, bitmap, its prefix tokens and how often each is split."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = shared.value, set()
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
             for text in batch.column(0).cast(pa.binary()):
                 held = shingle_set(text.as_py())
                 node = _digest(held)
@@ -162,16 +175,16 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 order = np.lexsort((held, counts))[: prefix_length(len(held))]
                 tokens = held[order]
                 gid = xxhash.xxh3_64_intdigest(tokens.tobytes(), len(held)) - (1 << 63)
-                for column, value in zip(rows, (node, len(held), gid, tokens.view(np.int64), counts[order] // SALT_ROWS + 1), strict=True):
+                for column, value in zip(rows, (node, len(held), gid, bitmap(held), tokens.view(np.int64), counts[order] // SALT_ROWS + 1), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)], ["node", "n", "gid", "tokens", "splits"])
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)], ["node", "n", "gid", "bits", "tokens", "splits"])
 
-    return docs.select("text").mapInArrow(run, "node binary, n int, gid long, tokens array<long>, splits array<int>")
+    return docs.select("text").mapInArrow(run, "node binary, n int, gid long, bits array<long>, tokens array<long>, splits array<int>")
 
 
 def _candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, held (sorted shingles) of the wanted rows (doc_id, text_hash, node)."""
-    wanted = wanted.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    wanted = small(wanted.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), FEW_ROWS)
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where(F.col("text").isNotNull())
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["__id"]) & (texts["text_hash"] == wanted["__hash"]), "left_semi").select("text")
 
@@ -193,46 +206,66 @@ class _Join:
 
     def __init__(self, docs: DataFrame):
         self.docs = docs
-        self.rows = written(_sets(docs), "jaccard-rows")
-        listed = self.rows.where(F.col("slice").isNull())
-        self.listed = listed.select("doc_id", "text_hash", "n", "node")
-        prefixes = written(_prefixes(docs, _sketch(self.rows)), "jaccard-prefixes")
-        members = prefixes.select("gid", "node", "n").distinct()
-        filed = prefixes.select("gid", "n", F.posexplode("tokens").alias("pos", "token"), F.col("splits")).select("token", F.element_at("splits", F.col("pos") + 1).alias("split"), "gid", "n", "pos")
+        spark = small_batches(docs).sparkSession
+        rows = written(_sets(docs), "jaccard-rows")
+        self.listed = rows.where(F.col("slice").isNull()).select("doc_id", "text_hash", "n", "node")
+        folder = new_folder(spark, "jaccard-prefixes")
+        _prefixes(docs, _sketch(rows)).write.parquet(folder)
+        prefixes = spark.read.parquet(folder)
+        filed = prefixes.select("gid", "n", F.posexplode("tokens").alias("pos", "token"), "splits").select("token", F.element_at("splits", F.col("pos") + 1).alias("split"), "gid", "n", "pos")
         filed = filed.withColumn("salt", F.pmod("gid", "split")).repartition("token", "salt").dropDuplicates(["token", "salt", "gid"])
         several = filed.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("token", "salt"))).where((F.col("rows") > 1) | (F.col("split") > 1))
-        across = written(several.select("token", "split", "gid", "n", "pos"), "jaccard-postings")
-        # The members of one group are a list too; its token is the group.
-        inside = members.groupBy("gid", "n").count().where(F.col("count") > 1).select((-F.col("gid")).alias("token"), (F.col("count") / SALT_ROWS + 1).cast("int").alias("split"), "gid", "n", F.lit(0).alias("pos"))
-        self.postings = across.unionByName(inside)
-        groups = self.postings.select("gid").distinct()
-        self.members = written(members.join(groups, "gid", "left_semi"), "jaccard-members")
-        first = self.listed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
-        wanted = first.join(self.members.select("node").distinct(), "node", "left_semi").select("row.doc_id", "row.text_hash", "node")
-        self.sets = written(_candidate_sets(docs, wanted), "jaccard-sets")
+        self.postings = written(several.select("token", "split", "gid", "n", "pos"), "jaccard-postings")
+        members = prefixes.select("gid", "node", "n", "bits").dropDuplicates(["gid", "node"])
+        shared = members.groupBy("gid").count().where(F.col("count") > 1).select("gid").union(self.postings.select("gid")).distinct()
+        self.members = written(members.join(shared, "gid", "left_semi"), "jaccard-members")
+        removed(spark, folder)
         self.labels = written(self.members.select("node", F.col("node").alias("comp")).distinct(), "jaccard-labels")
+        self.first = written(self.listed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")), "jaccard-first")
+        self.sets: DataFrame | None = None
         self.tested: DataFrame | None = None
 
-    def entities(self) -> DataFrame:
-        """Postings by component: token, split, gid, n, pos, comp, and one member of it."""
-        present = self.members.join(self.labels, "node").groupBy("gid", "comp").agg(F.min("node").alias("node"))
-        return self.postings.join(present, "gid")
+    def entities(self, least: int = 0) -> DataFrame:
+        """Postings (of lists with more than ``least`` entries) by component: token, split, gid, n, pos, comp, and one member of it."""
+        present = self.members.select("gid", "node").join(self.labels, "node").groupBy("gid", "comp").agg(F.min("node").alias("node"))
+        postings = self.postings.where(F.col("entries") > least) if least else self.postings
+        return postings.join(present, "gid")
 
     def star_pairs(self, turn: int) -> DataFrame:
         """In each list, by salt and size band: one node of each component with that of a leading one."""
         salts = F.greatest(F.lit(1), F.shiftright("split", 4 * turn))
-        placed = self.entities().select("token", F.pmod(F.xxhash64("comp", F.lit(turn)), salts).alias("salt"), _band(F.col("n"), 0.5 * turn).alias("band"), "comp", "n", "node")
-        once = placed.groupBy("token", "salt", "band", "comp").agg(F.min(F.struct("n", "node")).alias("x"))
+        if turn:
+            placed = self.entities(LONG_LIST).withColumn("who", F.col("comp"))
+        else:  # no components yet: groups stand for themselves
+            placed = self.postings.withColumns({"who": F.col("gid"), "node": F.col("gid")})
+        placed = placed.select("token", F.pmod(F.xxhash64("who", F.lit(turn)), salts).alias("salt"), _band(F.col("n"), 0.5 * turn).alias("band"), "who", "n", "node")
+        once = placed.groupBy("token", "salt", "band", "who").agg(F.min(F.struct("n", "node")).alias("x")) if turn else placed.select("token", "salt", "band", "who", F.struct("n", "node").alias("x"))
         list_of = Window.partitionBy("token", "salt", "band")
-        led = once.withColumn("lead", F.min(F.struct(F.xxhash64("comp", F.lit(turn)).alias("at"), F.col("x.n").alias("n"), F.col("x.node").alias("node"))).over(list_of))
+        led = once.withColumn("lead", F.min(F.struct(F.xxhash64("who", F.lit(turn)).alias("at"), F.col("x.n").alias("n"), F.col("x.node").alias("node"))).over(list_of))
         pairs = led.where(F.col("lead.node") != F.col("x.node")).select(F.col("lead.node").alias("p"), F.col("x.node").alias("q"), F.col("lead.n").alias("m"), F.col("x.n").alias("n"))
-        return pairs.where(DEN * F.least("m", "n") >= NUM * F.greatest("m", "n")).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        pairs = pairs.where(DEN * F.least("m", "n") >= NUM * F.greatest("m", "n")).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        if turn:
+            return pairs
+        heads = self.members.groupBy("gid").agg(F.min("node").alias("head"))
+        for side in "ab":
+            pairs = pairs.join(heads.select(F.col("gid").alias(side), F.col("head").alias(f"{side}_")), side)
+        across = pairs.select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b"))
+        inside = self.members.select("gid", "node").join(heads, "gid").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
+        return across.unionByName(inside).distinct()
+
+    def narrow(self) -> None:
+        """Keeps the lists in which more than one component is left, and notes how long they are."""
+        here = self.entities().select("token", "split", "gid", "n", "pos", "comp")
+        mixed = here.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("entries")).where(F.col("least") != F.col("most")).select("token", "entries")
+        self.postings = written(here.join(mixed, "token").drop("comp").distinct(), "jaccard-postings")
 
     def rest_pairs(self) -> DataFrame:
-        """All pairs of nodes that share a token, lie in different components and pass the filters."""
-        here = self.entities()
-        mixed = here.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where(F.col("least") != F.col("most")).select("token")
-        here = here.join(mixed, "token", "left_semi").select("token", "gid", "n", "pos", "comp", _band(F.col("n")).alias("band"))
+        """All pairs of nodes that share a token or a group, lie in different components and pass the filters."""
+        here = self.entities().select("token", "gid", "n", "pos", "comp")
+        grouped = self.members.select("gid", "node", "n").join(self.labels, "node").groupBy("gid", "n", "comp").count()
+        several = grouped.groupBy("gid").agg(F.count(F.lit(1)).alias("comps")).where(F.col("comps") > 1).select("gid")
+        inside = grouped.join(several, "gid", "left_semi").select((-F.col("gid")).alias("token"), "gid", "n", F.lit(0).alias("pos"), "comp")
+        here = here.unionByName(inside).withColumn("band", _band(F.col("n")))
         left = here.select("token", "band", *[F.col(c).alias(f"{c}_a") for c in ("gid", "n", "pos", "comp")])
         right = here.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).select("token", "band", *[F.col(c).alias(f"{c}_b") for c in ("gid", "n", "pos", "comp")])
         open_ = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
@@ -240,18 +273,37 @@ class _Join:
             (F.struct("n_a", "gid_a", "comp_a") < F.struct("n_b", "gid_b", "comp_b")) & (F.col("comp_a") != F.col("comp_b")) & (NUM * F.col("n_b") <= DEN * F.col("n_a")) & ((NUM + DEN) * open_ >= NUM * (F.col("n_a") + F.col("n_b")))
         )
         pairs = pairs.select("gid_a", "comp_a", "gid_b", "comp_b").distinct()
-        held = self.members.join(self.labels, "node").select("gid", "comp", "node")
+        held = self.members.select("gid", "node").join(self.labels, "node").select("gid", "comp", "node")
         sides = [held.select(F.col("gid").alias(f"gid_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("node").alias(f"node_{s}")) for s in "ab"]
         expanded = pairs.join(sides[0], ["gid_a", "comp_a"]).join(sides[1], ["gid_b", "comp_b"])
         return expanded.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
+    def passing(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose sizes and bitmaps leave room for a link."""
+        of = lambda s: self.members.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b")
+        differing = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+        total = (F.col("n_a") + F.col("n_b")).cast("long")
+        return both.where((NUM + DEN) * (total - differing) >= 2 * NUM * total).select("a", "b")
+
+    def fetch(self, nodes: DataFrame) -> DataFrame:
+        """node, held of these nodes; sets made before are read, the others are made from the texts and written."""
+        new = nodes if self.sets is None else nodes.join(self.sets.select("node"), "node", "left_anti")
+        wanted = self.first.join(new, "node", "left_semi").select("row.doc_id", "row.text_hash", "node")
+        made = written(_candidate_sets(self.docs, written(wanted, "jaccard-wanted")), "jaccard-sets")
+        self.sets = made if self.sets is None else self.sets.unionByName(made)
+        return self.sets.join(small(nodes, FEW_ROWS), "node", "left_semi")
+
     def link(self, pairs: DataFrame, name: str) -> bool:
         """Verifies pairs that were not tested before and merges what links; whether anything did."""
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, f"jaccard-{name}")
+        pairs = written(self.passing(pairs), f"jaccard-{name}")
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        both = pairs.join(self.sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(self.sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
+        if pairs.isEmpty():
+            return False
+        sets = self.fetch(written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"jaccard-{name}-nodes"))
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
         met = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("met"), (F.size("x") + F.size("y")).cast("long").alias("sum"))
         links = written(met.where(DEN * F.col("met") >= NUM * (F.col("sum") - F.col("met"))).select("a", "b"), f"jaccard-{name}-links")
         if links.isEmpty():
@@ -263,11 +315,12 @@ class _Join:
         return True
 
     def run(self) -> DataFrame:
-        idle = 0
-        for turn in range(MOST_ROUNDS):
-            idle = 0 if self.link(self.star_pairs(turn), f"star{turn}") else idle + 1
-            if idle == 2:
+        self.link(self.star_pairs(0), "star0")
+        self.narrow()
+        for turn in range(1, MOST_ROUNDS):
+            if self.postings.where(F.col("entries") > LONG_LIST).isEmpty() or not self.link(self.star_pairs(turn), f"star{turn}"):
                 break
+            self.narrow()
         self.link(self.rest_pairs(), "rest")
         rows = self.listed
         firsts = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("known"), F.min("text_hash").alias("any"))
