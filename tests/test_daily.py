@@ -60,6 +60,16 @@ def test_gini_and_burstiness(spark):
     assert cv["b"] == 0.0 and cv["a"] == pytest.approx((sum((g - mean) ** 2 for g in gaps) / 2) ** 0.5 / mean)
 
 
+def test_raw_statistics_are_the_separate_ones(spark, sf):
+    from tickloom.sources import lanes
+
+    ticks = lanes.event_trades(spark, sf)
+    one = shape.raw_statistics(ticks)
+    apart = daily.raw_daily(ticks).join(shape.gini(ticks), daily.KEY, "left").join(shape.burstiness(ticks), daily.KEY, "left").select(*one.columns)
+    rows = lambda df: sorted(tuple(round(v, 8) if isinstance(v, float) else str(v) for v in r) for r in df.collect())
+    assert rows(one) == rows(apart)
+
+
 def test_calendar_stays_within_years(spark):
     days = spark.createDataFrame([(dt.date(2025, 12, 30),), (dt.date(2025, 12, 31),), (dt.date(2026, 1, 2),)], "date date")
     rows = {r["date"]: r for r in dates.stepped(days).collect()}

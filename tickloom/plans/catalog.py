@@ -1,4 +1,4 @@
-"""The queries over the test tables, by name, and their SQL twins. Computed numbers are rounded to 8 places on both sides."""
+"""The queries over the test tables, by name, and their SQL twins. Computed numbers are rounded alike on both sides (sql.places)."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ KEY = ["date", "instrument_key"]
 
 
 def _out(frame: DataFrame, keys: list[str], numbers: list[str]) -> DataFrame:
-    return frame.select(*keys, *[F.round(n, 8).alias(n) for n in numbers])
+    return frame.select(*keys, *[F.round(n, sql.places(n)).alias(n) for n in numbers])
 
 
 def _entry(make: Callable[[Lane], DataFrame], keys: list[str], numbers: list[str], step: str, where: str = "") -> tuple[Query, str]:
@@ -47,7 +47,7 @@ def _factor(name: str) -> tuple[Query, str]:
 
     if name == level.name:
         return run, sql.rounded("levels", KEY, [name], f"where {name} is not null")
-    text = f"""select l.date, l.instrument_key, s.previous_date, round(l.{level.name}, 8) as {level.name}, round(p.{level.name}, 8) as previous_{level.name}, round(l.{level.name} - p.{level.name}, 8) as {level.change}
+    text = f"""select l.date, l.instrument_key, s.previous_date, round(l.{level.name}, 10) as {level.name}, round(p.{level.name}, 10) as previous_{level.name}, round(l.{level.name} - p.{level.name}, 10) as {level.change}
 from levels l join steps s on s.date = l.date join levels p on p.date = s.previous_date and p.instrument_key = l.instrument_key where l.{level.name} is not null and p.{level.name} is not null"""
     return run, sql.query(text)
 

@@ -217,8 +217,17 @@ def query(text: str) -> str:
     return f"with {steps}\n{text}" if steps else text
 
 
+#: Columns that come rounded already are not rounded to fewer places: a second rounding would meet ties.
+_FINE = {"score": PLACES, "score_min": PLACES, "score_max": PLACES, "combo": 12} | {p + n: PLACES for n in factor_names() for p in ("", "previous_")}
+
+
+def places(column: str) -> int:
+    """Decimal places that a query gives of a column."""
+    return _FINE.get(column, 8)
+
+
 def rounded(step: str, keys: list[str], numbers: list[str], where: str = "") -> str:
-    return query(f"select {', '.join([*keys, *(f'round({n}, 8) as {n}' for n in numbers)])} from {step} {where}")
+    return query(f"select {', '.join([*keys, *(f'round({n}, {places(n)}) as {n}' for n in numbers)])} from {step} {where}")
 
 
 VERSION = UNIVERSE_VERSION

@@ -35,21 +35,21 @@ class Lane:
         return self.ticks().drop("OrderId", "is_order")
 
     def trades_daily(self) -> DataFrame:
-        return self._once("trades", lambda: daily.trades_daily(self.trades(), F.struct("ts", "row_num_in_file")))
+        """Persisted, as ``levels`` is: a daily row stands for all its ticks, so what is kept is small, and ticks are not scanned again."""
+        return self._once("trades", lambda: daily.trades_daily(self.trades(), F.struct("ts", "row_num_in_file")).persist())
 
     def orders_daily(self) -> DataFrame:
         return self._once("orders", lambda: daily.orders_daily(self.ticks().where("is_order")))
 
     def raw_daily(self) -> DataFrame:
-        """Conditional sums, Gini and burstiness of the raw ticks: all are hashed by date and instrument, so the joins need no shuffle."""
-        ticks = self.trades()
-        return self._once("raw", lambda: daily.raw_daily(ticks).join(shape.gini(ticks), daily.KEY, "left").join(shape.burstiness(ticks), daily.KEY, "left"))
+        return self._once("raw", lambda: shape.raw_statistics(self.trades()))
 
     def steps(self) -> DataFrame:
-        return self._once("steps", lambda: dates.stepped(dates.calendar(self.ticks())))
+        """The calendar of all ticks; taken from the levels where they are there already."""
+        return self._once("steps", lambda: dates.stepped(dates.calendar(self._held.get("levels", self.ticks()))))
 
     def levels(self) -> DataFrame:
-        return self._once("levels", lambda: factors.levels(self.trades_daily(), self.orders_daily(), self.raw_daily()))
+        return self._once("levels", lambda: factors.levels(self.trades_daily(), self.orders_daily(), self.raw_daily()).persist())
 
     def wide(self) -> DataFrame:
         return self._once("wide", lambda: factors.wide_factors(self.levels(), self.steps()))
