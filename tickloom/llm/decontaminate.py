@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import only
+from tickloom.llm.common import only, small_batches
 
 WINDOW = 13
 MAX_WORDS = 2_000_000
@@ -171,7 +171,7 @@ def _item_lists(items: DataFrame, max_words: int) -> list[list[tuple[str, list[b
 
 def match_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS, keep_text: bool = False) -> DataFrame:
     """Per document: words, disjoint hit word spans, item ids (sorted), the longest match; with ``text`` if asked for."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     groups = _item_lists(items, max_words)
     columns = ["doc_id", "text", *(["__row"] if len(groups) > 1 else [])]
     source = docs.withColumn("__row", F.xxhash64("doc_id", "text")) if len(groups) > 1 else docs
@@ -268,6 +268,7 @@ def _without(text: bytes | None, spans: list[tuple[int, int]]) -> bytes | None:
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, numerator: int = 1, denominator: int = 20, max_words: int = MAX_WORDS) -> DataFrame:
     """Documents, all columns, without the contaminated ones. Texts are judged in place: no row is shuffled."""
     groups = _item_lists(items.select("item_id", "text"), max_words)
+    docs = small_batches(docs)
     names, at = docs.columns, docs.columns.index("text")
     fields = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
     if len(groups) > 1:  # a document's hits of several automata must be united before they are judged
@@ -298,3 +299,21 @@ def op1_query(docs: DataFrame, items: DataFrame) -> DataFrame:
 def digest(ids: list[str]) -> str:
     """items_sha256 of these ids, for tests."""
     return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+
+
+def op1_sql() -> str:
+    """The same by joining every window of every document with every window of the items."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+with d as (select row_number() over () as r, doc_id, {words} as ws from documents),
+b as (select cast(item_id as varchar) as item, {words} as ws from benchmark),
+v as (select distinct item, n, array_to_string(ws[i:i + n - 1], ' ') as g from (
+  select item, ws, least({WINDOW}, len(ws)) as n, unnest(range(1, len(ws) - least({WINDOW}, len(ws)) + 2)) as i from b where len(ws) > 0)),
+p as (select r, n, i, array_to_string(ws[i:i + n - 1], ' ') as g from (
+  select r, ws, n, unnest(range(1, greatest(len(ws) - n + 2, 1))) as i from d cross join (select distinct n from v))),
+m as (select r, p.n, i, item from p join v using (n, g)),
+h as (select r, count(distinct spot) as n_hit from (select r, unnest(range(i, i + n)) as spot from m) group by r),
+t as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from m) group by r)
+select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated from d left join h using (r) left join t using (r)
+"""

@@ -218,7 +218,7 @@ def query(text: str) -> str:
 
 
 #: Columns that come rounded already are not rounded to fewer places: a second rounding would meet ties.
-_FINE = {"score": PLACES, "score_min": PLACES, "score_max": PLACES, "combo": 12} | {p + n: PLACES for n in factor_names() for p in ("", "previous_")}
+_FINE = {"score_mean": 7, "score": PLACES, "score_min": PLACES, "score_max": PLACES, "combo": 12} | {p + n: PLACES for n in factor_names() for p in ("", "previous_")}
 
 
 def places(column: str) -> int:
