@@ -6,14 +6,18 @@ numbered so that rows with the same commonest word and like length lie together,
 so worth skipping. Document frequencies, the number of rows and the mean length are summed over all shards first, so each
 shard's scores are the global ones and the k best of all shards' k best are exact.
 
-Search, for a query in a shard: each (term, block of ``BLOCK`` rows) has the largest impact of the term in the block. The
-blocks' summed maxima bound their rows' scores. Blocks are opened from the highest bound down, in growing batches; the
-k-th best score so far is the threshold, and blocks whose bound is below it are never opened. Opened blocks are scored
-exactly. Queries come in blocks of at most ``QUERY_BLOCK``; only one block's terms and weights are broadcast at a time.
+Search, for queries in a shard. A shard's commonest terms (in an eighth of its rows or more, ``DENSE`` at most) would bound
+nothing: nearly every block holds them. Their impacts are kept as a dense matrix, and one product gives their exact part
+of every row's score for a batch of queries. For all other terms, each (term, block of ``BLOCK`` rows) has the largest impact
+of the term in the block. A block's bound is the best dense part of its rows plus the sum of the terms' maxima. Blocks are
+opened from the highest bound down, in growing batches; the k-th best score so far is the threshold, and postings of
+blocks whose bound is below it are never read. Opened blocks are scored exactly. Queries come in blocks of at most
+``QUERY_BLOCK``; only one block's terms and weights are broadcast at a time.
 
 Terms are the words of decontaminate.words_of. A query is its text's set of terms. Scores are rounded to 9 places; ties go
 to the smaller id. Defined results: null and empty texts are rows without terms: they count in N and the mean length, never
-match, and as queries have no results; repeated rows are found as often as they occur; a null id sorts last.
+match, and as queries have no results; repeated rows are found as often as they occur; queries of one id are one query with the
+terms of all of them; a null id sorts last.
 """
 
 from __future__ import annotations
@@ -33,9 +37,11 @@ from tickloom.llm.common import new_folder, written
 from tickloom.llm.decontaminate import words_of
 
 K1, B = 1.2, 0.75
-SHARD_BYTES = 32_000_000
+SHARD_BYTES = 12_000_000
 QUERY_BLOCK = 2_048
 BLOCK = 64
+DENSE = 256
+BATCH = 64
 PLACES = 9
 NULL_ID = 2**63 - 1
 
@@ -66,12 +72,16 @@ def build(ids: list[int | None], texts: list[bytes | None]) -> bytes:
     lengths = np.array([len(h) for h in held], np.int64)
     flat = np.concatenate(held) if held else np.zeros(0, np.uint64)
     terms, inverse = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(len(held)), lengths)
-    pairs, tf = np.unique(row.astype(np.int64) * max(len(terms), 1) + inverse, return_counts=True)
+    del flat, held[:]
+    rows = len(lengths)
+    inverse += np.repeat(np.arange(rows), lengths) * max(len(terms), 1)
+    pairs, tf = np.unique(inverse, return_counts=True)
+    del inverse
     row, term = pairs // max(len(terms), 1), pairs % max(len(terms), 1)
+    del pairs
     df = np.bincount(term, minlength=len(terms))
     # Rows with the same commonest term (by frequency in the row, then in the shard), then of like length, come together.
-    lead = np.zeros(len(held), np.int64)
+    lead = np.zeros(rows, np.int64)
     by_row = np.lexsort((-df[term], -tf, row))
     first = np.flatnonzero(np.diff(row[by_row], prepend=-1))
     lead[row[by_row][first]] = term[by_row][first] + 1
@@ -106,6 +116,14 @@ class Shard:
         self.block = self.row[self.first] // BLOCK
         self.most = np.maximum.reduceat(self.impact, self.first) if len(self.first) else self.impact
         self.entries = np.searchsorted(self.first, self.starts)
+        common = np.argsort(-df, kind="stable")[:DENSE]
+        common = common[df[common] >= max(2, len(self.ids) / 8)]
+        self.column = np.full(len(df) + 1, -1, np.int64)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.blocks * BLOCK))
+        for i, t in enumerate(common.tolist()):
+            at = slice(self.starts[t], self.starts[t + 1])
+            self.dense[i, self.row[at]] = self.impact[at]
         self.opened = self.held = 0
 
     def _rows(self, gaps: np.ndarray) -> np.ndarray:
@@ -117,42 +135,66 @@ class Shard:
         return run - np.repeat(before, np.diff(self.starts))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows for a query's terms and idf weights."""
-        none = np.zeros(0, np.int64), np.zeros(0)
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        met = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        at, weights = at[met], weights[met]
-        if not len(at):
-            return none
-        order = np.argsort(at, kind="stable")
-        at, weights = at[order], weights[order]
+        """Ids and scores of the k best rows for one query's terms and idf weights."""
+        return self.search_many([(0, terms, weights)], k)[0]
+
+    def search_many(self, queries: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for each of (query, terms, weights)."""
+        out = []
+        for begin in range(0, len(queries), BATCH):
+            part = queries[begin : begin + BATCH]
+            asked = np.concatenate([t for _, t, _ in part])
+            weights = np.concatenate([w for _, _, w in part])
+            of = np.repeat(np.arange(len(part)), [len(t) for _, t, _ in part])
+            at = np.searchsorted(self.terms, asked)
+            at[at == len(self.terms)] = 0
+            met = np.flatnonzero(self.terms[at] == asked) if len(self.terms) else np.zeros(0, np.int64)
+            at, weights, of = at[met], weights[met], of[met]
+            column = self.column[at]
+            whole = column >= 0
+            factor = np.zeros((len(part), len(self.dense)))
+            factor[of[whole], column[whole]] = weights[whole]
+            base = factor @ self.dense
+            best = base.reshape(len(part), self.blocks, BLOCK).max(axis=2) if self.blocks else np.zeros((len(part), 0))
+            at, weights, of = at[~whole], weights[~whole], of[~whole]
+            cuts = np.searchsorted(of, np.arange(len(part) + 1))
+            for i in range(len(part)):
+                mine = slice(cuts[i], cuts[i + 1])
+                out.append(self._search(base[i], best[i], at[mine], weights[mine], k))
+        return out
+
+    def _search(self, base: np.ndarray, best: np.ndarray, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         entry, of = _ragged(self.entries[at], self.entries[at + 1])
         weight, block = weights[of], self.block[entry]
-        bound = np.bincount(block, self.most[entry] * weight, self.blocks) + 1e-8
+        bound = best + np.bincount(block, self.most[entry] * weight, self.blocks) + 1e-8 if len(entry) else best + 1e-8
         ranked = np.argsort(-bound, kind="stable")
-        ranked = ranked[bound[ranked] > 2e-8]
-        ids, scores = none
-        done, batch, least = 0, 8, 0.0
+        ids, scores = np.zeros(0, np.int64), np.zeros(0)
+        done, batch, least = 0, 4, 0.0
+        self.held += self.blocks
         while done < len(ranked):
             take = ranked[done : done + batch]
-            take = take[bound[take] >= least]
+            take = take[bound[take] >= max(least, 2e-8)]
             if not len(take):
                 break
+            score = base
             chosen = np.zeros(self.blocks, bool)
             chosen[take] = True
             some = np.flatnonzero(chosen[block])
-            posting, which = _ragged(self.first[entry[some]], self.past[entry[some]])
-            score = np.round(np.bincount(self.row[posting], self.impact[posting] * weight[some][which], len(self.ids)), PLACES)
-            rows = np.flatnonzero(score > max(least - 1e-12, 0))
-            ids, scores = np.concatenate((ids, self.ids[rows])), np.concatenate((scores, score[rows]))
-            best = np.lexsort((ids, -scores))[:k] if len(ids) < 4 * k else _best(ids, scores, k)
-            ids, scores = ids[best], scores[best]
+            if len(some):
+                posting, which = _ragged(self.first[entry[some]], self.past[entry[some]])
+                score = base + np.bincount(self.row[posting], self.impact[posting] * weight[some][which], len(base))
+            rows = (take[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
+            score = np.round(score[rows], PLACES)
+            keep = np.flatnonzero(score > max(least - 1e-12, 0))
+            ids, scores = np.concatenate((ids, self.ids[rows[keep]])), np.concatenate((scores, score[keep]))
+            first = np.lexsort((ids, -scores))[:k] if len(ids) < 4 * k else _best(ids, scores, k)
+            ids, scores = ids[first], scores[first]
             least = scores[-1] if len(scores) == k else 0.0
-            done += batch
+            done += len(take)
+            self.opened += len(take)
+            if len(take) < batch:
+                break
             batch *= 4
-        self.opened += min(done, len(ranked))
-        self.held += self.blocks
         return ids, scores
 
 
@@ -211,19 +253,19 @@ def search(spark, folder: str, queries: DataFrame, k: int = 10) -> DataFrame:
     weighted = asked.select("query_id", F.explode("terms").alias("term")).join(df.select("term", idf.alias("idf")), "term")
     count = asked.count()
     blocks = max(1, -(-count // QUERY_BLOCK))
-    grouped = written(weighted.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("terms")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "bm25-weighted")
+    listed = weighted.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("term", "idf"))).alias("t"))
+    grouped = written(listed.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("weights"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")), "bm25-weighted")
     found = new_folder(spark, "bm25-found")
     for block in range(blocks):
-        held = [(r["query_id"], np.array([t["term"] for t in r["terms"]], np.int64).view(np.uint64), np.array([t["idf"] for t in r["terms"]])) for r in grouped.where(F.col("block") == block).toLocalIterator()]
+        held = [(r["query_id"], np.array(r["terms"], np.int64).view(np.uint64), np.array(r["weights"])) for r in grouped.where(F.col("block") == block).toLocalIterator()]
         shared = spark.sparkContext.broadcast(held)
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for data in batch.column(0):
                     shard = Shard(data.as_py(), mean)
-                    for query, terms, weights in shared.value:
-                        ids, scores = shard.search(terms, weights, k)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), query)), pa.array(ids), pa.array(scores)], ["query_id", "doc_id", "score"])
+                    out = [(np.full(k, query), *found) for (query, _, _), found in zip(shared.value, shard.search_many(shared.value, k), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([q[: len(i)] for q, i, _ in out])), pa.array(np.concatenate([i for _, i, _ in out])), pa.array(np.concatenate([s for _, _, s in out]))], ["query_id", "doc_id", "score"])
 
         index.select("index").mapInArrow(best, "query_id long, doc_id long, score double").write.mode("append").parquet(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
