@@ -74,11 +74,11 @@ def _catalogue() -> dict[str, tuple[Query, str | None]]:
         # Sums of cents are cents: rounded first, their ratio is the same on every engine.
         found = daily.trades_daily(ticks, F.col("at")).withColumns({"turnover": F.round("turnover", 4), "share_volume": F.round("share_volume", 4)})
         found = found.withColumn("vwap", F.col("turnover") / F.col("share_volume"))
-        return found.select(*KEY, "trade_count", "turnover", "share_volume", *[F.round(c, 8).alias(c) for c in ("avg_trade_size", "close_like_price", "vwap")])
+        return found.select(*KEY, "trade_count", "turnover", "share_volume", "avg_trade_size", "close_like_price", "vwap")
 
     q["daily_trades_lineitem"] = (lineitem, """select cast(date_trunc('month', l_shipdate) as date) as date, lpad(cast(l_suppkey as varchar), 5, '0') as instrument_key, count(*) as trade_count, round(sum(l_quantity), 4) as share_volume,
-  round(sum(l_extendedprice / l_quantity * l_quantity), 4) as turnover, round(avg(l_quantity), 8) as avg_trade_size,
-  round(last(l_extendedprice / l_quantity order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice), 8) as close_like_price, round(round(sum(l_extendedprice / l_quantity * l_quantity), 4) / round(sum(l_quantity), 4), 8) as vwap
+  round(sum(l_extendedprice / l_quantity * l_quantity), 4) as turnover, avg(l_quantity) as avg_trade_size,
+  last(l_extendedprice / l_quantity order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) as close_like_price, round(sum(l_extendedprice / l_quantity * l_quantity), 4) / round(sum(l_quantity), 4) as vwap
 from lineitem join supplier on s_suppkey = l_suppkey where s_acctbal > 0 group by all having sum(l_quantity) > 0""")
 
     def line_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
