@@ -37,7 +37,7 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return lm.scored(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.op2_sql(), "op3_fixity": fixity.op3_sql(), "op5_secrets": secrets.op5_sql(), "op10_urlrules": urlrules.op10_sql()}
+    return {"op1_decontaminate": decontaminate.op1_sql(), "op2_topk": topk.op2_sql(), "op3_fixity": fixity.op3_sql(), "op5_secrets": secrets.op5_sql(), "op6_jaccard": jaccard.op6_sql(), "op10_urlrules": urlrules.op10_sql()}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,11 +67,6 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """The frame, marked for broadcast only if it was counted to have at most so many rows; a shuffle joins it otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def small_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
     """The frame, with Arrow batches of at most so many rows from now on: whole texts are long, and a Python worker holds a batch at once."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -75,3 +74,23 @@ def small_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
     if held <= 0 or held > rows:
         df.sparkSession.conf.set(name, str(rows))
     return df
+
+
+#: What a Python worker keeps between tasks: the caches of one operator, the last that ran.
+_KEPT: dict[Any, Any] = {}
+
+
+def worker_keeps(key: Any, make: Callable[[], Any] | None = None) -> Any:
+    """This worker's object of a key, made where it is not there; whatever another operator kept is let go first.
+
+    Workers are reused by all tasks of an executor, so each operator calls this when a task starts, with nothing to make if it
+    keeps nothing. Freed memory is given back to the system.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+        _KEPT[key] = make() if make else None
+    return _KEPT[key]

@@ -36,18 +36,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import new_folder, removed, small, small_batches, written
+from tickloom.llm.common import new_folder, removed, small_batches, worker_keeps, written
 from tickloom.llm.components import components
 
 WORDS = 5
 NUM, DEN = 75, 100
-BUCKETS = 1 << 20
+BUCKETS = 1 << 22
+SHIFT = 64 - 22
 SLICES = 1 << 10
 #: Groups filed under one token and salt, about, at most.
 SALT_ROWS = 20_000
 #: Bytes hashed at once.
 CHUNK = 1 << 20
-MOST_ROUNDS = 12
+MOST_ROUNDS = 3
 #: Entries up to which a list's pairs are left to the last step.
 LONG_LIST = 24
 #: Parity bits of the bitmap filter; keys are broadcast up to this many rows.
@@ -103,16 +104,17 @@ def _sets(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, kept, schema = np.zeros(BUCKETS, np.int64), [], None
+        worker_keeps("jaccard")
+        counts, kept, schema = np.zeros(BUCKETS, np.int32), [], None
         for batch in batches:
             sizes, nodes = [], []
             for text in batch.column(2).cast(pa.binary()):
                 held = shingle_set(text.as_py())
                 sizes.append(len(held))
                 nodes.append(_digest(held))
-                kept.append(held >> np.uint64(44))
+                kept.append(held >> np.uint64(SHIFT))
                 if len(kept) >= 2000:
-                    counts += np.bincount(np.concatenate(kept).astype(np.int64), minlength=BUCKETS)
+                    counts += np.bincount(np.concatenate(kept).astype(np.int64), minlength=BUCKETS).astype(np.int32)
                     kept = []
             out = pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())],
@@ -121,7 +123,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             schema = out.schema
             yield out
         if kept:
-            counts += np.bincount(np.concatenate(kept).astype(np.int64), minlength=BUCKETS)
+            counts += np.bincount(np.concatenate(kept).astype(np.int64), minlength=BUCKETS).astype(np.int32)
         if schema is not None and counts.any():
             parts = counts.astype("<i4").reshape(SLICES, -1)
             some = np.flatnonzero(parts.any(axis=1))
@@ -132,15 +134,15 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
-    """The summed sketch: BUCKETS counters, whatever the size of the corpus."""
+    """The summed sketch: BUCKETS counters of 16 bits (the largest stands for all above it), whatever the size of the corpus."""
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         held = sum(np.frombuffer(zlib.decompress(c), "<i4").astype(np.int64) for c in pdf["counts"])
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [np.minimum(held, 2**32 - 1).astype("<u4").tobytes()]})
+        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [np.minimum(held, 2**16 - 1).astype("<u2").tobytes()]})
 
-    out = np.zeros((SLICES, BUCKETS // SLICES), np.uint32)
+    out = np.zeros((SLICES, BUCKETS // SLICES), np.uint16)
     for row in rows.where(F.col("slice").isNotNull()).select("slice", "counts").groupBy("slice").applyInPandas(total, "slice int, counts binary").collect():
-        out[row["slice"]] = np.frombuffer(row["counts"], "<u4")
+        out[row["slice"]] = np.frombuffer(row["counts"], "<u2")
     return out.reshape(-1)
 
 
@@ -160,6 +162,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("jaccard")
         sketch, seen = shared.value, set()
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [], [])
@@ -171,20 +174,21 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(node)
-                counts = sketch[held >> np.uint64(44)]
+                counts = sketch[held >> np.uint64(SHIFT)]
                 order = np.lexsort((held, counts))[: prefix_length(len(held))]
                 tokens = held[order]
                 gid = xxhash.xxh3_64_intdigest(tokens.tobytes(), len(held)) - (1 << 63)
-                for column, value in zip(rows, (node, len(held), gid, bitmap(held), tokens.view(np.int64), counts[order] // SALT_ROWS + 1), strict=True):
+                for column, value in zip(rows, (node, len(held), gid, bitmap(held), tokens.view(np.int64), counts[order].astype(np.int32) // SALT_ROWS + 1), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)], ["node", "n", "gid", "bits", "tokens", "splits"])
 
     return docs.select("text").mapInArrow(run, "node binary, n int, gid long, bits array<long>, tokens array<long>, splits array<int>")
 
 
-def _candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, held (sorted shingles) of the wanted rows (doc_id, text_hash, node)."""
-    wanted = small(wanted.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), FEW_ROWS)
+def _candidate_sets(docs: DataFrame, wanted: DataFrame, repeats: bool, few: bool) -> DataFrame:
+    """node, held (sorted shingles) of the wanted rows (doc_id, text_hash, node); ``repeats``: some row is in the table more than once; ``few``: the wanted rows were counted to be few."""
+    wanted = wanted.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    wanted = F.broadcast(wanted) if few else wanted
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where(F.col("text").isNotNull())
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["__id"]) & (texts["text_hash"] == wanted["__hash"]), "left_semi").select("text")
 
@@ -193,7 +197,8 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [shingle_set(t.as_py()) for t in batch.column(0).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "held"])
 
-    return texts.mapInArrow(run, "node binary, held array<long>").dropDuplicates(["node"])
+    made = texts.mapInArrow(run, "node binary, held array<long>")
+    return made.dropDuplicates(["node"]) if repeats else made
 
 
 def _band(n: Column, shift: float = 0.0) -> Column:
@@ -214,17 +219,32 @@ class _Join:
         prefixes = spark.read.parquet(folder)
         filed = prefixes.select("gid", "n", F.posexplode("tokens").alias("pos", "token"), "splits").select("token", F.element_at("splits", F.col("pos") + 1).alias("split"), "gid", "n", "pos")
         filed = filed.withColumn("salt", F.pmod("gid", "split")).repartition("token", "salt").dropDuplicates(["token", "salt", "gid"])
-        several = filed.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("token", "salt"))).where((F.col("rows") > 1) | (F.col("split") > 1))
-        self.postings = written(several.select("token", "split", "gid", "n", "pos"), "jaccard-postings")
+        list_of = Window.partitionBy("token", "salt")
+        several = filed.withColumns({"rows": F.count(F.lit(1)).over(list_of), "m": F.sum("n").over(list_of) - F.col("n"), "p": F.sum("pos").over(list_of) - F.col("pos")})
+        # Most lists have two entries, so each knows the other's size and position: pairs that can't link go at once.
+        pair = (F.col("rows") == 2) & (DEN * F.least("n", "m") >= NUM * F.greatest("n", "m")) & ((NUM + DEN) * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("p")) >= NUM * (F.col("n") + F.col("m")))
+        self.paths: dict[str, str] = {}
+        self.postings = self.kept("postings", several.where((F.col("split") > 1) | (F.col("rows") > 2) | pair).select("token", "split", "gid", "n", "pos"))
         members = prefixes.select("gid", "node", "n", "bits").dropDuplicates(["gid", "node"])
         shared = members.groupBy("gid").count().where(F.col("count") > 1).select("gid").union(self.postings.select("gid")).distinct()
         self.members = written(members.join(shared, "gid", "left_semi"), "jaccard-members")
         removed(spark, folder)
-        self.labels = written(self.members.select("node", F.col("node").alias("comp")).distinct(), "jaccard-labels")
-        self.first = written(self.listed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")), "jaccard-first")
+        self.labels = self.kept("labels", self.members.select("node", F.col("node").alias("comp")).distinct())
+        self.first = written(self.listed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")), "jaccard-first")
+        self.repeats = not self.first.where(F.col("rows") > F.col("ids")).isEmpty()
         self.sets: DataFrame | None = None
         self.tested: DataFrame | None = None
 
+    def kept(self, name: str, df: DataFrame) -> DataFrame:
+        """Writes the state's newest version of a table and removes the one before, from which it was made."""
+        spark = df.sparkSession
+        path = new_folder(spark, f"jaccard-{name}")
+        df.write.parquet(path)
+        if name in self.paths:
+            removed(spark, self.paths[name])
+        self.paths[name] = path
+        return spark.read.schema(df.schema).parquet(path)
+
     def entities(self, least: int = 0) -> DataFrame:
         """Postings (of lists with more than ``least`` entries) by component: token, split, gid, n, pos, comp, and one member of it."""
         present = self.members.select("gid", "node").join(self.labels, "node").groupBy("gid", "comp").agg(F.min("node").alias("node"))
@@ -238,26 +258,29 @@ class _Join:
             placed = self.entities(LONG_LIST).withColumn("who", F.col("comp"))
         else:  # no components yet: groups stand for themselves
             placed = self.postings.withColumns({"who": F.col("gid"), "node": F.col("gid")})
-        placed = placed.select("token", F.pmod(F.xxhash64("who", F.lit(turn)), salts).alias("salt"), _band(F.col("n"), 0.5 * turn).alias("band"), "who", "n", "node")
-        once = placed.groupBy("token", "salt", "band", "who").agg(F.min(F.struct("n", "node")).alias("x")) if turn else placed.select("token", "salt", "band", "who", F.struct("n", "node").alias("x"))
+        # A small position means few rarer shingles before this one: that member has least of its own, and links best.
+        first = F.col("pos") if turn % 2 == 0 else F.xxhash64("node", F.lit(turn))
+        placed = placed.select("token", F.pmod(F.xxhash64("who", F.lit(turn)), salts).alias("salt"), _band(F.col("n"), 0.5 * turn).alias("band"), "who", F.struct(first.alias("first"), F.col("n"), F.col("node")).alias("x"))
+        once = placed.groupBy("token", "salt", "band", "who").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("size")) if turn else placed.withColumn("size", F.lit(1))
         list_of = Window.partitionBy("token", "salt", "band")
-        led = once.withColumn("lead", F.min(F.struct(F.xxhash64("who", F.lit(turn)).alias("at"), F.col("x.n").alias("n"), F.col("x.node").alias("node"))).over(list_of))
+        led = once.withColumn("lead", F.min(F.struct((-F.col("size")).alias("size"), F.col("x.first").alias("first"), F.xxhash64("x.node").alias("at"), F.col("x.n").alias("n"), F.col("x.node").alias("node"))).over(list_of))
         pairs = led.where(F.col("lead.node") != F.col("x.node")).select(F.col("lead.node").alias("p"), F.col("x.node").alias("q"), F.col("lead.n").alias("m"), F.col("x.n").alias("n"))
-        pairs = pairs.where(DEN * F.least("m", "n") >= NUM * F.greatest("m", "n")).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        pairs = pairs.where(DEN * F.least("m", "n") >= NUM * F.greatest("m", "n")).groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.min("p").alias("hub"))
         if turn:
             return pairs
         heads = self.members.groupBy("gid").agg(F.min("node").alias("head"))
         for side in "ab":
             pairs = pairs.join(heads.select(F.col("gid").alias(side), F.col("head").alias(f"{side}_")), side)
-        across = pairs.select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b"))
-        inside = self.members.select("gid", "node").join(heads, "gid").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"))
-        return across.unionByName(inside).distinct()
+        across = pairs.select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b"), F.when(F.col("hub") == F.col("a"), F.col("a_")).otherwise(F.col("b_")).alias("hub"))
+        inside = self.members.select("gid", "node").join(heads, "gid").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"), F.col("head").alias("hub"))
+        return across.unionByName(inside).groupBy("a", "b").agg(F.min("hub").alias("hub"))
 
     def narrow(self) -> None:
         """Keeps the lists in which more than one component is left, and notes how long they are."""
-        here = self.entities().select("token", "split", "gid", "n", "pos", "comp")
-        mixed = here.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("entries")).where(F.col("least") != F.col("most")).select("token", "entries")
-        self.postings = written(here.join(mixed, "token").drop("comp").distinct(), "jaccard-postings")
+        list_of = Window.partitionBy("token")
+        here = self.entities().select("token", "split", "gid", "n", "pos", "comp").repartition("token")
+        here = here.withColumns({"least": F.min("comp").over(list_of), "most": F.max("comp").over(list_of), "entries": F.count(F.lit(1)).over(list_of)}).where(F.col("least") != F.col("most"))
+        self.postings = self.kept("postings", here.dropDuplicates(["token", "gid"]).select("token", "split", "gid", "n", "pos", "entries"))
 
     def rest_pairs(self) -> DataFrame:
         """All pairs of nodes that share a token or a group, lie in different components and pass the filters."""
@@ -276,7 +299,7 @@ class _Join:
         held = self.members.select("gid", "node").join(self.labels, "node").select("gid", "comp", "node")
         sides = [held.select(F.col("gid").alias(f"gid_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("node").alias(f"node_{s}")) for s in "ab"]
         expanded = pairs.join(sides[0], ["gid_a", "comp_a"]).join(sides[1], ["gid_b", "comp_b"])
-        return expanded.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+        return expanded.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct().withColumn("hub", F.col("a"))
 
     def passing(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and bitmaps leave room for a link."""
@@ -284,26 +307,31 @@ class _Join:
         both = pairs.join(of("a"), "a").join(of("b"), "b")
         differing = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
         total = (F.col("n_a") + F.col("n_b")).cast("long")
-        return both.where((NUM + DEN) * (total - differing) >= 2 * NUM * total).select("a", "b")
+        return both.where((NUM + DEN) * (total - differing) >= 2 * NUM * total).select("a", "b", "hub")
 
-    def fetch(self, nodes: DataFrame) -> DataFrame:
-        """node, held of these nodes; sets made before are read, the others are made from the texts and written."""
+    def fetch(self, nodes: DataFrame, few: bool) -> None:
+        """Sees to it that ``sets`` has these nodes: sets made before are there, the others are made from the texts and written."""
         new = nodes if self.sets is None else nodes.join(self.sets.select("node"), "node", "left_anti")
-        wanted = self.first.join(new, "node", "left_semi").select("row.doc_id", "row.text_hash", "node")
-        made = written(_candidate_sets(self.docs, written(wanted, "jaccard-wanted")), "jaccard-sets")
+        wanted = self.first.join(F.broadcast(new) if few else new, "node", "left_semi").select("row.doc_id", "row.text_hash", "node")
+        made = written(_candidate_sets(self.docs, wanted, self.repeats, few), "jaccard-sets")
         self.sets = made if self.sets is None else self.sets.unionByName(made)
-        return self.sets.join(small(nodes, FEW_ROWS), "node", "left_semi")
 
     def link(self, pairs: DataFrame, name: str) -> bool:
         """Verifies pairs that were not tested before and merges what links; whether anything did."""
         if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = written(self.passing(pairs), f"jaccard-{name}")
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        if pairs.isEmpty():
+        count = pairs.count()
+        if not count:
             return False
-        sets = self.fetch(written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"jaccard-{name}-nodes"))
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
+        few = 2 * count <= FEW_ROWS  # counted: neither the pairs nor their nodes are more; a shuffle joins them otherwise
+        if_few = F.broadcast if few else lambda df: df
+        self.fetch(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), few)
+        # Every pair brings the set of its other end to its hub: a star's sets move once, its centre's set is read once.
+        ends = if_few(pairs.withColumn("node", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))))
+        centres = self.sets.join(if_few(pairs.select(F.col("hub").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("hub"), F.col("held").alias("x"))
+        both = self.sets.select("node", F.col("held").alias("y")).join(ends, "node").join(centres, "hub")
         met = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("met"), (F.size("x") + F.size("y")).cast("long").alias("sum"))
         links = written(met.where(DEN * F.col("met") >= NUM * (F.col("sum") - F.col("met"))).select("a", "b"), f"jaccard-{name}-links")
         if links.isEmpty():
@@ -311,7 +339,7 @@ class _Join:
         of = lambda side: self.labels.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}"))
         edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("u"), F.col("comp_b").alias("v")).distinct()
         roots = components(edges).select(F.col("u").alias("comp"), "root")
-        self.labels = written(self.labels.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "jaccard-labels")
+        self.labels = self.kept("labels", self.labels.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
         return True
 
     def run(self) -> DataFrame:
@@ -347,3 +375,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def op6_query(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def op6_sql() -> str:
+    """The same by counting every pair's shared shingles, for tables whose ids are unique."""
+    return f"""
+with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i:i + {WORDS - 1}], ' ') as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - {WORDS - 1}, 1) + 1)) as i from d where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as met from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where {DEN} * met >= {NUM} * (x.n + y.n - met)),
+r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a)
+select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, (select min(b) from r where a = doc_id)) as component_id from d left join n using (doc_id)
+"""
