@@ -22,10 +22,11 @@ from itertools import accumulate, chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.llm.common import small_batches, worker_keeps
 from tickloom.llm.cutter import Cutter
 
-CACHE_PIECES = 250_000
-CACHE_PAIRS = 1_000_000
+CACHE_PIECES = 120_000
+CACHE_PAIRS = 300_000
 #: Longer pieces are not cached.
 LONGEST_CACHED = 64
 #: Vocabularies are broadcast; this bounds them.
@@ -152,20 +153,13 @@ class TextEncoder:
         return b"".join(map(self.encoder.bytes_of.__getitem__, ids))
 
 
-#: Encoders of a Python worker by vocabulary and pattern; a worker serves many tasks.
-_HELD: dict[tuple[str, str], TextEncoder] = {}
-
-
 def text_encoder(key: str, ranks: dict[bytes, int], pattern: str) -> TextEncoder:
-    """This worker's encoder; only the last one used is kept."""
-    if (key, pattern) not in _HELD:
-        _HELD.clear()
-        _HELD[key, pattern] = TextEncoder(ranks, pattern)
-    return _HELD[key, pattern]
+    """This worker's encoder."""
+    return worker_keeps(("bpe", key, pattern), lambda: TextEncoder(ranks, pattern))
 
 
 def _shared(docs: DataFrame, path: str):
-    ranks = read_ranks(docs.sparkSession, path)
+    ranks = read_ranks(small_batches(docs).sparkSession, path)
     key = hashlib.sha256(b"".join(token + b"%d" % rank for token, rank in ranks.items())).hexdigest()
     return docs.sparkSession.sparkContext.broadcast(ranks), key
 

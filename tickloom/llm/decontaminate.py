@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import only, small_batches
+from tickloom.llm.common import only, small_batches, worker_keeps
 
 WINDOW = 13
 MAX_WORDS = 2_000_000
@@ -181,6 +181,7 @@ def match_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_wor
         shared = spark.sparkContext.broadcast(ItemAutomaton(group, window))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared, single=len(groups) == 1) -> Iterator[pa.RecordBatch]:
+            worker_keeps("decontaminate")
             automaton = shared.value
             for batch in batches:
                 texts = batch.column(1).cast(pa.binary()).to_pylist()
@@ -279,6 +280,7 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(groups[0], window))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("decontaminate")
         for batch in batches:
             clean = []
             for text in batch.column(at).cast(pa.binary()):

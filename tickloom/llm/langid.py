@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import only, remainder
+from tickloom.llm.common import only, remainder, small_batches, worker_keeps
 
 ROWS_PER_LANGUAGE = 1_000
 MAX_ENTRIES = 160_000
 LONGEST_GRAM = 4
 UNKNOWN = "und"
 #: Words held by a task's cache of votes.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 150_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -139,12 +139,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("langid")
         scorer = Scorer(shared.value)
         for batch in batches:
             found = [scorer.score(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*names, "lang_pred", "score"])
 
-    kept = docs.drop("lang_pred", "score")
+    kept = small_batches(docs.drop("lang_pred", "score"))
     names = kept.columns
     at = names.index("text")
     fields = ", ".join(f"`{name}` {kind}" for name, kind in kept.dtypes)

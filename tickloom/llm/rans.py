@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import new_folder
+from tickloom.llm.common import new_folder, small_batches, worker_keeps
 from tickloom.llm.cutter import Cutter
 
 LANES, STEPS, CHECKPOINT = 1024, 128, 32
@@ -226,21 +226,15 @@ class LibraryTokenizer:
         return np.frombuffer(b"".join([get(p) or make(p) for p in self.find(text or "")] + [self.end]), "<u4")
 
 
-_HELD: dict[tuple[str, str, int], LibraryTokenizer] = {}
-
-
 def library_tokenizer(*key) -> LibraryTokenizer:
-    """This Python worker's tokenizer for a vocabulary, pattern and end id; a worker serves many tasks."""
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = LibraryTokenizer(*key)
-    return _HELD[key]
+    """This Python worker's tokenizer for a vocabulary, pattern and end id."""
+    return worker_keeps(("rans", *key), lambda: LibraryTokenizer(*key))
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: int, shards: int | None = None, segment_ids: int = SEGMENT_IDS) -> None:
     """Encodes documents (doc_id, text) in ascending id order and writes their frames to ``folder``."""
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = library_tokenizer(tokenizer, pattern, end_id).encode

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import new_folder, written
+from tickloom.llm.common import new_folder, worker_keeps, written
 from tickloom.llm.decontaminate import words_of
 
 K1, B = 1.2, 0.75
@@ -261,6 +261,7 @@ def search(spark, folder: str, queries: DataFrame, k: int = 10) -> DataFrame:
         shared = spark.sparkContext.broadcast(held)
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            worker_keeps("topk")
             for batch in batches:
                 for data in batch.column(0):
                     shard = Shard(data.as_py(), mean)
