@@ -283,22 +283,28 @@ class _Join:
         self.postings = self.kept("postings", here.dropDuplicates(["token", "gid"]).select("token", "split", "gid", "n", "pos", "entries"))
 
     def rest_pairs(self) -> DataFrame:
-        """All pairs of nodes that share a token or a group, lie in different components and pass the filters."""
-        here = self.entities().select("token", "gid", "n", "pos", "comp")
-        grouped = self.members.select("gid", "node", "n").join(self.labels, "node").groupBy("gid", "n", "comp").count()
-        several = grouped.groupBy("gid").agg(F.count(F.lit(1)).alias("comps")).where(F.col("comps") > 1).select("gid")
-        inside = grouped.join(several, "gid", "left_semi").select((-F.col("gid")).alias("token"), "gid", "n", F.lit(0).alias("pos"), "comp")
-        here = here.unionByName(inside).withColumn("band", _band(F.col("n")))
-        left = here.select("token", "band", *[F.col(c).alias(f"{c}_a") for c in ("gid", "n", "pos", "comp")])
-        right = here.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).select("token", "band", *[F.col(c).alias(f"{c}_b") for c in ("gid", "n", "pos", "comp")])
+        """All pairs of nodes that share a token or a group, lie in different components and pass the filters.
+
+        Short lists are joined by token alone, so both sides are one exchange; long ones by token and size band. Components are told
+        apart by a 64-bit hash.
+        """
+        labels = self.labels.select("node", F.xxhash64("comp").alias("comp"))
+        held = self.members.select("gid", "node", "n").join(labels, "node")
+        present = held.select("gid", "n", "comp").distinct()
+        here = self.postings.select("token", "gid", "pos", "entries").join(present, "gid").select("token", "gid", "n", "pos", "comp", "entries")
+        several = present.groupBy("gid").count().where(F.col("count") > 1).select("gid")
+        inside = present.join(several, "gid", "left_semi").select((-F.col("gid")).alias("token"), "gid", "n", F.lit(0).alias("pos"), "comp")
+        side = lambda df, s, *keys: df.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "pos", "comp")])
+        short = here.where(F.col("entries") <= LONG_LIST).drop("entries").unionByName(inside)
+        long_ = here.where(F.col("entries") > LONG_LIST).withColumn("band", _band(F.col("n")))
+        ahead = long_.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
         open_ = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-        pairs = left.join(right, ["token", "band"]).where(
-            (F.struct("n_a", "gid_a", "comp_a") < F.struct("n_b", "gid_b", "comp_b")) & (F.col("comp_a") != F.col("comp_b")) & (NUM * F.col("n_b") <= DEN * F.col("n_a")) & ((NUM + DEN) * open_ >= NUM * (F.col("n_a") + F.col("n_b")))
-        )
-        pairs = pairs.select("gid_a", "comp_a", "gid_b", "comp_b").distinct()
-        held = self.members.select("gid", "node").join(self.labels, "node").select("gid", "comp", "node")
-        sides = [held.select(F.col("gid").alias(f"gid_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("node").alias(f"node_{s}")) for s in "ab"]
-        expanded = pairs.join(sides[0], ["gid_a", "comp_a"]).join(sides[1], ["gid_b", "comp_b"])
+        test = (F.struct("n_a", "gid_a", "comp_a") < F.struct("n_b", "gid_b", "comp_b")) & (F.col("comp_a") != F.col("comp_b")) & (NUM * F.col("n_b") <= DEN * F.col("n_a")) & ((NUM + DEN) * open_ >= NUM * (F.col("n_a") + F.col("n_b")))
+        named = ["gid_a", "comp_a", "gid_b", "comp_b"]
+        pairs = side(short, "a", "token").join(side(short, "b", "token"), "token").where(test).select(*named)
+        pairs = pairs.unionByName(side(long_, "a", "token", "band").join(side(ahead, "b", "token", "band"), ["token", "band"]).where(test).select(*named)).distinct()
+        ends = [held.select(F.col("gid").alias(f"gid_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("node").alias(f"node_{s}")) for s in "ab"]
+        expanded = pairs.join(ends[0], ["gid_a", "comp_a"]).join(ends[1], ["gid_b", "comp_b"])
         return expanded.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct().withColumn("hub", F.col("a"))
 
     def passing(self, pairs: DataFrame) -> DataFrame:

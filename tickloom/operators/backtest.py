@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import ratio
-from tickloom.operators.evaluate import labelled, sign_summary
+from tickloom.operators.evaluate import SIGN_PLACES, labelled, sign_summary
 
 BY_DATE = ["factor", "date"]
 
@@ -40,7 +40,7 @@ def by_date(scores: DataFrame, labels: DataFrame, top_fraction: float = 0.1) ->
     out = days.join(kept, BY_DATE, "left")
     both = F.coalesce("kept", F.lit(0))
     turnover = F.when(F.col("previous").isNull(), F.lit(0.0)).otherwise(1 - ratio(both, F.col("selected_count") + F.col("previous_count") - both))
-    return out.select(*BY_DATE, "row_count", "bucket_size", "long_return", "short_return", (F.col("long_return") - F.col("short_return")).alias("spread_return"), turnover.alias("turnover_proxy"), "selected_count")
+    return out.select(*BY_DATE, "row_count", "bucket_size", "long_return", "short_return", F.round(F.col("long_return") - F.col("short_return"), SIGN_PLACES).alias("spread_return"), turnover.alias("turnover_proxy"), "selected_count")
 
 
 def summary(scores: DataFrame, days: DataFrame, cost_bps: float = 0.0) -> DataFrame:

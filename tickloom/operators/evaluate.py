@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tickloom.functions.columns import average_rank, pearson, ratio
 
 LABEL = "forward_return_1d_close_like"
+#: Values whose sign is counted keep so many places: what is zero but for the order of a sum is zero.
+SIGN_PLACES = 12
 BY_DATE = ["factor", "date"]
 
 
@@ -52,8 +54,8 @@ def per_date(scores: DataFrame, labels: DataFrame, top_fraction: float = 0.2) ->
     placed = ranked(labelled(scores, labels)).withColumn("bucket_size", bucket)
     stats = placed.groupBy(*BY_DATE).agg(
         F.count(F.lit(1)).alias("labeled_rows"),
-        pearson("score_rank", "label_rank").alias("rank_ic"),
-        pearson("score", "label").alias("pearson_corr"),
+        F.round(pearson("score_rank", "label_rank"), SIGN_PLACES).alias("rank_ic"),
+        F.round(pearson("score", "label"), SIGN_PLACES).alias("pearson_corr"),
         F.avg("label").alias("mean_label"),
         F.first("bucket_size").alias("bucket_size"),
         F.avg(F.when(F.col("from_top") <= F.col("bucket_size"), F.col("label"))).alias("top_mean_return"),

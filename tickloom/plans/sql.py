@@ -68,8 +68,8 @@ STEPS = {
   row_number() over (partition by factor, date order by score, instrument_key desc) as from_end, row_number() over (partition by factor, date order by label, instrument_key) as by_label
   from joined window f as (partition by factor, date)""",
     "per_date": """select r.*, r.labeled_rows / f.factor_rows as coverage_ratio, top_mean_return - bottom_mean_return as top_bottom_spread, factor_rows from (
-  select factor, date, count(*) as labeled_rows, case when stddev_pop(score_rank) = 0 or stddev_pop(label_rank) = 0 then null else corr(score_rank, label_rank) end as rank_ic,
-  case when stddev_pop(score) = 0 or stddev_pop(label) = 0 then null else corr(score, label) end as pearson_corr, avg(label) as mean_label, greatest(1, cast(ceil(max(n) * 0.1) as bigint)) as bucket_size,
+  select factor, date, count(*) as labeled_rows, case when stddev_pop(score_rank) = 0 or stddev_pop(label_rank) = 0 then null else round(corr(score_rank, label_rank), 12) end as rank_ic,
+  case when stddev_pop(score) = 0 or stddev_pop(label) = 0 then null else round(corr(score, label), 12) end as pearson_corr, avg(label) as mean_label, greatest(1, cast(ceil(max(n) * 0.1) as bigint)) as bucket_size,
   avg(label) filter (where from_top <= greatest(1, ceil(n * 0.1))) as top_mean_return, avg(label) filter (where from_bottom <= greatest(1, ceil(n * 0.1))) as bottom_mean_return from ranked group by all) r
   join (select factor, date, count(*) as factor_rows from scores group by all) f using (factor, date)""",
     "binned": f"""select factor, date, instrument_key, n, bins, least((from_bottom - 1) * bins // n, bins - 1) as score_bin, least((by_label - 1) * bins // n, bins - 1) as label_bin
@@ -134,7 +134,7 @@ STEPS = {
     "bt_days": """select d.*, lag(date) over (partition by factor order by date) as previous, lag(selected_count) over (partition by factor order by date) as previous_count from (
   select factor, date, count(*) as row_count, any_value(bucket) as bucket_size, avg(label) filter (where from_top <= bucket) as long_return, avg(label) filter (where from_end <= bucket) as short_return,
   count(*) filter (where from_top <= bucket or from_end <= bucket) as selected_count from placed group by factor, date) d""",
-    "backtest": """select d.factor, d.date, row_count, bucket_size, long_return, short_return, long_return - short_return as spread_return,
+    "backtest": """select d.factor, d.date, row_count, bucket_size, long_return, short_return, round(long_return - short_return, 12) as spread_return,
   case when previous is null then 0 else 1 - coalesce(k.kept, 0) / (selected_count + previous_count - coalesce(k.kept, 0)) end as turnover_proxy, selected_count from bt_days d
   left join (select a.factor, a.date, count(*) as kept from picked a join bt_days d on d.factor = a.factor and d.date = a.date join picked b on b.factor = a.factor and b.date = d.previous and b.instrument_key = a.instrument_key group by all) k
   on k.factor = d.factor and k.date = d.date""",
