@@ -99,6 +99,17 @@ def _digest(held: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(held.tobytes()) if len(held) else None
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters by byte planes: the higher planes are nearly all zero, the lowest has few values."""
+    coder = zlib.compressobj(6, zlib.DEFLATED, zlib.MAX_WBITS, 8, zlib.Z_RLE)
+    return coder.compress(counts.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()) + coder.flush()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
+
+
 def _sets(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, text_hash, n, node; and, in rows of their own, the sketch's slices of each task."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -125,9 +136,9 @@ def _sets(docs: DataFrame) -> DataFrame:
         if kept:
             counts += np.bincount(np.concatenate(kept).astype(np.int64), minlength=BUCKETS).astype(np.int32)
         if schema is not None and counts.any():
-            parts = counts.astype("<i4").reshape(SLICES, -1)
+            parts = counts.reshape(SLICES, -1)
             some = np.flatnonzero(parts.any(axis=1))
-            columns = [pa.nulls(len(some), schema.field(0).type), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())]
+            columns = [pa.nulls(len(some), schema.field(0).type), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array([_packed(parts[i]) for i in some], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n long, node binary, slice int, counts binary")
@@ -137,7 +148,7 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     """The summed sketch: BUCKETS counters of 16 bits (the largest stands for all above it), whatever the size of the corpus."""
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = sum(np.frombuffer(zlib.decompress(c), "<i4").astype(np.int64) for c in pdf["counts"])
+        held = sum(_unpacked(c).astype(np.int64) for c in pdf["counts"])
         return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [np.minimum(held, 2**16 - 1).astype("<u2").tobytes()]})
 
     out = np.zeros((SLICES, BUCKETS // SLICES), np.uint16)
@@ -213,28 +224,42 @@ class _Join:
         self.docs = docs
         spark = small_batches(docs).sparkSession
         rows = written(_sets(docs), "jaccard-rows")
-        self.listed = rows.where(F.col("slice").isNull()).select("doc_id", "text_hash", "n", "node")
-        folder = new_folder(spark, "jaccard-prefixes")
-        _prefixes(docs, _sketch(rows)).write.parquet(folder)
-        prefixes = spark.read.parquet(folder)
-        filed = prefixes.select("gid", "n", F.posexplode("tokens").alias("pos", "token"), "splits").select("token", F.element_at("splits", F.col("pos") + 1).alias("split"), "gid", "n", "pos")
-        filed = filed.withColumn("salt", F.pmod("gid", "split")).repartition("token", "salt").dropDuplicates(["token", "salt", "gid"])
-        list_of = Window.partitionBy("token", "salt")
-        several = filed.withColumns({"rows": F.count(F.lit(1)).over(list_of), "m": F.sum("n").over(list_of) - F.col("n"), "p": F.sum("pos").over(list_of) - F.col("pos")})
-        # Most lists have two entries, so each knows the other's size and position: pairs that can't link go at once.
-        pair = (F.col("rows") == 2) & (DEN * F.least("n", "m") >= NUM * F.greatest("n", "m")) & ((NUM + DEN) * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("p")) >= NUM * (F.col("n") + F.col("m")))
         self.paths: dict[str, str] = {}
-        self.postings = self.kept("postings", several.where((F.col("split") > 1) | (F.col("rows") > 2) | pair).select("token", "split", "gid", "n", "pos"))
-        members = prefixes.select("gid", "node", "n", "bits").dropDuplicates(["gid", "node"])
+        self.listed = rows.where(F.col("slice").isNull()).select("doc_id", "text_hash", "n", "node")
+        base = self._filed(_prefixes(docs, _sketch(rows)))
+        self.postings = base.where(F.col("token").isNotNull()).select("token", "split", "gid", "n", "pos")
+        members = base.where(F.col("token").isNull()).select("gid", "node", "n", "bits")
         shared = members.groupBy("gid").count().where(F.col("count") > 1).select("gid").union(self.postings.select("gid")).distinct()
         self.members = written(members.join(shared, "gid", "left_semi"), "jaccard-members")
-        removed(spark, folder)
         self.labels = self.kept("labels", self.members.select("node", F.col("node").alias("comp")).distinct())
         self.first = written(self.listed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")), "jaccard-first")
         self.repeats = not self.first.where(F.col("rows") > F.col("ids")).isEmpty()
         self.sets: DataFrame | None = None
         self.tested: DataFrame | None = None
 
+    def _filed(self, prefixes: DataFrame) -> DataFrame:
+        """Postings that may link something and, with null tokens, the nodes themselves: one pass, one exchange, one written table.
+
+        A posting's size and position travel as one number, after its token and before its group: rows of one set follow each other
+        in an exchange's blocks, which then hold little besides tokens.
+        """
+        entries = F.concat(F.array(F.lit(None).cast("long")), "tokens")
+        filed = prefixes.select("gid", "n", "node", "bits", "splits", F.posexplode(entries).alias("at", "token"))
+        posting = F.col("token").isNotNull()
+        split = F.when(posting, F.get("splits", F.col("at") - 1)).otherwise(F.lit(1))
+        place = F.shiftleft(F.col("n").cast("long"), 32) + F.greatest(F.col("at") - 1, F.lit(0))
+        salt = F.when(posting, F.pmod(F.col("gid"), split)).otherwise(F.col("gid"))  # nodes are dealt by their groups
+        own = lambda c: F.when(~posting, F.col(c)).alias(c)
+        filed = filed.select("token", place.alias("place"), "gid", split.alias("split"), salt.alias("salt"), own("node"), own("bits"))
+        filed = filed.repartition("token", "salt").dropDuplicates(["token", "salt", "gid", "node"])
+        filed = filed.select("token", "salt", "split", "gid", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("pos"), "node", "bits")
+        list_of = Window.partitionBy("token", "salt")
+        several = filed.withColumns({"rows": F.count(F.lit(1)).over(list_of), "m": F.sum("n").over(list_of) - F.col("n"), "p": F.sum("pos").over(list_of) - F.col("pos")})
+        # Most lists have two entries, so each knows the other's size and position: pairs that can't link go at once.
+        pair = (F.col("rows") == 2) & (DEN * F.least("n", "m") >= NUM * F.greatest("n", "m")) & ((NUM + DEN) * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("p")) >= NUM * (F.col("n") + F.col("m")))
+        left = several.where(F.col("token").isNull() | (F.col("split") > 1) | (F.col("rows") > 2) | pair)
+        return self.kept("postings", left.select("token", "split", "gid", "n", "pos", "node", "bits"))
+
     def kept(self, name: str, df: DataFrame) -> DataFrame:
         """Writes the state's newest version of a table and removes the one before, from which it was made."""
         spark = df.sparkSession
