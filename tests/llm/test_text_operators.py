@@ -258,3 +258,55 @@ def test_network_gradients_and_windows():
         down = net.step(inputs[own], inputs[own - 1], goal, target[own] >= 0)[0]
         net.p[name][at] = kept
         assert grad[name][at] == pytest.approx((up - down) / (2 * eps), abs=2e-3), name
+
+
+def test_language_model_learns_from_the_whole_corpus(spark, monkeypatch):
+    """Statistics are exact sums over all training rows, weights come from windows of distinct texts, as many as the input has."""
+    vocabulary = lm.subwords(MULTI, PATTERN)
+    monkeypatch.setattr(lm, "STEPS", 3)
+    monkeypatch.setattr(lm, "SAMPLE_ROWS", 2)
+    seen, windows = {}, {}
+    prepared, summed = lm.prepared, lm._summed
+    texts = [f"alpha word{i} beta gamma delta word{i * 7} " * 6 for i in range(60)]
+
+    def spy(counts, near, ends, seed=7):
+        seen.update(counts=counts, near=near, ends=ends)
+        return prepared(counts, near, ends, seed)
+
+    def spied(vectors):
+        found = summed(vectors)
+        windows["n"] = found[1]
+        return found
+
+    monkeypatch.setattr(lm, "prepared", spy)
+    monkeypatch.setattr(lm, "_summed", spied)
+
+    def run(rows):
+        frame = spark.createDataFrame([(7 * 10**6 + i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(5)
+        got = lm.scored(frame, MULTI, PATTERN)
+        kept = [r["text"].encode() for r in frame.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2]
+        return got, kept
+
+    _, kept = run(texts)
+    raw, ends = lm.raw_ids(kept, vocabulary)
+    counts = np.bincount(raw[raw < vocabulary.size], minlength=vocabulary.size)
+    assert (seen["counts"] == counts).all() and seen["ends"] == len(kept)
+    net = lm.Network(counts.astype(float))
+    sequence = np.append(net.place, net.end)[np.append(vocabulary.size, raw)]
+    near, sign = np.zeros_like(seen["near"]), net.signs()
+    np.add.at(near[:, : lm.SIGNS], sequence[1:], sign[sequence[:-1]])
+    np.add.at(near[:, lm.SIGNS :], sequence[:-1], sign[sequence[1:]])
+    assert (seen["near"] == near).all()
+    few = windows["n"]
+    _, kept = run(texts + [t + " more" for t in texts])
+    more = windows["n"]
+    assert more > 1.5 * few
+    # Copies add nothing to the windows.
+    rows = texts + [texts[0]] * 300
+    got, kept = run(rows)
+    lengths = [len(lm.raw_ids([t], vocabulary)[0]) for t in set(kept)]
+    if len(set(kept)) <= lm.LEARN_EVERY * lm.SAMPLE_ROWS:
+        assert windows["n"] == sum(-(-n // lm.STRIDE) for n in lengths)
+    else:
+        assert windows["n"] <= sum(-(-n // lm.STRIDE) for n in lengths)
+    assert got.count() == len(rows)
