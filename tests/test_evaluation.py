@@ -113,3 +113,13 @@ def test_signs(spark):
     out = evaluate.sign_summary(spark.createDataFrame(rows, "factor string, date date, rank_ic double")).first()
     assert (out["evaluated_count"], out["positive_count"], out["negative_count"], out["zero_count"], out["dominant_sign"], out["sign_switch_count"]) == (4, 2, 1, 1, "positive", 2)
     assert out["sign_consistency"] == pytest.approx(2 / 3)
+
+
+def test_queries_draw_as_often_as_the_operators():
+    import inspect
+
+    from tickloom.plans import sql
+
+    drawn = lambda f: inspect.signature(f).parameters["permutations"].default
+    assert sql.PERMUTATIONS == drawn(information.mi_significance) == 100 and sql.TE_PERMUTATIONS == drawn(information.te_significance) == 200
+    assert f"range(1, {sql.PERMUTATIONS + 1}) t(p)" in "".join(sql.STEPS.values()) and f"range(1, {sql.TE_PERMUTATIONS + 1}) t(p)" in sql.STEPS["te_drawn"]

@@ -11,8 +11,8 @@ from tickloom.operators.factors import BASELINES, PLACES, SPECS, factor_names
 from tickloom.operators.universe import UNIVERSE_VERSION
 from tickloom.plans.policy import GATE_MONITOR, GATE_NAMES, GATE_OPTIONAL, GATE_PASS, HARD_REASONS, SOFT_REASONS
 
-PERMUTATIONS = 20
-TE_PERMUTATIONS = 20
+PERMUTATIONS = 100
+TE_PERMUTATIONS = 200
 
 
 def _duck(expression: str) -> str:
