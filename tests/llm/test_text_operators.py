@@ -310,3 +310,15 @@ def test_language_model_learns_from_the_whole_corpus(spark, monkeypatch):
     else:
         assert windows["n"] <= sum(-(-n // lm.STRIDE) for n in lengths)
     assert got.count() == len(rows)
+
+
+def test_rans_added_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, mine = Tokenizer.from_file(path), rans.LibraryTokenizer(path, PATTERN, 2)
+    assert mine.added
+    for text in ["a <|endoftext|> b", *(f"x{c}{c} é\n{c}y" for c in mine.added), "<|endoftext", "plain text"]:
+        assert mine.encode(text).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], text
+    assert 50256 in mine.encode("a <|endoftext|> b").tolist()

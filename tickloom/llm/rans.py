@@ -197,6 +197,7 @@ class LibraryTokenizer:
 
     The vocabulary's own cut into pieces is made here by the same pattern; the library's model encodes each new piece, and
     pieces are encoded independently of each other, as in the library's own pipeline.
+    A text that holds the content of an added token (few do) is encoded whole by the library, which cuts such tokens out first.
     """
 
     def __init__(self, path: str, pattern: str, end_id: int):
@@ -205,6 +206,7 @@ class LibraryTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.find = Cutter(pattern).find
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self.end = struct.pack("<I", end_id)
         self.young: dict[str, bytes] = {}
@@ -220,6 +222,8 @@ class LibraryTokenizer:
 
     def encode(self, text: str | None) -> np.ndarray:
         """The text's ids and the end id."""
+        if text and any(content in text for content in self.added):
+            return np.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4"), np.frombuffer(self.end, "<u4"))
         if len(self.young) >= CACHE_PIECES:
             self.old, self.young = self.young, {}
         get, make = self.young.get, self._piece
