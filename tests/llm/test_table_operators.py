@@ -61,6 +61,40 @@ def test_jaccard_families_and_split_lists(spark, monkeypatch):
     want = brute_components(rows)
     monkeypatch.setattr(jaccard, "FEW_ROWS", 0)  # the paths without broadcasts
     assert collections.Counter(tuple(r) for r in jaccard.op6_query(frame).collect()) == want
+    monkeypatch.setattr(jaccard, "SALT_ROWS", 5)  # lists of many salts, in every round
+    monkeypatch.setattr(jaccard, "LONG_LIST", 3)
+    assert collections.Counter(tuple(r) for r in jaccard.op6_query(frame).collect()) == want
+
+
+def test_texts_whose_polynomials_agree_are_told_apart(spark):
+    """Thue-Morse words and their complements agree under any polynomial modulo a power of two; their shingles do not."""
+    for length in (1024, 2048, 4096):
+        one = "".join("ab"[bin(i).count("1") % 2] for i in range(length))
+        other = one.translate(str.maketrans("ab", "ba"))
+        assert not np.array_equal(jaccard.shingle_set(one.encode()), jaccard.shingle_set(other.encode()))
+    frame = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.op6_query(frame).collect()) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_bitmaps_bound_the_overlap_when_folded():
+    rnd = np.random.default_rng(3)
+    for n, m in ((500, 530), (513, 512), (1000, 1100), (3000, 2400), (60, 50)):
+        pool = rnd.integers(0, 2**64, n + m, dtype=np.uint64)
+        x, y = np.unique(pool[:n]), np.unique(pool[n // 3 : n // 3 + m])
+        a, b = jaccard.bitmap(x), jaccard.bitmap(y)
+        while len(a) != len(b):
+            long, short = (a, b) if len(a) > len(b) else (b, a)
+            a, b = long[: len(long) // 2] ^ long[len(long) // 2 :], short
+        differing = sum(bin(int(v) & (2**64 - 1)).count("1") for v in a ^ b)
+        assert len(np.intersect1d(x, y)) <= (len(x) + len(y) - differing) / 2
+
+
+def test_filter_holds_every_key(spark):
+    rnd = np.random.default_rng(1)
+    keys = rnd.integers(-(2**63), 2**63, 5000)
+    bits = jaccard._filter(spark.createDataFrame([(int(k),) for k in keys], "key long"))
+    held = lambda k: (bits[(p := jaccard._places(k)) >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).all(axis=0)
+    assert held(keys).all() and held(rnd.integers(-(2**63), 2**63, 5000)).sum() < 5
 
 
 def test_shingles_do_not_depend_on_chunks(monkeypatch):

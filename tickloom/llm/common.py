@@ -58,7 +58,24 @@ def ascii_lower(column: Column | str) -> Column:
 
 def only(docs: DataFrame, *columns: str) -> DataFrame:
     """Just these columns: other columns, whatever their names, can't clash with what an operator adds."""
-    return docs.select(*[F.col(f"`{c}`") for c in columns])
+    return docs.select(*[F.col(f"`{c}`").alias(c) for c in columns])
+
+
+def quoted(docs: DataFrame) -> list[Column]:
+    """All columns, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that none of the frame's columns has, in any case of letters."""
+    held, out = {c.lower() for c in docs.columns}, []
+    for name in wanted:
+        free = f"__{name}"
+        while free.lower() in held:
+            free += "_"
+        held.add(free.lower())
+        out.append(free)
+    return out
 
 
 def removed(spark: SparkSession, path: str) -> None:

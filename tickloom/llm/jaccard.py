@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import new_folder, removed, small_batches, worker_keeps, written
+from tickloom.llm.common import free_names, new_folder, only, quoted, removed, small_batches, worker_keeps, written
 from tickloom.llm.components import components
 
 WORDS = 5
@@ -44,46 +45,37 @@ NUM, DEN = 75, 100
 BUCKETS = 1 << 22
 SHIFT = 64 - 22
 SLICES = 1 << 10
-#: Groups filed under one token and salt, about, at most.
-SALT_ROWS = 20_000
+#: Entries of one token, or components of one list, that are dealt to one salt.
+SALT_ROWS = 2_000
 #: Bytes hashed at once.
 CHUNK = 1 << 20
 MOST_ROUNDS = 3
 #: Entries up to which a list's pairs are left to the last step.
 LONG_LIST = 24
-#: Parity bits of the bitmap filter; keys are broadcast up to this many rows.
+#: Parity bits of the bitmap filter, at least; keys are broadcast up to this many rows, and by a filter of so many bits beyond.
 BITS = 1024
 FEW_ROWS = 300_000
+FILTER_BITS = 1 << 27
 
-_ODD = 0x9E3779B97F4A7C15 | 1
-_TABLE = np.random.default_rng(20_240_229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: list[np.ndarray] = []
+_SEED = 20_240_229
+#: Odd multipliers of a 64-bit mixer.
+_MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 14)
-        with np.errstate(over="ignore"):
-            _POWERS[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, base, np.uint64))), dtype=np.uint64) for base in (_ODD, pow(_ODD, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A bijective mixer of 64 bits."""
+    h = (h ^ (h >> np.uint64(30))) * _MIX[0]
+    h = (h ^ (h >> np.uint64(27))) * _MIX[1]
+    return h ^ (h >> np.uint64(31))
 
 
 def _hashes(words: list[bytes], n: int) -> np.ndarray:
-    """A hash of each n consecutive words, joined by single spaces: differences of one running polynomial."""
-    text = np.frombuffer(b" ".join(words), np.uint8)
-    powers, inverse = _powers(len(text) + 1)
-    running = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(_TABLE[text] * powers[: len(text)], out=running[1:])
-    spaces = np.flatnonzero(text == 32)
-    starts, ends = np.concatenate(([0], spaces + 1)), np.concatenate((spaces, [len(text)]))
-    first = starts[: len(starts) - n + 1]
-    h = (running[ends[n - 1 :]] - running[first]) * inverse[first]
-    h ^= h >> np.uint64(30)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
-    h *= np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    """A hash of each n consecutive words: the words' seeded hashes, mixed one after another, so that no sums or products cancel."""
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(_SEED)), np.uint64, len(words))
+    h = np.full(len(words) - n + 1, n, np.uint64)
+    for i in range(n):
+        h = _mixed(h * _MIX[1] + word[i : i + len(h)])
+    return h
 
 
 def shingle_set(text: bytes | None, n: int = WORDS) -> np.ndarray:
@@ -144,16 +136,20 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n long, node binary, slice int, counts binary")
 
 
-def _sketch(rows: DataFrame) -> np.ndarray:
-    """The summed sketch: BUCKETS counters of 16 bits (the largest stands for all above it), whatever the size of the corpus."""
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = sum(_unpacked(c).astype(np.int64) for c in pdf["counts"])
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [np.minimum(held, 2**16 - 1).astype("<u2").tobytes()]})
+def _summed(parts: DataFrame) -> np.ndarray:
+    """The sum of all tasks' counters (slice, counts): BUCKETS numbers of 32 bits, whatever the size of the corpus. Parts are added up one at a time."""
 
-    out = np.zeros((SLICES, BUCKETS // SLICES), np.uint16)
-    for row in rows.where(F.col("slice").isNotNull()).select("slice", "counts").groupBy("slice").applyInPandas(total, "slice int, counts binary").collect():
-        out[row["slice"]] = np.frombuffer(row["counts"], "<u2")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[at] = sums.get(at, np.int64(0)) + _unpacked(packed.as_py())
+        numbers = [np.minimum(held, 2**32 - 1).astype("<u4").tobytes() for held in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(numbers, pa.binary())], ["slice", "counts"])
+
+    out = np.zeros((SLICES, BUCKETS // SLICES), np.uint32)
+    for row in parts.repartition("slice").mapInArrow(add, "slice int, counts binary").collect():
+        out[row["slice"]] = np.frombuffer(row["counts"], "<u4")
     return out.reshape(-1)
 
 
@@ -163,8 +159,12 @@ def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
 
 
 def bitmap(held: np.ndarray) -> np.ndarray:
-    """Parities of the shingles' low bits: two sets' overlap is at most (n + m - differing bits) / 2."""
-    odd = np.bincount((held & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    """Parities of the shingles' low bits, two a shingle and BITS at least: two sets' overlap is at most (n + m - differing bits) / 2.
+
+    The number of bits is a power of two, so a longer bitmap is folded to a shorter one by XOR of its halves.
+    """
+    bits = max(BITS, 1 << (2 * len(held) - 1).bit_length())
+    odd = np.bincount((held & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -189,26 +189,74 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 order = np.lexsort((held, counts))[: prefix_length(len(held))]
                 tokens = held[order]
                 gid = xxhash.xxh3_64_intdigest(tokens.tobytes(), len(held)) - (1 << 63)
-                for column, value in zip(rows, (node, len(held), gid, bitmap(held), tokens.view(np.int64), counts[order].astype(np.int32) // SALT_ROWS + 1), strict=True):
+                for column, value in zip(rows, (node, len(held), gid, bitmap(held), tokens.view(np.int64), (counts[order] // SALT_ROWS).astype(np.int32) + 1), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)], ["node", "n", "gid", "bits", "tokens", "splits"])
 
     return docs.select("text").mapInArrow(run, "node binary, n int, gid long, bits array<long>, tokens array<long>, splits array<int>")
 
 
+def _key(identity: str = "doc_id", text_hash: str = "text_hash") -> Column:
+    return F.xxhash64(identity, text_hash)
+
+
+def _places(keys: np.ndarray) -> np.ndarray:
+    """Three places in the filter for each 64-bit key."""
+    keys = keys.view(np.uint64)
+    low, high = keys & np.uint64(FILTER_BITS - 1), keys >> np.uint64(32) | np.uint64(1)
+    return ((low + np.arange(3, dtype=np.uint64)[:, None] * high) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the keys (key long), of fixed size, made slice by slice in the tasks."""
+    width = FILTER_BITS // SLICES
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.sort(_places(batch.column(0).to_numpy()).reshape(-1))
+            slices, first = np.unique(at // width, return_index=True)
+            parts = np.split((at % width).astype("<i4"), first[1:]) if len(at) else []
+            yield pa.RecordBatch.from_arrays([pa.array(slices.astype(np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "places"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(i, np.zeros(width, bool))[np.frombuffer(places, "<i4")] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(h).tobytes() for h in held.values()], pa.binary())], ["slice", "bits"])
+
+    out = np.zeros((SLICES, width // 8), np.uint8)
+    for row in keys.mapInArrow(place, "slice int, places binary").repartition("slice").mapInArrow(fill, "slice int, bits binary").collect():
+        out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
+
+
 def _candidate_sets(docs: DataFrame, wanted: DataFrame, repeats: bool, few: bool) -> DataFrame:
-    """node, held (sorted shingles) of the wanted rows (doc_id, text_hash, node); ``repeats``: some row is in the table more than once; ``few``: the wanted rows were counted to be few."""
-    wanted = wanted.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    wanted = F.broadcast(wanted) if few else wanted
+    """node, held (sorted shingles) of the wanted rows (doc_id, text_hash, node), and perhaps of some more.
+
+    ``repeats``: some row is in the table more than once; ``few``: the wanted rows were counted to be few. Texts are never shuffled:
+    many wanted rows are known by a filter of fixed size. Where it is too full it lets texts through that nobody asks for.
+    """
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where(F.col("text").isNotNull())
-    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["__id"]) & (texts["text_hash"] == wanted["__hash"]), "left_semi").select("text")
+    bits = None
+    if few:
+        wanted = F.broadcast(wanted.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")))
+        texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["__id"]) & (texts["text_hash"] == wanted["__hash"]), "left_semi")
+    else:
+        bits = docs.sparkSession.sparkContext.broadcast(_filter(wanted.select(_key().alias("key"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("jaccard")
         for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(0).cast(pa.binary())]
+            at = range(batch.num_rows)
+            if bits is not None:
+                places = _places(batch.column(1).to_numpy())
+                at = np.flatnonzero((bits.value[places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1).all(axis=0)).tolist()
+            texts = batch.column(0).cast(pa.binary())
+            sets = [shingle_set(texts[i].as_py()) for i in at]
             yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "held"])
 
-    made = texts.mapInArrow(run, "node binary, held array<long>")
+    made = texts.select("text", _key().alias("key")).mapInArrow(run, "node binary, held array<long>").where(F.col("node").isNotNull())
     return made.dropDuplicates(["node"]) if repeats else made
 
 
@@ -226,11 +274,12 @@ class _Join:
         rows = written(_sets(docs), "jaccard-rows")
         self.paths: dict[str, str] = {}
         self.listed = rows.where(F.col("slice").isNull()).select("doc_id", "text_hash", "n", "node")
-        base = self._filed(_prefixes(docs, _sketch(rows)))
-        self.postings = base.where(F.col("token").isNotNull()).select("token", "split", "gid", "n", "pos")
+        base = self._filed(_prefixes(docs, _summed(rows.where(F.col("slice").isNotNull()).select("slice", "counts"))))
+        self.postings = base.where(F.col("token").isNotNull()).select("token", "split", "gid", "n", "pos", "lead_gid", "lead_n")
         members = base.where(F.col("token").isNull()).select("gid", "node", "n", "bits")
+        # Joins of tables that grow with the corpus are merged at every size: none of them turns from a broadcast to a shuffle on the way.
         shared = members.groupBy("gid").count().where(F.col("count") > 1).select("gid").union(self.postings.select("gid")).distinct()
-        self.members = written(members.join(shared, "gid", "left_semi"), "jaccard-members")
+        self.members = written(members.join(shared.hint("merge"), "gid", "left_semi"), "jaccard-members")
         self.labels = self.kept("labels", self.members.select("node", F.col("node").alias("comp")).distinct())
         self.first = written(self.listed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")), "jaccard-first")
         self.repeats = not self.first.where(F.col("rows") > F.col("ids")).isEmpty()
@@ -257,8 +306,12 @@ class _Join:
         several = filed.withColumns({"rows": F.count(F.lit(1)).over(list_of), "m": F.sum("n").over(list_of) - F.col("n"), "p": F.sum("pos").over(list_of) - F.col("pos")})
         # Most lists have two entries, so each knows the other's size and position: pairs that can't link go at once.
         pair = (F.col("rows") == 2) & (DEN * F.least("n", "m") >= NUM * F.greatest("n", "m")) & ((NUM + DEN) * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("p")) >= NUM * (F.col("n") + F.col("m")))
-        left = several.where(F.col("token").isNull() | (F.col("split") > 1) | (F.col("rows") > 2) | pair)
-        return self.kept("postings", left.select("token", "split", "gid", "n", "pos", "node", "bits"))
+        left = several.where(F.col("token").isNull() | (F.col("split") > 1) | (F.col("rows") > 2) | pair).withColumn("band", _band(F.col("n")))
+        # The first round's leaders are found here, where each list is together: groups stand for themselves. A small position means few
+        # rarer shingles before this one: that member has least of its own, and links best.
+        lead = F.min(F.struct("pos", F.xxhash64("gid").alias("at"), "gid", "n")).over(Window.partitionBy("token", "salt", "band"))
+        left = left.withColumn("lead", F.when(F.col("token").isNotNull(), lead))
+        return self.kept("postings", left.select("token", "split", "gid", "n", "pos", "node", "bits", F.col("lead.gid").alias("lead_gid"), F.col("lead.n").alias("lead_n")))
 
     def kept(self, name: str, df: DataFrame) -> DataFrame:
         """Writes the state's newest version of a table and removes the one before, from which it was made."""
@@ -272,71 +325,88 @@ class _Join:
 
     def entities(self, least: int = 0) -> DataFrame:
         """Postings (of lists with more than ``least`` entries) by component: token, split, gid, n, pos, comp, and one member of it."""
-        present = self.members.select("gid", "node").join(self.labels, "node").groupBy("gid", "comp").agg(F.min("node").alias("node"))
+        present = self.members.select("gid", "node").join(self.labels.hint("merge"), "node").groupBy("gid", "comp").agg(F.min("node").alias("node"))
         postings = self.postings.where(F.col("entries") > least) if least else self.postings
-        return postings.join(present, "gid")
+        return postings.join(present.hint("merge"), "gid")
 
     def star_pairs(self, turn: int) -> DataFrame:
         """In each list, by salt and size band: one node of each component with that of a leading one."""
-        salts = F.greatest(F.lit(1), F.shiftright("split", 4 * turn))
         if turn:
-            placed = self.entities(LONG_LIST).withColumn("who", F.col("comp"))
+            # First comes who has a small position, or any: turns take different leaders.
+            first = F.col("pos") if turn % 2 == 0 else F.xxhash64("node", F.lit(turn))
+            placed = self.entities(LONG_LIST).select("token", _band(F.col("n"), 0.5 * turn).alias("band"), "comp", F.struct(first.alias("first"), F.col("n"), F.col("node")).alias("x"))
+            once = placed.groupBy("token", "band", "comp").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("size"))
+            # A list's salts follow the number of components that it has left.
+            large = once.groupBy("token", "band").agg((F.floor(F.count(F.lit(1)) / SALT_ROWS) + 1).alias("salts"))
+            once = once.join(large, ["token", "band"]).withColumn("salt", F.pmod(F.xxhash64("comp", F.lit(turn)), "salts"))
+            lead = F.min(F.struct((-F.col("size")).alias("size"), F.col("x.first").alias("first"), F.xxhash64("x.node").alias("at"), F.col("x.n").alias("n"), F.col("x.node").alias("node")))
+            led = once.withColumn("lead", lead.over(Window.partitionBy("token", "salt", "band")))
+            pairs = led.where(F.col("lead.node") != F.col("x.node")).select(F.col("lead.node").alias("p"), F.col("x.node").alias("q"), F.col("lead.n").alias("m"), F.col("x.n").alias("n"))
         else:  # no components yet: groups stand for themselves
-            placed = self.postings.withColumns({"who": F.col("gid"), "node": F.col("gid")})
-        # A small position means few rarer shingles before this one: that member has least of its own, and links best.
-        first = F.col("pos") if turn % 2 == 0 else F.xxhash64("node", F.lit(turn))
-        placed = placed.select("token", F.pmod(F.xxhash64("who", F.lit(turn)), salts).alias("salt"), _band(F.col("n"), 0.5 * turn).alias("band"), "who", F.struct(first.alias("first"), F.col("n"), F.col("node")).alias("x"))
-        once = placed.groupBy("token", "salt", "band", "who").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("size")) if turn else placed.withColumn("size", F.lit(1))
-        list_of = Window.partitionBy("token", "salt", "band")
-        led = once.withColumn("lead", F.min(F.struct((-F.col("size")).alias("size"), F.col("x.first").alias("first"), F.xxhash64("x.node").alias("at"), F.col("x.n").alias("n"), F.col("x.node").alias("node"))).over(list_of))
-        pairs = led.where(F.col("lead.node") != F.col("x.node")).select(F.col("lead.node").alias("p"), F.col("x.node").alias("q"), F.col("lead.n").alias("m"), F.col("x.n").alias("n"))
+            pairs = self.postings.where(F.col("lead_gid") != F.col("gid")).select(F.col("lead_gid").alias("p"), F.col("gid").alias("q"), F.col("lead_n").alias("m"), "n")
         pairs = pairs.where(DEN * F.least("m", "n") >= NUM * F.greatest("m", "n")).groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.min("p").alias("hub"))
         if turn:
             return pairs
         heads = self.members.groupBy("gid").agg(F.min("node").alias("head"))
         for side in "ab":
-            pairs = pairs.join(heads.select(F.col("gid").alias(side), F.col("head").alias(f"{side}_")), side)
+            pairs = pairs.join(heads.select(F.col("gid").alias(side), F.col("head").alias(f"{side}_")).hint("merge"), side)
         across = pairs.select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b"), F.when(F.col("hub") == F.col("a"), F.col("a_")).otherwise(F.col("b_")).alias("hub"))
         inside = self.members.select("gid", "node").join(heads, "gid").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"), F.col("head").alias("hub"))
         return across.unionByName(inside).groupBy("a", "b").agg(F.min("hub").alias("hub"))
 
     def narrow(self) -> None:
-        """Keeps the lists in which more than one component is left, and notes how long they are."""
-        list_of = Window.partitionBy("token")
-        here = self.entities().select("token", "split", "gid", "n", "pos", "comp").repartition("token")
-        here = here.withColumns({"least": F.min("comp").over(list_of), "most": F.max("comp").over(list_of), "entries": F.count(F.lit(1)).over(list_of)}).where(F.col("least") != F.col("most"))
-        self.postings = self.kept("postings", here.dropDuplicates(["token", "gid"]).select("token", "split", "gid", "n", "pos", "entries"))
+        """Keeps the lists in which more than one component is left, and notes how long they are. Components are told apart by a 64-bit hash."""
+        here = self.entities().select("token", "split", "gid", "n", "pos", F.xxhash64("comp").alias("comp"))
+        here = here.withColumn("salt", F.pmod("gid", "split").cast("int"))
+        list_of = Window.partitionBy("token", "salt")
+        marks = {"least": F.min("comp").over(list_of), "most": F.max("comp").over(list_of), "entries": F.count(F.lit(1)).over(list_of)}
+        marked = lambda df: df.repartition("token", "salt").withColumns(marks)
+        names = ["token", "split", "gid", "n", "pos", "entries"]
+        once = lambda df: df.where(F.col("least") != F.col("most")).dropDuplicates(["token", "salt", "gid"]).select(*names)
+        out = once(marked(here.where(F.col("split") == 1)))
+        if not self.postings.where(F.col("split") > 1).isEmpty():
+            # A list of several salts is long or short, mixed or not, by all of them: one row a salt is put together.
+            hot = written(marked(here.where(F.col("split") > 1)).select("token", "salt", "split", "gid", "n", "pos", "least", "most", "entries"), "jaccard-hot")
+            whole = hot.groupBy("token", "salt").agg(F.first("least").alias("least"), F.first("most").alias("most"), F.first("entries").alias("entries"))
+            whole = whole.groupBy("token").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("entries").alias("entries"))
+            out = out.unionByName(once(hot.drop("least", "most", "entries").join(whole, "token")))
+        self.postings = self.kept("postings", out)
 
     def rest_pairs(self) -> DataFrame:
         """All pairs of nodes that share a token or a group, lie in different components and pass the filters.
 
-        Short lists are joined by token alone, so both sides are one exchange; long ones by token and size band. Components are told
-        apart by a 64-bit hash.
+        Short lists are joined by token alone, so both sides are one exchange; long ones by token, size band and salt: one side is
+        dealt over the salts, the other goes to all of them. Components are told apart by a 64-bit hash.
         """
         labels = self.labels.select("node", F.xxhash64("comp").alias("comp"))
-        held = self.members.select("gid", "node", "n").join(labels, "node")
+        held = self.members.select("gid", "node", "n").join(labels.hint("merge"), "node")
         present = held.select("gid", "n", "comp").distinct()
-        here = self.postings.select("token", "gid", "pos", "entries").join(present, "gid").select("token", "gid", "n", "pos", "comp", "entries")
+        here = self.postings.select("token", "gid", "pos", "entries").join(present.hint("merge"), "gid").select("token", "gid", "n", "pos", "comp", "entries")
         several = present.groupBy("gid").count().where(F.col("count") > 1).select("gid")
         inside = present.join(several, "gid", "left_semi").select((-F.col("gid")).alias("token"), "gid", "n", F.lit(0).alias("pos"), "comp")
         side = lambda df, s, *keys: df.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "pos", "comp")])
         short = here.where(F.col("entries") <= LONG_LIST).drop("entries").unionByName(inside)
-        long_ = here.where(F.col("entries") > LONG_LIST).withColumn("band", _band(F.col("n")))
-        ahead = long_.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
+        long_ = here.where(F.col("entries") > LONG_LIST).withColumns({"band": _band(F.col("n")), "salts": F.floor(F.col("entries") / SALT_ROWS)})
+        ahead = long_.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).withColumn("salt", F.pmod(F.xxhash64("gid"), F.col("salts") + 1))
+        long_ = long_.withColumn("salt", F.explode(F.sequence(F.lit(0), "salts")))
         open_ = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
         test = (F.struct("n_a", "gid_a", "comp_a") < F.struct("n_b", "gid_b", "comp_b")) & (F.col("comp_a") != F.col("comp_b")) & (NUM * F.col("n_b") <= DEN * F.col("n_a")) & ((NUM + DEN) * open_ >= NUM * (F.col("n_a") + F.col("n_b")))
         named = ["gid_a", "comp_a", "gid_b", "comp_b"]
         pairs = side(short, "a", "token").join(side(short, "b", "token"), "token").where(test).select(*named)
-        pairs = pairs.unionByName(side(long_, "a", "token", "band").join(side(ahead, "b", "token", "band"), ["token", "band"]).where(test).select(*named)).distinct()
+        pairs = pairs.unionByName(side(long_, "a", "token", "band", "salt").join(side(ahead, "b", "token", "band", "salt"), ["token", "band", "salt"]).where(test).select(*named)).distinct()
         ends = [held.select(F.col("gid").alias(f"gid_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("node").alias(f"node_{s}")) for s in "ab"]
         expanded = pairs.join(ends[0], ["gid_a", "comp_a"]).join(ends[1], ["gid_b", "comp_b"])
         return expanded.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct().withColumn("hub", F.col("a"))
 
     def passing(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and bitmaps leave room for a link."""
-        of = lambda s: self.members.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
+        of = lambda s: self.members.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")).hint("merge")
         both = pairs.join(of("a"), "a").join(of("b"), "b")
-        differing = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+        size = F.least(F.size("bits_a"), F.size("bits_b"))  # sizes of linked sets differ by a third at most: one fold is enough
+        xor = lambda x, y: x.bitwiseXOR(y)
+        folded = lambda c: F.when(F.size(c) > size, F.zip_with(F.slice(c, F.lit(1), size), F.slice(c, size + 1, size), xor)).otherwise(F.col(c))
+        both = both.where(DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b"))
+        differing = F.aggregate(F.zip_with(folded("bits_a"), folded("bits_b"), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda acc, x: acc + x)
         total = (F.col("n_a") + F.col("n_b")).cast("long")
         return both.where((NUM + DEN) * (total - differing) >= 2 * NUM * total).select("a", "b", "hub")
 
@@ -367,10 +437,10 @@ class _Join:
         links = written(met.where(DEN * F.col("met") >= NUM * (F.col("sum") - F.col("met"))).select("a", "b"), f"jaccard-{name}-links")
         if links.isEmpty():
             return False
-        of = lambda side: self.labels.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}"))
+        of = lambda side: self.labels.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}")).hint("merge")
         edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("u"), F.col("comp_b").alias("v")).distinct()
         roots = components(edges).select(F.col("u").alias("comp"), "root")
-        self.labels = self.kept("labels", self.labels.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
+        self.labels = self.kept("labels", self.labels.join(roots.hint("merge"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
         return True
 
     def run(self) -> DataFrame:
@@ -397,10 +467,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Documents, all columns, with one row kept of each component: that with the smallest id (ties: the smaller text hash)."""
-    found = near_duplicates(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id")) & F.col("head_hash").eqNullSafe(F.col("text_hash"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    marked = docs.withColumn("__text_hash", F.xxhash64("text"))
-    kept = marked.join(found, marked["doc_id"].eqNullSafe(found["__id"]) & (marked["__text_hash"] == found["__hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
+    join = _Join(only(docs, "doc_id", "text"))
+    wordless = join.listed.where(F.col("node").isNull()).groupBy("doc_id", "text_hash").count()
+    repeats = join.repeats or not wordless.where(F.col("count") > 1).isEmpty()
+    heads = join.run().where(F.col("component_id").eqNullSafe(F.col("doc_id")) & F.col("head_hash").eqNullSafe(F.col("text_hash")))
+    key, known = free_names(docs, "hash", "id")
+    heads = heads.select(F.col("doc_id").alias(known), F.col("text_hash").alias(key)).distinct()
+    marked = docs.withColumn(key, F.xxhash64("text"))
+    kept = marked.join(heads, marked["doc_id"].eqNullSafe(heads[known]) & (marked[key] == heads[key]), "left_semi")
+    if repeats:  # rows of one id and one text are one document
+        kept = kept.dropDuplicates(["doc_id", key])
+    return kept.select(*quoted(docs))
 
 
 def op6_query(docs: DataFrame) -> DataFrame:
