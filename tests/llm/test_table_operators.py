@@ -89,6 +89,14 @@ def test_bitmaps_bound_the_overlap_when_folded():
         assert len(np.intersect1d(x, y)) <= (len(x) + len(y) - differing) / 2
 
 
+def test_levels_keep_the_order_of_counts():
+    counts = np.concatenate([np.arange(2**16), 2 ** np.arange(15, 47), 2 ** np.arange(15, 47) * 5 // 4]).astype(np.int64)
+    counts.sort()
+    levels = jaccard.level(counts)
+    assert (np.diff(levels.astype(int)) >= 0).all() and (levels[: 2**15] == counts[: 2**15]).all()
+    assert (np.abs(jaccard.at_level(levels) - counts) <= counts / 500).all()
+
+
 def test_filter_holds_every_key(spark):
     rnd = np.random.default_rng(1)
     keys = rnd.integers(-(2**63), 2**63, 5000)

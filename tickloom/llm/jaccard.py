@@ -136,20 +136,32 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n long, node binary, slice int, counts binary")
 
 
+def level(counts: np.ndarray) -> np.ndarray:
+    """Counts as 16-bit levels in the same order: numbers below 2**15 as they are, larger ones (to 2**48) by their logarithm, a thousand levels a power of two."""
+    large = np.maximum(counts, 2**15)
+    return np.where(counts < 2**15, counts, 2**15 + np.floor(992 * (np.log2(large) - 15))).astype("<u2")
+
+
+def at_level(levels: np.ndarray) -> np.ndarray:
+    """The least count of each level, about."""
+    held = levels.astype(np.int64)
+    return np.where(held < 2**15, held, np.exp2(15 + (np.maximum(held, 2**15) - 2**15) / 992).astype(np.int64))
+
+
 def _summed(parts: DataFrame) -> np.ndarray:
-    """The sum of all tasks' counters (slice, counts): BUCKETS numbers of 32 bits, whatever the size of the corpus. Parts are added up one at a time."""
+    """The levels of the summed counters of all tasks (slice, counts): a table of fixed size, whatever the corpus. Parts are added up one at a time."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 sums[at] = sums.get(at, np.int64(0)) + _unpacked(packed.as_py())
-        numbers = [np.minimum(held, 2**32 - 1).astype("<u4").tobytes() for held in sums.values()]
+        numbers = [level(held).tobytes() for held in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(numbers, pa.binary())], ["slice", "counts"])
 
-    out = np.zeros((SLICES, BUCKETS // SLICES), np.uint32)
+    out = np.zeros((SLICES, BUCKETS // SLICES), np.uint16)
     for row in parts.repartition("slice").mapInArrow(add, "slice int, counts binary").collect():
-        out[row["slice"]] = np.frombuffer(row["counts"], "<u4")
+        out[row["slice"]] = np.frombuffer(row["counts"], "<u2")
     return out.reshape(-1)
 
 
@@ -185,11 +197,11 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(node)
-                counts = sketch[held >> np.uint64(SHIFT)]
-                order = np.lexsort((held, counts))[: prefix_length(len(held))]
+                levels = sketch[held >> np.uint64(SHIFT)]
+                order = np.lexsort((held, levels))[: prefix_length(len(held))]
                 tokens = held[order]
                 gid = xxhash.xxh3_64_intdigest(tokens.tobytes(), len(held)) - (1 << 63)
-                for column, value in zip(rows, (node, len(held), gid, bitmap(held), tokens.view(np.int64), (counts[order] // SALT_ROWS).astype(np.int32) + 1), strict=True):
+                for column, value in zip(rows, (node, len(held), gid, bitmap(held), tokens.view(np.int64), (at_level(levels[order]) // SALT_ROWS).astype(np.int32) + 1), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)], ["node", "n", "gid", "bits", "tokens", "splits"])
 
@@ -277,9 +289,8 @@ class _Join:
         base = self._filed(_prefixes(docs, _summed(rows.where(F.col("slice").isNotNull()).select("slice", "counts"))))
         self.postings = base.where(F.col("token").isNotNull()).select("token", "split", "gid", "n", "pos", "lead_gid", "lead_n")
         members = base.where(F.col("token").isNull()).select("gid", "node", "n", "bits")
-        # Joins of tables that grow with the corpus are merged at every size: none of them turns from a broadcast to a shuffle on the way.
         shared = members.groupBy("gid").count().where(F.col("count") > 1).select("gid").union(self.postings.select("gid")).distinct()
-        self.members = written(members.join(shared.hint("merge"), "gid", "left_semi"), "jaccard-members")
+        self.members = written(members.join(shared, "gid", "left_semi"), "jaccard-members")
         self.labels = self.kept("labels", self.members.select("node", F.col("node").alias("comp")).distinct())
         self.first = written(self.listed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids")), "jaccard-first")
         self.repeats = not self.first.where(F.col("rows") > F.col("ids")).isEmpty()
@@ -325,9 +336,9 @@ class _Join:
 
     def entities(self, least: int = 0) -> DataFrame:
         """Postings (of lists with more than ``least`` entries) by component: token, split, gid, n, pos, comp, and one member of it."""
-        present = self.members.select("gid", "node").join(self.labels.hint("merge"), "node").groupBy("gid", "comp").agg(F.min("node").alias("node"))
+        present = self.members.select("gid", "node").join(self.labels, "node").groupBy("gid", "comp").agg(F.min("node").alias("node"))
         postings = self.postings.where(F.col("entries") > least) if least else self.postings
-        return postings.join(present.hint("merge"), "gid")
+        return postings.join(present, "gid")
 
     def star_pairs(self, turn: int) -> DataFrame:
         """In each list, by salt and size band: one node of each component with that of a leading one."""
@@ -349,7 +360,7 @@ class _Join:
             return pairs
         heads = self.members.groupBy("gid").agg(F.min("node").alias("head"))
         for side in "ab":
-            pairs = pairs.join(heads.select(F.col("gid").alias(side), F.col("head").alias(f"{side}_")).hint("merge"), side)
+            pairs = pairs.join(heads.select(F.col("gid").alias(side), F.col("head").alias(f"{side}_")), side)
         across = pairs.select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b"), F.when(F.col("hub") == F.col("a"), F.col("a_")).otherwise(F.col("b_")).alias("hub"))
         inside = self.members.select("gid", "node").join(heads, "gid").where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b"), F.col("head").alias("hub"))
         return across.unionByName(inside).groupBy("a", "b").agg(F.min("hub").alias("hub"))
@@ -379,9 +390,9 @@ class _Join:
         dealt over the salts, the other goes to all of them. Components are told apart by a 64-bit hash.
         """
         labels = self.labels.select("node", F.xxhash64("comp").alias("comp"))
-        held = self.members.select("gid", "node", "n").join(labels.hint("merge"), "node")
+        held = self.members.select("gid", "node", "n").join(labels, "node")
         present = held.select("gid", "n", "comp").distinct()
-        here = self.postings.select("token", "gid", "pos", "entries").join(present.hint("merge"), "gid").select("token", "gid", "n", "pos", "comp", "entries")
+        here = self.postings.select("token", "gid", "pos", "entries").join(present, "gid").select("token", "gid", "n", "pos", "comp", "entries")
         several = present.groupBy("gid").count().where(F.col("count") > 1).select("gid")
         inside = present.join(several, "gid", "left_semi").select((-F.col("gid")).alias("token"), "gid", "n", F.lit(0).alias("pos"), "comp")
         side = lambda df, s, *keys: df.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "pos", "comp")])
@@ -400,7 +411,7 @@ class _Join:
 
     def passing(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and bitmaps leave room for a link."""
-        of = lambda s: self.members.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")).hint("merge")
+        of = lambda s: self.members.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
         both = pairs.join(of("a"), "a").join(of("b"), "b")
         size = F.least(F.size("bits_a"), F.size("bits_b"))  # sizes of linked sets differ by a third at most: one fold is enough
         xor = lambda x, y: x.bitwiseXOR(y)
@@ -437,10 +448,10 @@ class _Join:
         links = written(met.where(DEN * F.col("met") >= NUM * (F.col("sum") - F.col("met"))).select("a", "b"), f"jaccard-{name}-links")
         if links.isEmpty():
             return False
-        of = lambda side: self.labels.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}")).hint("merge")
+        of = lambda side: self.labels.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}"))
         edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("u"), F.col("comp_b").alias("v")).distinct()
         roots = components(edges).select(F.col("u").alias("comp"), "root")
-        self.labels = self.kept("labels", self.labels.join(roots.hint("merge"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
+        self.labels = self.kept("labels", self.labels.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
         return True
 
     def run(self) -> DataFrame:
