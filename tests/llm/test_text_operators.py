@@ -226,6 +226,50 @@ def test_language_model(spark, docs, empty):
     assert lm.scored(empty, MULTI, PATTERN).count() == 0
 
 
+def test_language_model_scores_equal_brute_force(spark, docs, monkeypatch):
+    """Every subword's probability by a plain loop over its window, and the mixture with the base, word by word."""
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(lm, "STEPS", 40)
+    learnt, fitted = lm.learnt, []
+    monkeypatch.setattr(lm, "learnt", lambda *args: fitted.append(learnt(*args)) or fitted[-1])
+    rows = [r for r in docs.collect() if r["doc_id"] is not None and len(r["text"] or "") < 2_000]
+    frame = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
+    got = Counter((r["doc_id"], round(r["score"], 3)) for r in lm.scored(frame, MULTI, PATTERN).collect())
+    net, vocabulary = fitted[-1], lm.subwords(MULTI, PATTERN)
+    counts = Counter()
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2:
+            counts.update([*lm.words_of((r["text"] or "").encode()), b""])
+    total, distinct = sum(counts.values()), len(counts)
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    place = np.append(net.place, net.end)
+
+    def spelled(raw, i):
+        inputs = [net.start, *place[raw[:-1]]]
+        x = p["x"][inputs[max(0, (i // lm.STRIDE - 1) * lm.STRIDE) : i + 1]]
+        query = x[-1] @ p["q"] * lm.WIDTH**-0.5
+        attention = np.exp(np.minimum([query @ (y @ p["k"]) + p["r"][len(x) - 1 - j] for j, y in enumerate(x)], 60))
+        mixed = sum(a * (y @ p["v"]) for a, y in zip(attention / attention.sum(), x, strict=True))
+        logits = np.minimum(np.maximum(mixed @ p["o"] + x[-1] @ p["s"] + p["b"], 0) @ p["w"] + p["c"], 60)
+        return logits[net.class_of[raw[i]]] - math.log(np.exp(logits).sum()) + net.share[raw[i]]
+
+    want = Counter()
+    for r in rows:
+        words = [*lm.words_of((r["text"] or "").encode()), b""]
+        parts = [np.frombuffer(vocabulary.of(w), "<i4") if w else np.array([vocabulary.size], "<i4") for w in words]
+        raw, at, score = np.concatenate(parts), 0, 0.0
+        for word, part in zip(words, parts, strict=True):
+            by_letters = math.exp(sum(spelled(raw, i) for i in range(at, at + len(part))))
+            score += math.log10(lm.MIX * (counts[word] + 1) / (total + distinct + 1) + (1 - lm.MIX) * by_letters)
+            at += len(part)
+        want[(r["doc_id"], score)] += 1
+    assert len(got) == len(want)
+    for (d, a), (e, b) in zip(sorted(got), sorted(want), strict=True):
+        assert d == e and a == pytest.approx(b, abs=2e-3 + 1e-4 * abs(b)), d
+
+
 def test_network_gradients_and_windows():
     texts = [b"ab cd ef gh ab cd ef gh ab cd " * 5, b"xy zw ab cd"] * 4
     lm_steps, lm.STEPS = lm.STEPS, 60
