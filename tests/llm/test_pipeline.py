@@ -42,6 +42,24 @@ def test_empty_and_awkward_documents(spark, sf, docs, empty):
         assert frame.count() == 0 or frame.count() > 5
 
 
+def test_stages_keep_columns_of_any_name(spark, sf, docs):
+    """Columns named like helpers, with dots or back-ticks, come out of every stage as they went in."""
+    odd = ["score", "lang_pred", "ids", "__text", "__text_hash", "__hash", "__before", "__spans", "__merged", "__m_hex", "__id", "secret_spans", "a.b", "c`d"]
+    frame = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("lang", F.lit("en"))
+    for name in odd:
+        frame = frame.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    columns = frame.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, sf)
+        assert frame.columns == columns, name
+        for r in frame.collect():
+            assert all(r[c] == f"{c}{r['doc_id']}" for c in odd), name
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, sf).count() == frame.count() > 5
+    queries = {"op1_decontaminate": lambda d: decontaminate.op1_query(d, table(spark, sf, "benchmark")), "op4_langid": langid.op4_query, "op5_secrets": secrets.op5_query, "op6_jaccard": jaccard.op6_query}
+    for name, query in queries.items():
+        assert query(frame).count() == frame.count(), name
+
+
 def test_catalogue_is_complete():
     names = set(catalog.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))

@@ -149,6 +149,8 @@ def test_search_skips_blocks():
     rnd = random.Random(1)
     texts = [(" ".join(rnd.choice(["alpha", "beta", "gamma"]) for _ in range(9)) + (" needle needle" if i < 12 else "")).encode() for i in range(2_000)]
     shard = topk.Shard(topk.build(list(range(2_000)), texts), 10.0)
+    light = shard.search(topk.term_hashes([b"needle"]), np.array([5e-9]), 5)  # a term that nearly every row of a huge table has
+    assert len(light[0]) == 5 and (light[1] > 0).all()
     ids, scores = shard.search(np.sort(topk.term_hashes([b"needle", b"alpha"])), np.array([4.0, 4.0]), 5)
     assert len(ids) == 5 and (np.diff(scores) <= 0).all() and shard.opened < shard.held
 
@@ -164,6 +166,17 @@ def test_fixity_finds_the_damage(spark):
     assert fixity.audit(fixity.audited_tree(records.limit(0), "id", "payload", "e"), fixity.audited_tree(records.limit(0), "id", "payload", "e")).count() == 0
 
 
+def test_fixity_of_repeated_null_and_text_ids(spark):
+    rows = [(None, f"p{i % 40}") for i in range(200)] + [(7, f"q{i}") for i in range(30)] + [(8, "same")] * 5 + [(9, None)]
+    pages = spark.createDataFrame([(i, f"http://h/{p}", p) for i, p in rows], "page_id long, url string, html string")
+    got = fixity.op3_query(pages).collect()
+    assert len(got) == len(rows) and sum(r["page_id"] is None for r in got) == 200 and sum(r["page_id"] == 7 for r in got) == 30
+    named = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "z"), ("a", "x2")], "`a.b` string, payload string")
+    lost = named.where("payload <> 'x2'")
+    trees = [fixity.audited_tree(frame, "a.b", "payload", "named") for frame in (named, lost, named)]
+    assert [r["status"] for r in fixity.audit(trees[0], trees[1]).collect()] == ["changed"] and fixity.audit(trees[0], trees[2]).count() == 0
+
+
 def test_fixity_query_equals_sql(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>é{i}</p>") for i in range(400)], "page_id long, url string, html string")
     want, got = run_sql(spark, "op3_fixity", pages=pages), fixity.op3_query(pages)
@@ -176,6 +189,11 @@ def test_warc_files_are_read(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(body)
     rows = fixity.read_warc(spark, str(tmp_path)).orderBy("ordinal").collect()
     assert [bytes(r["block"]) for r in rows] == [b"one", b"", b"three"] and rows[-1]["offset"] + rows[-1]["length"] == len(body)
+    import gzip
+
+    (tmp_path / "a.warc").write_bytes(gzip.compress(body[:-6]))
+    cut = fixity.read_warc(spark, str(tmp_path)).orderBy("ordinal").collect()
+    assert [r["header"] is None for r in cut] == [False, False, True] and sum(r["length"] for r in cut) == len(body) - 6
 
 
 URLS = ["http://example.org/es/x", "https://a.example.org/en/12?page=2&ref=x", "http://Example.COM/de/1", "http://x.com/fr/", "http://notexample.org/es/1", "nourl", "", None, "http://m.x.net/a#top", "http://b.net/t?page=2&x=1&ref=y", "https://blog.x.net/en/123.html", "http://host", "http://h.net/a?page=1", "a://b://c.org/", "http://h.net/login", "http://h.net/xlogin", "http://h.org:80/", "http://h.net/p?UTM_SOURCE=1"]
@@ -188,16 +206,26 @@ def test_url_rules_equal_sql(spark):
     assert urlrules.op10_query(pages.limit(0)).count() == 0
     verdicts = {r["page_id"]: (r["rule"], r["verdict"]) for r in got.collect()}
     assert verdicts[0] == ("example.org/es/", "block") and verdicts[2] == ("com/de/", "block") and verdicts[4] == ("org/", "allow") and verdicts[9][1] == "block"
-    index = urlrules.token_index(pages, urlrules.PATTERNS)
-    assert sorted(n for numbers in index.values() for n in numbers) == list(range(len(urlrules.PATTERNS)))
+    tokens = spark.createDataFrame([("page",), ("page",), ("ref",), ("tag",), ("utm",), ("source",)], "token string")
+    index = {r["name"]: r["token"] for r in urlrules.filed(tokens, urlrules.rule_table(spark, urlrules.PATTERNS)).collect()}
+    assert len(index) == len(urlrules.PATTERNS) and index["paged-referral"] == "ref" and index["first-page"] == "1" and index["campaign"] == "source"
+    assert {r["url"]: r["patterns"] for r in urlrules.judged(pages).collect()}[URLS[8]] == ["mobile-top"]
     assert urlrules.judged(pages, patterns=()).count() == pages.count()
 
 
+def test_many_url_rules(spark):
+    rules = tuple(urlrules.PatternRule(f"r{i}", "block", (f"word{i}", "net"), rf"net/(?:page/)?word{i}(?:/|$)") for i in range(50_000))
+    pages = spark.createDataFrame([(1, "http://a.net/word77/"), (2, "http://a.net/word77x/"), (3, "http://a.net/page/word49999"), (4, None)], "page_id long, url string")
+    got = {r["page_id"]: (r["patterns"], r["verdict"]) for r in urlrules.judged(pages, patterns=rules).collect()}
+    assert got == {1: (["r77"], "block"), 2: ([], "allow"), 3: (["r49999"], "block"), 4: ([], "allow")}
+
+
 @pytest.mark.parametrize("rule", urlrules.PATTERNS, ids=lambda r: r.name)
 def test_every_match_holds_the_rules_tokens(rule):
     import re
 
     samples = ["http://x.net/a?page=12&ref=q", "http://x/?utm_source=a", "http://x/?fbclid=1", "http://x/;sessionid=1a", "http://x/print", "http://x/login", "http://x/cart/add", "http://x/tag/a/page/3", "http://x/feed", "https://blog.a.b/en/123.html", "https://m.a.b/x#top", "http://x/?page=1"]
+    samples += [s + more for s in samples for more in ("5", "x", "&x", "/y", "?page=1")]
     matched = [s for s in samples if re.search(rule.pattern, s)]
     assert matched
     for s in matched:

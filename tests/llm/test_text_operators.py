@@ -79,6 +79,58 @@ def test_language_identification(spark, docs, empty):
     assert {r["held_out"] for r in langid.op4_query(docs).where("doc_id is null").collect()} == {False}
 
 
+def test_language_votes_equal_brute_force(spark):
+    """Every word's votes and every text's score recomputed from the labelled texts, without the model's tables."""
+    import math
+    import unicodedata
+    from collections import Counter, defaultdict
+
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    letter = lambda c: unicodedata.category(c)[0] == "L"
+    words_of = lambda t: "".join(c if letter(c) else " " for c in t.lower()).split()
+    grams = lambda w, n: [m[i : i + n] for m in [f"<{w}>" if n > 1 else w] for i in range(len(m) - n + 1)]
+    counts = defaultdict(Counter)
+    for text, lang in {(t, x) for d, t, x in rows if t and x and zlib.crc32(str(d).encode()) % 4 != 2}:
+        for word in words_of(text):
+            counts[lang, 0][word] += 1
+            for n in range(1, 5):
+                counts[lang, n].update(grams(word, n))
+    languages = sorted({lang for lang, _ in counts})
+    share = lambda lang, n, g: math.log((counts[lang, n][g] + 0.1) / counts[lang, n].total())
+
+    def vote(word):
+        for n in range(5, 0, -1):
+            known = [g for g in ([word] if n == 5 else grams(word, n)) if any(counts[lang, n % 5][g] for lang in languages)]
+            if known:
+                return [sum(share(lang, n % 5, g) for g in known) / len(known) for lang in languages]
+        return [0.0] * len(languages)
+
+    got = {r["doc_id"]: r for r in langid.op4_query(frame).collect()}
+    for d, text, _ in rows:
+        votes = [vote(w) for w in words_of(text or "")]
+        if not votes:
+            assert (got[d]["lang_pred"], got[d]["score"]) == ("und", 0.0)
+            continue
+        total = [sum(v[i] for v in votes) for i in range(len(languages))]
+        best = max(range(len(languages)), key=lambda i: total[i])
+        assert got[d]["score"] == pytest.approx(1 / sum(math.exp(t - total[best]) for t in total), abs=1e-3)
+        assert got[d]["lang_pred"] == languages[best] or got[d]["score"] < 0.51
+
+
+def test_letters_and_languages(spark):
+    assert langid.letters().findall("½ ² ① Ⅷ 12 _ aé日") == ["aé日"]
+    rows = [(i, f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} x", f"l{i:03}") for i in range(520)] + [(9_999, "½ ²", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.fit(frame).languages) == 520
+    assert [r["lang_pred"] for r in langid.op4_query(frame).where("doc_id = 9999").collect()] == ["und"]
+    with pytest.raises(ValueError):
+        langid.fit(frame, most_languages=519)
+    # A text that is repeated takes one place of the sample.
+    copies = spark.createDataFrame([(i, "copy copy", "aa") for i in range(50)] + [(100 + i, f"other{'abcde'[i]}", "aa") for i in range(5)], "doc_id long, text string, lang string")
+    assert len(langid.fit(copies, rows_per_language=6).index[0]) == 6
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.op4_query(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")

@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Where it is unset, as in tests, a new folder under /tmp/checkpoints becomes the checkpoint folder.
+    Where it is unset and all runs in this one process (a local master, as in tests), a new folder under /tmp/checkpoints becomes the
+    checkpoint folder; on a cluster that is an error, since its machines do not share their own folders.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.tickloom.shared", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         named = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
         spark.conf.set("spark.tickloom.shared", named)
@@ -78,6 +81,14 @@ def free_names(docs: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def mapped(docs: DataFrame, run: Callable, **added: str) -> DataFrame:
+    """``mapInArrow`` over all columns, whatever their names, and added ones (name=type): the function sees and gives columns by place."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    kinds = [*[kind for _, kind in docs.dtypes], *added.values()]
+    out = plain.mapInArrow(run, ", ".join(f"c{i} {kind}" for i, kind in enumerate(kinds)))
+    return out.toDF(*docs.columns, *added)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a written intermediate that nothing will read again."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -13,7 +13,8 @@ so any number of items works with bounded memory.
 
 Defined results: a null or empty text has no words, no hits and is not contaminated; a null item text is no window;
 repeated item texts all count as items; repeated document rows each give a row (rows are told apart by their text and
-id, so equal rows have equal results); an empty benchmark leaves every document clean.
+id, so equal rows have equal results); an empty benchmark leaves every document clean; very long texts are walked whole; an empty
+table gives no rows; helper columns take names that the table does not have.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import only, small_batches, worker_keeps
+from tickloom.llm.common import free_names, mapped, only, quoted, small_batches, worker_keeps
 
 WINDOW = 13
 MAX_WORDS = 2_000_000
@@ -270,13 +271,13 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     """Documents, all columns, without the contaminated ones. Texts are judged in place: no row is shuffled."""
     groups = _item_lists(items.select("item_id", "text"), max_words)
     docs = small_batches(docs)
-    names, at = docs.columns, docs.columns.index("text")
-    fields = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
+    at = docs.columns.index("text")
     if len(groups) > 1:  # a document's hits of several automata must be united before they are judged
         judged_ = judged(match_spans(docs.select("doc_id", "text"), items, window, max_words, keep_text=True), numerator, denominator).where("contaminated")
-        bad = judged_.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash")).distinct()
-        marked = docs.withColumn("__text_hash", F.xxhash64("text"))
-        return marked.join(bad, marked["doc_id"].eqNullSafe(bad["__id"]) & (marked["__text_hash"] == bad["__hash"]), "left_anti").select(*names)
+        mark, key, known = free_names(docs, "mark", "hash", "id")
+        bad = judged_.select(F.col("doc_id").alias(known), F.xxhash64("text").alias(key)).distinct()
+        marked = docs.withColumn(mark, F.xxhash64("text"))
+        return marked.join(bad, marked["doc_id"].eqNullSafe(bad[known]) & (marked[mark] == bad[key]), "left_anti").select(*quoted(docs))
     shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(groups[0], window))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +290,7 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                 clean.append(not hit or denominator * hit < numerator * len(words))
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(keep, fields)
+    return mapped(docs, keep)
 
 
 def op1_query(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -7,11 +7,13 @@ its records take up in the file, so a difference is at once a range to copy agai
 
 A leaf's place comes from its record's key within the file, not from its count, so a lost or an added record changes
 its own leaf only. Files hold at most ``FILE_KEYS`` keys: a group being hashed is never larger than ``FAN`` children, and the
-number of levels is fixed.
+number of levels is fixed. A whole number is placed by its value; other ids by their hash, records without an id by that of their bytes.
 
 Defined results: a record that both replicas hold with equal bytes is ``ok``; with other bytes ``changed``; one held by the
-first only is ``missing``, by the second only ``extra``. Null keys count as key 0 of file -1; rows that repeat a key are one
-leaf over all of them, ordered by their hash. A null payload is an empty one. Empty replicas have no roots.
+first only is ``missing``, by the second only ``extra``. Records that share a key are one leaf, hashed in two steps (by the first
+digits of their hashes, so that no task holds all records of a hot key); each is still a row of its own, with the leaf's offset and
+finding. A null payload is an empty one; very long ones are hashed whole. Empty replicas have no roots. Only the id and the
+payload are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from tickloom.llm.common import written
 
 FAN = 16
 FILE_KEYS = 4096
+#: Files over which records are dealt whose place comes from a hash.
+HASH_FILES = 1024
 LEVELS = 3  # FAN ** LEVELS == FILE_KEYS
 
 
@@ -40,17 +44,32 @@ def warc_record(url: Column, record_id: Column, body: Column) -> Column:
     )
 
 
-def leaves(records: DataFrame, id_column: str, payload: str) -> DataFrame:
-    """file, key, offset, length, hash of each record; records lie in their file by key."""
-    placed = records.select(
-        F.coalesce(F.floor(F.col(id_column) / F.lit(FILE_KEYS)), F.lit(-1)).cast("long").alias("file"),
-        F.coalesce(F.pmod(F.col(id_column), F.lit(FILE_KEYS)), F.lit(0)).cast("int").alias("key"),
-        F.octet_length(payload).cast("long").alias("length"),
-        F.sha2(F.concat(F.lit("R").cast("binary"), F.col(payload).cast("binary")), 256).alias("hash"),
+def placed(records: DataFrame, id_column: str, payload: str) -> DataFrame:
+    """id, file, key, length, hash of each record; records lie in their file by key."""
+    name = F.col(f"`{id_column}`")
+    body = F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit("").cast("binary"))
+    if dict(records.dtypes)[id_column] in ("tinyint", "smallint", "int", "bigint"):
+        file, key = F.floor(name / F.lit(FILE_KEYS)), F.pmod(name, F.lit(FILE_KEYS))
+    else:
+        file, key = F.pmod(F.shiftright(F.xxhash64(name), 12), F.lit(HASH_FILES)), F.pmod(F.xxhash64(name), F.lit(FILE_KEYS))
+    content = F.xxhash64(body)
+    return records.select(
+        name.alias("id"),
+        F.when(name.isNull(), -1 - F.pmod(F.shiftright(content, 12), F.lit(HASH_FILES))).otherwise(file).cast("long").alias("file"),
+        F.when(name.isNull(), F.pmod(content, F.lit(FILE_KEYS))).otherwise(key).cast("int").alias("key"),
+        F.octet_length(body).cast("long").alias("length"),
+        F.sha2(F.concat(F.lit("R").cast("binary"), body), 256).alias("hash"),
     )
-    once = placed.groupBy("file", "key").agg(F.sum("length").alias("length"), F.min("hash").alias("least"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("hash")).alias("hashes"))
-    hashed = F.when(F.col("n") == 1, F.col("least")).otherwise(F.sha2(F.concat(F.lit("R").cast("binary"), F.concat_ws("", "hashes").cast("binary")), 256))
-    return once.select("file", "key", "length", hashed.alias("hash"))
+
+
+def leaves(records: DataFrame) -> DataFrame:
+    """file, key, length, hash of each key's placed records. The hash of a single record is its own."""
+    same = records.groupBy("file", "key", "hash").agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("n"))
+    part = same.select("file", "key", F.substring("hash", 1, 3).alias("digits"), "length", F.when(F.col("n") == 1, F.col("hash")).otherwise(F.concat_ws("*", "hash", F.col("n").cast("string"))).alias("hash"))
+    for keys in (["file", "key", "digits"], ["file", "key"]):
+        whole = F.when((F.count(F.lit(1)) == 1) & (F.max(F.length("hash")) == 64), F.max("hash")).otherwise(F.sha2(F.concat(F.lit("L").cast("binary"), F.concat_ws(",", F.array_sort(F.collect_list("hash"))).cast("binary")), 256))
+        part = part.groupBy(*keys).agg(F.sum("length").alias("length"), whole.alias("hash"))
+    return part
 
 
 def with_offsets(leaf: DataFrame) -> DataFrame:
@@ -89,17 +108,22 @@ def audit(first: list[DataFrame], second: list[DataFrame]) -> DataFrame:
     return differing.select("file", F.col("node").alias("key"), begin.alias("offset"), (F.coalesce("end", "b_end") - begin).alias("length"), status.alias("status"))
 
 
-def audited_tree(records: DataFrame, id_column: str, payload: str, name: str) -> list[DataFrame]:
-    """A replica's tree; leaves and nodes are written once, as a manifest that later audits can read."""
-    leaf = written(with_offsets(leaves(records, id_column, payload)), f"{name}-leaves")
-    levels = tree(leaf)
+def tree_of(records: DataFrame, name: str) -> list[DataFrame]:
+    """The tree of placed records; leaves and nodes are written once, as a manifest that later audits can read."""
+    levels = tree(written(with_offsets(leaves(records)), f"{name}-leaves"))
     return [levels[0], *(written(level, f"{name}-level{i}") for i, level in enumerate(levels[1:], 1))]
 
 
+def audited_tree(records: DataFrame, id_column: str, payload: str, name: str) -> list[DataFrame]:
+    """A replica's tree."""
+    return tree_of(placed(records, id_column, payload), name)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files: file, ordinal, offset, length, header, block. A file (by custom at most 1 GB) is read whole by one task.
 
-    Gzip files are unpacked first; their offsets are those of the unpacked bytes.
+    Gzip files are unpacked first; their offsets are those of the unpacked bytes. Where a header has no end or no length, or the file ends
+    within a record, the rest of the file is one record without a header: an audit then finds it changed.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,9 +132,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else bytes(content)
                 rows, at = [], 0
                 while at < len(data):
-                    head = data.index(b"\r\n\r\n", at) + 4
-                    size = int(re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", data[at:head])[1])
-                    rows.append((path, len(rows), at, head + size + 4 - at, data[at:head].decode(), data[head : head + size]))
+                    head = data.find(b"\r\n\r\n", at) + 4
+                    named = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", data[at:head]) if head > 3 else None
+                    size = int(named[1]) if named else len(data)
+                    if head + size + 4 > len(data):
+                        rows.append((path, len(rows), at, len(data) - at, None, data[at:]))
+                        break
+                    rows.append((path, len(rows), at, head + size + 4 - at, data[at:head].decode("utf-8", "replace"), data[head : head + size]))
                     at = head + size + 4
                 yield pd.DataFrame(rows, columns=["file", "ordinal", "offset", "length", "header", "block"])
 
@@ -128,13 +156,12 @@ def drilled(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op3_query(pages: DataFrame) -> DataFrame:
     """Every record of the pages with its place, hash and the audit's finding against the drilled replica."""
     first, second = drilled(pages)
-    a = audited_tree(first, "page_id", "record", "merkle-a")
+    records = written(placed(first, "page_id", "record"), "merkle-records")
+    a = tree_of(records, "merkle-a")
     b = audited_tree(second, "page_id", "record", "merkle-b")
     found = audit(a, b).select("file", "key", "status")
-    records = a[0].select("file", F.col("node").alias("key"), "offset", (F.col("end") - F.col("offset")).alias("length"), "hash")
-    out = records.join(found, ["file", "key"], "left")
-    page = F.when(F.col("file") >= 0, F.col("file") * FILE_KEYS + F.col("key"))
-    return out.select(page.alias("page_id"), "file", "offset", "length", "hash", F.coalesce("status", F.lit("ok")).alias("status"))
+    out = records.join(a[0].select("file", F.col("node").alias("key"), "offset"), ["file", "key"]).join(found, ["file", "key"], "left")
+    return out.select(F.col("id").alias("page_id"), "file", "offset", "length", "hash", F.coalesce("status", F.lit("ok")).alias("status"))
 
 
 def op3_sql() -> str:
@@ -151,7 +178,7 @@ r as (select page_id, page_id // {FILE_KEYS} as file,
   'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
   || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10)
   || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as record from pages)
-select r.page_id, file, cast(coalesce(sum(strlen(record)) over (partition by file order by r.page_id rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset",
+select r.page_id, file, cast(sum(strlen(record)) over (partition by file order by r.page_id) - sum(strlen(record)) over (partition by r.page_id) as bigint) as "offset",
   cast(strlen(record) as bigint) as length, sha256('R' || record) as hash,
   case when spot in (3, 5) then 'changed' when spot = 7 then 'missing' else 'ok' end as status from r join place using (page_id)
 """

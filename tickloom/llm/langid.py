@@ -4,19 +4,23 @@ A known word votes with its smoothed log frequency in each language. A word that
 character n-grams: those of the longest length at which any n-gram is known, progressively shorter ones otherwise.
 
 Learning uses text and label of the learning rows only. The classifier is fitted on a bounded sample: at most
-``ROWS_PER_LANGUAGE`` rows per language, those with the smallest hash of their text, and keeps at most ``MAX_ENTRIES``
-words and n-grams in all, split evenly over languages and lengths (most frequent first, ties by the text itself). So the
-broadcast model has a fixed largest size, whatever the size of the corpus.
+``ROWS_PER_LANGUAGE`` distinct texts of each language, those with the smallest hash; all words and n-grams of these texts are kept.
+More than ``MOST_LANGUAGES`` labels are an error, not a cut: so the broadcast model is bounded by the sample.
 
-Defined results: a null text, or one without any letter, is ``und`` with score 0; without any learnt language every
-text is ``und``; ties between languages go to the first name in order; repeated rows each give a row.
+Defined results: a null text, or one without any letter (Unicode category L), is ``und`` with score 0; without any learnt
+language every text is ``und``; ties between languages go to the first name in order; repeated rows each give a row; very long
+texts are read whole; an empty table gives no rows. Added columns take the place of the table's own of these names;
+callers that must keep those choose other names.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -24,16 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import only, remainder, small_batches, worker_keeps
+from tickloom.llm.common import mapped, only, remainder, small_batches, worker_keeps
 
-ROWS_PER_LANGUAGE = 1_000
-MAX_ENTRIES = 160_000
+ROWS_PER_LANGUAGE = 500
+MOST_LANGUAGES = 1_000
 LONGEST_GRAM = 4
 UNKNOWN = "und"
 #: Words held by a task's cache of votes.
 CACHE_WORDS = 150_000
 
-_WORD = re.compile(r"[^\W\d_]+")
+
+@cache
+def letters() -> re.Pattern:
+    """Runs of letters: word characters that are neither digits nor other numbers (as fractions or Roman numerals), nor the underscore."""
+    others = [i for i in range(sys.maxunicode + 1) if chr(i).isalnum() and not chr(i).isdecimal() and unicodedata.category(chr(i))[0] != "L"]
+    return re.compile(r"[^\W\d_" + "".join(map(chr, others)) + "]+")
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -42,39 +51,37 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def _counted(pdf: pd.DataFrame, entries: int) -> pd.DataFrame:
-    """The most frequent words and n-grams of one language's rows; one table is held at a time."""
+def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The words and n-grams of one language's texts with their counts: a row for each length; one table is held at a time."""
     words: Counter = Counter()
     for text in pdf["text"]:
-        words.update(_WORD.findall(text.lower()))
+        words.update(letters().findall(text.lower()))
     parts = []
     for n in range(LONGEST_GRAM + 1):
         counts = words if n == 0 else Counter()
         for word, c in words.items() if n else ():
             for g in grams(word, n):
                 counts[g] += c
-        first = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:entries]
-        parts.append(pd.DataFrame({"lang": pdf["lang"].iloc[0], "n": n, "gram": [g for g, _ in first], "c": [c for _, c in first], "total": sum(counts.values())}))
-    return pd.concat(parts)
+        parts.append({"lang": pdf["lang"].iloc[0], "n": n, "grams": list(counts), "counts": list(counts.values())})
+    return pd.DataFrame(parts)
 
 
 class Model:
     """Log frequencies by language: one table for words (n = 0) and one for each n-gram length."""
 
-    def __init__(self, rows: list[tuple[str, int, str, int, int]]):
+    def __init__(self, rows: list[tuple[str, int, list[str], list[int]]]):
         self.languages = sorted({r[0] for r in rows})
         column = {lang: i for i, lang in enumerate(self.languages)}
-        totals = np.ones((LONGEST_GRAM + 1, len(self.languages)))
-        for lang, n, _, _, total in rows:
-            totals[n, column[lang]] = total
         self.index: list[dict[str, int]] = [{} for _ in range(LONGEST_GRAM + 1)]
-        counts: list[list[np.ndarray]] = [[] for _ in range(LONGEST_GRAM + 1)]
-        for lang, n, gram, c, _ in rows:
-            at = self.index[n].setdefault(gram, len(self.index[n]))
-            if at == len(counts[n]):
-                counts[n].append(np.full(len(self.languages), 0.1, np.float32))
-            counts[n][at][column[lang]] += c
-        self.votes = [np.log(np.array(c) / totals[n]).astype(np.float32) if c else np.zeros((0, len(self.languages)), np.float32) for n, c in enumerate(counts)]
+        self.votes: list[np.ndarray] = []
+        for n, index in enumerate(self.index):
+            mine = sorted(r for r in rows if r[1] == n)
+            places = [np.fromiter((index.setdefault(g, len(index)) for g in listed), np.int64, len(listed)) for _, _, listed, _ in mine]
+            held = np.full((len(index), len(self.languages)), 0.1, np.float32)
+            for (lang, _, _, counts), at in zip(mine, places, strict=True):
+                held[at, column[lang]] = np.array(counts, np.float64) + 0.1
+                held[:, column[lang]] /= max(sum(counts), 1)
+            self.votes.append(np.log(held))
 
     def vote(self, word: str) -> np.ndarray:
         """Log frequencies of one word: its own, else the mean of its longest known n-grams."""
@@ -107,7 +114,7 @@ class Scorer:
         return i
 
     def score(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall(text.lower()) if text else []
+        words = letters().findall(text.lower()) if text else []
         if not words or not self.model.languages:
             return UNKNOWN, 0.0
         if len(self.at) > CACHE_WORDS:
@@ -119,37 +126,39 @@ class Scorer:
         return self.model.languages[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
-def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_entries: int = MAX_ENTRIES) -> Model:
+def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
     """A model from labelled rows (text, lang); unlabelled and textless rows are not used."""
     labelled = only(docs, "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("at", F.xxhash64("text"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()}
-    if not sizes:
+    # Texts whose hash can't be among the first of their language go before the ranking; twice the expected share of distinct ones stays.
+    share = F.least(F.lit(1.0), F.lit(2.0 * rows_per_language) / F.col("texts"))
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("at").alias("texts"))
+    found = sizes.limit(most_languages + 1).count()
+    if found > most_languages:
+        raise ValueError(f"more than {most_languages} languages: raise most_languages")
+    if not found:
         return Model([])
-    # Rows whose hash can't be among the first of their language go before the ranking; twice the expected share stays.
-    edge = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(-(2**63) + min(1.0, 2 * rows_per_language / n) * (2**64 - 1)) if n > 2 * rows_per_language else 2**63 - 1))])
-    first = labelled.where(F.col("at") <= edge[F.col("lang")]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))).where(F.col("rank") <= rows_per_language)
-    entries = max(1, max_entries // (len(sizes) * (LONGEST_GRAM + 1)))
-    counted = first.select("lang", "text").groupBy("lang").applyInPandas(lambda pdf: _counted(pdf, entries), "lang string, n int, gram string, c long, total long")
-    return Model(sorted((tuple(r) for r in counted.collect()), key=lambda r: (r[0], r[1], -r[3], r[2])))
+    edges = sizes.select("lang", F.when(F.col("texts") > 2 * rows_per_language, (share * 2.0**64 - 2.0**63).cast("long")).otherwise(F.lit(2**63 - 1)).alias("edge"))
+    first = labelled.join(F.broadcast(edges), "lang").where(F.col("at") <= F.col("edge")).dropDuplicates(["lang", "at"])
+    first = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at"))).where(F.col("rank") <= rows_per_language)
+    counted = first.select("lang", "text").groupBy("lang").applyInPandas(_counted, "lang string, n int, grams array<string>, counts array<long>")
+    return Model([tuple(r) for r in counted.toLocalIterator()])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred and score to documents; reads ``text`` only, all other columns pass through."""
+def identify(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds the predicted language and its score to documents; reads ``text`` only, all other columns pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_keeps("langid")
         scorer = Scorer(shared.value)
         for batch in batches:
             found = [scorer.score(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*names, "lang_pred", "score"])
+            columns = [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
-    kept = small_batches(docs.drop("lang_pred", "score"))
-    names = kept.columns
-    at = names.index("text")
-    fields = ", ".join(f"`{name}` {kind}" for name, kind in kept.dtypes)
-    return kept.mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    kept = small_batches(docs.drop(pred, score))
+    at = kept.columns.index("text")
+    return mapped(kept, predict, **{pred: "string", score: "double"})
 
 
 def held_out(modulus: int = 4, kept: int = 2):
@@ -159,6 +168,6 @@ def held_out(modulus: int = 4, kept: int = 2):
 
 def op4_query(docs: DataFrame) -> DataFrame:
     """The contract's rows: every document judged by a model of the rows that are not held out."""
-    marked = docs.select("doc_id", "text", "lang", held_out().alias("held_out"))
+    marked = only(docs, "doc_id", "text", "lang").withColumn("held_out", held_out())
     model = fit(marked.where(~F.col("held_out")))
     return identify(marked.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")

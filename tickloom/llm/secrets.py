@@ -9,7 +9,7 @@ Everything is DataFrame expressions. Spans are code points, end exclusive: the p
 themselves add up to the places.
 
 Defined results: a null text is the empty text; repeated ids are told apart only when verified, so each row has its own
-spans; null ids are joined as equal. A posting is one small row, and postings are intersected by partial aggregation, so
+spans; null ids are joined as equal; very long texts are searched whole; an empty table gives no rows. A posting is one small row, and postings are intersected by partial aggregation, so
 neither a common trigram nor a common document id gathers rows in one task.
 """
 
@@ -23,7 +23,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import ascii_lower
+from tickloom.llm.common import ascii_lower, free_names, only, quoted
 
 #: Literal strings followed at once, and ANDs of a query, before a query is weakened (a weaker query only adds candidates).
 MOST_STRINGS, MOST_CLAUSES = 32, 24
@@ -185,34 +185,36 @@ def _labelled(spans: Column, place: int, kind: str) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("place"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def scan(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """Adds ``secret_spans`` to documents: array of (start, place of the rule, end, kind), by start and then rule order.
+def scan(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, out: str = "secret_spans") -> DataFrame:
+    """Adds ``out`` to documents: array of (start, place of the rule, end, kind), by start and then rule order.
 
-    All other columns pass through (an older ``secret_spans`` is replaced).
+    All other columns pass through (an older ``out`` is replaced); helper columns take names that the table does not have.
     """
-    docs = docs.drop("secret_spans")
-    columns = docs.columns
-    out = docs.withColumn("__text", F.coalesce("text", F.lit("")))
+    docs = docs.drop(out)
+    kept = quoted(docs)
+    text, known, kinds_, *names = free_names(docs, "text", "id", "kinds", *[f"{part}_{rule.kind}" for rule in rules for part in "mbg"])
+    matches, between, groups = (dict(zip([rule.kind for rule in rules], names[i::3], strict=True)) for i in range(3))
+    found = docs.withColumn(text, F.coalesce("text", F.lit("")))
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
     indexed = {kind: clauses for kind, clauses in queries.items() if clauses != ANY}
     trigrams = sorted({t for clauses in indexed.values() for clause in clauses for t in clause})
     if indexed:
-        found = candidates(postings(docs.select("doc_id", "text"), trigrams), indexed).select(F.col("doc_id").alias("__id"), F.col("kinds").alias("__kinds"))
-        out = out.join(found, out["doc_id"].eqNullSafe(found["__id"]), "left")
+        some = candidates(postings(only(docs, "doc_id", "text"), trigrams), indexed).select(F.col("doc_id").alias(known), F.col("kinds").alias(kinds_))
+        found = found.join(some, found["doc_id"].eqNullSafe(some[known]), "left")
     # A document that is no candidate of a rule gives it no text: the expression sees null and stops.
     for rule in rules:
-        on = F.col("__text") if rule.kind not in indexed else F.when(F.array_contains("__kinds", rule.kind), F.col("__text"))
-        out = out.withColumn(f"__m_{rule.kind}", F.regexp_extract_all(on, F.lit(rule.pattern), F.lit(0)))
+        on = F.col(text) if rule.kind not in indexed else F.when(F.array_contains(kinds_, rule.kind), F.col(text))
+        found = found.withColumn(matches[rule.kind], F.regexp_extract_all(on, F.lit(rule.pattern), F.lit(0)))
     for rule in rules:
-        some = F.when(F.size(f"__m_{rule.kind}") > 0, F.col("__text"))
-        out = out.withColumn(f"__b_{rule.kind}", F.split(some, rule.pattern, -1))
+        held = F.when(F.size(matches[rule.kind]) > 0, F.col(text))
+        found = found.withColumn(between[rule.kind], F.split(held, rule.pattern, -1))
         if rule.group:
-            out = out.withColumn(f"__g_{rule.kind}", F.regexp_extract_all(some, F.lit(rule.pattern), F.lit(rule.group)))
+            found = found.withColumn(groups[rule.kind], F.regexp_extract_all(held, F.lit(rule.pattern), F.lit(rule.group)))
     parts = []
     for i, rule in enumerate(rules):
-        spans = _spans(F.col(f"__m_{rule.kind}"), F.col(f"__b_{rule.kind}"), F.col(f"__g_{rule.kind}") if rule.group else None, rule.least)
+        spans = _spans(F.col(matches[rule.kind]), F.col(between[rule.kind]), F.col(groups[rule.kind]) if rule.group else None, rule.least)
         parts.append(_labelled(spans, i, rule.kind))
-    return out.select(*[F.col(f"`{c}`") for c in columns], F.array_sort(F.concat(*parts)).alias("secret_spans"))
+    return found.select(*kept, F.array_sort(F.concat(*parts)).alias(out))
 
 
 def _listed(spans: Column) -> Column:
@@ -221,26 +223,26 @@ def _listed(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
     """Documents, all columns, with every span of the text replaced by ``mark``; overlapping spans are replaced as one. A null text stays null."""
-    columns = docs.columns
+    spans, merged_ = free_names(docs, "spans", "merged")
     empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     last = lambda acc: F.element_at(acc, -1)
     merged = F.aggregate(
-        "secret_spans", empty,
+        spans, empty,
         lambda acc, s: F.when((F.size(acc) > 0) & (last(acc)["end"] > s["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
     )
-    found = scan(docs, rules).withColumn("__merged", F.when(F.size("secret_spans") > 0, merged).otherwise(empty))
+    found = scan(docs, rules, spans).withColumn(merged_, F.when(F.size(spans) > 0, merged).otherwise(empty))
     built = F.aggregate(
-        "__merged", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        merged_, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out")),
         lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)),
     )
-    text = F.when(F.size("secret_spans") > 0, built).otherwise(F.col("text"))
-    return found.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns])
+    text = F.when(F.size(spans) > 0, built).otherwise(F.col("text"))
+    return found.select(*[text.alias("text") if name == "text" else column for name, column in zip(docs.columns, quoted(docs), strict=True)])
 
 
 def op5_query(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
-    found = scan(docs.select("doc_id", "text"))
+    found = scan(only(docs, "doc_id", "text"))
     n = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("secret_spans", lambda s: s["place"] < len(BASE))
     return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("secret_spans")).alias("spans"))

@@ -17,7 +17,8 @@ blocks whose bound is below it are never read. Opened blocks are scored exactly.
 Terms are the words of decontaminate.words_of. A query is its text's set of terms. Scores are rounded to 9 places; ties go
 to the smaller id. Defined results: null and empty texts are rows without terms: they count in N and the mean length, never
 match, and as queries have no results; repeated rows are found as often as they occur; queries of one id are one query with the
-terms of all of them; a null id sorts last.
+terms of all of them; a null id sorts last; very long texts are indexed and asked whole; an empty table has no results. Ids are
+numbers (another type that casts to long will do).
 """
 
 from __future__ import annotations
@@ -166,14 +167,14 @@ class Shard:
     def _search(self, base: np.ndarray, best: np.ndarray, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         entry, of = _ragged(self.entries[at], self.entries[at + 1])
         weight, block = weights[of], self.block[entry]
-        bound = best + np.bincount(block, self.most[entry] * weight, self.blocks) + 1e-8 if len(entry) else best + 1e-8
+        bound = best + np.bincount(block, self.most[entry] * weight, self.blocks) if len(entry) else best
         ranked = np.argsort(-bound, kind="stable")
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        done, batch, least = 0, 4, 0.0
+        done, batch, least = 0, 4, -1.0
         self.held += self.blocks
         while done < len(ranked):
             take = ranked[done : done + batch]
-            take = take[bound[take] >= max(least, 2e-8)]
+            take = take[(bound[take] > 0) & (bound[take] + 1e-8 >= least)]  # every match has a bound above 0, however light its terms
             if not len(take):
                 break
             score = base
@@ -184,12 +185,13 @@ class Shard:
                 posting, which = _ragged(self.first[entry[some]], self.past[entry[some]])
                 score = base + np.bincount(self.row[posting], self.impact[posting] * weight[some][which], len(base))
             rows = (take[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
-            score = np.round(score[rows], PLACES)
-            keep = np.flatnonzero(score > max(least - 1e-12, 0))
+            exact = score[rows]
+            score = np.round(exact, PLACES)
+            keep = np.flatnonzero((exact > 0) & (score > least - 1e-12))
             ids, scores = np.concatenate((ids, self.ids[rows[keep]])), np.concatenate((scores, score[keep]))
             first = np.lexsort((ids, -scores))[:k] if len(ids) < 4 * k else _best(ids, scores, k)
             ids, scores = ids[first], scores[first]
-            least = scores[-1] if len(scores) == k else 0.0
+            least = scores[-1] if len(scores) == k else -1.0
             done += len(take)
             self.opened += len(take)
             if len(take) < batch:
@@ -222,7 +224,8 @@ def write_index(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) ->
         data = build(ids, [None if t is None else bytes(t) for t in pdf["text"]])
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "rows": [len(pdf)], "length": [int(_unpack(data)[5].sum())], "index": [data]})
 
-    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id() % 64), F.lit(shards)).cast("int"))
+    # The shard follows from the row alone, so a repeated task deals alike; rows equal in id and text share one.
+    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
     dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(index, "shard int, rows long, length long, index binary").write.parquet(folder)
 
 

@@ -2,27 +2,29 @@
 
 A pattern rule names the literal tokens (runs of a-z and 0-9 in the lower-cased URL) that every match holds. Tokens are
 counted over all URLs; each rule is filed under the one of its tokens that fewest URLs hold (ties: the smaller token). A
-URL's tokens fetch its candidate rules, and only those run their regular expressions.
+URL's tokens fetch its candidate rules by a join, and only those run their regular expressions. Pattern rules are rows of a table,
+so their number changes the data of the plan and not its size; the table is broadcast up to ``FEW_RULES`` rows and shuffled beyond.
+Only the few URLs that a pattern matches are grouped and joined back, by the URL.
 
 Verdict: the longest fitting list rule decides; else a matching ``allow`` pattern allows, else a matching ``block``
 pattern blocks, else the URL is allowed.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no list rule, and is judged by the
-patterns like any other (a null URL matches none, so it is allowed); repeated rows each give a row. The rules are a
-literal of the plan: their number is bounded by ``MAX_RULES``. Everything stays in DataFrame expressions, and the only
-shuffle counts the rules' own tokens.
+patterns like any other (a null URL matches none, so it is allowed); repeated rows each give a row; very long URLs are judged whole; an
+empty table gives no rows; only page_id and url are read, so other columns can't clash. The list rules are literals of the plan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import ascii_lower
+from tickloom.llm.common import ascii_lower, only
 
-MAX_RULES = 5_000
+FEW_RULES = 200_000
 
 
 @dataclass(frozen=True)
@@ -64,7 +66,7 @@ PATTERNS = (
     PatternRule("cart", "block", ("cart", "add"), r"/cart/add(?:[/?#]|$)"),
     PatternRule("tag-page", "block", ("tag", "page"), r"/tag/[^/]+/page/[0-9]+"),
     PatternRule("feed", "block", ("feed",), r"/feed/?(?:[?#]|$)"),
-    PatternRule("deep-number-html", "block", ("blog", "html"), r"^https?://blog\.[^/?#]+/[a-z]{2}/[0-9]{3,}\.html"),
+    PatternRule("deep-number-html", "block", ("blog",), r"^https?://blog\.[^/?#]+/[a-z]{2}/[0-9]{3,}\.html"),
     PatternRule("mobile-top", "allow", ("m", "top"), r"^https?://m\.[^?#]*#top$"),
     PatternRule("first-page", "allow", ("page", "1"), r"[?&]page=1(?:&|#|$)"),
 )
@@ -91,55 +93,44 @@ def url_tokens(url: Column) -> Column:
     return F.coalesce(F.array_distinct(F.regexp_extract_all(ascii_lower(url), F.lit(r"([a-z0-9]+)"), F.lit(1))), F.array().cast("array<string>"))
 
 
-def token_index(pages: DataFrame, patterns: tuple[PatternRule, ...]) -> dict[str, list[int]]:
-    """Numbers of the rules under the token that each is filed under; counts the rules' tokens over all URLs."""
-    if len(patterns) > MAX_RULES:
-        raise ValueError(f"{len(patterns)} pattern rules; at most {MAX_RULES} fit in a plan")
-    wanted = sorted({t for rule in patterns for t in rule.tokens})
-    if not wanted:
-        return {}
-    held = pages.select(F.explode(F.array_intersect(url_tokens(F.col("url")), F.array(*map(F.lit, wanted)))).alias("token"))
-    counts = {row["token"]: row["count"] for row in held.groupBy("token").count().collect()}
-    index: dict[str, list[int]] = {}
-    for number, rule in enumerate(patterns):
-        index.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(number)
-    return index
+def rule_table(spark: SparkSession, patterns: Sequence[PatternRule]) -> DataFrame:
+    """number, name, action, pattern, tokens of the pattern rules."""
+    rows = [(i, rule.name, rule.action, rule.pattern, list(rule.tokens)) for i, rule in enumerate(patterns)]
+    return spark.createDataFrame(rows, "number int, name string, action string, pattern string, tokens array<string>")
 
 
-def judged(pages: DataFrame, rules: tuple[ListRule, ...] = LIST, patterns: tuple[PatternRule, ...] = PATTERNS) -> DataFrame:
+def filed(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rules with the token that each is filed under, from (token) rows of all URLs: the one that fewest URLs hold."""
+    named = rules.select("number", F.explode("tokens").alias("token"))
+    counts = urls.join(named.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    rarest = named.join(counts, "token", "left").groupBy("number").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
+    return rules.drop("tokens").join(rarest, "number")
+
+
+def matches(pages: DataFrame, patterns: Sequence[PatternRule]) -> DataFrame:
+    """url, the names of the pattern rules that it matches in their order, and whether any allows."""
+    rules = rule_table(pages.sparkSession, patterns)
+    urls = pages.where(F.col("url").isNotNull()).select("url").distinct()
+    tokens = pages.select(F.explode(url_tokens(F.col("url"))).alias("token"))
+    index = filed(tokens, rules)
+    index = F.broadcast(index) if len(patterns) <= FEW_RULES else index
+    candidates = urls.select("url", F.explode(url_tokens(F.col("url"))).alias("token")).join(index, "token")
+    met = candidates.where(F.rlike(ascii_lower("url"), F.col("pattern")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("number", "name"))), lambda rule: rule["name"])
+    return met.groupBy("url").agg(listed.alias("patterns"), F.bool_or(F.col("action") == "allow").alias("allows"))
+
+
+def judged(pages: DataFrame, rules: tuple[ListRule, ...] = LIST, patterns: Sequence[PatternRule] = PATTERNS) -> DataFrame:
     """page_id, url, host, path, rule, the names of the matching patterns, verdict."""
-    pages = pages.select("page_id", "url")
-    index = token_index(pages, patterns)
-    url = F.col("url")
-    host, path = parsed(url)
+    pages = only(pages, "page_id", "url")
+    host, path = parsed(F.col("url"))
     fits, acts = list_rule(host, path, rules)
-    if index:
-        filed = F.create_map(*[x for token, numbers in index.items() for x in (F.lit(token), F.array(*map(F.lit, numbers)))])
-        candidates = F.flatten(F.transform(F.filter("__tokens", lambda t: t.isin(*index)), lambda t: filed[t]))
-        low = ascii_lower(url)
-
-        def matches(number: Column) -> Column:
-            out = F.lit(False)
-            for i, rule in enumerate(patterns):
-                out = F.when(number == i, low.rlike(rule.pattern)).otherwise(out)
-            return out
-
-        numbers = F.filter(candidates, matches)
-    else:
-        numbers = F.array().cast("array<int>")
-    names = F.array(*[F.lit(r.name) for r in patterns]) if patterns else F.array(F.lit(""))
-    actions = F.array(*[F.lit(r.action) for r in patterns]) if patterns else F.array(F.lit(""))
-    found = (
-        pages.withColumn("__tokens", url_tokens(url))
-        .withColumn("__numbers", F.array_sort(numbers))
-        .withColumn("__actions", F.transform("__numbers", lambda n: F.element_at(actions, n + 1)))
-    )
-    by_pattern = F.when(F.array_contains("__actions", "allow"), "allow").when(F.array_contains("__actions", "block"), "block").otherwise("allow")
+    found = pages.join(matches(pages, patterns), "url", "left") if patterns else pages.withColumns({"patterns": F.array().cast("array<string>"), "allows": F.lit(None).cast("boolean")})
     return found.select(
         "page_id", "url",
         F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), fits.alias("rule"),
-        F.transform("__numbers", lambda n: F.element_at(names, n + 1)).alias("patterns"),
-        F.coalesce(acts, by_pattern).alias("verdict"),
+        F.coalesce("patterns", F.array().cast("array<string>")).alias("patterns"),
+        F.coalesce(acts, F.when(F.col("allows"), "allow").when(~F.col("allows"), "block"), F.lit("allow")).alias("verdict"),
     )
 
 
