@@ -1,7 +1,10 @@
 """A training-data pipeline over ``documents``: language, near duplicates, benchmark passages, secrets, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and reread as the next stage's docs. All
-but the last keep the columns of ``documents``. The last gives token ids with their digests.
+but the last keep the columns of ``documents``, whatever they are called. The last gives token ids with their digests.
+
+Defined results: a null, empty or letterless text is rejected by the first stage; very long texts are treated whole; of rows equal in
+id and text one stays; an empty table gives empty stages.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import bpe, decontaminate, jaccard, langid, secrets
-from tickloom.llm.common import table, written
+from tickloom.llm.common import free_names, quoted, table, written
 
 #: A text whose best language has less than this share of the belief is rejected.
 LEAST_SCORE = 0.5
@@ -20,8 +23,9 @@ LEAST_SCORE = 0.5
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, null texts, and texts whose language is in doubt. Learns from rows that are not held out."""
     model = langid.fit(docs.where(~langid.held_out()))
-    judged = langid.identify(docs, model)
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = free_names(docs, "lang", "score")
+    judged = langid.identify(docs, model, lang, score)
+    return judged.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*quoted(docs))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +40,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret's span; n_chars follows the text where it changed."""
-    before = docs.withColumn("__before", F.length("text"))
-    after = secrets.redacted(before)
-    changed = F.length("text") != F.col("__before")
-    columns = [F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(kind).alias("n_chars") if name == "n_chars" else F.col(f"`{name}`") for name, kind in docs.dtypes]
-    return after.select(*columns)
+    (before,) = free_names(docs, "before")
+    after = secrets.redacted(docs.withColumn(before, F.length("text")))
+    changed = F.length("text") != F.col(before)
+    n_chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars"))
+    return after.select(*[n_chars.cast(kind).alias(name) if name == "n_chars" else column for (name, kind), column in zip(docs.dtypes, quoted(docs), strict=True)])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +61,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: SQL expresses neither the language model nor the encoding; tests hold the stages against brute force.
+#: SQL expresses neither the language model nor the encoding; tests hold each stage against its operator, which has a brute-force test.
 ORACLE_SQL = None
 
 
