@@ -302,9 +302,9 @@ def test_language_model_scores_equal_brute_force(spark, docs, monkeypatch):
         inputs = [net.start, *place[raw[:-1]]]
         x = p["x"][inputs[max(0, (i // lm.STRIDE - 1) * lm.STRIDE) : i + 1]]
         query = x[-1] @ p["q"] * lm.WIDTH**-0.5
-        attention = np.exp(np.minimum([query @ (y @ p["k"]) + p["r"][len(x) - 1 - j] for j, y in enumerate(x)], 60))
+        attention = np.exp(np.clip([query @ (y @ p["k"]) + p["r"][len(x) - 1 - j] for j, y in enumerate(x)], -60, 60))
         mixed = sum(a * (y @ p["v"]) for a, y in zip(attention / attention.sum(), x, strict=True))
-        logits = np.minimum(np.maximum(mixed @ p["o"] + x[-1] @ p["s"] + p["b"], 0) @ p["w"] + p["c"], 60)
+        logits = np.clip(np.maximum(mixed @ p["o"] + x[-1] @ p["s"] + p["b"], 0) @ p["w"] + p["c"], -60, 60)
         return logits[net.class_of[raw[i]]] - math.log(np.exp(logits).sum()) + net.share[raw[i]]
 
     want = Counter()
