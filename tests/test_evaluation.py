@@ -123,3 +123,16 @@ def test_queries_draw_as_often_as_the_operators():
     drawn = lambda f: inspect.signature(f).parameters["permutations"].default
     assert sql.PERMUTATIONS == drawn(information.mi_significance) == 100 and sql.TE_PERMUTATIONS == drawn(information.te_significance) == 200
     assert f"range(1, {sql.PERMUTATIONS + 1}) t(p)" in "".join(sql.STEPS.values()) and f"range(1, {sql.TE_PERMUTATIONS + 1}) t(p)" in sql.STEPS["te_drawn"]
+
+
+def test_permutations_are_dealt_once(spark):
+    rows = spark.createDataFrame([("f", "2024-01-01", f"i{k}", k % 3, k % 2, 3, 9) for k in range(9)], "factor string, date string, instrument_key string, score_bin long, label_bin long, bins long, n long")
+    found = information.mi_significance(rows, 5)
+    exchanges = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("permutation" in line for line in exchanges)
+    assert found.first()["draws"] == 5
+
+
+def test_latest_of_unordered_pairs(spark):
+    rows = spark.createDataFrame([("a", "b", 1, "old"), ("b", "a", 2, "new"), ("a", "c", 1, "only")], "left_factor string, right_factor string, at int, what string")
+    assert sorted(r["what"] for r in compare.latest_pairs(rows, "at").collect()) == ["new", "only"]

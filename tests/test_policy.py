@@ -21,6 +21,22 @@ BOARD = "factor string, mean_rank_ic double, mean_abs_rank_ic double, mean_nmi d
 TAIL = (False, "stock_research_candidate", "target_only", UNIVERSE_VERSION)
 
 
+def test_universes_and_other_securities(spark):
+    spec = "factor string, target_instrument_universe string, source_instrument_universe string, universe_filter_version string, contains_caveat_fields boolean, contains_cross_security_source boolean"
+    metrics = ("mean_abs_rank_ic", "mean_rank_ic", "mean_top_bottom_spread", "mean_coverage_ratio", "mi_significant_date_ratio", "mean_mi_p_value", "mean_nmi", "sign_consistency", "mean_abs_baseline_corr")
+    rows = [("fine", "stock_research_candidate", "target_only", "", None, None), ("absent", None, "target_only", "", False, False), ("source", "stock_research_candidate", None, "", False, False), ("crossed", "stock_research_candidate", "target_only", "", False, True)]
+    board = spark.createDataFrame(rows, spec).select("*", *[F.lit(None).cast("double").alias(m) for m in metrics], F.lit(None).cast("array<double>").alias("entropy_values"))
+    got = {r["factor"]: (r["primary_reject_reason"], r["secondary_reject_reasons"]) for r in policy.reject_reasons(board, backtest=False).collect()}
+    assert got == {"fine": ("none", ""), "absent": ("universe_mismatch", ""), "source": ("universe_mismatch", "caveat_dependence_too_high"), "crossed": ("caveat_dependence_too_high", "")}
+
+
+def test_recommendations_and_reasons(spark):
+    rows = [(None, None, None, 0.0), (0.5, -0.5, None, 0.0), (0.5, 0.5, None, 0.0), (0.0, 0.0, 0.9, 0.0), (0.5, 0.5, None, 1.0), (0.0, 0.0, 0.0, 0.0)]
+    board = spark.createDataFrame(rows, "mean_abs_rank_ic double, mean_rank_ic double, mean_nmi double, mean_abs_peer_corr double")
+    got = [(r["recommendation"], r["recommendation_reason"]) for r in policy.recommendation(board.coalesce(1)).collect()]
+    assert got == [("missing_pre_eval", "no_evaluation"), ("consider_inverse", "ic_above_keep_and_negative"), ("keep_candidate", "ic_or_nmi_above_keep"), ("keep_candidate", "nmi_above_keep"), ("keep_but_crowded", "above_keep_and_correlated_with_peers"), ("discard_candidate", "below_review")]
+
+
 def test_reject_reasons(spark):
     rows = [
         ("inverse", -.08, .08, .03, -.01, 1.0, 1.0, .01, .2, 1.0, [.1, .09], *TAIL),

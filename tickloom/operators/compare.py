@@ -21,7 +21,7 @@ def correlation_by_date(scores: DataFrame, pairs: DataFrame | None = None) -> Da
     both = left.select("date", F.col("a.factor").alias("left_factor"), F.col("a.score").alias("x"), F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
     both = both.select(F.col("left_factor"), F.col("b.factor").alias("right_factor"), "date", "x", F.col("b.score").alias("y"))
     if pairs is not None:
-        both = both.join(F.broadcast(pairs.select(*PAIR)), PAIR, "left_semi")
+        both = both.join(pairs.select(*PAIR), PAIR, "left_semi")
     return both.groupBy(*PAIR, "date").agg(F.count(F.lit(1)).alias("common_rows"), pearson("x", "y").alias("pearson_corr"))
 
 
@@ -77,3 +77,9 @@ def latest(rows: DataFrame, keys: list[str], at: str, tie: str | None = None) ->
     """The last written row of each key."""
     order = [F.desc(at), *([F.desc(tie)] if tie else [])]
     return rows.withColumn("__row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__row") == 1).drop("__row")
+
+
+def latest_pairs(rows: DataFrame, at: str, tie: str | None = None, pair: tuple[str, str] = ("left_factor", "right_factor")) -> DataFrame:
+    """The last written row of each pair, whichever of the two stands first."""
+    keyed = rows.withColumns({"__a": F.least(*pair), "__b": F.greatest(*pair)})
+    return latest(keyed, ["__a", "__b"], at, tie).drop("__a", "__b")

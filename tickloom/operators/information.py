@@ -53,10 +53,14 @@ def mutual_information(binned_rows: DataFrame, by: list[str] = BY_DATE) -> DataF
 
 
 def permuted(binned_rows: DataFrame, permutations: int, by: list[str] = BY_DATE) -> DataFrame:
-    """The rows of each permutation, their score bins dealt anew."""
+    """The rows of each permutation, their score bins dealt anew.
+
+    Rows are dealt by group before they are multiplied: windows and counts of the permutations need no further exchange.
+    """
     if permutations < 1:
         raise ValueError("permutations must be at least 1")
-    drawn = binned_rows.withColumn("permutation", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    dealt = binned_rows.select(*by, *[c for c in ("instrument_key", "label_bin", "bins", "n") if c not in by], *[c for c in ("date",) if c not in by]).repartition(*by)
+    drawn = dealt.withColumn("permutation", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
     order = F.md5(F.concat_ws(":", F.col("permutation").cast("string"), F.col("date").cast("string"), "instrument_key").cast("binary"))
     place = F.row_number().over(Window.partitionBy(*by, "permutation").orderBy(order)) - 1
     return drawn.withColumn("score_bin", frequency_bin(place, F.col("bins"), F.col("n")))

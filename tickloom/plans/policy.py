@@ -88,15 +88,18 @@ def reject_reasons(board: DataFrame, backtest: bool = True) -> DataFrame:
     """Adds primary_reject_reason, secondary_reject_reasons (comma-joined), promotion_readiness.
 
     ``board`` has the evaluation's means, sign_consistency, mean_abs_baseline_corr, entropy_values (array), the universe's columns
-    and, with ``backtest``, the backtest's. Absent values raise no reason.
+    and, with ``backtest``, the backtest's. Absent metrics raise no reason; an absent universe is no match, since what a row is about must
+    be stated. The flags ``contains_caveat_fields`` and ``contains_cross_security_source`` count as not set where they are absent.
     """
     t = TRIAGE
     c = F.col
     yes = lambda test: F.coalesce(test, F.lit(False))
+    flag = lambda name: yes(c(name)) if name in board.columns else F.lit(False)
+    beside = ~c("source_instrument_universe").eqNullSafe(F.lit("target_only"))
     weak = yes(c("mean_abs_rank_ic") < t["min_mean_abs_rank_ic"])
     tests = {
-        "universe_mismatch": yes((c("target_instrument_universe") != "stock_research_candidate") | (c("source_instrument_universe") != "target_only") | ((c("universe_filter_version") != "") & (c("universe_filter_version") != UNIVERSE_VERSION))),
-        "caveat_dependence_too_high": yes(c("contains_caveat_fields") | (c("source_instrument_universe") != "target_only")),
+        "universe_mismatch": ~c("target_instrument_universe").eqNullSafe(F.lit("stock_research_candidate")) | beside | yes((c("universe_filter_version") != "") & (c("universe_filter_version") != UNIVERSE_VERSION)),
+        "caveat_dependence_too_high": flag("contains_caveat_fields") | flag("contains_cross_security_source") | beside,
         "low_coverage": yes(c("mean_coverage_ratio") < t["min_coverage_ratio"]),
         "insufficient_significance": yes(c("mi_significant_date_ratio") < t["min_mi_significant_date_ratio"]) | yes(c("mean_mi_p_value") > t["max_p_value"]),
         "weak_ic": weak,
@@ -120,9 +123,9 @@ def reject_reasons(board: DataFrame, backtest: bool = True) -> DataFrame:
 
 
 def reason_histogram(triaged: DataFrame) -> DataFrame:
-    """How often each reason was given, first or later."""
+    """How often each reason was given, first or later; the commonest comes first, ties by name."""
     every = F.concat(F.array("primary_reject_reason"), F.split("secondary_reject_reasons", ","))
-    return triaged.select(F.explode(every).alias("reason")).where((F.col("reason") != "none") & (F.col("reason") != "")).groupBy("reason").count()
+    return triaged.select(F.explode(every).alias("reason")).where((F.col("reason") != "none") & (F.col("reason") != "")).groupBy("reason").count().orderBy(F.desc("count"), "reason")
 
 
 def family_summary(triaged: DataFrame) -> DataFrame:
@@ -138,7 +141,7 @@ def family_summary(triaged: DataFrame) -> DataFrame:
 
 
 def recommendation(board: DataFrame, policy: Selection = Selection()) -> DataFrame:
-    """Adds the cycle's recommendation: one of seven actions."""
+    """Adds the cycle's recommendation, one of six actions, and recommendation_reason, what led to it."""
     ic, signed, nmi, crowd = F.col("mean_abs_rank_ic"), F.col("mean_rank_ic"), F.col("mean_nmi"), F.col("mean_abs_peer_corr")
     at = lambda c, x: F.coalesce(c >= x, F.lit(False))
     strong = at(ic, policy.ic_keep) | at(nmi, policy.nmi_keep)
@@ -147,7 +150,13 @@ def recommendation(board: DataFrame, policy: Selection = Selection()) -> DataFra
         .when(strong & (crowd <= policy.most_peer_corr), "keep_candidate").when(strong, "keep_but_crowded")
         .when(at(ic, policy.ic_review) | at(nmi, policy.nmi_review), "monitor").otherwise("discard_candidate")
     )
-    return board.withColumn("recommendation", action)
+    by_nmi = lambda least, word: F.when(at(nmi, least[1]) & ~at(ic, least[0]), f"nmi_{word}").otherwise(f"ic_or_nmi_{word}")
+    reason = (
+        F.when(action == "missing_pre_eval", "no_evaluation").when(action == "consider_inverse", "ic_above_keep_and_negative")
+        .when(action == "keep_candidate", by_nmi((policy.ic_keep, policy.nmi_keep), "above_keep")).when(action == "keep_but_crowded", "above_keep_and_correlated_with_peers")
+        .when(action == "monitor", by_nmi((policy.ic_review, policy.nmi_review), "above_review")).otherwise("below_review")
+    )
+    return board.withColumns({"recommendation": action, "recommendation_reason": reason})
 
 
 def next_steps(histogram: dict[str, int], candidates: int) -> list[str]:
@@ -166,8 +175,8 @@ def next_steps(histogram: dict[str, int], candidates: int) -> list[str]:
 
 def catalogue(spark) -> DataFrame:
     """One row a factor of the catalogue: family, caveat flag and universe columns."""
-    rows = [(name, spec.family, spec.caveat, "stock_research_candidate", "target_only", UNIVERSE_VERSION) for spec in SPECS for name in (spec.name, spec.change)]
-    return spark.createDataFrame(rows, "factor string, family string, contains_caveat_fields boolean, target_instrument_universe string, source_instrument_universe string, universe_filter_version string")
+    rows = [(name, spec.family, spec.caveat, False, "stock_research_candidate", "target_only", UNIVERSE_VERSION) for spec in SPECS for name in (spec.name, spec.change)]
+    return spark.createDataFrame(rows, "factor string, family string, contains_caveat_fields boolean, contains_cross_security_source boolean, target_instrument_universe string, source_instrument_universe string, universe_filter_version string")
 
 
 def board_order(board: DataFrame) -> DataFrame:
