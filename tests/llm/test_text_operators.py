@@ -119,7 +119,7 @@ def test_language_votes_equal_brute_force(spark):
 
 
 def test_letters_and_languages(spark):
-    assert langid.letters().findall("½ ² ① Ⅷ 12 _ aé日") == ["aé日"]
+    assert langid.LETTERS.findall("½ ² ① Ⅷ 12 _ aé日") == ["aé日"]
     rows = [(i, f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} x", f"l{i:03}") for i in range(520)] + [(9_999, "½ ²", None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert len(langid.fit(frame).languages) == 520

@@ -15,16 +15,13 @@ callers that must keep those choose other names.
 
 from __future__ import annotations
 
-import re
-import sys
-import unicodedata
 from collections import Counter
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,12 +34,7 @@ UNKNOWN = "und"
 #: Words held by a task's cache of votes.
 CACHE_WORDS = 150_000
 
-
-@cache
-def letters() -> re.Pattern:
-    """Runs of letters: word characters that are neither digits nor other numbers (as fractions or Roman numerals), nor the underscore."""
-    others = [i for i in range(sys.maxunicode + 1) if chr(i).isalnum() and not chr(i).isdecimal() and unicodedata.category(chr(i))[0] != "L"]
-    return re.compile(r"[^\W\d_" + "".join(map(chr, others)) + "]+")
+LETTERS = regex.compile(r"\p{L}+")
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -55,7 +47,7 @@ def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
     """The words and n-grams of one language's texts with their counts: a row for each length; one table is held at a time."""
     words: Counter = Counter()
     for text in pdf["text"]:
-        words.update(letters().findall(text.lower()))
+        words.update(LETTERS.findall(text.lower()))
     parts = []
     for n in range(LONGEST_GRAM + 1):
         counts = words if n == 0 else Counter()
@@ -83,16 +75,22 @@ class Model:
                 held[:, column[lang]] /= max(sum(counts), 1)
             self.votes.append(np.log(held))
 
-    def vote(self, word: str) -> np.ndarray:
-        """Log frequencies of one word: its own, else the mean of its longest known n-grams."""
-        at = self.index[0].get(word)
-        if at is not None:
-            return self.votes[0][at]
-        for n in range(LONGEST_GRAM, 0, -1):
-            known = [i for i in map(self.index[n].get, grams(word, n)) if i is not None]
-            if known:
-                return self.votes[n][known].mean(axis=0)
-        return np.zeros(len(self.languages), np.float32)
+    def votes_of(self, words: Collection[str]) -> np.ndarray:
+        """Log frequencies of words, a row each: a word's own, else the mean of its longest known n-grams, else zeros."""
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        found: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in self.index]  # by length: words, their numbers of entries, entries
+        for place, word in enumerate(words):
+            for n in (0, *range(LONGEST_GRAM, 0, -1)):
+                known = [i for i in map(self.index[n].get, grams(word, n) if n else (word,)) if i is not None]
+                if known:
+                    found[n][0].append(place)
+                    found[n][1].append(len(known))
+                    found[n][2].extend(known)
+                    break
+        for votes, (places, sizes, entries) in zip(self.votes, found, strict=True):
+            if places:
+                out[places] = np.add.reduceat(votes[entries], np.cumsum([0, *sizes[:-1]]), axis=0) / np.array(sizes, np.float32)[:, None]
+        return out
 
 
 class Scorer:
@@ -106,21 +104,24 @@ class Scorer:
         self.at: dict[str, int] = {}
         self.held = np.zeros((1024, len(self.model.languages)), np.float32)
 
-    def _learn(self, word: str) -> int:
-        i = self.at[word] = len(self.at)
-        if i == len(self.held):
-            self.held = np.concatenate([self.held, np.zeros_like(self.held)])
-        self.held[i] = self.model.vote(word)
-        return i
+    def _learn(self, words: Collection[str]) -> None:
+        first = len(self.at)
+        self.at.update(zip(words, range(first, first + len(words)), strict=True))
+        if len(self.at) > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros((max(len(self.held), len(words)), self.held.shape[1]), np.float32)])
+        self.held[first : len(self.at)] = self.model.votes_of(words)
 
     def score(self, text: str | None) -> tuple[str, float]:
-        words = letters().findall(text.lower()) if text else []
+        words = LETTERS.findall(text.lower()) if text else []
         if not words or not self.model.languages:
             return UNKNOWN, 0.0
         if len(self.at) > CACHE_WORDS:
             self._reset()
         get = self.at.get
-        rows = [i if (i := get(w)) is not None else self._learn(w) for w in words]
+        rows = list(map(get, words))
+        if None in rows:  # new words are looked up together
+            self._learn(dict.fromkeys(word for word, row in zip(words, rows, strict=True) if row is None))
+            rows = list(map(get, words))
         total = self.held[rows].sum(axis=0, dtype=np.float64)
         best = int(total.argmax())
         return self.model.languages[best], float(1.0 / np.exp(total - total[best]).sum())
