@@ -1,4 +1,4 @@
-"""Command line: ``python -m tickloom.cli cycle DATA ROOT``, ``status ROOT``, ``query NAME DATA``, ``card FILE``."""
+"""Command line: ``python -m tickloom.cli cycle DATA ROOT``, ``ticks TICKS ROOT YEARS CONFIG`` (a cycle over tick tables; CONFIG may be ''), ``status ROOT``, ``query NAME DATA``, ``card FILE``."""
 
 from __future__ import annotations
 
@@ -8,13 +8,16 @@ import sys
 
 from tickloom.plans import catalog, cycle
 from tickloom.plans.cards import evaluate_card
+from tickloom.plans.policy import Selection
+from tickloom.plans.views import TickLane
 from tickloom.session import local_session
+from tickloom.sources import logs
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tickloom")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, arguments in {"cycle": ("data", "root"), "status": ("root",), "query": ("name", "data"), "card": ("file",)}.items():
+    for name, arguments in {"cycle": ("data", "root"), "ticks": ("ticks", "root", "years", "config"), "status": ("root",), "query": ("name", "data"), "card": ("file",)}.items():
         command = commands.add_parser(name)
         for argument in arguments:
             command.add_argument(argument)
@@ -29,6 +32,10 @@ def main(argv: list[str] | None = None) -> int:
         catalog.queries()[options.name](spark, options.data).show(50, truncate=False)
     elif options.command == "cycle":
         print(cycle.run(spark, options.data, options.root)["report"])
+    elif options.command == "ticks":
+        config = logs.read_toml(options.config) if options.config else {}
+        lane = TickLane(spark, options.ticks, [int(y) for y in options.years.split(",")])
+        print(cycle.run(spark, options.ticks, options.root, Selection.of(config), lane)["report"])
     else:
         print(json.dumps(cycle.status(spark, options.root), indent=2, default=str))
     return 0

@@ -158,6 +158,11 @@ def lead_edges(te: DataFrame, tests: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def lead_matrix(edges: DataFrame, factors: list[str]) -> DataFrame:
+    """One row a source, one column a target: the forward transfer entropy; null on the diagonal and for pairs with too few dates."""
+    return edges.groupBy("source").pivot("target", factors).agg(F.max("forward_te"))
+
+
 def unordered_pairs(factors: DataFrame) -> DataFrame:
     """left_factor < right_factor over a frame of factor names (a catalogue: some dozens of rows)."""
     names = factors.select("factor").distinct()

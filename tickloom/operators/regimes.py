@@ -54,6 +54,11 @@ def regime_labels(stats: DataFrame) -> DataFrame:
     )
 
 
+def year_only(days: DataFrame) -> DataFrame:
+    """The labels that need no market data: date and year_grade. Summaries by slice then have that slice alone."""
+    return days.select("date", year_grade(F.col("date")).alias("year_grade"))
+
+
 def slice_summary(dates: DataFrame, labels: DataFrame) -> DataFrame:
     """Means of per-date metrics by factor and regime slice: the four slice columns are unpivoted, then one aggregation."""
     have = [c for c in SLICES if c in labels.columns]

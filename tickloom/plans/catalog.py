@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import columns
 from tickloom.operators import compare, daily, dates, diagnostics, evaluate, factors, information, regimes
 from tickloom.operators.universe import restrict
-from tickloom.plans import policy, sql
+from tickloom.plans import policy, records, sql
 from tickloom.plans.views import FRACTION, TOP, Lane
 from tickloom.sources import lanes
 
@@ -89,6 +89,15 @@ from lineitem join supplier on s_suppkey = l_suppkey where s_acctbal > 0 group b
 from lineitem join orders on o_orderkey = l_orderkey join supplier on s_suppkey = l_suppkey where s_acctbal > 0 group by all""")
     for name in factors.factor_names():
         q[f"f_{name}"] = _factor(name)
+    # The raw lane keeps instruments without volume; what needs no volume-weighted price is the same there otherwise.
+    raw = tuple(s for s in factors.SPECS if s.lanes == ("trades",))
+    raw_names = [s.name for s in raw]
+    q["raw_lane_daily"] = _entry(Lane.raw_lane, [*KEY, "trade_count", "share_volume"], TRADES, "trades_raw")
+    q["raw_lane_levels"] = _entry(lambda x: factors.levels(x.raw_lane(), specs=raw), KEY, raw_names, "levels_raw")
+    q["raw_lane_changes"] = (
+        lambda spark, sf_dir: (lambda x: _out(factors.one_day_change(factors.levels(x.raw_lane(), specs=raw), x.steps(), raw_names), [*KEY, "previous_date"], [f"{n}_change" for n in raw_names]))(Lane(spark, sf_dir)),
+        sql.query(f"select l.date, l.instrument_key, s.previous_date, {', '.join(f'round(l.{n} - p.{n}, {sql.places(n + "_change")}) as {n}_change' for n in raw_names)} from levels_raw l join steps s on s.date = l.date join levels_raw p on p.date = s.previous_date and p.instrument_key = l.instrument_key"),
+    )
     q["factor_scores_long"] = _entry(Lane.scores, ["factor", *KEY], ["score"], "scores")
     q["forward_labels"] = (
         lambda spark, sf_dir: _out(Lane(spark, sf_dir).labels(), ["date", "next_date", "instrument_key", "label_source"], ["close_like_price", "next_close_like_price", evaluate.LABEL]),
@@ -111,6 +120,7 @@ from lineitem join orders on o_orderkey = l_orderkey join supplier on s_suppkey
     q["transfer_entropy_pairs"] = _entry(lambda x: information.transfer_entropy(x.pairs()), ["source", "target", "observations", "bins"], ["te"], "te")
     q["transfer_entropy_pvalue"] = _entry(lambda x: information.te_significance(x.pairs(), sql.TE_PERMUTATIONS), ["source", "target", "draws"], ["observed", "p_value", "null_mean", "null_std", "excess_over_null"], "te_tests")
     q["lead_lag_edges"] = _entry(lambda x: information.lead_edges(information.transfer_entropy(x.pairs())), ["source", "target", "observations"], ["forward_te", "reverse_te", "lead_gap"], "(select a.source, a.target, a.observations, a.te as forward_te, b.te as reverse_te, a.te - b.te as lead_gap from te a join te b on a.source = b.target and a.target = b.source)")
+    q["lead_lag_matrix"] = _entry(lambda x: information.lead_matrix(information.lead_edges(information.transfer_entropy(x.pairs())), factors.factor_names()), ["source"], factors.factor_names(), f"(select source, {', '.join(f"max(te) filter (where target = '{n}') as {n}" for n in factors.factor_names())} from te group by source)")
     q["unordered_pairs"] = (lambda spark, sf_dir: information.unordered_pairs(policy.catalogue(spark)), sql.query("select a.factor as left_factor, b.factor as right_factor from catalogue a join catalogue b on a.factor < b.factor"))
     q["market_stats"] = _entry(lambda x: regimes.market_stats(x.trades_daily()), ["date"], ["market_total_turnover", "market_abs_close_return", "market_turnover_entropy"], "market")
     labels = ["year_grade", "market_turnover_regime", "market_volatility_regime", "entropy_quantile"]
@@ -120,6 +130,7 @@ from lineitem join orders on o_orderkey = l_orderkey join supplier on s_suppkey
     q["factor_corr_by_date"] = _entry(Lane.correlations, [*PAIR, "date", "common_rows"], ["pearson_corr"], "corrs")
     q["top_overlap_by_date"] = _entry(Lane.overlaps, [*PAIR, "date", "top_overlap_count"], [], "over_counts")
     q["comparison_merge"] = _entry(lambda x: compare.merged_by_date(x.correlations(), x.overlaps()), [*PAIR, "date", "common_rows", "top_overlap_count"], ["pearson_corr"], "(select * from corrs full join over_counts using (left_factor, right_factor, date))")
+    q["comparison_means"] = _entry(lambda x: records.pair_means(compare.merged_by_date(x.correlations(), x.overlaps())), PAIR, ["mean_pearson_corr", "mean_top_overlap"], "(select left_factor, right_factor, avg(pearson_corr) as mean_pearson_corr, avg(top_overlap_count) as mean_top_overlap from corrs full join over_counts using (left_factor, right_factor, date) group by all)")
     q["baseline_redundancy"] = _entry(Lane.baseline, ["factor", "baseline_role", "baseline_peer_count"], ["mean_abs_baseline_corr", "mean_baseline_top_overlap"], "baseline")
     q["peer_redundancy"] = _entry(Lane.peers, ["factor"], ["mean_abs_peer_corr", "mean_top_overlap_count"], "peers")
     summary = "count(*) as rows, count(distinct instrument_key) as distinct_instruments, avg(score) as score_mean, min(score) as score_min, max(score) as score_max"

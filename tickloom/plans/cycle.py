@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.operators import evaluate
+from tickloom.operators.universe import UNIVERSE_VERSION
 from tickloom.plans import policy
 from tickloom.plans.views import Lane
 from tickloom.sources import logs
@@ -38,14 +41,30 @@ def status(spark: SparkSession, root: str) -> dict[str, object]:
     return out
 
 
-def run(spark: SparkSession, sf_dir: str, root: str, selection: policy.Selection = policy.Selection()) -> dict[str, object]:
-    """Runs all factors of the catalogue over lane E and writes scores, board, report and logs under ``root``.
+def export_labels(lane: Lane, root: str, year: int, notes: str = "") -> dict[str, object]:
+    """Writes a year's forward labels under ``root`` with a summary beside them; returns the summary."""
+    made = datetime.now(UTC)
+    export_id = f"labels_{year}_{made:%Y%m%dT%H%M%SZ}"
+    path = f"{root}/{export_id}/forward_labels"
+    lane.labels().where(F.year("date") == year).repartitionByRange("date").sortWithinPartitions("date", "instrument_key").write.parquet(path)
+    written = lane.spark.read.parquet(path)
+    counts = written.agg(F.count(F.lit(1)).alias("rows"), F.sort_array(F.collect_set(F.col("date").cast("string"))).alias("dates")).first()
+    summary = {
+        "export_id": export_id, "created_at": made.isoformat(), "year": str(year), "label_name": evaluate.LABEL, "target_instrument_universe": "stock_research_candidate", "source_instrument_universe": "target_only",
+        "contains_cross_security_source": False, "universe_filter_version": UNIVERSE_VERSION, "dates": counts["dates"], "date_count": len(counts["dates"]), "row_count": counts["rows"], "columns": written.columns, "labels_path": path, "notes": notes,
+    }
+    lane.spark.createDataFrame([(json.dumps(summary),)], "value string").coalesce(1).write.text(f"{root}/{export_id}/labels_summary")
+    return summary
+
+
+def run(spark: SparkSession, sf_dir: str, root: str, selection: policy.Selection = policy.Selection(), lane: Lane | None = None) -> dict[str, object]:
+    """Runs all factors of the catalogue over a lane (lane E of ``sf_dir`` without one) and writes scores, board, report and logs under ``root``.
 
     Factors that need caveat fields are carried with their flag; the triage rejects them by policy instead of stopping the cycle.
     """
     made = datetime.now(UTC).isoformat()
     run_id = f"cycle_{uuid.uuid4().hex[:12]}"
-    lane = Lane(spark, sf_dir)
+    lane = lane or Lane(spark, sf_dir)
     stamp = lambda frame, **named: frame.withColumns({"created_at": F.lit(made), **{k: F.lit(v) for k, v in named.items()}})
     lane.scores().write.mode("overwrite").partitionBy("factor").parquet(f"{root}/{run_id}/scores")
     board = policy.recommendation(lane.board(), selection)

@@ -40,6 +40,18 @@ class Selection:
     nmi_review: float = 0.015
     most_peer_corr: float = 0.50
 
+    @classmethod
+    def of(cls, config: dict) -> Selection:
+        """From a cycle configuration's ``selection``; what it lacks keeps its default."""
+        held = config.get("selection", {})
+        return cls(**{field: float(held[name]) for field, name in SELECTION_NAMES.items() if name in held})
+
+
+#: How a cycle configuration calls the thresholds.
+SELECTION_NAMES = {
+    "ic_keep": "min_abs_rank_ic_keep", "ic_review": "min_abs_rank_ic_review", "nmi_keep": "min_normalized_mi_keep", "nmi_review": "min_normalized_mi_review", "most_peer_corr": "max_mean_abs_peer_corr",
+}
+
 
 def _failed(limits: dict[str, float]) -> Column:
     """Names of the metrics below their limits, in order."""

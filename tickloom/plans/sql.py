@@ -30,6 +30,7 @@ def _adaptive(n: str, least: int, most: int) -> str:
 
 _WIDE_RAW = "d.turnover as raw_turnover, d.trade_count as raw_count, d.morning_turnover, d.afternoon_turnover, d.buy_count, d.buy_notional, d.sell_notional, g.trade_size_gini, b.interval_cv"
 _LEVELS = ",\n  ".join(f"case when {' and '.join({'trades': 't_in', 'orders': 'o_in', 'raw': 'r_in'}[lane] for lane in s.lanes)} then round({_duck(s.expression)}, {PLACES}) end as {s.name}" for s in SPECS)
+_RAW_LEVELS = ", ".join(f"round({_duck(s.expression)}, {PLACES}) as {s.name}" for s in SPECS if s.lanes == ("trades",))
 _CHANGES = ", ".join(f"round(l.{s.name} - p.{s.name}, {PLACES}) as {s.change}" for s in SPECS)
 
 STEPS = {
@@ -40,6 +41,9 @@ STEPS = {
   from events where lpad(cast(user_id as varchar), 5, '0') in (select instrument_key from universe)""",
     "trades": """select date, instrument_key, count(*) as trade_count, sum(price * volume) as turnover, cast(sum(volume) as bigint) as share_volume, avg(volume) as avg_trade_size,
   last(price order by ts, event_id) as close_like_price, sum(price * volume) / nullif(sum(volume), 0) as vwap from ticks group by all having sum(volume) > 0""",
+    "trades_raw": """select date, instrument_key, count(*) as trade_count, coalesce(sum(price * volume), 0) as turnover, cast(coalesce(sum(volume), 0) as bigint) as share_volume, avg(volume) as avg_trade_size,
+  last(price order by ts, event_id) as close_like_price, sum(price * volume) / nullif(sum(volume), 0) as vwap from ticks group by all""",
+    "levels_raw": f"select date, instrument_key, {_RAW_LEVELS} from trades_raw",
     "orders_d": """select date, instrument_key, count(*) as order_event_count, count(distinct volume % 10) as unique_order_ids, sum(price * volume) as total_order_notional,
   count(*) / nullif(count(distinct volume % 10), 0) as churn_ratio from ticks where is_order group by all""",
     "raw": """select date, instrument_key, count(*) as trade_count, sum(price * volume) as turnover,

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators import backtest, compare, daily, dates, diagnostics, evaluate, factors, information, regimes, shape
 from tickloom.operators.universe import restrict
 from tickloom.plans import policy
 from tickloom.plans.sql import PERMUTATIONS
-from tickloom.sources import lanes
+from tickloom.sources import lanes, ticks
 
 TOP = 20
 FRACTION = 0.1
@@ -31,12 +31,16 @@ class Lane:
         """All ticks of the universe: one scan and one semi-join feed every daily table."""
         return self._once("ticks", lambda: restrict(lanes.event_ticks(self.spark, self.sf_dir), lanes.event_universe(self.spark, self.sf_dir)))
 
+    def last_by(self) -> Column:
+        """What orders a day's ticks."""
+        return F.struct("ts", "row_num_in_file")
+
     def trades(self) -> DataFrame:
         return self.ticks().drop("OrderId", "is_order")
 
     def trades_daily(self) -> DataFrame:
         """Persisted, as ``levels`` is: a daily row stands for all its ticks, so what is kept is small, and ticks are not scanned again."""
-        return self._once("trades", lambda: daily.trades_daily(self.trades(), F.struct("ts", "row_num_in_file")).persist())
+        return self._once("trades", lambda: daily.trades_daily(self.trades(), self.last_by()).persist())
 
     def orders_daily(self) -> DataFrame:
         return self._once("orders", lambda: daily.orders_daily(self.ticks().where("is_order")))
@@ -58,6 +62,10 @@ class Lane:
         """All factors, long. Persisted: evaluation, comparison and backtest each read them, and a daily frame is small next to its ticks."""
         return self._once("scores", lambda: factors.long(self.wide(), factors.factor_names()).persist())
 
+    def raw_lane(self) -> DataFrame:
+        """Daily trades of all instruments with a tick, those without volume too: what factors of the raw lane are computed from."""
+        return self._once("raw_lane", lambda: daily.trades_daily(self.trades(), self.last_by(), positive_volume=False))
+
     def labels(self) -> DataFrame:
         return self._once("labels", lambda: evaluate.forward_labels(self.trades_daily(), self.steps()))
 
@@ -126,3 +134,54 @@ class Lane:
 
     def pairs(self) -> DataFrame:
         return information.aligned_pairs(self.series())
+
+
+class TickLane(Lane):
+    """The same frames over tick tables (sources.ticks), for all available dates of some years.
+
+    Daily frames come from the daily tables where those hold every date, else from the ticks. Statistics that need ticks read ticks.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, years: list[int], universe: DataFrame | None = None):
+        super().__init__(spark, root)
+        self.root, self.years, self.universe = root, years, universe
+
+    def days(self) -> list[str]:
+        """The available dates: a few hundred values a year."""
+        if not hasattr(self, "_days"):
+            found = ticks.scan(self.spark, self.root, "verified_trades").where(F.year("date").isin(self.years)).select("date").distinct()
+            self._days = sorted(str(r["date"]) for r in found.collect())
+        return self._days
+
+    def _dates(self) -> DataFrame:
+        return self.spark.createDataFrame([(d,) for d in self.days()], "day string").select(F.col("day").cast("date").alias("date"))
+
+    def cached(self, table: str) -> bool:
+        """Whether a daily table holds every date."""
+        return ticks.missing(self.spark, self.root, [table], self._dates()).isEmpty()
+
+    def last_by(self) -> Column:
+        return F.struct("Time", "row_num_in_file")
+
+    def ticks(self) -> DataFrame:
+        return self.trades()
+
+    def trades(self) -> DataFrame:
+        return self._once("ticks", lambda: ticks.load(self.spark, self.root, "verified_trades", self.days(), ["date", "Time", "Price", "Volume", "TradeDir", "row_num_in_file"], self.universe))
+
+    def _daily(self, table: str, make) -> DataFrame:
+        return (ticks.load(self.spark, self.root, table, self.days(), list(ticks.DAILY_TABLES[table]), self.universe) if self.cached(table) else make()).persist()
+
+    def trades_daily(self) -> DataFrame:
+        return self._once("trades", lambda: self._daily("verified_trades_daily", lambda: daily.trades_daily(self.trades())))
+
+    def orders_daily(self) -> DataFrame:
+        orders = lambda: ticks.load(self.spark, self.root, "verified_orders", self.days(), ["date", "OrderId", "Price", "Volume"], self.universe)
+        return self._once("orders", lambda: self._daily("verified_orders_daily", lambda: daily.orders_daily(orders())))
+
+    def steps(self) -> DataFrame:
+        return self._once("steps", lambda: dates.stepped(self._dates()))
+
+    def regimes(self) -> DataFrame:
+        """By year alone where the daily trades are not cached: regimes are not worth a pass over the ticks."""
+        return self._once("regimes", lambda: super(TickLane, self).regimes() if self.cached("verified_trades_daily") else regimes.year_only(self._dates()))
