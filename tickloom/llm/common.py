@@ -7,7 +7,8 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,6 +105,18 @@ def small_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
     return df
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for the jobs that run inside; the session's own setting is put back after them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: What a Python worker keeps between tasks: the caches of one operator, the last that ran.
 _KEPT: dict[Any, Any] = {}
 
