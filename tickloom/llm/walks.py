@@ -64,6 +64,7 @@ class Embedding:
         rng = np.random.default_rng(seed)
         bits = rng.integers(0, 2, (PERIOD, CLASSES), np.uint8)
         bits[-1] = 1  # no walk stays for a whole period
+        self.bits = bits
         # From each step, the step after the next one that moves on.
         after = np.empty((PERIOD, CLASSES), np.int64)
         first = np.argmax(bits == 1, axis=0) + PERIOD
@@ -218,7 +219,7 @@ def paired(docs: DataFrame, seed: int = SEED) -> DataFrame:
             yield pa.RecordBatch.from_pylist([{"doc_id": before[0], "text": before[1], "fingerprint": before[3], "range": part, "place": "last"}], schema)
 
     with arrow_rows(spark, ARROW_ROWS):
-        held = written(dealt.mapInArrow(run, _PAIRED.format(kind=kind)), "walks-ranges")
+        held = written(dealt.mapInArrow(run, _PAIRED.format(kind=kind)), "walks-ranges", "zstd")  # digits have half a byte each, and zstd finds it
     finished = held.where(F.col("place").isNull()).drop("range", "place", "text")
     # The ranges that have rows: one number each.
     ranges = sorted(r["range"] for r in held.where("place = 'last'").select("range").collect())
