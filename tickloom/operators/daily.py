@@ -62,6 +62,41 @@ def raw_daily(trades: DataFrame) -> DataFrame:
     )
 
 
+def tagged_daily(ticks: DataFrame, order_by: Column | None = None) -> DataFrame:
+    """All three daily tables side by side, from one pass over ticks with ``is_order``: one aggregation, order ids counted in two steps.
+
+    The columns of raw_daily, and those of trades_daily and orders_daily that it lacks. ``trades_of``, ``orders_of`` and ``raw_of`` take them apart.
+    """
+    at = F.struct("Time", "row_num_in_file") if order_by is None else order_by
+    notional, second, side, order = F.col("Price") * F.col("Volume"), F.col("Time"), F.col("TradeDir"), F.col("is_order")
+    some = lambda test: F.coalesce(F.sum(F.when(test, notional)), F.lit(0.0))
+    return ticks.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("trade_count"), F.coalesce(F.sum(notional), F.lit(0.0)).alias("turnover"), F.coalesce(F.sum("Volume"), F.lit(0)).alias("share_volume"),
+        F.avg("Volume").alias("avg_trade_size"), F.max_by("Price", at).alias("close_like_price"),
+        some(session(second, "morning")).alias("morning_turnover"), some(session(second, "afternoon")).alias("afternoon_turnover"),
+        F.count_if(side == 1).alias("buy_count"), some(side == 1).alias("buy_notional"), some(side == 2).alias("sell_notional"),
+        F.count_if(order).alias("order_event_count"), F.count_distinct(F.when(order, F.col("OrderId"))).alias("unique_order_ids"), some(order).alias("total_order_notional"),
+    )
+
+
+def trades_of(tagged: DataFrame, positive_volume: bool = True) -> DataFrame:
+    """trades_daily's rows of ``tagged_daily``."""
+    out = tagged.select(*KEY, "trade_count", "turnover", "share_volume", "avg_trade_size", "close_like_price")
+    out = out.where(F.col("share_volume") > 0) if positive_volume else out
+    return out.withColumn("vwap", ratio(F.col("turnover"), F.col("share_volume"))).withColumn("instrument_key_source", F.lit("source_file_stem"))
+
+
+def orders_of(tagged: DataFrame) -> DataFrame:
+    """orders_daily's rows of ``tagged_daily``: where there is an order."""
+    out = tagged.where(F.col("order_event_count") > 0).select(*KEY, "order_event_count", "unique_order_ids", "total_order_notional")
+    return out.withColumn("churn_ratio", ratio(F.col("order_event_count"), F.col("unique_order_ids"))).withColumn("instrument_key_source", F.lit("source_file_stem"))
+
+
+def raw_of(tagged: DataFrame) -> DataFrame:
+    """raw_daily's rows of ``tagged_daily``."""
+    return tagged.select(*KEY, "trade_count", "turnover", "morning_turnover", "afternoon_turnover", "buy_count", "buy_notional", "sell_notional")
+
+
 def missing_dates(wanted: DataFrame, held: DataFrame) -> DataFrame:
     """Dates of the first that the second has no row of."""
     return wanted.select("date").distinct().join(held.select("date").distinct(), "date", "left_anti")

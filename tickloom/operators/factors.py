@@ -8,8 +8,10 @@ and instrument), all changes from one self-join of it with the previous availabl
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.daily import KEY
@@ -55,6 +57,29 @@ BY_NAME = {spec.name: spec for spec in SPECS}
 BASELINES = ("structural_activity_proxy", "avg_trade_notional_bias", "order_lifecycle_churn", "close_vwap_gap_intensity")
 
 
+#: The daily columns that a level expression may read, by the table that has them, as ``levels`` calls them.
+LANE_COLUMNS = {
+    "trades": "trade_count long, turnover double, share_volume long, avg_trade_size double, close_like_price double, vwap double",
+    "orders": "order_event_count long, unique_order_ids long, total_order_notional double, churn_ratio double",
+    "raw": "raw_count long, raw_turnover double, morning_turnover double, afternoon_turnover double, buy_count long, buy_notional double, sell_notional double, trade_size_gini double, interval_cv double",
+}
+
+
+def lanes_of(spark: SparkSession, expression: str) -> tuple[str, ...]:
+    """The fewest daily tables whose columns an expression resolves against, by the analyser; a ValueError where none do."""
+    problem = None
+    for n in range(1, len(LANE_COLUMNS) + 1):
+        for lanes in combinations(LANE_COLUMNS, n):
+            try:
+                kind = spark.createDataFrame([], ", ".join(LANE_COLUMNS[lane] for lane in lanes)).select(F.expr(expression).cast("double").alias("level"))
+            except (AnalysisException, ParseException) as error:
+                problem = error
+                continue
+            if kind.schema["level"].dataType.typeName() == "double":
+                return lanes
+    raise ValueError(f"{expression} does not resolve over the daily columns: {problem}")
+
+
 def factor_names(specs: tuple[FactorSpec, ...] = SPECS) -> list[str]:
     return [name for spec in specs for name in (spec.name, spec.change)]
 

@@ -1,17 +1,24 @@
 """Mutual information, transfer entropy, and permutation tests, as counts of equal-frequency bins.
 
 Permutations need no random numbers: permutation p orders rows by md5 of p, date and instrument. Since equal-frequency bins
-depend on places only, a permuted score's bin is the bin of its place in that order; no values are moved.
+depend on places only, a permuted score's bin is the bin of its place in that order; no values are moved. So a permuted score does not
+depend on the score at all, but on which instruments have one and on their labels: factors with the same instruments on a date share
+their permutations, and each set of instruments is ordered once, whatever the number of factors. Likewise a permuted source series depends on
+the source and on the dates that it shares with a target, not on the target.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import adaptive_bins, effective_bins, frequency_bin
+from tickloom.operators.universe import BROADCAST_ROWS
 
 BY_DATE = ["factor", "date"]
+GAP_PLACES = 10
 
 
 def binned(joined: DataFrame, bins: int | None = None, by: list[str] = BY_DATE) -> DataFrame:
@@ -77,12 +84,29 @@ def significance(observed: DataFrame, nulls: DataFrame, value: str, by: list[str
     return drawn.select(*by, "observed", "draws", p.alias("p_value"), "null_mean", "null_std", (F.col("observed") - F.col("null_mean")).alias("excess_over_null"), (p <= threshold).alias("significant"))
 
 
-def mi_significance(binned_rows: DataFrame, permutations: int = 100, threshold: float = 0.05, by: list[str] = BY_DATE) -> DataFrame:
-    """Permutation test of each group's mutual information; groups of one row have none."""
+def instrument_sets(binned_rows: DataFrame, by: list[str] = BY_DATE) -> DataFrame:
+    """Each group with the first factor that has the same instruments (and so the same labels) on the date: ``by`` and representative.
+
+    Sets are told apart by their size and two 64-bit hashes of their members.
+    """
+    key = ["date", "__n", "__a", "__b"]
+    sets = binned_rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.bit_xor(F.xxhash64("instrument_key")).alias("__a"), F.bit_xor(F.xxhash64(F.lit(1), "instrument_key")).alias("__b"))
+    return sets.withColumn("representative", F.min("factor").over(Window.partitionBy(*key))).select(*by, "representative")
+
+
+def mi_significance(binned_rows: DataFrame, permutations: int = 100, threshold: float = 0.05) -> DataFrame:
+    """Permutation test of each factor's mutual information by date; groups of one row have none.
+
+    Orders, bins and cells of the permutations are made for one factor of each set of instruments and date; the other factors of the set read
+    the same nulls.
+    """
     rows = binned_rows.where(F.col("n") > 1)
-    observed = mutual_information(rows, by)
-    nulls = _information(permuted(rows, permutations, by), [*by, "permutation"])
-    return significance(observed, nulls, "mi", by, threshold)
+    observed = mutual_information(rows)
+    sets = instrument_sets(rows)
+    first = rows.join(sets.where(F.col("factor") == F.col("representative")), BY_DATE, "left_semi")
+    nulls = _information(permuted(first, permutations), [*BY_DATE, "permutation"])
+    shared = sets.join(nulls.select(F.col("factor").alias("representative"), "date", "mi"), ["representative", "date"])
+    return significance(observed, shared, "mi", BY_DATE, threshold)
 
 
 def turnover_entropy(daily: DataFrame, value: str = "turnover") -> DataFrame:
@@ -138,16 +162,83 @@ def transfer_entropy(pairs: DataFrame, lag: int = 1, bins: int | None = None, le
     return found.withColumn("te", F.when(F.col("observations") <= 1, F.lit(0.0)).otherwise(F.col("te")))
 
 
+def _shared_series(series: DataFrame) -> DataFrame:
+    """Each factor's values on the dates that it shares with each set of dates: factor, own, other, i, dates, value, date.
+
+    ``own`` and ``other`` name sets of dates by a factor that has them. Two factors share dates by their sets alone, so a factor's series is
+    cut once for each set, of which there are few, and not once for each other factor. The sets are a row a factor of the catalogue, read by the driver.
+    """
+    marks = series.groupBy("factor").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("date")).alias("a")).collect()
+    first: dict[tuple[int, int], str] = {}
+    for r in sorted(marks, key=lambda r: r["factor"]):
+        first.setdefault((r["n"], r["a"]), r["factor"])
+    spark = series.sparkSession
+    sets = F.broadcast(spark.createDataFrame([(r["factor"], first[r["n"], r["a"]]) for r in marks], "factor string, own string"))
+    named = series.join(sets, "factor")
+    others = named.where(F.col("factor") == F.col("own")).select(F.col("own").alias("other"), "date")
+    both = named.join(others, "date")
+    within = Window.partitionBy("factor", "other")
+    return both.select("factor", "own", "other", "date", "value", F.row_number().over(within.orderBy("date")).alias("i"), F.count(F.lit(1)).over(within).alias("dates"))
+
+
+def te_tests(series: DataFrame, permutations: int = 200, lag: int = 1, bins: int | None = None, least: int = 2, most: int = 8, min_overlap: int = 5, threshold: float = 0.05, keep: Callable[[DataFrame], DataFrame] = DataFrame.cache) -> DataFrame:
+    """Permutation test of the transfer entropy of every ordered pair of (factor, date, value): the source's values are dealt anew over its dates.
+
+    The observed value is that of the order as it is, permutation 0. A source's bins are made once for each permutation and set of shared dates,
+    a target's once for each set; a pair joins them by place. Its cells are counted in the partitions that the source's orders lie in
+    already: (u, v, w), from them (v, u), from them the pair; what depends on (v, w) alone is the target's. Sides that
+    are small enough by their count are broadcast. keep: holds the cut series, some rows a factor and date, which all sides read.
+    """
+    if lag < 1 or permutations < 1:
+        raise ValueError("lag and permutations must be at least 1")
+    cut = _shared_series(series).where(F.col("dates") >= max(min_overlap, lag + 2))
+    n = F.col("dates") - lag
+    k = adaptive_bins(n, least, most) if bins is None else effective_bins(n, max(2, bins))
+    # Numbers stand for names while cells are counted: s for a source cut to a set of dates, t for a target.
+    cut = keep(cut.withColumns({"n": n, "bins": k, "s": F.xxhash64("factor", "other"), "t": F.xxhash64("factor")}))
+    placed = lambda by, *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    log = lambda c: c * F.log(c)
+
+    later = cut.withColumn("before", F.lag("value", 1).over(Window.partitionBy("s").orderBy("i"))).where(F.col("i") > lag)
+    target = later.withColumns({"vb": frequency_bin(placed(["s"], "before", "i"), F.col("bins"), F.col("n")), "wb": frequency_bin(placed(["s"], "value", "i"), F.col("bins"), F.col("n"))})
+    # The sums over (v) and (v, w) are the same for every source and permutation.
+    cells = target.groupBy("s", "vb", "wb").agg(F.count(F.lit(1)).alias("c"))
+    cells = cells.groupBy("s", "vb").agg(F.sum("c").alias("cv"), F.sum(log(F.col("c"))).alias("wv"))
+    fixed = cells.groupBy("s").agg((F.sum(log(F.col("cv"))) - F.sum("wv")).alias("fixed"))
+    target = target.join(fixed, "s").select("t", F.col("own").alias("other"), F.col("other").alias("own"), "i", (F.col("vb") * 1_000 + F.col("wb")).cast("int").alias("vw"), "fixed")
+
+    drawn = cut.select("s", "t", "factor", "own", "other", "date", "value", "i", "n", "bins").repartition("s").withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
+    order = F.when(F.col("permutation") == 0, F.lpad(F.col("i").cast("string"), 10, "0")).otherwise(F.md5(F.concat_ws(":", F.col("permutation").cast("string"), "factor", F.col("date").cast("string")).cast("binary")))
+    run = ["s", "permutation"]
+    moved = drawn.withColumn("place", placed(run, order) + 1).where(F.col("place") <= F.col("n"))
+    ub = frequency_bin(placed(run, "value", "place"), F.col("bins"), F.col("n")).cast("int")
+    source = moved.select(*run, F.col("t").alias("itself"), "own", "other", (F.col("place") + lag).alias("i"), ub.alias("ub"))
+
+    few = target.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = source.join(F.broadcast(target) if few else target, ["own", "other", "i"]).where(F.col("itself") != F.col("t"))
+    by = [*run, "t"]
+    vu, w = (F.floor(F.col("vw") / 1_000) * 1_000 + F.col("ub")).cast("int"), (F.col("vw") % 1_000).cast("int")
+    counts = met.groupBy(*by, vu.alias("vu"), w.alias("w")).agg(F.count(F.lit(1)).alias("c"), F.first("fixed").alias("fixed"))
+    counts = counts.groupBy(*by, "vu").agg(F.sum("c").alias("c"), F.sum(log(F.col("c"))).alias("uvw"), F.first("fixed").alias("fixed"))
+    found = counts.groupBy(*by).agg(((F.sum("uvw") - F.sum(log(F.col("c"))) + F.first("fixed")) / F.sum("c")).alias("te"))
+    # A pair's permutations lie together: the draws are held against the observed one in the same pass.
+    draw = F.when(F.col("permutation") > 0, F.col("te"))
+    with_observed = found.withColumn("observed", F.max(F.when(F.col("permutation") == 0, F.col("te"))).over(Window.partitionBy("s", "t")))
+    out = with_observed.groupBy("s", "t").agg(
+        F.max("observed").alias("observed"), F.count(draw).alias("draws"), F.count_if((F.col("permutation") > 0) & (F.col("te") >= F.col("observed") - 1e-12)).alias("extreme"), F.avg(draw).alias("null_mean"), F.stddev_pop(draw).alias("null_std"),
+    )
+    sources = cut.groupBy("s").agg(F.first("factor").alias("source"), F.first("n").alias("observations"), F.first("bins").alias("bins"))
+    targets = cut.groupBy("t").agg(F.first("factor").alias("target"))
+    p = (F.col("extreme") + 1) / (F.col("draws") + F.lit(1.0))
+    return out.join(sources, "s").join(targets, "t").select(
+        "source", "target", "observations", (F.col("observations") + lag).alias("sample_days"), "bins", "observed", "draws", p.alias("p_value"), "null_mean", "null_std", (F.col("observed") - F.col("null_mean")).alias("excess_over_null"), (p <= threshold).alias("significant"),
+    )
+
+
 def te_significance(pairs: DataFrame, permutations: int = 200, lag: int = 1, bins: int | None = None, least: int = 2, most: int = 8, min_overlap: int = 5, threshold: float = 0.05) -> DataFrame:
-    """Permutation test of each pair's transfer entropy: the source's values are dealt anew over its dates."""
-    by = ["source", "target", "permutation"]
-    enough = pairs.where(F.col("dates") >= max(min_overlap, lag + 2))
-    drawn = enough.withColumn("permutation", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    order = F.md5(F.concat_ws(":", F.col("permutation").cast("string"), "source", F.col("date").cast("string")).cast("binary"))
-    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
-    moved = drawn.drop("x").join(drawn.select(*by, F.col("place").alias("i"), "x"), [*by, "i"])
-    nulls = _transfer(_triplets(moved, lag, by, bins, least, most), by)
-    return significance(transfer_entropy(pairs, lag, bins, least, most, min_overlap), nulls, "te", ["source", "target"], threshold)
+    """``te_tests`` of the pairs given: (source, target, date, x, y)."""
+    series = pairs.select(F.col("source").alias("factor"), "date", F.col("x").alias("value")).unionByName(pairs.select(F.col("target").alias("factor"), "date", F.col("y").alias("value"))).distinct()
+    return te_tests(series, permutations, lag, bins, least, most, min_overlap, threshold).join(pairs.select("source", "target").distinct(), ["source", "target"], "left_semi")
 
 
 def lead_edges(te: DataFrame, tests: DataFrame | None = None) -> DataFrame:
@@ -158,6 +249,19 @@ def lead_edges(te: DataFrame, tests: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def ranked_edges(tests: DataFrame) -> DataFrame:
+    """Each tested pair with both directions' values and tests, and its rank: significant pairs first, then by the gap; ties by name.
+
+    A scan has one row a pair of the catalogue, so ranking them all is a sort of some hundreds of rows.
+    """
+    back = tests.select(F.col("source").alias("target"), F.col("target").alias("source"), F.col("observed").alias("reverse_te"), F.col("p_value").alias("reverse_p_value"), F.col("significant").alias("reverse_significant"))
+    out = tests.withColumnRenamed("observed", "forward_te").join(back, ["source", "target"])
+    # Gaps that are equal but for the order of a sum rank as equal.
+    out = out.withColumn("lead_gap", F.round(F.col("forward_te") - F.col("reverse_te"), GAP_PLACES) + 0.0)
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("significant"), F.desc("lead_gap"), "source", "target")
+    return out.withColumn("rank", F.row_number().over(order))
+
+
 def lead_matrix(edges: DataFrame, factors: list[str]) -> DataFrame:
     """One row a source, one column a target: the forward transfer entropy; null on the diagonal and for pairs with too few dates."""
     return edges.groupBy("source").pivot("target", factors).agg(F.max("forward_te"))

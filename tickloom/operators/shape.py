@@ -1,52 +1,61 @@
-"""Statistics of a day's ticks that are no plain aggregates: concentration of sizes, burstiness of arrivals."""
+"""Statistics of a day's ticks that are no plain aggregates: concentration of sizes, burstiness of arrivals.
+
+Ticks are counted by value before anything is ordered, so what is ordered is the distinct values of a day and instrument: at most 86,400
+seconds, and the distinct notionals. Those are ordered by ranges, since an instrument may have very many: a place is the place in its range plus
+the number of ticks in lower ranges.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import session
-from tickloom.operators.daily import KEY
+from tickloom.operators.daily import KEY, raw_daily
+
+#: Ranges of values: so many for each doubling.
+RANGES = 8
+
+
+def value_range(value: Column) -> Column:
+    """A number that never falls where the value rises: the sign, and within it the logarithm's part."""
+    part = F.floor(F.log2(F.abs(value)) * RANGES) + 1_100 * RANGES
+    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("long") * part).cast("long")
 
 
 def gini(trades: DataFrame, value: str = "notional") -> DataFrame:
     """Gini coefficient of trade notionals by date and instrument; 0 for a single trade or a sum that is not positive.
 
-    The values are never gathered into an array: a place by order, then sums.
+    Equal values are counted first. Of a value's c ticks, after b ticks of smaller ones, the places add up to c * b + c * (c + 1) / 2.
     """
-    by_size = Window.partitionBy(*KEY).orderBy("__v")
-    placed = trades.select(*KEY, (F.col("Price") * F.col("Volume")).alias("__v") if value == "notional" else F.col(value).alias("__v")).where(F.col("__v").isNotNull()).withColumn("__i", F.row_number().over(by_size))
-    sums = placed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("__v").alias("total"), F.sum(F.col("__i") * F.col("__v")).alias("placed"))
+    v = F.col("Price") * F.col("Volume") if value == "notional" else F.col(value)
+    counted = trades.select(*KEY, v.alias("__v")).where(F.col("__v").isNotNull()).groupBy(*KEY, "__v").agg(F.count(F.lit(1)).alias("__c")).withColumn("__r", value_range(F.col("__v")))
+    lower = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    c = F.col("__c")
+    placed = counted.withColumn("__b", F.coalesce(F.sum("__c").over(lower([*KEY, "__r"], "__v")), F.lit(0)))
+    ranges = placed.groupBy(*KEY, "__r").agg(F.sum("__c").alias("n"), F.sum(c * F.col("__v")).alias("total"), F.sum(F.col("__v") * (c * F.col("__b") + c * (c + 1) / 2)).alias("placed"))
+    ranges = ranges.withColumn("below", F.coalesce(F.sum("n").over(lower(KEY, "__r")), F.lit(0)))
+    sums = ranges.groupBy(*KEY).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum(F.col("placed") + F.col("below") * F.col("total")).alias("placed"))
     value_ = (2 * F.col("placed") - (F.col("n") + 1) * F.col("total")) / (F.col("n") * F.col("total"))
     return sums.select(*KEY, F.when((F.col("n") <= 1) | (F.col("total") <= 0), F.lit(0.0)).otherwise(value_).alias("trade_size_gini"))
 
 
 def burstiness(trades: DataFrame) -> DataFrame:
-    """Sample deviation over mean of the positive gaps between ticks, in seconds; 0 with fewer than three ticks or two such gaps."""
-    by_time = Window.partitionBy(*KEY).orderBy("Time")
-    gaps = trades.select(*KEY, "Time").where(F.col("Time").isNotNull()).withColumn("__gap", F.col("Time") - F.lag("Time").over(by_time))
-    gap = F.when(F.col("__gap") > 0, F.col("__gap").cast("double"))
-    sums = gaps.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.count(gap).alias("positive"), F.stddev_samp(gap).alias("sd"), F.avg(gap).alias("mean"))
+    """Sample deviation over mean of the positive gaps between ticks, in seconds; 0 with fewer than three ticks or two such gaps.
+
+    The positive gaps are those between distinct seconds.
+    """
+    seconds = trades.select(*KEY, "Time").where(F.col("Time").isNotNull()).groupBy(*KEY, "Time").agg(F.count(F.lit(1)).alias("__c"))
+    gaps = seconds.withColumn("__gap", (F.col("Time") - F.lag("Time").over(Window.partitionBy(*KEY).orderBy("Time"))).cast("double"))
+    sums = gaps.groupBy(*KEY).agg(F.sum("__c").alias("n"), F.count("__gap").alias("positive"), F.stddev_samp("__gap").alias("sd"), F.avg("__gap").alias("mean"))
     return sums.select(*KEY, F.when((F.col("n") < 3) | (F.col("positive") < 2), F.lit(0.0)).otherwise(F.try_divide("sd", "mean")).alias("interval_cv"))
 
 
+def shaped(raw: DataFrame, trades: DataFrame) -> DataFrame:
+    """The columns of daily.raw_daily with both statistics of the same ticks; 0 where all of a day's sizes or times are null."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return raw.join(gini(trades), KEY, "left").join(burstiness(trades), KEY, "left").select(*raw.columns, zero("trade_size_gini"), zero("interval_cv"))
+
+
 def raw_statistics(trades: DataFrame) -> DataFrame:
-    """The columns of daily.raw_daily, ``gini`` and ``burstiness`` from one scan and one shuffle of the ticks: both orders are windows over the same partitions, and the sums follow without another exchange."""
-    within = Window.partitionBy(*KEY)
-    notional = F.col("Price") * F.col("Volume")
-    placed = trades.select(*KEY, "Time", "TradeDir", notional.alias("__v")).withColumns({
-        "__i": F.row_number().over(within.orderBy(F.col("__v").asc_nulls_last())),
-        "__gap": F.col("Time") - F.lag("Time").over(within.orderBy("Time")),
-    })
-    v, side, gap = F.col("__v"), F.col("TradeDir"), F.when(F.col("__gap") > 0, F.col("__gap").cast("double"))
-    some = lambda test: F.coalesce(F.sum(F.when(test, v)), F.lit(0.0))
-    sums = placed.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("trade_count"), F.coalesce(F.sum(v), F.lit(0.0)).alias("turnover"),
-        some(session(F.col("Time"), "morning")).alias("morning_turnover"), some(session(F.col("Time"), "afternoon")).alias("afternoon_turnover"),
-        F.count_if(side == 1).alias("buy_count"), some(side == 1).alias("buy_notional"), some(side == 2).alias("sell_notional"),
-        F.count(v).alias("__n"), F.sum(F.col("__i") * v).alias("__placed"), F.count("Time").alias("__times"), F.count(gap).alias("__positive"), F.stddev_samp(gap).alias("__sd"), F.avg(gap).alias("__mean"),
-    )
-    n, total = F.col("__n"), F.col("turnover")
-    coefficient = F.when((n <= 1) | (total <= 0), F.lit(0.0)).otherwise((2 * F.col("__placed") - (n + 1) * total) / (n * total))
-    cv = F.when((F.col("__times") < 3) | (F.col("__positive") < 2), F.lit(0.0)).otherwise(F.try_divide("__sd", "__mean"))
-    return sums.withColumns({"trade_size_gini": coefficient, "interval_cv": cv}).drop("__n", "__placed", "__times", "__positive", "__sd", "__mean")
+    """``shaped`` from ticks alone."""
+    return shaped(raw_daily(trades), trades)

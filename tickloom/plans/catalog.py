@@ -98,7 +98,7 @@ from lineitem join orders on o_orderkey = l_orderkey join supplier on s_suppkey
         lambda spark, sf_dir: (lambda x: _out(factors.one_day_change(factors.levels(x.raw_lane(), specs=raw), x.steps(), raw_names), [*KEY, "previous_date"], [f"{n}_change" for n in raw_names]))(Lane(spark, sf_dir)),
         sql.query(f"select l.date, l.instrument_key, s.previous_date, {', '.join(f'round(l.{n} - p.{n}, {sql.places(n + "_change")}) as {n}_change' for n in raw_names)} from levels_raw l join steps s on s.date = l.date join levels_raw p on p.date = s.previous_date and p.instrument_key = l.instrument_key"),
     )
-    q["factor_scores_long"] = _entry(Lane.scores, ["factor", *KEY], ["score"], "scores")
+    q["factor_scores_long"] = _entry(Lane.long, ["factor", *KEY], ["score"], "scores")
     q["forward_labels"] = (
         lambda spark, sf_dir: _out(Lane(spark, sf_dir).labels(), ["date", "next_date", "instrument_key", "label_source"], ["close_like_price", "next_close_like_price", evaluate.LABEL]),
         sql.query(f"select date, next_date, instrument_key, 'close_like_price' as label_source, round(close_like_price, 8) as close_like_price, round(next_close_like_price, 8) as next_close_like_price, round(label, 8) as {evaluate.LABEL} from labels"),
@@ -118,8 +118,9 @@ from lineitem join orders on o_orderkey = l_orderkey join supplier on s_suppkey
     q["mi_permutation_pvalue"] = _entry(lambda x: x.significance().withColumnsRenamed({"p_value": "mi_p_value", "excess_over_null": "mi_excess_over_null"}), [*by, "draws"], ["observed", "mi_p_value", "null_mean", "null_std", "mi_excess_over_null"], "mi_tests")
     q["turnover_entropy_by_date"] = _entry(lambda x: information.turnover_entropy(x.trades_daily()), ["date"], ["market_turnover_entropy"], "entropy")
     q["transfer_entropy_pairs"] = _entry(lambda x: information.transfer_entropy(x.pairs()), ["source", "target", "observations", "bins"], ["te"], "te")
-    q["transfer_entropy_pvalue"] = _entry(lambda x: information.te_significance(x.pairs(), sql.TE_PERMUTATIONS), ["source", "target", "draws"], ["observed", "p_value", "null_mean", "null_std", "excess_over_null"], "te_tests")
+    q["transfer_entropy_pvalue"] = _entry(Lane.te_tests, ["source", "target", "draws"], ["observed", "p_value", "null_mean", "null_std", "excess_over_null"], "te_tests")
     q["lead_lag_edges"] = _entry(lambda x: information.lead_edges(information.transfer_entropy(x.pairs())), ["source", "target", "observations"], ["forward_te", "reverse_te", "lead_gap"], "(select a.source, a.target, a.observations, a.te as forward_te, b.te as reverse_te, a.te - b.te as lead_gap from te a join te b on a.source = b.target and a.target = b.source)")
+    q["lead_lag_ranked"] = _entry(lambda x: information.ranked_edges(x.te_tests()), ["rank", "source", "target", "observations", "sample_days", "bins", "draws", "significant", "reverse_significant"], ["forward_te", "p_value", "null_mean", "null_std", "reverse_te", "reverse_p_value", "lead_gap"], "te_ranked")
     q["lead_lag_matrix"] = _entry(lambda x: information.lead_matrix(information.lead_edges(information.transfer_entropy(x.pairs())), factors.factor_names()), ["source"], factors.factor_names(), f"(select source, {', '.join(f"max(te) filter (where target = '{n}') as {n}" for n in factors.factor_names())} from te group by source)")
     q["unordered_pairs"] = (lambda spark, sf_dir: information.unordered_pairs(policy.catalogue(spark)), sql.query("select a.factor as left_factor, b.factor as right_factor from catalogue a join catalogue b on a.factor < b.factor"))
     q["market_stats"] = _entry(lambda x: regimes.market_stats(x.trades_daily()), ["date"], ["market_total_turnover", "market_abs_close_return", "market_turnover_entropy"], "market")

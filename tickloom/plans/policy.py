@@ -185,9 +185,9 @@ def next_steps(histogram: dict[str, int], candidates: int) -> list[str]:
     return [step for test, step in rules if test] or ["prioritise_ready_candidates"]
 
 
-def catalogue(spark) -> DataFrame:
-    """One row a factor of the catalogue: family, caveat flag and universe columns."""
-    rows = [(name, spec.family, spec.caveat, False, "stock_research_candidate", "target_only", UNIVERSE_VERSION) for spec in SPECS for name in (spec.name, spec.change)]
+def catalogue(spark, specs=SPECS, names: list[str] | None = None, target: str = "stock_research_candidate", version: str = UNIVERSE_VERSION, source: str = "target_only", cross_security: bool = False) -> DataFrame:
+    """One row a factor of the catalogue, or of ``names``: family, caveat flag, and the universe columns as the lane applied them."""
+    rows = [(name, spec.family, spec.caveat, cross_security, target, source, version) for spec in specs for name in (spec.name, spec.change) if names is None or name in names]
     return spark.createDataFrame(rows, "factor string, family string, contains_caveat_fields boolean, contains_cross_security_source boolean, target_instrument_universe string, source_instrument_universe string, universe_filter_version string")
 
 

@@ -8,8 +8,8 @@ from typing import Any
 from tickloom.functions.columns import YEAR_GRADES
 from tickloom.operators.factors import BASELINES, FactorSpec
 from tickloom.operators.universe import UNIVERSE_VERSION
-from tickloom.plans.cards import YEARS
-from tickloom.sources import logs
+from tickloom.plans.cards import YEARS, parse_card
+from tickloom.sources import logs, ticks
 
 TARGET, SOURCE, LABEL = "stock_research_candidate", "target_only", "forward_return_1d_close_like"
 
@@ -66,21 +66,30 @@ def family_profile(family: str, record: dict[str, Any]) -> dict[str, Any]:
     return out | {"current_best_variants": listed(record.get("current_best_variants")) or listed(record.get("current_best_variant"))}
 
 
-def factor_profile(spec: FactorSpec, card: dict[str, Any], family: dict[str, Any], target: str = TARGET, source: str = SOURCE, cross_security: bool = False) -> dict[str, Any]:
+def factor_profile(
+    spec: FactorSpec, card: dict[str, Any], family: dict[str, Any], target: str = TARGET, source: str = SOURCE, cross_security: bool = False, version: str = UNIVERSE_VERSION, transform: str = "level", card_path: str = "", family_path: str = "",
+) -> dict[str, Any]:
     """A factor's profile from its spec, research card and family profile: its lanes, horizons, known failures and comparators."""
     mapped = bool(cross_security or source != SOURCE or card.get("requires_cross_security_mapping"))
     uses = card.get("semantics", {})
     raw = "raw" in spec.lanes
     return {
-        "factor_name": spec.name,
-        "factor_id": spec.name,
+        "factor_name": spec.name if transform == "level" else spec.change,
+        "factor_id": spec.name if transform == "level" else spec.change,
+        "module_name": spec.name,
+        "transform_name": transform,
+        "transform_chain": ["daily_aggregate", "level", *([transform] if transform != "level" else [])],
+        "expected_regime": listed(card.get("expected_regime")),
+        "forbidden_semantic_assumptions": _merged(card.get("forbidden_semantic_assumptions"), family.get("forbidden_semantic_assumptions")),
+        "research_card_path": card_path,
+        "family_registry_path": family_path,
         "family_id": spec.family or str(card.get("factor_family", "")),
         "family_name": family.get("family_name") or spec.family,
         "mechanism_hypothesis": str(card.get("mechanism", "")),
         "target_universe_scope": target,
         "source_universe_scope": source,
         "contains_cross_security_source": cross_security,
-        "universe_filter_version": UNIVERSE_VERSION,
+        "universe_filter_version": version,
         "label_definition": LABEL,
         "required_data_lane": "verified_raw" if raw else "daily_agg",
         "input_dependencies": list(spec.lanes),
@@ -97,6 +106,40 @@ def factor_profile(spec: FactorSpec, card: dict[str, Any], family: dict[str, Any
     } | {name: family.get(key, "") for name, key in FROM_FAMILY.items()}
 
 
+#: What of a profile a scoreboard's row shows; lists are joined by commas.
+ON_BOARD = (
+    "family_name", "module_name", "transform_name", "transform_chain", "mechanism_hypothesis", "required_data_lane", "required_year_grade", "time_grade_requirement", "baseline_comparators", "known_failure_modes", "forbidden_semantic_assumptions",
+    "expected_regime", "research_card_path", "label_definition", "evaluation_horizons", "family_registry_path", "promotion_target", *FROM_FAMILY,
+)
+FLAGS_ON_BOARD = ("contains_caveat_fields", "requires_cross_security_mapping", "supports_default_lane", "supports_extension_lane")
+
+
+def of_candidates(spark, lane: Any, cards: dict[str, str], families: str, registry: dict[str, Any]) -> dict[str, dict[str, Any]]:
+    """A profile for each of a lane's factors, with its baseline group: from its card, and its family's record (``<families>/<family>.yaml``) where there is one."""
+    held: dict[str, dict[str, Any]] = {}
+    out = {}
+    for spec in lane.specs:
+        if spec.family not in held:
+            path = f"{families}/{spec.family}.yaml" if families and spec.family else ""
+            there = bool(path) and ticks.exists(spark, path)
+            held[spec.family] = family_profile(spec.family, logs.read_flat_yaml(path, spark) if there else {}) | {"path": path if there else ""}
+        for column, transform in ((spec.name, "level"), (spec.change, "one_day_difference")):
+            if column not in lane.names:
+                continue
+            card_path = cards.get(column, "")
+            card = parse_card(logs.read_text(spark, card_path)) if card_path else {}
+            profile = factor_profile(spec, card, held[spec.family], lane.target, lane.source, lane.cross_security, lane.version, transform, card_path, held[spec.family]["path"])
+            out[column] = profile | {"baseline_group": baseline_group(column, registry) or baseline_group(spec.name, registry)}
+    return out
+
+
+def board_rows(spark, profiles: dict[str, dict[str, Any]]):
+    """(factor, ...) of what a scoreboard shows of profiles: a row a factor."""
+    text = lambda v: ",".join(map(str, v)) if isinstance(v, list | tuple) else str(v)
+    rows = [(name, p["baseline_group"], *(text(p.get(c, "")) for c in ON_BOARD), *(bool(p[c]) for c in FLAGS_ON_BOARD)) for name, p in sorted(profiles.items())]
+    return spark.createDataFrame(rows, ", ".join(["factor string", "baseline_group string", *(f"{c} string" for c in ON_BOARD), *(f"{c} boolean" for c in FLAGS_ON_BOARD)]))
+
+
 def baseline_registry(path: str | None = None) -> dict[str, Any]:
     """The registry of baselines: ``default_baselines`` and ``groups`` (name: factors) of a TOML file; the catalogue's own without one."""
     if path is None:

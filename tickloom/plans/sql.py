@@ -204,6 +204,10 @@ STEPS["te_nulls"] = _te("te_moved", "source, target, p")
 STEPS["te_tests"] = """select source, target, o.te as observed, count(*) as draws, (count(*) filter (where u.te >= o.te - 1e-12) + 1) / (count(*) + 1.0) as p_value, avg(u.te) as null_mean,
   stddev_pop(u.te) as null_std, o.te - avg(u.te) as excess_over_null from te o join te_nulls u using (source, target) group by source, target, o.te"""
 
+STEPS["te_ranked"] = """select row_number() over (order by significant desc, lead_gap desc, source, target) as rank, * from (
+  select a.source, a.target, o.observations, o.observations + 1 as sample_days, o.bins, a.draws, a.p_value <= 0.05 as significant, b.p_value <= 0.05 as reverse_significant, a.observed as forward_te, a.p_value, a.null_mean, a.null_std,
+  b.observed as reverse_te, b.p_value as reverse_p_value, round(a.observed - b.observed, 10) + 0 as lead_gap
+  from te_tests a join te_tests b on b.source = a.target and b.target = a.source join te o on o.source = a.source and o.target = a.target)"""
 
 
 def query(text: str) -> str:

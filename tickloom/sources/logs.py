@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tomllib
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,18 +29,54 @@ def log_schema(name: str) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in LOGS[name]])
 
 
+def _path(spark: SparkSession, path: str):
+    """A path of any store, and the store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text, from any store."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small file in any store: written beside its place and moved there, so a reader meets all of it or nothing; what was there is replaced."""
+    at, store = _path(spark, path)
+    staged, _ = _path(spark, f"{at.getParent()}/.{at.getName()}-{uuid.uuid4().hex}")
+    out = store.create(staged, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    if store.exists(at):
+        store.delete(at, False)
+    store.rename(staged, at)
+
+
 def read_log(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A log's rows as strings; a log that was never written is empty."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    at, store = _path(spark, f"{root}/{name}")
+    if not store.exists(at):
         return spark.createDataFrame([], log_schema(name))
     return spark.read.schema(log_schema(name)).option("sep", "\t").option("header", True).option("escape", '"').csv(f"{root}/{name}")
 
 
-def append_log(rows: DataFrame, root: str, name: str) -> None:
-    """Appends rows to a log; every file has the header. Columns the rows lack are null."""
-    have = set(rows.columns)
-    rows.select(*[(F.col(c).cast("string") if c in have else F.lit(None).cast("string")).alias(c) for c in LOGS[name]]).coalesce(1).write.mode("append").option("sep", "\t").option("header", True).option("escape", '"').csv(f"{root}/{name}")
+def append_log(rows: DataFrame, root: str, name: str, entry: str | None = None) -> bool:
+    """Appends rows to a log as one file with a header; columns the rows lack are null. Returns whether anything was added.
+
+    ``entry`` names what is appended, and is the file's name: rows of an entry that the log has already are not appended again, so a repeated
+    job changes nothing. The file is written elsewhere first and moved to its place at once. Without an entry every call appends.
+    """
+    spark, have = rows.sparkSession, set(rows.columns)
+    at, store = _path(spark, f"{root}/{name}/{entry or uuid.uuid4().hex}.tsv")
+    if store.exists(at):
+        return False
+    staged, _ = _path(spark, f"{root}/.staged/{uuid.uuid4().hex}")
+    rows.select(*[(F.col(c).cast("string") if c in have else F.lit(None).cast("string")).alias(c) for c in LOGS[name]]).coalesce(1).write.option("sep", "\t").option("header", True).option("escape", '"').csv(staged.toString())
+    made = [f.getPath() for f in store.listStatus(staged) if f.getPath().getName().startswith("part-")]
+    store.mkdirs(at.getParent())
+    added = bool(made) and not store.exists(at) and store.rename(made[0], at)
+    store.delete(staged, True)
+    return added
 
 
 def as_json(*columns: str):
@@ -47,42 +84,56 @@ def as_json(*columns: str):
     return F.to_json(F.struct(*columns))
 
 
-def read_json(path: str, missing_ok: bool = False) -> dict[str, Any]:
-    """A JSON object; what follows its end is ignored, and a file that may be missing gives an empty one."""
-    if missing_ok and not os.path.exists(path):
+def read_json(path: str, missing_ok: bool = False, spark: SparkSession | None = None) -> dict[str, Any]:
+    """A JSON object; what follows its end is ignored, and a file that may be missing gives an empty one. With a session, from any store."""
+    there = _path(spark, path)[1].exists(_path(spark, path)[0]) if spark else os.path.exists(path)
+    if missing_ok and not there:
         return {}
+    if spark:
+        return json.JSONDecoder().raw_decode(read_text(spark, path).lstrip())[0]
     with open(path, encoding="utf-8") as f:
         return json.JSONDecoder().raw_decode(f.read().lstrip())[0]
 
 
-def write_json(payload: Any, path: str) -> None:
+def write_json(payload: Any, path: str, spark: SparkSession | None = None) -> None:
+    """A JSON file; with a session, in any store."""
+    text = json.dumps(payload, indent=2, ensure_ascii=False, default=str)
+    if spark:
+        return write_text(spark, text, path)
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(payload, f, indent=2, ensure_ascii=False, default=str)
+        f.write(text)
 
 
-def read_toml(path: str) -> dict[str, Any]:
+def read_toml(path: str, spark: SparkSession | None = None) -> dict[str, Any]:
+    """A TOML file; with a session, from any store."""
+    if spark:
+        return tomllib.loads(read_text(spark, path))
     with open(path, "rb") as f:
         return tomllib.load(f)
 
 
-def read_flat_yaml(path: str) -> dict[str, Any]:
-    """The simple YAML of family profiles: scalars, and lists of scalars with dashes."""
+def read_flat_yaml(path: str, spark: SparkSession | None = None) -> dict[str, Any]:
+    """The simple YAML of family profiles: scalars, and lists of scalars with dashes. With a session, from any store."""
+    if spark:
+        lines = read_text(spark, path).split("\n")
+    else:
+        with open(path, encoding="utf-8") as f:
+            lines = f.read().split("\n")
     out: dict[str, Any] = {}
     key = None
-    with open(path, encoding="utf-8") as f:
-        for line in f:
-            text = line.split(" #")[0].rstrip()
-            if not text or text.lstrip().startswith("#"):
-                continue
-            if text.lstrip().startswith("- "):
-                if not isinstance(out.get(key), list):
-                    out[key] = []
-                out[key].append(_scalar(text.lstrip()[2:]))
-            else:
-                key, _, value = text.partition(":")
-                key = key.strip()
-                out[key] = _scalar(value) if value.strip() else None
+    for line in lines:
+        text = line.split(" #")[0].rstrip()
+        if not text or text.lstrip().startswith("#"):
+            continue
+        if text.lstrip().startswith("- "):
+            if not isinstance(out.get(key), list):
+                out[key] = []
+            out[key].append(_scalar(text.lstrip()[2:]))
+        else:
+            key, _, value = text.partition(":")
+            key = key.strip()
+            out[key] = _scalar(value) if value.strip() else None
     return out
 
 
@@ -93,15 +144,22 @@ def _scalar(text: str) -> Any:
     return {"true": True, "false": False, "null": None, "[]": []}.get(value, value)
 
 
-def factor_specs(path: str) -> list:
-    """Factor specs from a TOML batch: each prototype's level expression, in Spark SQL over the daily columns, becomes an entry of the catalogue; no code is generated."""
-    from tickloom.operators.factors import FactorSpec
+def factor_specs(path: str, spark: SparkSession | None = None) -> list:
+    """Factor specs from a TOML batch: each prototype's level expression, in Spark SQL over the daily columns, becomes an entry of the catalogue; no code is generated.
+
+    With a session the expressions are resolved against the daily schemas: an unknown column or function is an error, and a
+    factor's input tables follow from the columns that it reads (``factors.lanes_of``). Without one they are as declared.
+    """
+    from tickloom.operators.factors import FactorSpec, lanes_of
 
-    batch = read_toml(path)
+    batch = read_toml(path, spark)
     specs = []
     for item in batch.get("prototypes", []):
         missing = {"slug", "level_expression"} - set(item)
         if missing:
             raise ValueError(f"a spec lacks {', '.join(sorted(missing))}")
-        specs.append(FactorSpec(item["slug"], item["level_expression"], tuple(item.get("input_tables", ("trades", "orders"))), batch.get("family", ""), batch.get("universe") == "phase_a_caveat_lane"))
+        lanes = lanes_of(spark, item["level_expression"]) if spark else tuple(item.get("input_tables", ("trades", "orders")))
+        specs.append(FactorSpec(item["slug"], item["level_expression"], lanes, batch.get("family", ""), batch.get("universe") == "phase_a_caveat_lane"))
+    if double := sorted({s.name for s in specs if sum(t.name == s.name for t in specs) > 1}):
+        raise ValueError(f"specs of one name: {', '.join(double)}")
     return specs
