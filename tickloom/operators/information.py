@@ -59,18 +59,30 @@ def mutual_information(binned_rows: DataFrame, by: list[str] = BY_DATE) -> DataF
     return found.select(*by, "n", "bins", zero(F.col("mi")).alias("mi"), zero(nmi).alias("nmi"), F.abs("score_entropy").alias("score_entropy"), F.abs("label_entropy").alias("label_entropy"))
 
 
-def permuted(binned_rows: DataFrame, permutations: int, by: list[str] = BY_DATE) -> DataFrame:
-    """The rows of each permutation, their score bins dealt anew.
+def _tasks(frame: DataFrame) -> int:
+    """As many tasks as the session shuffles into: named, so that rows which are few before they are multiplied are not put together."""
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    Rows are dealt by group before they are multiplied: windows and counts of the permutations need no further exchange.
+
+def permuted_information(binned_rows: DataFrame, permutations: int, by: list[str] = BY_DATE) -> DataFrame:
+    """``by``, permutation and the mutual information of score bins dealt anew with the label bins.
+
+    Permutations leave both margins as they are, so only the cells' sum is new: mi = sum(c log c) / n - log n + both entropies. Rows are dealt by group
+    before they are multiplied: order and counts of the permutations need no further exchange, and carry numbers only.
     """
     if permutations < 1:
         raise ValueError("permutations must be at least 1")
-    dealt = binned_rows.select(*by, *[c for c in ("instrument_key", "label_bin", "bins", "n") if c not in by], *[c for c in ("date",) if c not in by]).repartition(*by)
-    drawn = dealt.withColumn("permutation", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    order = F.md5(F.concat_ws(":", F.col("permutation").cast("string"), F.col("date").cast("string"), "instrument_key").cast("binary"))
-    place = F.row_number().over(Window.partitionBy(*by, "permutation").orderBy(order)) - 1
-    return drawn.withColumn("score_bin", frequency_bin(place, F.col("bins"), F.col("n")))
+    fixed = _information(binned_rows, by).select(*by, F.xxhash64(*by).alias("__g"), (F.col("score_entropy") + F.col("label_entropy") - F.log("n")).alias("__margins"))
+    tail = F.concat_ws(":", F.lit(""), F.col("date").cast("string"), "instrument_key")
+    rows = binned_rows.select(F.xxhash64(*by).alias("__g"), tail.alias("__tail"), F.col("label_bin").cast("int").alias("label_bin"), "bins", "n").repartition(_tasks(binned_rows), "__g")
+    drawn = rows.withColumn("permutation", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    order = F.md5(F.concat(F.col("permutation").cast("string"), "__tail").cast("binary"))
+    run = ["__g", "permutation"]
+    ordered = drawn.select(*run, "label_bin", "bins", "n", order.alias("__order"))
+    bin_ = frequency_bin(F.row_number().over(Window.partitionBy(*run).orderBy("__order")) - 1, F.col("bins"), F.col("n"))
+    cells = ordered.select(*run, "n", (bin_.cast("int") * 1_000 + F.col("label_bin")).alias("cell")).groupBy(*run, "cell").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    sums = cells.groupBy(*run).agg((F.sum(F.col("c") * F.log("c")) / F.first("n")).alias("__cells"))
+    return sums.join(fixed, "__g").select(*by, "permutation", (F.col("__cells") + F.col("__margins")).alias("mi"))
 
 
 def significance(observed: DataFrame, nulls: DataFrame, value: str, by: list[str], threshold: float = 0.05) -> DataFrame:
@@ -104,7 +116,7 @@ def mi_significance(binned_rows: DataFrame, permutations: int = 100, threshold:
     observed = mutual_information(rows)
     sets = instrument_sets(rows)
     first = rows.join(sets.where(F.col("factor") == F.col("representative")), BY_DATE, "left_semi")
-    nulls = _information(permuted(first, permutations), [*BY_DATE, "permutation"])
+    nulls = permuted_information(first, permutations)
     shared = sets.join(nulls.select(F.col("factor").alias("representative"), "date", "mi"), ["representative", "date"])
     return significance(observed, shared, "mi", BY_DATE, threshold)
 
@@ -207,7 +219,7 @@ def te_tests(series: DataFrame, permutations: int = 200, lag: int = 1, bins: int
     fixed = cells.groupBy("s").agg((F.sum(log(F.col("cv"))) - F.sum("wv")).alias("fixed"))
     target = target.join(fixed, "s").select("t", F.col("own").alias("other"), F.col("other").alias("own"), "i", (F.col("vb") * 1_000 + F.col("wb")).cast("int").alias("vw"), "fixed")
 
-    drawn = cut.select("s", "t", "factor", "own", "other", "date", "value", "i", "n", "bins").repartition("s").withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
+    drawn = cut.select("s", "t", "factor", "own", "other", "date", "value", "i", "n", "bins").repartition(_tasks(series), "s").withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
     order = F.when(F.col("permutation") == 0, F.lpad(F.col("i").cast("string"), 10, "0")).otherwise(F.md5(F.concat_ws(":", F.col("permutation").cast("string"), "factor", F.col("date").cast("string")).cast("binary")))
     run = ["s", "permutation"]
     moved = drawn.withColumn("place", placed(run, order) + 1).where(F.col("place") <= F.col("n"))

@@ -112,7 +112,7 @@ def load(spark: SparkSession, root: str, table: str, dates: list[str], columns:
         raise FileNotFoundError(path)
     if lost := [d for d in wanted if d not in held]:
         raise FileNotFoundError(f"{table} has no partition of {', '.join(lost)}")
-    frame = spark.read.option("basePath", path).parquet(*[held[d] for d in wanted]).withColumn("date", F.col("date").cast("date")).drop("year")
+    frame = spark.read.option("basePath", path).parquet(*[held[d] for d in wanted]).where(F.col("date").isin([F.lit(d).cast("date") for d in wanted])).withColumn("date", F.col("date").cast("date")).drop("year")
     out = list(dict.fromkeys(columns or frame.columns))
     if table in TICK_TABLES:
         frame = frame.withColumn(key_column, instrument_key("source_file"))
