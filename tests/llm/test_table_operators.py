@@ -177,6 +177,50 @@ def test_fixity_of_repeated_null_and_text_ids(spark):
     assert [r["status"] for r in fixity.audit(trees[0], trees[1]).collect()] == ["changed"] and fixity.audit(trees[0], trees[2]).count() == 0
 
 
+def test_fixity_of_records_that_share_a_leaf(spark):
+    """Equal records are ok, whatever became of others of their id or leaf; held against a comparison of all records."""
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "p"), (2, "p"), (2, "p"), (3, "k"), (None, "n"), (None, "m")], "id long, payload string")
+    b = spark.createDataFrame([(1, "x"), (1, "damaged"), (2, "p"), (3, "k"), (3, "more"), (None, "n")], "id long, payload string")
+    sides = [fixity.placed(f, "id", "payload") for f in (a, b)]
+    trees = [fixity.tree_of(f, f"share{i}") for i, f in enumerate(sides)]
+    found = fixity.findings(*map(fixity.counted, sides), fixity.audit(*trees))
+    got = collections.Counter()
+    for r in found.collect():
+        for status in ("ok", "changed", "missing", "extra"):
+            got[r["name"], status] += r[status]
+    assert +got == collections.Counter({("1", "ok"): 1, ("1", "changed"): 1, ("2", "ok"): 1, ("2", "missing"): 2, ("3", "ok"): 1, ("3", "extra"): 1, ("", "missing"): 1})
+    moved = fixity.with_offsets(fixity.leaves(sides[0])), fixity.with_offsets(fixity.leaves(sides[0].where("id = 2")))
+    plain, placed = ([fixity.tree(m, p) for m in moved] for p in (False, True))
+    status = lambda t: {(r["file"], r["key"]): r["status"] for r in fixity.audit(*t).collect()}
+    assert (0, 2) not in status(plain) and status(placed)[0, 2] == "changed"
+
+
+def test_fixity_of_many_text_ids(spark):
+    """Text ids that share leaves: every damaged record is found and no other."""
+    rnd = random.Random(1)
+    rows = [(f"id-{rnd.randrange(8_000)}", f"body {rnd.randrange(3)}") for _ in range(10_000)]
+    other = [(i, p + "!" if k % 97 == 3 else p) for k, (i, p) in enumerate(rows) if k % 89]
+    sides = [fixity.placed(spark.createDataFrame(r, "id string, payload string"), "id", "payload", 2) for r in (rows, other)]
+    trees = [fixity.tree_of(f, f"text{i}") for i, f in enumerate(sides)]
+    found = fixity.findings(*map(fixity.counted, sides), fixity.audit(*trees)).groupBy("name").sum("changed", "missing", "extra").collect()
+    got = {r["name"]: tuple(r)[1:] for r in found if any(tuple(r)[1:])}
+    left, right = collections.Counter(rows), collections.Counter(other)
+    over, under = collections.Counter(), collections.Counter()
+    for record in left | right:
+        over[record[0]] += max(0, left[record] - right[record])
+        under[record[0]] += max(0, right[record] - left[record])
+    want = {i: (pairs := min(over[i], under[i]), over[i] - pairs, under[i] - pairs) for i in over | under if over[i] or under[i]}
+    assert got == want and len(want) > 150
+
+
+def test_fixity_offsets_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(fixity, "COPIES", 3)
+    pages = spark.createDataFrame([(8, "u", "same")] * 10 + [(8, "u", "other"), (9, "u", None)], "page_id long, url string, html string")
+    got = sorted((r["offset"], r["length"]) for r in fixity.op3_query(pages).collect())
+    assert len(got) == 12 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:], strict=False)) and got[0][0] == 0
+    assert fixity.files_for(10) == fixity.HASH_FILES and fixity.files_for(10**9) == 2**20
+
+
 def test_fixity_query_equals_sql(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>é{i}</p>") for i in range(400)], "page_id long, url string, html string")
     want, got = run_sql(spark, "op3_fixity", pages=pages), fixity.op3_query(pages)

@@ -7,13 +7,18 @@ its records take up in the file, so a difference is at once a range to copy agai
 
 A leaf's place comes from its record's key within the file, not from its count, so a lost or an added record changes
 its own leaf only. Files hold at most ``FILE_KEYS`` keys: a group being hashed is never larger than ``FAN`` children, and the
-number of levels is fixed. A whole number is placed by its value; other ids by their hash, records without an id by that of their bytes.
-
-Defined results: a record that both replicas hold with equal bytes is ``ok``; with other bytes ``changed``; one held by the
-first only is ``missing``, by the second only ``extra``. Records that share a key are one leaf, hashed in two steps (by the first
-digits of their hashes, so that no task holds all records of a hot key); each is still a row of its own, with the leaf's offset and
-finding. A null payload is an empty one; very long ones are hashed whole. Empty replicas have no roots. Only the id and the
-payload are read, so other columns can't clash.
+number of levels is fixed. A whole number is placed by its value; other ids by their hash over as many files as the records ask for
+(``files_for``), records without an id by that of their bytes. Hashes stand for bytes alone, since a lost record would otherwise change all that
+follow it; ``tree(..., with_places=True)`` hashes offsets too, for replicas that must agree in them.
+
+Records that share a key are one leaf, hashed in two steps (by the first digits of their hashes, so that no task holds all records of a hot
+key). Where such a leaf differs the descent goes on to its records (``findings``): copies of equal id and bytes are counted in both replicas, and what
+one has over is paired by id.
+
+Defined results: a record that both replicas hold with equal bytes is ``ok``; of the records of an id that the other replica does not hold so,
+as many as it holds with other bytes are ``changed`` (in order of their hashes) and the rest ``missing``, or ``extra`` in the second. Each record is a row with its own
+offset: in a leaf records lie in order of hash, then id. A null payload is an empty one; very long ones are hashed whole. Empty replicas have no
+roots. Only the id and the payload are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import written
@@ -44,18 +49,23 @@ def warc_record(url: Column, record_id: Column, body: Column) -> Column:
     )
 
 
-def placed(records: DataFrame, id_column: str, payload: str) -> DataFrame:
-    """id, file, key, length, hash of each record; records lie in their file by key."""
+def files_for(records: int) -> int:
+    """Files to deal so many records over by hash, a power of two: a quarter of the keys used on average. Both replicas need the same number."""
+    return max(HASH_FILES, 1 << max(0, records * 4 // FILE_KEYS).bit_length())
+
+
+def placed(records: DataFrame, id_column: str, payload: str, files: int = HASH_FILES) -> DataFrame:
+    """id, file, key, length, hash of each record; records lie in their file by key. files: over how many those are dealt that are placed by a hash."""
     name = F.col(f"`{id_column}`")
     body = F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit("").cast("binary"))
     if dict(records.dtypes)[id_column] in ("tinyint", "smallint", "int", "bigint"):
         file, key = F.floor(name / F.lit(FILE_KEYS)), F.pmod(name, F.lit(FILE_KEYS))
     else:
-        file, key = F.pmod(F.shiftright(F.xxhash64(name), 12), F.lit(HASH_FILES)), F.pmod(F.xxhash64(name), F.lit(FILE_KEYS))
+        file, key = F.pmod(F.shiftright(F.xxhash64(name), 12), F.lit(files)), F.pmod(F.xxhash64(name), F.lit(FILE_KEYS))
     content = F.xxhash64(body)
     return records.select(
         name.alias("id"),
-        F.when(name.isNull(), -1 - F.pmod(F.shiftright(content, 12), F.lit(HASH_FILES))).otherwise(file).cast("long").alias("file"),
+        F.when(name.isNull(), -1 - F.pmod(F.shiftright(content, 12), F.lit(files))).otherwise(file).cast("long").alias("file"),
         F.when(name.isNull(), F.pmod(content, F.lit(FILE_KEYS))).otherwise(key).cast("int").alias("key"),
         F.octet_length(body).cast("long").alias("length"),
         F.sha2(F.concat(F.lit("R").cast("binary"), body), 256).alias("hash"),
@@ -74,14 +84,17 @@ def leaves(records: DataFrame) -> DataFrame:
 
 def with_offsets(leaf: DataFrame) -> DataFrame:
     """Adds each record's offset in its file (files are bounded, so a window over one file is)."""
-    from pyspark.sql import Window
-
     before = Window.partitionBy("file").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     return leaf.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 
 
-def tree(leaf: DataFrame) -> list[DataFrame]:
-    """Node tables by level, leaves first; each has file, node, offset, end, hash. The last level has the files' roots."""
+def tree(leaf: DataFrame, with_places: bool = False) -> list[DataFrame]:
+    """Node tables by level, leaves first; each has file, node, offset, end, hash. The last level has the files' roots.
+
+    with_places: a leaf's hash covers its offset and length too.
+    """
+    if with_places:
+        leaf = leaf.withColumn("hash", F.sha2(F.concat_ws(":", F.lit("P"), F.col("offset").cast("string"), F.col("length").cast("string"), "hash").cast("binary"), 256))
     levels = [leaf.select("file", F.col("key").alias("node"), "offset", (F.col("offset") + F.col("length")).alias("end"), "hash")]
     for _ in range(LEVELS):
         below = levels[-1]
@@ -108,6 +121,38 @@ def audit(first: list[DataFrame], second: list[DataFrame]) -> DataFrame:
     return differing.select("file", F.col("node").alias("key"), begin.alias("offset"), (F.coalesce("end", "b_end") - begin).alias("length"), status.alias("status"))
 
 
+def counted(records: DataFrame) -> DataFrame:
+    """Placed records with their copies counted: file, key, id, hash, length, n, and what names an id where nulls can't (``name``, ``named``)."""
+    held = records.groupBy("file", "key", "id", "hash", "length").agg(F.count(F.lit(1)).alias("n"))
+    return held.withColumns({"name": F.coalesce(F.col("id").cast("string"), F.lit("")), "named": F.col("id").isNotNull(), "digits": F.substring("hash", 1, 3)})
+
+
+def _before(frame: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """Adds the sum of a value over the rows before, by hash and id within keys: first by the hashes' first digits, so that no task orders all rows of a hot key."""
+    lower = lambda by, *order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    none = lambda c: F.coalesce(c, F.lit(0))
+    parts = frame.groupBy(*keys, "digits").agg(F.sum(value).alias("__sum"))
+    parts = parts.withColumn("__lower", none(F.sum("__sum").over(lower(keys, "digits")))).drop("__sum")
+    inner = frame.withColumn("__inner", none(F.sum(value).over(lower([*keys, "digits"], "hash", "name", "named"))))
+    return inner.join(parts, [*keys, "digits"]).withColumn(out, (F.col("__lower") + F.col("__inner")).cast("long")).drop("__lower", "__inner")
+
+
+def findings(first: DataFrame, second: DataFrame, leaves_: DataFrame) -> DataFrame:
+    """Of each (file, key, name, named, hash) in differing leaves: how many copies are ok, changed, missing and extra. first, second: ``counted`` records."""
+    key = ["file", "key", "name", "named", "digits", "hash"]
+    some = leaves_.select("file", "key")
+    side = lambda frame, a, b: frame.join(some, ["file", "key"], "left_semi").select(*key, a.alias("a"), b.alias("b"))
+    n, zero = F.col("n"), F.lit(0).cast("long")
+    both = side(first, n, zero).unionByName(side(second, zero, n)).groupBy(*key).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    both = both.withColumns({"ok": F.least("a", "b"), "over": F.greatest(F.col("a") - F.col("b"), zero), "under": F.greatest(F.col("b") - F.col("a"), zero)})
+    one = key[:4]
+    totals = both.groupBy(*one).agg(F.least(F.sum("over"), F.sum("under")).alias("pairs"))
+    out = _before(_before(both, one, "over", "over_before"), one, "under", "under_before").join(totals, one)
+    taken = lambda has, before: F.greatest(zero, F.least(F.col(has), F.col("pairs") - F.col(before)))
+    out = out.withColumns({"changed": taken("over", "over_before"), "replaced": taken("under", "under_before")})
+    return out.select(*one, "hash", "ok", "changed", (F.col("over") - F.col("changed")).alias("missing"), (F.col("under") - F.col("replaced")).alias("extra"))
+
+
 def tree_of(records: DataFrame, name: str) -> list[DataFrame]:
     """The tree of placed records; leaves and nodes are written once, as a manifest that later audits can read."""
     levels = tree(written(with_offsets(leaves(records)), f"{name}-leaves"))
@@ -153,15 +198,28 @@ def drilled(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return base, base.where(at != 7).withColumn("record", damaged)
 
 
+#: Copies of one record are made into rows by runs of so many.
+COPIES = 4_096
+
+
 def op3_query(pages: DataFrame) -> DataFrame:
     """Every record of the pages with its place, hash and the audit's finding against the drilled replica."""
     first, second = drilled(pages)
-    records = written(placed(first, "page_id", "record"), "merkle-records")
-    a = tree_of(records, "merkle-a")
-    b = audited_tree(second, "page_id", "record", "merkle-b")
-    found = audit(a, b).select("file", "key", "status")
-    out = records.join(a[0].select("file", F.col("node").alias("key"), "offset"), ["file", "key"]).join(found, ["file", "key"], "left")
-    return out.select(F.col("id").alias("page_id"), "file", "offset", "length", "hash", F.coalesce("status", F.lit("ok")).alias("status"))
+    files = files_for(pages.count())
+    records = written(placed(first, "page_id", "record", files), "merkle-records")
+    replica = written(placed(second, "page_id", "record", files), "merkle-replica")
+    a, b = tree_of(records, "merkle-a"), tree_of(replica, "merkle-b")
+    differing = written(audit(a, b).select("file", "key"), "merkle-differing")
+    held = counted(records)
+    found = findings(held, counted(replica), differing).drop("extra")
+    inner = _before(held.withColumn("bytes", F.col("n") * F.col("length")), ["file", "key"], "bytes", "inside")
+    out = inner.join(a[0].select("file", F.col("node").alias("key"), "offset"), ["file", "key"]).join(found, ["file", "key", "name", "named", "hash"], "left")
+    # The copies of a record as rows: runs first, so that no row makes more than a bounded list.
+    runs = out.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    copies = runs.withColumn("copy", F.explode(F.sequence(F.col("run") * COPIES + 1, F.least(F.col("n"), (F.col("run") + 1) * COPIES))))
+    ok = F.coalesce("ok", "n")
+    status = F.when(F.col("copy") <= ok, "ok").when(F.col("copy") <= ok + F.col("changed"), "changed").otherwise("missing")
+    return copies.select(F.col("id").alias("page_id"), "file", (F.col("offset") + F.col("inside") + (F.col("copy") - 1) * F.col("length")).alias("offset"), "length", "hash", status.alias("status"))
 
 
 def op3_sql() -> str:
@@ -178,7 +236,7 @@ r as (select page_id, page_id // {FILE_KEYS} as file,
   'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
   || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10)
   || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as record from pages)
-select r.page_id, file, cast(sum(strlen(record)) over (partition by file order by r.page_id) - sum(strlen(record)) over (partition by r.page_id) as bigint) as "offset",
+select r.page_id, file, cast(sum(strlen(record)) over (partition by file order by r.page_id, sha256('R' || record) rows unbounded preceding) - strlen(record) as bigint) as "offset",
   cast(strlen(record) as bigint) as length, sha256('R' || record) as hash,
   case when spot in (3, 5) then 'changed' when spot = 7 then 'missing' else 'ok' end as status from r join place using (page_id)
 """
