@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import duckdb
@@ -418,3 +419,20 @@ def test_rans_added_tokens():
     for text in ["a <|endoftext|> b", *(f"x{c}{c} é\n{c}y" for c in mine.added), "<|endoftext", "plain text"]:
         assert mine.encode(text).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], text
     assert 50256 in mine.encode("a <|endoftext|> b").tolist()
+
+
+def test_language_model_does_not_depend_on_partitions(spark, monkeypatch):
+    """Scores follow from the rows: learners and their texts are the same whatever the tasks."""
+    monkeypatch.setattr(lm, "STEPS", 20)
+    monkeypatch.setattr(lm, "LEARNER_TEXTS", 40)
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("aeioustr") for _ in range(rnd.randint(1, 7))) for _ in range(300)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(5, 60)))) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for partitions, parts in ((2, 1), (8, 5)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        found.append({r["doc_id"]: r["score"] for r in lm.scored(frame.repartition(parts), MULTI, PATTERN).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert found[0].keys() == found[1].keys() and max(abs(found[0][d] - found[1][d]) for d in found[0]) < 1e-6

@@ -302,7 +302,7 @@ def near_pairs(docs: DataFrame, least: float = NEAR, bands: int = BANDS, band: i
     right = held.select("band", "key", F.col("block").alias("other"), F.col("class").alias("b"))
     met = left.join(right, ["band", "key", "other"]).where("a < b").select("a", "b").distinct()
     side = lambda name: classes.select(F.col("class").alias(name), F.col("fingerprint").alias(f"{name}_mark"))
-    both = met.join(side("a"), "a").join(side("b"), "b")
+    both = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_mark", "b_mark")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
