@@ -128,46 +128,59 @@ def _modules(card: dict[str, Any], years: list[str]) -> Iterator[Verdict]:
                 yield kinds[status], f"{module} is {status} for {year}"
 
 
-def _trade_dir(meaning: str, listed: bool, years: list[str]) -> Iterator[Verdict]:
-    if meaning == "unused":
-        yield "error", "TradeDir is listed but unused"
-    if meaning in FALSE_DIRECTIONS:
-        yield "error", "TradeDir is no confirmed side"
-    if "2025" in years:
-        yield ("caveat", "2025 TradeDir is structure only") if meaning == STRUCTURE_ONLY else ("error", "2025 TradeDir is limited to structure")
-    if "2026" in years and meaning != "unused":
-        yield ("caveat", "2026 TradeDir is vendor-defined") if meaning in (*DIRECTION_MEANINGS, STRUCTURE_ONLY) else ("error", "2026 TradeDir cannot exceed a vendor proxy")
+@dataclass(frozen=True)
+class MeaningRule:
+    """What a field may mean, as a row: where it applies, which meanings it is about, and the verdict on them.
+
+    applies: ``listed`` (the field is among the card's), ``used`` (it has a meaning), or ``either``. inside: whether the verdict is on the meanings or on all
+    others. of: the field whose meaning counts, if another; without: a field that must not be listed. A reason may name the meaning.
+    """
+
+    field: str
+    applies: str
+    meanings: tuple[str, ...]
+    inside: bool
+    verdict: str
+    reason: str
+    year: str = ""
+    of: str = ""
+    without: str = ""
+
+    def hits(self, listed: set[str], meanings: dict[str, str], years: list[str]) -> bool:
+        meaning = meanings[self.of or self.field]
+        known, used = self.field in listed, meaning != "unused"
+        there = {"listed": known, "used": used, "either": known or used}[self.applies]
+        return there and (not self.year or self.year in years) and (not self.without or self.without not in listed) and (meaning in self.meanings) == self.inside
+
+
+#: The meanings of fields beyond the safe ones, a row a verdict.
+MEANING_RULES = (
+    MeaningRule("TradeDir", "listed", ("unused",), True, "error", "TradeDir is listed but unused"),
+    MeaningRule("TradeDir", "used", FALSE_DIRECTIONS, True, "error", "TradeDir is no confirmed side"),
+    MeaningRule("TradeDir", "either", (STRUCTURE_ONLY,), True, "caveat", "2025 TradeDir is structure only", "2025"),
+    MeaningRule("TradeDir", "either", (STRUCTURE_ONLY,), False, "error", "2025 TradeDir is limited to structure", "2025"),
+    MeaningRule("TradeDir", "used", (*DIRECTION_MEANINGS, STRUCTURE_ONLY), True, "caveat", "2026 TradeDir is vendor-defined", "2026"),
+    MeaningRule("TradeDir", "used", (*DIRECTION_MEANINGS, STRUCTURE_ONLY), False, "error", "2026 TradeDir cannot exceed a vendor proxy", "2026"),
+    *(MeaningRule(field, "either", allowed, True, "caveat", f"{field} is caveat-only: {{}}") for field, allowed in ALLOWED_MEANINGS.items()),
+    *(MeaningRule(field, "either" if field == "BrokerNo" else "used", allowed, False, "error", f"{field} cannot mean {{}}") for field, allowed in ALLOWED_MEANINGS.items()),
+    MeaningRule("Ext", "listed", (), False, "error", "Ext as a whole is outside the caveat lane"),
+    MeaningRule("Ext", "used", (), False, "error", "Ext cannot be used directly", without="OrderSideVendor"),
+    MeaningRule("OrderSideVendor", "listed", (SIDE_MEANING,), True, "caveat", "OrderSideVendor is a vendor proxy", of="Ext"),
+    MeaningRule("OrderSideVendor", "listed", (SIDE_MEANING,), False, "error", f"OrderSideVendor needs Ext = {SIDE_MEANING}", of="Ext"),
+    *(MeaningRule(field, "used", (), False, "error", f"{field} is blocked") for field in ("Level", "VolumePre")),
+)
+#: Fields whose use makes a card one of the caveat lane.
+LANE_FIELDS = ("TradeDir", *ALLOWED_MEANINGS)
 
 
 def _fields(card: dict[str, Any], years: list[str]) -> Iterator[Verdict]:
-    fields = [ALIASES.get(str(f), str(f)) for f in card["required_fields"]]
-    meanings = card["semantics"]
-    if unknown := sorted(set(fields) - {*SAFE_FIELDS, *BLOCKED_FIELDS, *CAVEAT_FIELDS, *OTHER_FIELDS}):
+    listed, meanings = {ALIASES.get(str(f), str(f)) for f in card["required_fields"]}, card["semantics"]
+    if unknown := sorted(listed - {*SAFE_FIELDS, *BLOCKED_FIELDS, *CAVEAT_FIELDS, *OTHER_FIELDS}):
         yield "error", f"unknown fields: {', '.join(unknown)}"
-    for field in fields:
-        if field in BLOCKED_FIELDS:
-            yield "error", f"{field} is blocked"
-        elif field in CAVEAT_FIELDS:
-            yield "caveat", f"{field} is caveat-only"
-    lane = any(f in CAVEAT_FIELDS for f in fields)
-    if "TradeDir" in fields or meanings["TradeDir"] != "unused":
-        lane = True
-        yield from _trade_dir(meanings["TradeDir"], "TradeDir" in fields, years)
-    for field, allowed in ALLOWED_MEANINGS.items():
-        if field in fields or meanings[field] != "unused":
-            lane = True
-            if meanings[field] in allowed:
-                yield "caveat", f"{field} is caveat-only: {meanings[field]}"
-            elif meanings[field] != "unused" or field == "BrokerNo":
-                yield "error", f"{field} cannot mean {meanings[field]}"
-    if "Ext" in fields:
-        yield "error", "Ext as a whole is outside the caveat lane"
-    if "OrderSideVendor" in fields:
-        yield ("caveat", "OrderSideVendor is a vendor proxy") if meanings["Ext"] == SIDE_MEANING else ("error", f"OrderSideVendor needs Ext = {SIDE_MEANING}")
-    elif meanings["Ext"] != "unused":
-        yield "error", "Ext cannot be used directly"
-    yield from (("error", f"{f} is blocked") for f in ("Level", "VolumePre") if meanings[f] != "unused")
-    if lane and card["universe"] != "phase_a_caveat_lane":
+    yield from (("error", f"{f} is blocked") for f in BLOCKED_FIELDS if f in listed)
+    yield from (("caveat", f"{f} is caveat-only") for f in CAVEAT_FIELDS if f in listed)
+    yield from ((r.verdict, r.reason.format(meanings[r.of or r.field])) for r in MEANING_RULES if r.hits(listed, meanings, years))
+    if card["universe"] != "phase_a_caveat_lane" and (listed & {*CAVEAT_FIELDS, *LANE_FIELDS} or any(meanings[f] != "unused" for f in LANE_FIELDS)):
         yield "error", "caveat fields need the caveat lane"
 
 
