@@ -122,7 +122,7 @@ from lineitem join orders on o_orderkey = l_orderkey join supplier on s_suppkey
     q["lead_lag_edges"] = _entry(lambda x: information.lead_edges(information.transfer_entropy(x.pairs())), ["source", "target", "observations"], ["forward_te", "reverse_te", "lead_gap"], "(select a.source, a.target, a.observations, a.te as forward_te, b.te as reverse_te, a.te - b.te as lead_gap from te a join te b on a.source = b.target and a.target = b.source)")
     q["lead_lag_ranked"] = _entry(lambda x: information.ranked_edges(x.te_tests()), ["rank", "source", "target", "observations", "sample_days", "bins", "draws", "significant", "reverse_significant"], ["forward_te", "p_value", "null_mean", "null_std", "reverse_te", "reverse_p_value", "lead_gap"], "te_ranked")
     q["lead_lag_matrix"] = _entry(lambda x: information.lead_matrix(information.lead_edges(information.transfer_entropy(x.pairs())), factors.factor_names()), ["source"], factors.factor_names(), f"(select source, {', '.join(f"max(te) filter (where target = '{n}') as {n}" for n in factors.factor_names())} from te group by source)")
-    q["unordered_pairs"] = (lambda spark, sf_dir: information.unordered_pairs(policy.catalogue(spark)), sql.query("select a.factor as left_factor, b.factor as right_factor from catalogue a join catalogue b on a.factor < b.factor"))
+    q["unordered_pairs"] = (lambda spark, sf_dir: information.unordered_pairs(Lane(spark, sf_dir).long()), sql.query("select a.factor as left_factor, b.factor as right_factor from (select distinct factor from scores) a join (select distinct factor from scores) b on a.factor < b.factor"))
     q["market_stats"] = _entry(lambda x: regimes.market_stats(x.trades_daily()), ["date"], ["market_total_turnover", "market_abs_close_return", "market_turnover_entropy"], "market")
     labels = ["year_grade", "market_turnover_regime", "market_volatility_regime", "entropy_quantile"]
     q["regime_labels"] = _entry(Lane.regimes, ["date", *labels], ["market_total_turnover"], "regimes")
