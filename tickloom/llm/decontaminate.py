@@ -8,11 +8,12 @@ state and its matching length give the longest run that ends here and occurs in
 vocabulary reset the automaton, so the stream is cut into runs of known words first and short runs are never walked.
 
 Size of what is broadcast: an automaton has at most two states per item word. Items are dealt into automata of at most
-``max_words`` words each; where there are several, each makes its own pass over the documents and the spans are united,
-so any number of items works with bounded memory.
+``max_words`` words each, whatever the sizes of the items: a longer one is cut into pieces that overlap by a window less a word, so that each of
+its windows lies in a piece. Where there are several automata, each is built, broadcast, streamed over the documents and let go
+before the next one is made; the passes' spans are written and united. So any number of items works with bounded memory.
 
 Defined results: a null or empty text has no words, no hits and is not contaminated; a null item text is no window;
-repeated item texts all count as items; repeated document rows each give a row (rows are told apart by their text and
+repeated item texts all count as items; a null item_id is an item whose id is the empty string; repeated document rows each give a row (rows are told apart by their text and
 id, so equal rows have equal results); an empty benchmark leaves every document clean; very long texts are walked whole; an empty
 table gives no rows; helper columns take names that the table does not have.
 """
@@ -21,16 +22,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import free_names, mapped, only, quoted, small_batches, worker_keeps
+from tickloom.llm.common import free_names, mapped, only, quoted, small_batches, worker_keeps, written
 
 WINDOW = 13
-MAX_WORDS = 2_000_000
+MAX_WORDS = 500_000
 
 #: Word bytes kept (A-Z lower-cased), all others blanked: digits, letters and every byte of a non-ASCII character.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -155,61 +157,65 @@ class ItemAutomaton:
         return longest
 
 
-def _item_lists(items: DataFrame, max_words: int) -> list[list[tuple[str, list[bytes]]]]:
-    """Items as word lists, in groups of at most ``max_words`` words (or one item)."""
-    groups: list[list] = [[]]
-    held = 0
-    for row in items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).toLocalIterator():
+def _item_groups(items: DataFrame, window: int, max_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items as word lists, in groups of at most ``max_words`` words, made as they are asked for; at least one group."""
+    group: list[tuple[str, list[bytes]]] = []
+    held, most = 0, max(max_words, 2 * window)
+    for row in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text")).toLocalIterator():
         words = words_of(bytes(row.text) if row.text is not None else None)
-        if held and held + len(words) > max_words:
-            groups.append([])
-            held = 0
-        groups[-1].append((row.item if row.item is not None else "", words))
-        held += len(words)
-    return groups
-
+        for begin in range(0, max(len(words) - window + 1, 1), most - window + 1):
+            piece = words[begin : begin + most]
+            if group and held + len(piece) > most:
+                yield group
+                group, held = [], 0
+            group.append((row.item, piece))
+            held += len(piece)
+    yield group
 
 
 def match_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS, keep_text: bool = False) -> DataFrame:
-    """Per document: words, disjoint hit word spans, item ids (sorted), the longest match; with ``text`` if asked for."""
-    spark = small_batches(docs).sparkSession
-    groups = _item_lists(items, max_words)
-    columns = ["doc_id", "text", *(["__row"] if len(groups) > 1 else [])]
-    source = docs.withColumn("__row", F.xxhash64("doc_id", "text")) if len(groups) > 1 else docs
-    kind = dict(docs.dtypes)["doc_id"]
-    parts = []
+    """Per document: words, disjoint hit word spans, item ids (sorted), the longest match (in a piece of an item); with ``text`` if asked for."""
+    groups = _item_groups(items, window, max_words)
+    first, second = next(groups), next(groups, None)
+    if second is None:
+        return _scanned(docs.select("doc_id", "text"), ItemAutomaton(first, window), keep_text)[0]
+    return _united(docs, chain([first, second], groups), window, keep_text).drop("__row")
+
+
+def _scanned(docs: DataFrame, automaton: ItemAutomaton, keep_text: bool = False):
+    """The documents' spans by one automaton (doc_id, text and, where it has one, ``__row``), and the broadcast that they read."""
+    kinds = dict(small_batches(docs).dtypes)
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    through = [name for name in ("text", "__row") if name in kinds and (keep_text or name != "text")]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_keeps("decontaminate")
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                words = words_of(text)
+                spans, found, longest = shared.value.scan(words)
+                for column, value in zip(out, (len(words), [s[0] for s in spans], [s[1] for s in spans], sorted(found), longest), strict=True):
+                    column.append(value)
+            arrays = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.list_(pa.string())), pa.array(out[4], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*arrays, *[batch.column(batch.schema.get_field_index(name)) for name in through]], ["doc_id", "n_words", "begins", "ends", "items", "longest", *through])
+
+    schema = f"doc_id {kinds['doc_id']}, n_words long, begins array<int>, ends array<int>, items array<string>, longest int"
+    held = docs.select("doc_id", "text", *[name for name in through if name != "text"])
+    return held.mapInArrow(scan, ", ".join([schema, *[f"{name} {kinds[name]}" for name in through]])), shared
+
+
+def _united(docs: DataFrame, groups: Iterator[list[tuple[str, list[bytes]]]], window: int, keep_text: bool = False) -> DataFrame:
+    """The spans of several automata, one pass after another; rows are told apart by ``__row``, a hash of id and text."""
+    source = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("__row"))
+    united, passes = None, 0
     for group in groups:
-        shared = spark.sparkContext.broadcast(ItemAutomaton(group, window))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared, single=len(groups) == 1) -> Iterator[pa.RecordBatch]:
-            worker_keeps("decontaminate")
-            automaton = shared.value
-            for batch in batches:
-                texts = batch.column(1).cast(pa.binary()).to_pylist()
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for text in texts:
-                    words = words_of(text)
-                    spans, found, longest = automaton.scan(words)
-                    for column, value in zip(out, (len(words), [s[0] for s in spans], [s[1] for s in spans], sorted(found), longest), strict=True):
-                        column.append(value)
-                arrays = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.list_(pa.string())), pa.array(out[4], pa.int32())]
-                names = ["doc_id", "n_words", "begins", "ends", "items", "longest"]
-                if keep_text:
-                    arrays.append(batch.column(1))
-                    names.append("text")
-                if not single:
-                    arrays.append(batch.column(2))
-                    names.append("__row")
-                yield pa.RecordBatch.from_arrays(arrays, names)
-
-        schema = f"doc_id {kind}, n_words long, begins array<int>, ends array<int>, items array<string>, longest int" + (", text string" if keep_text else "") + (", __row long" if len(groups) > 1 else "")
-        parts.append(source.select(*columns).mapInArrow(scan, schema))
-    if len(parts) == 1:
-        return parts[0]
-    united = parts[0]
-    for part in parts[1:]:
-        united = united.unionByName(part)
-    return _unite(united, len(parts), keep_text)
+        found, shared = _scanned(source, ItemAutomaton(group, window), keep_text and not passes)
+        part = written(found, "spans")
+        shared.destroy()
+        united = part if united is None else united.unionByName(part, allowMissingColumns=True)
+        passes += 1
+    return _unite(united, passes, keep_text)
 
 
 def _unite(parts: DataFrame, passes: int, keep_text: bool) -> DataFrame:
@@ -220,7 +226,7 @@ def _unite(parts: DataFrame, passes: int, keep_text: bool) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         F.max("longest").alias("longest"),
         (F.count(F.lit(1)) / passes).cast("int").alias("copies"),
-        *([F.first("text").alias("text")] if keep_text else []),
+        *([F.max("text").alias("text")] if keep_text else []),
     )
     merge = F.aggregate(
         "spans",
@@ -229,7 +235,7 @@ def _unite(parts: DataFrame, passes: int, keep_text: bool) -> DataFrame:
     )
     merged = grouped.withColumn("spans", F.when(F.size("spans") > 0, merge).otherwise(F.expr("cast(array() as array<struct<begins:int,ends:int>>)")))
     out = merged.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return out.select("doc_id", "n_words", F.col("spans.begins").alias("begins"), F.col("spans.ends").alias("ends"), "items", "longest", *(["text"] if keep_text else []))
+    return out.select("doc_id", "n_words", F.col("spans.begins").alias("begins"), F.col("spans.ends").alias("ends"), "items", "longest", *(["text"] if keep_text else []), "__row")
 
 
 def judged(spans: DataFrame, numerator: int = 1, denominator: int = 20) -> DataFrame:
@@ -269,16 +275,17 @@ def _without(text: bytes | None, spans: list[tuple[int, int]]) -> bytes | None:
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, numerator: int = 1, denominator: int = 20, max_words: int = MAX_WORDS) -> DataFrame:
     """Documents, all columns, without the contaminated ones. Texts are judged in place: no row is shuffled."""
-    groups = _item_lists(items.select("item_id", "text"), max_words)
+    groups = _item_groups(items.select("item_id", "text"), window, max_words)
+    first, second = next(groups), next(groups, None)
     docs = small_batches(docs)
     at = docs.columns.index("text")
-    if len(groups) > 1:  # a document's hits of several automata must be united before they are judged
-        judged_ = judged(match_spans(docs.select("doc_id", "text"), items, window, max_words, keep_text=True), numerator, denominator).where("contaminated")
+    if second is not None:  # a document's hits of several automata must be united before they are judged
+        bad = judged(_united(only(docs, "doc_id", "text"), chain([first, second], groups), window), numerator, denominator).where("contaminated")
         mark, key, known = free_names(docs, "mark", "hash", "id")
-        bad = judged_.select(F.col("doc_id").alias(known), F.xxhash64("text").alias(key)).distinct()
-        marked = docs.withColumn(mark, F.xxhash64("text"))
+        bad = bad.select(F.col("doc_id").alias(known), F.col("__row").alias(key)).distinct()
+        marked = docs.withColumn(mark, F.xxhash64("doc_id", "text"))
         return marked.join(bad, marked["doc_id"].eqNullSafe(bad[known]) & (marked[mark] == bad[key]), "left_anti").select(*quoted(docs))
-    shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(groups[0], window))
+    shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(first, window))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_keeps("decontaminate")
@@ -309,7 +316,7 @@ def op1_sql() -> str:
     words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     return f"""
 with d as (select row_number() over () as r, doc_id, {words} as ws from documents),
-b as (select cast(item_id as varchar) as item, {words} as ws from benchmark),
+b as (select coalesce(cast(item_id as varchar), '') as item, {words} as ws from benchmark),
 v as (select distinct item, n, array_to_string(ws[i:i + n - 1], ' ') as g from (
   select item, ws, least({WINDOW}, len(ws)) as n, unnest(range(1, len(ws) - least({WINDOW}, len(ws)) + 2)) as i from b where len(ws) > 0)),
 p as (select r, n, i, array_to_string(ws[i:i + n - 1], ' ') as g from (
