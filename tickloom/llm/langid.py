@@ -5,7 +5,8 @@ character n-grams: those of the longest length at which any n-gram is known, pro
 
 Learning uses text and label of the learning rows only. The classifier is fitted on a bounded sample: at most
 ``ROWS_PER_LANGUAGE`` distinct texts of each language, those with the smallest hash; all words and n-grams of these texts are kept.
-More than ``MOST_LANGUAGES`` labels are an error, not a cut: so the broadcast model is bounded by the sample.
+The sample holds the ``MOST_LANGUAGES`` labels that most learning rows have (ties to the first in order), so a noisy label column
+costs nothing but its rare labels, and the broadcast model is bounded by the sample.
 
 Defined results: a null text, or one without any letter (Unicode category L), is ``und`` with score 0; without any learnt
 language every text is ``und``; ties between languages go to the first name in order; repeated rows each give a row; very long
@@ -132,13 +133,13 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, most_langua
     labelled = only(docs, "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("at", F.xxhash64("text"))
     # Texts whose hash can't be among the first of their language go before the ranking; twice the expected share of distinct ones stays.
     share = F.least(F.lit(1.0), F.lit(2.0 * rows_per_language) / F.col("texts"))
-    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("at").alias("texts"))
-    found = sizes.limit(most_languages + 1).count()
-    if found > most_languages:
-        raise ValueError(f"more than {most_languages} languages: raise most_languages")
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("at").alias("texts"), F.count(F.lit(1)).alias("rows"))
+    edge = F.when(F.col("texts") > 2 * rows_per_language, (share * 2.0**64 - 2.0**63).cast("long")).otherwise(F.lit(2**63 - 1))
+    learnt = sizes.orderBy(F.desc("rows"), "lang").limit(most_languages).select("lang", edge.alias("edge"))
+    found = learnt.collect()
     if not found:
         return Model([])
-    edges = sizes.select("lang", F.when(F.col("texts") > 2 * rows_per_language, (share * 2.0**64 - 2.0**63).cast("long")).otherwise(F.lit(2**63 - 1)).alias("edge"))
+    edges = docs.sparkSession.createDataFrame(found, learnt.schema)
     first = labelled.join(F.broadcast(edges), "lang").where(F.col("at") <= F.col("edge")).dropDuplicates(["lang", "at"])
     first = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at"))).where(F.col("rank") <= rows_per_language)
     counted = first.select("lang", "text").groupBy("lang").applyInPandas(_counted, "lang string, n int, grams array<string>, counts array<long>")
