@@ -1,6 +1,7 @@
 """Token ids in files coded by a static range asymmetric numeral system (rANS).
 
-Layout. Documents are put in ascending id order and dealt into shards, one per task; a shard is cut into segments of
+Layout. Documents are put in ascending id order and dealt into shards, one per task, whose number follows from the texts' bytes
+(``SHARD_BYTES``; at least one for each core); a shard is cut into segments of
 whole documents and about ``SEGMENT_IDS`` ids. A segment is one frame (one Parquet row): the segment's frequency table,
 shared by all its blocks, its documents' ids and lengths, and blocks of ``LANES * STEPS`` ids. In a block, id number i
 belongs to lane i % LANES; the lanes' coder states are interleaved over one stream of 32-bit words. Blocks are independent;
@@ -11,7 +12,8 @@ run again replaces its frames whole, and any store that Spark writes to can hold
 A frequency table covers all ids of its segment (nothing is sampled) and is exact for what it codes.
 
 Defined results: a null text is an empty text (just the end id); an empty table gives no frames; repeated rows are
-documents of their own, in order of id, then text; a null id sorts first. Memory: a segment's ids, and the longest text.
+documents of their own, in order of id, then text; a null id sorts first; ids are whole numbers or texts of such (others end the job
+in Spark's cast error, or are null where ANSI mode is off); only doc_id and text are read, so other columns can't clash. Memory: a segment's ids, and the longest text.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ SEGMENT_IDS = 2_000_000
 SCALE = 20
 LOW = 1 << 31
 MAGIC = b"rANSseg1"
+SHARD_BYTES = 64_000_000
 CACHE_PIECES = 400_000
 
 
@@ -235,9 +238,14 @@ def library_tokenizer(*key) -> LibraryTokenizer:
     return worker_keeps(("rans", *key), lambda: LibraryTokenizer(*key))
 
 
+def _shards(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: int, shards: int | None = None, segment_ids: int = SEGMENT_IDS) -> None:
     """Encodes documents (doc_id, text) in ascending id order and writes their frames to ``folder``."""
-    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or _shards(docs)
     ordered = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
