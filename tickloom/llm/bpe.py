@@ -22,7 +22,7 @@ from itertools import accumulate, chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm.common import small_batches, worker_keeps
+from tickloom.llm.common import mapped, small_batches, worker_keeps
 from tickloom.llm.cutter import Cutter
 
 CACHE_PIECES = 120_000
@@ -175,10 +175,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         held = text_encoder(key, shared.value, pattern)
         for batch in batches:
             ids = pa.array([held.encode(t) for t in batch.column(at).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*names, "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [f"c{i}" for i in range(len(names) + 1)])
 
-    fields = ", ".join(f"`{name}` {kind}" for name, kind in kept.dtypes)
-    return kept.mapInArrow(run, f"{fields}, ids array<int>")
+    return mapped(kept, run, ids="array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -192,10 +191,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         bytes_of = {rank: token for token, rank in shared.value.items()}
         for batch in batches:
             out = [b"".join(map(bytes_of.__getitem__, ids or [])) for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [f"c{i}" for i in range(len(names) + 1)])
 
-    fields = ", ".join(f"`{name}` {kind}" for name, kind in kept.dtypes)
-    return kept.mapInArrow(run, f"{fields}, decoded binary")
+    return mapped(kept, run, decoded="binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
