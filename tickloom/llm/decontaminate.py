@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import free_names, mapped, only, quoted, small_batches, worker_keeps, written
 
 WINDOW = 13
-MAX_WORDS = 500_000
+MAX_WORDS = 250_000
 
 #: Word bytes kept (A-Z lower-cased), all others blanked: digits, letters and every byte of a non-ASCII character.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
