@@ -43,12 +43,6 @@ def pearson(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(both(x)) * F.stddev_pop(both(y)))
 
 
-def average_rank(value: str, within: list[str]) -> Column:
-    """Window: rank from 1, ties sharing the mean of their places."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*within, value))
-    return F.rank().over(Window.partitionBy(*within).orderBy(value)) + (ties - 1) / F.lit(2.0)
-
-
 def effective_bins(n: Column, requested: Column | int) -> Column:
     """Bins of n values: at least two values a bin where that leaves two bins; 1 for a single value."""
     wanted = F.lit(requested) if isinstance(requested, int) else requested

@@ -6,27 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import ratio
-from tickloom.operators.evaluate import SIGN_PLACES, labelled, sign_summary
+from tickloom.operators.evaluate import SIGN_PLACES, labelled, ranked, sign_summary
 
 BY_DATE = ["factor", "date"]
 
 
-def by_date(scores: DataFrame, labels: DataFrame, top_fraction: float = 0.1) -> DataFrame:
+def by_date(scores: DataFrame, labels: DataFrame, top_fraction: float = 0.1, placed: DataFrame | None = None) -> DataFrame:
     """By factor and date: rows, bucket (the floor of the fraction, one at least), long and short mean return, spread, turnover.
 
     Long is the top bucket, short the bottom one. Turnover is the Jaccard distance of the selected instruments to those of the
-    factor's previous date, 0 on its first. It is counted by joining the selected rows, without arrays.
+    factor's previous date, 0 on its first. It is counted by joining the selected rows, without arrays. placed: the ranked rows, where they are held.
     """
     if not 0 < top_fraction <= 0.5:
         raise ValueError("top_fraction must be in (0, 0.5]")
-    within = Window.partitionBy(*BY_DATE)
-    placed = labelled(scores, labels).withColumns({
-        "n": F.count(F.lit(1)).over(within),
-        "from_top": F.row_number().over(within.orderBy(F.desc("score"), "instrument_key")),
-        "from_bottom": F.row_number().over(within.orderBy("score", F.desc("instrument_key"))),
-    })
+    placed = ranked(labelled(scores, labels)) if placed is None else placed
     placed = placed.withColumn("bucket_size", F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(top_fraction))))
-    long_, short = F.col("from_top") <= F.col("bucket_size"), F.col("from_bottom") <= F.col("bucket_size")
+    long_, short = F.col("from_top") <= F.col("bucket_size"), F.col("from_end") <= F.col("bucket_size")
     days = placed.groupBy(*BY_DATE).agg(
         F.count(F.lit(1)).alias("row_count"), F.first("bucket_size").alias("bucket_size"),
         F.avg(F.when(long_, F.col("label"))).alias("long_return"), F.avg(F.when(short, F.col("label"))).alias("short_return"),

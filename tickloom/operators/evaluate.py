@@ -5,15 +5,18 @@ Frames: ``scores`` (factor, date, instrument_key, score); ``labels`` (date, next
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import average_rank, pearson, ratio
+from tickloom.functions.columns import pearson, ratio
 
 LABEL = "forward_return_1d_close_like"
 #: Values whose sign is counted keep so many places: what is zero but for the order of a sum is zero.
 SIGN_PLACES = 12
 BY_DATE = ["factor", "date"]
+GROUP = "__group"
+#: So many rows a task are ordered at most, but for a factor's single date, so that a task's memory does not follow the input.
+ROWS_A_TASK = 250_000
 
 
 def forward_labels(prices: DataFrame, steps: DataFrame, source: str = "close_like_price") -> DataFrame:
@@ -31,27 +34,53 @@ def labelled(scores: DataFrame, labels: DataFrame) -> DataFrame:
     return scores.join(labels.select("date", "instrument_key", F.col(LABEL).alias("label")), ["date", "instrument_key"]).where(F.col("label").isNotNull()).select(*BY_DATE, "instrument_key", "score", "label")
 
 
+def with_labels(wide: DataFrame, labels: DataFrame) -> DataFrame:
+    """Wide factors with each row's label, null where there is none: joined once, before factors become rows."""
+    return wide.join(labels.select("date", "instrument_key", F.col(LABEL).alias("label")), ["date", "instrument_key"], "left")
+
+
+def group_number() -> Column:
+    """A number for factor and date: what rows are dealt and ordered by, since names are long to compare."""
+    return F.xxhash64(*BY_DATE)
+
+
+def dealt(joined: DataFrame, rows: int) -> DataFrame:
+    """The same rows, with their group's number, dealt by it to as many tasks as their number asks for."""
+    least = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return joined.withColumn(GROUP, group_number()).repartition(max(least, -(-rows // ROWS_A_TASK)), GROUP)
+
+
 def ranked(joined: DataFrame) -> DataFrame:
-    """Adds, within factor and date: n, average ranks of score and label, and places by score both ways (ties by instrument)."""
-    within = Window.partitionBy(*BY_DATE)
-    return joined.withColumns({
-        "n": F.count(F.lit(1)).over(within),
-        "score_rank": average_rank("score", BY_DATE),
-        "label_rank": average_rank("label", BY_DATE),
-        "from_top": F.row_number().over(within.orderBy(F.desc("score"), "instrument_key")),
-        "from_bottom": F.row_number().over(within.orderBy("score", "instrument_key")),
-    })
-
-
-def per_date(scores: DataFrame, labels: DataFrame, top_fraction: float = 0.2) -> DataFrame:
+    """Adds, within factor and date: n, average ranks of score and label, and places by score both ways and by label (ties by instrument).
+
+    Rows are ordered once by score and once by label: ties and ranks read the same order, and places from the top follow from those from the bottom
+    (the instruments of a tie keep their order). ``from_end`` is the place from the bottom with ties in descending order.
+    """
+    out = joined if GROUP in joined.columns else joined.withColumn(GROUP, group_number())
+    within = Window.partitionBy(GROUP)
+    for value, place in (("score", "from_bottom"), ("label", "by_label")):
+        out = out.withColumn(place, F.row_number().over(within.orderBy(value, "instrument_key")))
+        by = within.orderBy(value)
+        out = out.withColumns({
+            f"__{value}": F.rank().over(by), f"__{value}_upto": F.count(F.lit(1)).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+            "n": F.count(F.lit(1)).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        })
+    # Above a tie are n - upto rows; within it the first instrument comes first.
+    from_top = F.col("n") - F.col("__score_upto") + F.col("from_bottom") - F.col("__score") + 1
+    rank = lambda value: (F.col(f"__{value}") + F.col(f"__{value}_upto")) / F.lit(2.0)
+    out = out.withColumns({"from_top": from_top.cast("int"), "score_rank": rank("score"), "label_rank": rank("label")})
+    return out.withColumn("from_end", (F.col("n") + 1 - F.col("from_top")).cast("int")).drop(GROUP, "__score", "__score_upto", "__label", "__label_upto")
+
+
+def per_date(scores: DataFrame, labels: DataFrame, top_fraction: float = 0.2, placed: DataFrame | None = None) -> DataFrame:
     """By factor and date: factor_rows, labeled_rows, coverage_ratio, rank_ic, pearson_corr, mean_label, bucket_size, top and bottom mean, spread.
 
-    A bucket is the ceiling of the fraction, one row at least. Dates without labels have no row.
+    A bucket is the ceiling of the fraction, one row at least. Dates without labels have no row. placed: the ranked rows, where they are held.
     """
     if not 0 < top_fraction <= 0.5:
         raise ValueError("top_fraction must be in (0, 0.5]")
     bucket = F.greatest(F.ceil(F.col("n") * F.lit(top_fraction)), F.lit(1))
-    placed = ranked(labelled(scores, labels)).withColumn("bucket_size", bucket)
+    placed = (ranked(labelled(scores, labels)) if placed is None else placed).withColumn("bucket_size", bucket)
     stats = placed.groupBy(*BY_DATE).agg(
         F.count(F.lit(1)).alias("labeled_rows"),
         F.round(pearson("score_rank", "label_rank"), SIGN_PLACES).alias("rank_ic"),

@@ -120,7 +120,7 @@ def wide_factors(level: DataFrame, steps: DataFrame, specs: tuple[FactorSpec, ..
     return joined.select(*KEY, *names, *[F.round(F.col(c) - F.col(f"__{c}"), PLACES).alias(f"{c}_change") for c in names])
 
 
-def long(wide: DataFrame, columns: list[str]) -> DataFrame:
-    """(factor, date, instrument_key, score) of the columns that are not null."""
+def long(wide: DataFrame, columns: list[str], *beside: str) -> DataFrame:
+    """(factor, date, instrument_key, score) of the columns that are not null, with the columns ``beside``."""
     pairs = F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).cast("double").alias("score")) for c in columns])
-    return wide.select(*KEY, F.inline(pairs)).where(F.col("score").isNotNull()).select("factor", *KEY, "score")
+    return wide.select(*KEY, *beside, F.inline(pairs)).where(F.col("score").isNotNull()).select("factor", *KEY, "score", *beside)

@@ -22,8 +22,11 @@ GAP_PLACES = 10
 
 
 def binned(joined: DataFrame, bins: int | None = None, by: list[str] = BY_DATE) -> DataFrame:
-    """Adds n, bins, score_bin, label_bin within ``by`` (ties by instrument)."""
+    """Adds n, bins, score_bin, label_bin within ``by`` (ties by instrument); rows that were ranked within it have their places already."""
     within = Window.partitionBy(*by)
+    if {"n", "from_bottom", "by_label"} <= set(joined.columns) and by == BY_DATE:
+        out = joined.withColumn("bins", adaptive_bins(F.col("n")) if bins is None else effective_bins(F.col("n"), bins))
+        return out.withColumns({c: frequency_bin(F.col(place) - 1, F.col("bins"), F.col("n")) for c, place in (("score_bin", "from_bottom"), ("label_bin", "by_label"))})
     n = F.count(F.lit(1)).over(within)
     out = joined.withColumn("n", n).withColumn("bins", adaptive_bins(F.col("n")) if bins is None else effective_bins(F.col("n"), bins))
     place = lambda c: F.row_number().over(within.orderBy(c, "instrument_key")) - 1

@@ -103,7 +103,7 @@ from lineitem join orders on o_orderkey = l_orderkey join supplier on s_suppkey
         lambda spark, sf_dir: _out(Lane(spark, sf_dir).labels(), ["date", "next_date", "instrument_key", "label_source"], ["close_like_price", "next_close_like_price", evaluate.LABEL]),
         sql.query(f"select date, next_date, instrument_key, 'close_like_price' as label_source, round(close_like_price, 8) as close_like_price, round(next_close_like_price, 8) as next_close_like_price, round(label, 8) as {evaluate.LABEL} from labels"),
     )
-    q["score_ranks"] = _entry(lambda x: evaluate.ranked(evaluate.labelled(x.scores(), x.labels())), ["factor", *KEY, "n", "from_top", "from_bottom"], ["score_rank", "label_rank"], "ranked")
+    q["score_ranks"] = _entry(lambda x: evaluate.ranked(x.placed()), ["factor", *KEY, "n", "from_top", "from_bottom"], ["score_rank", "label_rank"], "ranked")
     by = ["factor", "date"]
     q["rank_ic_by_date"] = _entry(Lane.per_date, [*by, "labeled_rows"], ["rank_ic"], "per_date")
     q["pearson_by_date"] = _entry(Lane.per_date, by, ["pearson_corr", "mean_label"], "per_date")

@@ -115,9 +115,21 @@ class Lane:
         """The factors as (factor, date, instrument_key, score)."""
         return factors.long(self.anchored(self.wide()), self.names)
 
+    def judged(self) -> DataFrame:
+        """The same with their labels (null where there is none), written: evaluation, comparison and backtest each read them."""
+        return self._once("judged", lambda: self._keep(factors.long(evaluate.with_labels(self.anchored(self.wide()), self.labels()), self.names, "label")))
+
     def scores(self) -> DataFrame:
-        """The same, written: evaluation, comparison and backtest each read them, and a daily frame is small next to its ticks."""
-        return self._once("scores", lambda: self._keep(self.long()))
+        return self._once("scores", lambda: self.judged().drop("label"))
+
+    def placed(self) -> DataFrame:
+        """The labelled scores, dealt by factor and date; the number of tasks follows from their number."""
+        rows = self.judged().where(F.col("label").isNotNull())
+        return evaluate.dealt(rows, self.judged().count())
+
+    def ranked(self) -> DataFrame:
+        """Ranks and places of the labelled scores, written: evaluation, bins and backtest read the same."""
+        return self._once("ranked", lambda: self._keep(evaluate.ranked(self.placed())))
 
     def raw_lane(self) -> DataFrame:
         """Daily trades of all instruments with a tick, those without volume too: what factors of the raw lane are computed from."""
@@ -127,10 +139,10 @@ class Lane:
         return self._once("labels", lambda: self.anchored(evaluate.forward_labels(self.trades_daily(), self.steps())))
 
     def per_date(self) -> DataFrame:
-        return self._once("per_date", lambda: evaluate.per_date(self.scores(), self.labels(), FRACTION))
+        return self._once("per_date", lambda: evaluate.per_date(self.scores(), self.labels(), FRACTION, self.ranked()))
 
     def binned(self) -> DataFrame:
-        return self._once("binned", lambda: self._keep(information.binned(evaluate.labelled(self.scores(), self.labels())).drop("score", "label")))
+        return self._once("binned", lambda: information.binned(self.ranked()).select("factor", "date", "instrument_key", "n", "bins", "score_bin", "label_bin"))
 
     def information(self) -> DataFrame:
         return self._once("mi", lambda: information.mutual_information(self.binned()))
@@ -167,7 +179,7 @@ class Lane:
         return compare.peer_redundancy(self.correlations(), self.overlaps())
 
     def backtest(self) -> DataFrame:
-        return self._once("backtest", lambda: self._keep(backtest.by_date(self.scores(), self.labels(), FRACTION)))
+        return self._once("backtest", lambda: self._keep(backtest.by_date(self.scores(), self.labels(), FRACTION, self.ranked())))
 
     def backtest_summary(self) -> DataFrame:
         return backtest.summary(self.scores(), self.backtest())
