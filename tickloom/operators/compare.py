@@ -10,19 +10,30 @@ from tickloom.functions.columns import pearson
 PAIR = ["left_factor", "right_factor"]
 
 
-def correlation_by_date(scores: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """By pair and date: common rows and Pearson correlation (null where undefined).
+def correlation_of_columns(wide: DataFrame, names: list[str], pairs: DataFrame | None = None) -> DataFrame:
+    """By pair and date: common rows and Pearson correlation (null where undefined), over rows of date and instrument with a column a factor.
 
-    One row an instrument holds all its factors' scores, so pairs are formed inside the row, not by a join of scores.
+    Pairs are formed inside the row, not by a join of scores, and are numbers until they are counted: 378 a row for 28 factors.
     """
-    at = F.collect_list(F.struct("factor", "score"))
-    rows = scores.groupBy("date", "instrument_key").agg(F.array_sort(at).alias("s"))
-    left = rows.select("date", "s", F.posexplode("s").alias("i", "a"))
-    both = left.select("date", F.col("a.factor").alias("left_factor"), F.col("a.score").alias("x"), F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
-    both = both.select(F.col("left_factor"), F.col("b.factor").alias("right_factor"), "date", "x", F.col("b.score").alias("y"))
-    if pairs is not None:
-        both = both.join(pairs.select(*PAIR), PAIR, "left_semi")
-    return both.groupBy(*PAIR, "date").agg(F.count(F.lit(1)).alias("common_rows"), pearson("x", "y").alias("pearson_corr"))
+    names = sorted(names)
+    asked = None if pairs is None else {(r["left_factor"], r["right_factor"]) for r in pairs.select(*PAIR).distinct().collect()}  # pairs of a catalogue
+    places = [(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and (asked is None or (a, b) in asked)]
+    one = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in places]).cast("array<struct<i:int,j:int>>")
+    rows = wide.select("date", F.array(*[F.col(n).cast("double") for n in names]).cast("array<double>").alias("s"))
+    both = rows.select("date", "s", F.explode(one).alias("p")).select("date", "p.i", "p.j", F.get("s", F.col("p.i")).alias("x"), F.get("s", F.col("p.j")).alias("y"))
+    both = both.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    found = both.groupBy("date", "i", "j").agg(F.count(F.lit(1)).alias("common_rows"), pearson("x", "y").alias("pearson_corr"))
+    name = lambda c: F.get(F.array(*[F.lit(n) for n in names]), F.col(c))
+    return found.select(name("i").alias("left_factor"), name("j").alias("right_factor"), "date", "common_rows", "pearson_corr")
+
+
+def correlation_by_date(scores: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """The same from long scores, which are put side by side first; the factors' names are read by the driver."""
+    names = [r["factor"] for r in scores.select("factor").distinct().collect()]
+    if not names:
+        return scores.limit(0).select(F.col("factor").alias("left_factor"), F.col("factor").alias("right_factor"), "date", F.lit(0).cast("long").alias("common_rows"), F.col("score").alias("pearson_corr"))
+    wide = scores.groupBy("date", "instrument_key").agg(*[F.max(F.when(F.col("factor") == n, F.col("score"))).alias(n) for n in names])
+    return correlation_of_columns(wide, names, pairs)
 
 
 def top_rows(scores: DataFrame, n: int, bottom: bool = False) -> DataFrame:

@@ -19,6 +19,8 @@ from tickloom.operators.universe import BROADCAST_ROWS
 
 BY_DATE = ["factor", "date"]
 GAP_PLACES = 10
+#: A date's permutations are dealt in so many blocks, and so many draws of an instrument go to a task, or one block of a date.
+BLOCKS, DRAWS_A_TASK = 20, 2_000_000
 
 
 def binned(joined: DataFrame, bins: int | None = None, by: list[str] = BY_DATE) -> DataFrame:
@@ -67,25 +69,40 @@ def _tasks(frame: DataFrame) -> int:
     return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def permuted_information(binned_rows: DataFrame, permutations: int, by: list[str] = BY_DATE) -> DataFrame:
-    """``by``, permutation and the mutual information of score bins dealt anew with the label bins.
+def permuted_information(binned_rows: DataFrame, sets: DataFrame, permutations: int, rows: int) -> DataFrame:
+    """representative, date, permutation and the mutual information of score bins dealt anew with the label bins, for each set of instruments.
 
-    Permutations leave both margins as they are, so only the cells' sum is new: mi = sum(c log c) / n - log n + both entropies. Rows are dealt by group
-    before they are multiplied: order and counts of the permutations need no further exchange, and carry numbers only.
+    ``sets`` names each set by its representative and numbers a date's sets from 1; ``rows`` is the number of the sets' rows. A permutation orders a date's
+    instruments once, whatever the number of its sets: an instrument's place in a set is the number of the set's instruments up to it. Permutations leave both
+    margins as they are, so only the cells' sum is new: mi = sum(c log c) / n - log n + both entropies. Instruments are dealt by date and block of permutations before they
+    are multiplied, so order and counts need no further exchange.
     """
     if permutations < 1:
         raise ValueError("permutations must be at least 1")
-    fixed = _information(binned_rows, by).select(*by, F.xxhash64(*by).alias("__g"), (F.col("score_entropy") + F.col("label_entropy") - F.log("n")).alias("__margins"))
+    of_set = ["date", "__set"]
+    members = binned_rows.join(F.broadcast(sets.select(F.col("representative").alias("factor"), "date", "__set").distinct()), BY_DATE)
+    fixed = _information(members, of_set).select(*of_set, F.col("n"), (F.col("score_entropy") + F.col("label_entropy") - F.log("n")).alias("__margins"))
+    sizes = members.groupBy(*of_set).agg(F.first("n").alias("n"), F.first("bins").alias("bins"))
+    numbers = range(1, (sets.agg(F.max("__set").alias("most")).first()["most"] or 0) + 1)
+    side = lambda i, value: F.max(F.when(F.col("__set") == i, F.col(value)))
+    wide = members.groupBy("date", "instrument_key").agg(F.count(F.lit(1)).alias("__sets"), *[side(i, "label_bin").cast("int").alias(f"l{i}") for i in numbers])
+    by_date = sizes.groupBy("date").agg(F.count(F.lit(1)).alias("__of"), *[side(i, c).alias(f"{c}{i}") for i in numbers for c in ("n", "bins")])
+
+    blocks = min(permutations, BLOCKS)
+    tasks = max(_tasks(binned_rows), -(-rows * permutations // DRAWS_A_TASK))
     tail = F.concat_ws(":", F.lit(""), F.col("date").cast("string"), "instrument_key")
-    rows = binned_rows.select(F.xxhash64(*by).alias("__g"), tail.alias("__tail"), F.col("label_bin").cast("int").alias("label_bin"), "bins", "n").repartition(_tasks(binned_rows), "__g")
-    drawn = rows.withColumn("permutation", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    order = F.md5(F.concat(F.col("permutation").cast("string"), "__tail").cast("binary"))
-    run = ["__g", "permutation"]
-    ordered = drawn.select(*run, "label_bin", "bins", "n", order.alias("__order"))
-    bin_ = frequency_bin(F.row_number().over(Window.partitionBy(*run).orderBy("__order")) - 1, F.col("bins"), F.col("n"))
-    cells = ordered.select(*run, "n", (bin_.cast("int") * 1_000 + F.col("label_bin")).alias("cell")).groupBy(*run, "cell").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-    sums = cells.groupBy(*run).agg((F.sum(F.col("c") * F.log("c")) / F.first("n")).alias("__cells"))
-    return sums.join(fixed, "__g").select(*by, "permutation", (F.col("__cells") + F.col("__margins")).alias("mi"))
+    spread = wide.select("date", tail.alias("__tail"), *[f"l{i}" for i in numbers], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block")).repartition(tasks, "date", "__block")
+    draws = F.sequence(F.col("__block") + 1, F.lit(permutations), F.lit(blocks))
+    drawn = spread.withColumn("permutation", F.explode(draws)).withColumn("__order", F.md5(F.concat(F.col("permutation").cast("string"), "__tail").cast("binary"))).drop("__tail")
+    run = ["date", "__block", "permutation"]
+    up_to = Window.partitionBy(*run).orderBy("__order").rowsBetween(Window.unboundedPreceding, 0)
+    placed = drawn.select(*run, *[f"l{i}" for i in numbers], *[F.count(f"l{i}").over(up_to).alias(f"p{i}") for i in numbers]).join(F.broadcast(by_date), "date")
+    cell = lambda i: F.when(F.col(f"l{i}").isNotNull(), frequency_bin(F.col(f"p{i}") - 1, F.col(f"bins{i}"), F.col(f"n{i}")).cast("int") * 1_000 + F.col(f"l{i}"))
+    dealt = placed.select(*run, F.inline(F.array(*[F.struct(F.lit(i).alias("__set"), cell(i).alias("cell")) for i in numbers]))).where(F.col("cell").isNotNull())
+    cells = dealt.groupBy(*run, "__set", "cell").agg(F.count(F.lit(1)).alias("c"))
+    sums = cells.groupBy(*run, "__set").agg(F.sum(F.col("c") * F.log("c")).alias("__cells"))
+    names = sets.select("representative", *of_set).distinct()
+    return sums.join(F.broadcast(fixed), of_set).join(F.broadcast(names), of_set).select("representative", "date", "permutation", (F.col("__cells") / F.col("n") + F.col("__margins")).alias("mi"))
 
 
 def significance(observed: DataFrame, nulls: DataFrame, value: str, by: list[str], threshold: float = 0.05) -> DataFrame:
@@ -100,27 +117,29 @@ def significance(observed: DataFrame, nulls: DataFrame, value: str, by: list[str
 
 
 def instrument_sets(binned_rows: DataFrame, by: list[str] = BY_DATE) -> DataFrame:
-    """Each group with the first factor that has the same instruments (and so the same labels) on the date: ``by`` and representative.
+    """Each group with the first factor that has the same instruments (and so the same labels) on the date: ``by``, representative, the set's number
+    within its date, and rows.
 
     Sets are told apart by their size and two 64-bit hashes of their members.
     """
     key = ["date", "__n", "__a", "__b"]
     sets = binned_rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.bit_xor(F.xxhash64("instrument_key")).alias("__a"), F.bit_xor(F.xxhash64(F.lit(1), "instrument_key")).alias("__b"))
-    return sets.withColumn("representative", F.min("factor").over(Window.partitionBy(*key))).select(*by, "representative")
+    named = sets.withColumn("representative", F.min("factor").over(Window.partitionBy(*key)))
+    return named.select(*by, "representative", F.dense_rank().over(Window.partitionBy("date").orderBy("representative")).alias("__set"), F.col("__n").alias("rows"))
 
 
-def mi_significance(binned_rows: DataFrame, permutations: int = 100, threshold: float = 0.05) -> DataFrame:
+def mi_significance(binned_rows: DataFrame, permutations: int = 100, threshold: float = 0.05, keep: Callable[[DataFrame], DataFrame] = DataFrame.cache) -> DataFrame:
     """Permutation test of each factor's mutual information by date; groups of one row have none.
 
-    Orders, bins and cells of the permutations are made for one factor of each set of instruments and date; the other factors of the set read
-    the same nulls.
+    Bins and cells of the permutations are made once for each set of instruments and date; the factors of the set read the same nulls.
+    keep: holds the sets, one row a factor and date.
     """
     rows = binned_rows.where(F.col("n") > 1)
     observed = mutual_information(rows)
-    sets = instrument_sets(rows)
-    first = rows.join(sets.where(F.col("factor") == F.col("representative")), BY_DATE, "left_semi")
-    nulls = permuted_information(first, permutations)
-    shared = sets.join(nulls.select(F.col("factor").alias("representative"), "date", "mi"), ["representative", "date"])
+    sets = keep(instrument_sets(rows))
+    largest = sets.groupBy("date").agg(F.max("rows").alias("rows")).agg(F.sum("rows").alias("rows")).first()["rows"] or 0
+    nulls = permuted_information(rows, sets, permutations, largest)
+    shared = sets.select(*BY_DATE, "representative").join(nulls, ["representative", "date"])
     return significance(observed, shared, "mi", BY_DATE, threshold)
 
 

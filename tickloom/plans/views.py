@@ -148,7 +148,7 @@ class Lane:
         return self._once("mi", lambda: information.mutual_information(self.binned()))
 
     def significance(self) -> DataFrame:
-        return self._once("tests", lambda: information.mi_significance(self.binned(), PERMUTATIONS))
+        return self._once("tests", lambda: information.mi_significance(self.binned(), PERMUTATIONS, keep=self._keep))
 
     def evaluated(self) -> DataFrame:
         tests = self.significance().select("factor", "date", F.col("p_value").alias("mi_p_value"), F.col("excess_over_null").alias("mi_excess_over_null"), F.col("significant").alias("mi_significant"))
