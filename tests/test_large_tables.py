@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tickloom.operators import evaluate, information
+from tickloom.operators import compare, evaluate, information
 
 D1, D2 = dt.date(2026, 1, 5), dt.date(2026, 1, 6)
 
@@ -67,3 +67,15 @@ def test_permutations_order_a_date_once_for_all_its_sets(spark, monkeypatch):
     test = {(r["factor"], r["date"]): r for r in information.mi_significance(binned, 30).collect()}
     assert len(test) == 6 and all(r["draws"] == 30 for r in test.values()) and test["f0", D1]["null_mean"] == pytest.approx(test["f1", D1]["null_mean"])
     spark.catalog.clearCache()
+
+
+def test_pairs_are_counted_by_numbers(spark):
+    rows = spark.createDataFrame([(D1, "a", 1.0, 2.0, None), (D1, "b", 2.0, 4.5, 1.0), (D1, "c", 4.0, 1.0, 1.0), (D2, "a", 3.0, 3.0, 3.0)], "date date, instrument_key string, z double, y double, x double")
+    found = compare.correlation_of_columns(rows, ["z", "y", "x"])
+    shuffled = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+    assert shuffled and not any("factor" in x for x in shuffled)
+    got = {(r["left_factor"], r["right_factor"], r["date"]): (r["common_rows"], r["pearson_corr"]) for r in found.collect()}
+    assert set(got) == {(a, b, d) for a, b in (("x", "y"), ("x", "z"), ("y", "z")) for d in (D1, D2)}
+    assert got["y", "z", D1] == (3, pytest.approx(-2.5 / math.sqrt(6.5 * 14 / 3))) and got["x", "y", D1] == (2, None) and got["x", "z", D2] == (1, None)
+    asked = spark.createDataFrame([("x", "z")], "left_factor string, right_factor string")
+    assert {(r["left_factor"], r["right_factor"]) for r in compare.correlation_of_columns(rows, ["x", "y", "z"], asked).collect()} == {("x", "z")}

@@ -167,7 +167,7 @@ class Lane:
         return self._once("slices", lambda: regimes.slice_summary(self.evaluated(), self.regimes()))
 
     def correlations(self) -> DataFrame:
-        return self._once("corr", lambda: self._keep(compare.correlation_by_date(self.scores())))
+        return self._once("corr", lambda: self._keep(compare.correlation_of_columns(self.anchored(self.wide()), self.names)))
 
     def overlaps(self) -> DataFrame:
         return self._once("over", lambda: self._keep(compare.top_overlap_by_date(self.scores(), TOP)))
