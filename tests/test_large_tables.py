@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from tickloom.operators import compare, evaluate, information
+from tickloom.operators import compare, evaluate, factors, information
+from tickloom.plans.views import Lane
 
 D1, D2 = dt.date(2026, 1, 5), dt.date(2026, 1, 6)
 
@@ -79,3 +80,21 @@ def test_pairs_are_counted_by_numbers(spark):
     assert got["y", "z", D1] == (3, pytest.approx(-2.5 / math.sqrt(6.5 * 14 / 3))) and got["x", "y", D1] == (2, None) and got["x", "z", D2] == (1, None)
     asked = spark.createDataFrame([("x", "z")], "left_factor string, right_factor string")
     assert {(r["left_factor"], r["right_factor"]) for r in compare.correlation_of_columns(rows, ["x", "y", "z"], asked).collect()} == {("x", "z")}
+
+
+def test_scores_are_read_in_tasks_that_follow_their_number(spark, sf, monkeypatch):
+    """Tasks that deal the scores hold a bounded part of them; levels come from the daily rows without a join of their tables."""
+    monkeypatch.setattr(evaluate, "ROWS_A_TASK", 1_000)
+    lane = Lane(spark, sf)
+    rows = lane.judged().count()
+    assert rows > 5_000 and lane.judged().rdd.getNumPartitions() >= rows // 1_000
+    assert lane.wide().count() * len(lane.names) >= rows
+    plan = lane._levels({"trades", "orders"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan
+    apart = factors.levels(lane.trades_daily(), lane.orders_daily(), lane.raw_daily())
+    assert apart.exceptAll(lane.levels()).count() == 0 and lane.levels().exceptAll(apart).count() == 0
+    some = tuple(s for s in factors.SPECS if s.lanes in (("trades",), ("trades", "orders")))
+    apart = factors.levels(lane.trades_daily(), lane.orders_daily(), specs=some)
+    side = factors.levels_of_tagged(lane.tagged(), some)
+    assert apart.exceptAll(side).count() == 0 and side.exceptAll(apart).count() == 0
+    lane.close()

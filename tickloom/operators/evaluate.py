@@ -44,10 +44,14 @@ def group_number() -> Column:
     return F.xxhash64(*BY_DATE)
 
 
+def tasks_for(frame: DataFrame, rows: int) -> int:
+    """As many tasks as so many rows ask for, and as the session shuffles into at least."""
+    return max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
+
+
 def dealt(joined: DataFrame, rows: int) -> DataFrame:
     """The same rows, with their group's number, dealt by it to as many tasks as their number asks for."""
-    least = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return joined.withColumn(GROUP, group_number()).repartition(max(least, -(-rows // ROWS_A_TASK)), GROUP)
+    return joined.withColumn(GROUP, group_number()).repartition(tasks_for(joined, rows), GROUP)
 
 
 def ranked(joined: DataFrame) -> DataFrame:

@@ -8,12 +8,14 @@ and instrument), all changes from one self-join of it with the previous availabl
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions.columns import ratio
 from tickloom.operators.daily import KEY
 
 
@@ -99,6 +101,20 @@ def levels(trades: DataFrame | None = None, orders: DataFrame | None = None, raw
     return wide.select(*KEY, *[F.when(F.expr(" and ".join(f"__{lane}" for lane in spec.lanes)), F.round(F.expr(spec.expression), PLACES)).alias(spec.name) for spec in specs])
 
 
+def levels_of_tagged(tagged: DataFrame, specs: tuple[FactorSpec, ...] = SPECS) -> DataFrame:
+    """The same from daily rows that have all tables side by side (daily.tagged_daily, with the raw statistics if a factor needs them).
+
+    A row knows which of the tables it is in, so nothing is taken apart and joined again.
+    """
+    within = {"trades": F.col("share_volume") > 0, "orders": F.col("order_event_count") > 0, "raw": F.lit(True)}
+    wanted = {lane for spec in specs for lane in spec.lanes}
+    rows = tagged.withColumns({
+        "vwap": ratio(F.col("turnover"), F.col("share_volume")), "churn_ratio": ratio(F.col("order_event_count"), F.col("unique_order_ids")), "raw_turnover": F.col("turnover"), "raw_count": F.col("trade_count"),
+    }).where(reduce(lambda a, b: a | b, [within[lane] for lane in sorted(wanted)]))
+    needs = lambda spec: reduce(lambda a, b: a & b, [within[lane] for lane in spec.lanes])
+    return rows.select(*KEY, *[F.when(needs(spec), F.round(F.expr(spec.expression), PLACES)).alias(spec.name) for spec in specs])
+
+
 def one_day_change(frame: DataFrame, steps: DataFrame, columns: list[str]) -> DataFrame:
     """date, instrument_key, previous_date, and for each column its previous value and its change since the previous available date.
 

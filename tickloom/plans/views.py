@@ -100,9 +100,10 @@ class Lane:
         return self._once("steps", lambda: dates.stepped(dates.calendar(self.tagged())))
 
     def levels(self) -> DataFrame:
-        lanes_ = {lane for spec in self.specs for lane in spec.lanes}
-        part = lambda lane, make: make() if lane in lanes_ else None
-        return self._once("levels", lambda: self._persist(factors.levels(part("trades", self.trades_daily), part("orders", self.orders_daily), part("raw", self.raw_daily), self.specs)))
+        return self._once("levels", lambda: self._persist(self._levels({lane for spec in self.specs for lane in spec.lanes})))
+
+    def _levels(self, needs: set[str]) -> DataFrame:
+        return factors.levels_of_tagged(shape.shaped(self.tagged(), self.trades()) if "raw" in needs else self.tagged(), self.specs)
 
     def wide(self) -> DataFrame:
         """All factors side by side; persisted, as scores and correlations both start from it."""
@@ -115,9 +116,19 @@ class Lane:
         """The factors as (factor, date, instrument_key, score)."""
         return factors.long(self.anchored(self.wide()), self.names)
 
+    def labelled_wide(self) -> DataFrame:
+        """The wide rows with their labels, in as many tasks as the scores in them ask for: what reads the scores holds a bounded part of them in a task."""
+
+        def make() -> DataFrame:
+            wide = self.anchored(self.wide())
+            tasks = evaluate.tasks_for(wide, wide.count() * len(self.names))
+            return self._persist(evaluate.with_labels(wide, self.labels()).repartition(tasks, "date", "instrument_key"))
+
+        return self._once("labelled_wide", make)
+
     def judged(self) -> DataFrame:
-        """The same with their labels (null where there is none), written: evaluation, comparison and backtest each read them."""
-        return self._once("judged", lambda: self._keep(factors.long(evaluate.with_labels(self.anchored(self.wide()), self.labels()), self.names, "label")))
+        """The same with their labels (null where there is none). Wide rows are kept, and become scores in the tasks that read them."""
+        return self._once("judged", lambda: factors.long(self.labelled_wide(), self.names, "label"))
 
     def scores(self) -> DataFrame:
         return self._once("scores", lambda: self.judged().drop("label"))
@@ -274,6 +285,10 @@ class TickLane(Lane):
     def raw_daily(self) -> DataFrame:
         return self._once("raw", lambda: shape.raw_statistics(self.trades()))
 
+    def _levels(self, needs: set[str]) -> DataFrame:
+        part = lambda lane, make: make() if lane in needs else None
+        return factors.levels(part("trades", self.trades_daily), part("orders", self.orders_daily), part("raw", self.raw_daily), self.specs)
+
     def raw_lane(self) -> DataFrame:
         return self._once("raw_lane", lambda: daily.trades_daily(self.trades(), self.last_by(), positive_volume=False))
 
