@@ -442,3 +442,18 @@ def test_language_model_does_not_depend_on_partitions(spark, monkeypatch):
         found.append({r["doc_id"]: r["score"] for r in lm.scored(frame.repartition(parts), MULTI, PATTERN).collect()})
     spark.conf.set("spark.sql.shuffle.partitions", held)
     assert found[0].keys() == found[1].keys() and max(abs(found[0][d] - found[1][d]) for d in found[0]) < 1e-6
+
+
+def test_language_model_learns_from_every_distinct_text(spark, monkeypatch):
+    """No text is left out, however many more there are than the start takes."""
+    monkeypatch.setattr(lm, "STEPS", 3)
+    monkeypatch.setattr(lm, "SAMPLE_ROWS", 1)
+    monkeypatch.setattr(lm, "LEARNER_TEXTS", 30)
+    windows, summed = [], lm._summed
+    monkeypatch.setattr(lm, "_summed", lambda vectors: windows.append(summed(vectors)) or windows[-1])
+    texts = [f"alpha word{i} beta gamma word{i * 7} " * (1 + i % 9) for i in range(80)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:20])], "doc_id long, text string").repartition(3)
+    assert lm.scored(frame, MULTI, PATTERN).count() == 100
+    kept = {t.encode() for i, t in enumerate(texts + texts[:20]) if zlib.crc32(str(i).encode()) % 7 != 2}
+    vocabulary = lm.subwords(MULTI, PATTERN)
+    assert windows[-1][1] == sum(-(-len(lm.raw_ids([t], vocabulary)[0]) // lm.STRIDE) for t in kept)

@@ -17,8 +17,8 @@ has costs one row a part. Nothing of the vocabulary is broadcast.
 
 Learning. The subword counts (which subwords are frequent, their shares of a class; taken from the distinct words and their
 totals) and the counts of neighbours that the classes come from are exact sums over all training rows. The weights start from ``STEPS`` steps of one task on at most
-``SAMPLE_ROWS`` distinct texts (``SAMPLE_TEXT`` bytes of each); then one distinct text in ``LEARN_EVERY``, picked by hash, is learnt
-from whole (up to ``LEARN_EVERY * SAMPLE_ROWS`` distinct texts, every one): texts are dealt by hash to learners, about ``LEARNER_TEXTS`` each; a learner goes once through its texts' windows
+``SAMPLE_ROWS`` distinct texts (``SAMPLE_TEXT`` bytes of each), which spares each learner its first steps; then every distinct text is learnt
+from whole, at any size: texts are dealt by hash to learners, about ``LEARNER_TEXTS`` each; a learner goes once through its texts' windows
 in order of hash, and the learners' weights are averaged by their numbers of windows. Sums are of whole numbers, so neither their order nor the number of tasks and
 partitions matters. What is broadcast is the network, of fixed size.
 
@@ -46,8 +46,8 @@ from tickloom.llm.common import new_folder, remainder, removed, small_batches, w
 
 PART_BYTES = 16_000_000
 SAMPLE_ROWS, SAMPLE_TEXT = 1_000, 60_000
-LEARN_EVERY, LEARN_IDS, LEARN_RATE = 8, 2_000_000, 0.001
-LEARNER_TEXTS, TEXTS_AT_ONCE = 1_000, 500
+LEARN_EVERY, LEARN_IDS, LEARN_RATE = 1, 2_000_000, 0.001  # every distinct text is learnt from
+LEARNER_TEXTS, TEXTS_AT_ONCE = 8_000, 500
 SIGNS, PAIRS, CHUNK, FIXED_POINT = 48, 4_000_000, 4_096, 2.0**24
 STRIDE, WIDTH, HIDDEN, CLASSES, FREQUENT = 16, 16, 16, 64, 8_000
 MIX = 0.4
@@ -379,7 +379,7 @@ VECTOR = "chunk int, weight long, numbers binary"
 
 
 def learnt(docs: DataFrame, network: Network, distinct: int, path: str, pattern: str) -> Network:
-    """The network fitted to training rows (text): a start by one task, then the average of all tasks' weights."""
+    """The network fitted to training rows (text): a start by one task, then the average of all learners' weights, each distinct text learnt from by one."""
     spark = docs.sparkSession
     small = pickle.dumps(network)
     at = F.xxhash64("text")
@@ -407,11 +407,9 @@ def learnt(docs: DataFrame, network: Network, distinct: int, path: str, pattern:
         if one is not None:
             yield one.result()
 
-    every = 1 if distinct <= LEARN_EVERY * SAMPLE_ROWS else LEARN_EVERY
     # Learners are as many as the corpus asks for, and each one's texts and their order follow from the texts: tasks and partitions change nothing.
-    learners = max(1, -(-distinct // (every * LEARNER_TEXTS)))
-    chosen = docs.select(at.alias("at"), "text").where(F.pmod("at", F.lit(every)) == 0).dropDuplicates(["at"])
-    dealt = chosen.withColumn("learner", F.pmod(F.shiftright("at", 16), F.lit(learners))).repartition(learners, "learner").sortWithinPartitions("learner", "at").select("learner", "text")
+    learners = max(1, -(-distinct // LEARNER_TEXTS))
+    dealt = docs.select(at.alias("at"), "text").dropDuplicates(["at"]).withColumn("learner", F.pmod(F.shiftright("at", 16), F.lit(learners))).repartition(learners, "learner").sortWithinPartitions("learner", "at").select("learner", "text")
     found = _summed(dealt.mapInArrow(go_through, VECTOR))
     network = pickle.loads(start.value)
     if not found:
