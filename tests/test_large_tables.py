@@ -89,7 +89,7 @@ def test_scores_are_read_in_tasks_that_follow_their_number(spark, sf, monkeypatc
     rows = lane.judged().count()
     assert rows > 5_000 and lane.judged().rdd.getNumPartitions() >= rows // 1_000
     assert lane.wide().count() * len(lane.names) >= rows
-    plan = lane._levels({"trades", "orders"})._jdf.queryExecution().optimizedPlan().toString()
+    plan = lane._levels({"trades", "orders", "raw"})._jdf.queryExecution().optimizedPlan().toString()
     assert "FullOuter" not in plan
     apart = factors.levels(lane.trades_daily(), lane.orders_daily(), lane.raw_daily())
     assert apart.exceptAll(lane.levels()).count() == 0 and lane.levels().exceptAll(apart).count() == 0
