@@ -7,6 +7,7 @@ import pytest
 
 from tickloom.operators import compare, evaluate, factors, information
 from tickloom.plans.views import Lane
+from tickloom.sources import lanes
 
 D1, D2 = dt.date(2026, 1, 5), dt.date(2026, 1, 6)
 
@@ -98,3 +99,21 @@ def test_scores_are_read_in_tasks_that_follow_their_number(spark, sf, monkeypatc
     side = factors.levels_of_tagged(lane.tagged(), some)
     assert apart.exceptAll(side).count() == 0 and side.exceptAll(apart).count() == 0
     lane.close()
+
+
+def test_ticks_of_one_row_group_are_aggregated_in_several_tasks(spark, sf, tmp_path, monkeypatch):
+    """A file that one task reads is dealt out by rows before it is aggregated; the daily rows are the same."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    rows = events.count()
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    spark.read.parquet(f"{sf}/customer.parquet").write.parquet(str(tmp_path / "customer.parquet"))
+    daily = lambda lane: {tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in lane.trades_daily().collect()}
+    before = daily(Lane(spark, str(tmp_path)))
+    assert lanes.event_ticks(spark, str(tmp_path)).rdd.getNumPartitions() == 1
+    spark.catalog.clearCache()
+    monkeypatch.setattr(lanes, "TICKS_A_TASK", rows // 6)
+    dealt = lanes.event_ticks(spark, str(tmp_path)).rdd.glom().map(len).collect()
+    assert len(dealt) >= 6 and max(dealt) < rows / 3 and sum(dealt) == rows
+    lane = Lane(spark, str(tmp_path))
+    assert daily(lane) == before and before
+    lane.close()

@@ -11,14 +11,27 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import instrument_key, seconds_of_day
 
+#: Ticks that a task aggregates before they are exchanged: its memory follows neither the input nor how the input's files are cut.
+TICKS_A_TASK = 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The same rows, dealt by a row's own key to as many tasks as their number asks for; few rows stay as they were read.
+
+    A Parquet file is read by one task a row group at most, so a large file of one group would be parsed and aggregated by a single task. Rows are dealt
+    one by one, not by instrument: a hot instrument's ticks lie in all tasks. They are counted from the files' footers.
+    """
+    tasks = -(-rows.count() // TICKS_A_TASK)
+    return rows.repartition(tasks, key) if tasks > 1 else rows
+
+
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ticks of lane E with both tables' columns; ``is_order`` marks order ticks."""
-    events = table(spark, sf_dir, "events")
+    events = dealt(table(spark, sf_dir, "events"), "event_id")
     kind = F.col("event_type")
     k = F.get_json_object("props", "$.k").cast("long")
     file = F.concat(F.lit("trade/"), F.lpad(F.col("user_id").cast("string"), 5, "0"), F.lit(".csv"))
