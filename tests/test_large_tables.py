@@ -71,6 +71,15 @@ def test_permutations_order_a_date_once_for_all_its_sets(spark, monkeypatch):
     spark.catalog.clearCache()
 
 
+def test_tasks_of_the_permutation_test_order_a_bounded_part(spark):
+    """Of 100 permutations a block has two at most, and half a million draws go to a task, whatever the number of rows."""
+    binned = information.binned(evaluate.ranked(judged(spark)))
+    nulls = information.permuted_information(binned, information.instrument_sets(binned), 100, 10_000_000)
+    plan = nulls._jdf.queryExecution().optimizedPlan().toString()
+    assert "2000" in next(x for x in plan.split("\n") if "RepartitionByExpression" in x and "__block" in x)
+    assert -(-100 // information.BLOCKS) <= 2
+
+
 def test_pairs_are_counted_by_numbers(spark):
     rows = spark.createDataFrame([(D1, "a", 1.0, 2.0, None), (D1, "b", 2.0, 4.5, 1.0), (D1, "c", 4.0, 1.0, 1.0), (D2, "a", 3.0, 3.0, 3.0)], "date date, instrument_key string, z double, y double, x double")
     found = compare.correlation_of_columns(rows, ["z", "y", "x"])

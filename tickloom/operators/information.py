@@ -19,8 +19,8 @@ from tickloom.operators.universe import BROADCAST_ROWS
 
 BY_DATE = ["factor", "date"]
 GAP_PLACES = 10
-#: A date's permutations are dealt in so many blocks, and so many draws of an instrument go to a task, or one block of a date.
-BLOCKS, DRAWS_A_TASK = 20, 2_000_000
+#: A date's permutations are dealt in so many blocks, and so many draws of an instrument go to a task, or one block of a date: a task orders some hundred MB.
+BLOCKS, DRAWS_A_TASK = 50, 500_000
 
 
 def binned(joined: DataFrame, bins: int | None = None, by: list[str] = BY_DATE) -> DataFrame:
