@@ -203,3 +203,25 @@ def test_postings_blocks_round_trip():
         tf = [rnd.choice([1, 2, 300, 2**17]) for _ in rows]
         a, b = lexical.unpack(lexical.pack(np.array(rows), np.array(tf)))
         assert a.tolist() == rows and b.tolist() == tf
+
+
+def test_rare_terms_are_packed_together(monkeypatch):
+    """Lists that stay plain are not packed one by one, and their bytes are those of ``pack``."""
+    packed = []
+    one = lexical.pack
+    monkeypatch.setattr(lexical, "pack", lambda rows, tf: packed.append(len(rows)) or one(rows, tf))
+    texts = [b" ".join([b"all", b"t%d" % i, b"u%d" % (i // 3), b"v%d" % (i % 40)] + [b"w%d" % i] * (300 if i % 100 == 0 else 2)) for i in range(1_000)]
+    made = lexical.build(list(range(1_000)), texts)
+    assert packed == [1_000]
+    where = {}
+    for i, text in enumerate(texts):
+        for term in dict.fromkeys(text.split()):
+            where.setdefault(term, []).append((i, text.split().count(term)))
+    terms, sizes, at = lexical.zstandard.ZstdDecompressor().decompress(made["terms"]).split(b"\n"), lexical._numbers(made["sizes"]), 0
+    assert terms == list(where)
+    for term, size in zip(terms, sizes.tolist(), strict=True):
+        rows, tf = map(np.array, zip(*where[term], strict=True))
+        data, at = made["postings"][at : at + size], at + size
+        if term != b"all":
+            assert data == lexical.struct.pack("<IB", len(one(rows, tf)) + 1, 0) + one(rows, tf)
+    assert at == len(made["postings"])

@@ -44,6 +44,8 @@ B_PERCENT, TF_SCALE, TF_STEP, M_STEP = 75, 1_000_000_000, 1_000, 8
 SHARD_BYTES = 16_000_000
 POSTINGS = 4_096
 BLOCK_BYTES = 4_000_000
+#: Blocks of more bytes are compressed.
+PLAIN_BYTES = 64
 ARROW_ROWS = 500
 NULL_ID = 2**63 - 1
 
@@ -73,6 +75,52 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps), _wide(data, at, n)[0]
 
 
+def _bytes_of(most: np.ndarray) -> np.ndarray:
+    """The least numbers of bytes that ``_narrow`` packs values in, by the largest of each list."""
+    return 1 << np.searchsorted([1 << 8, 1 << 16, 1 << 32], most, "right")
+
+
+def posting_lists(row: np.ndarray, tf: np.ndarray, df: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All terms' lists one after another, and their sizes; ``row`` and ``tf`` term by term, ``df`` how many of them each term has.
+
+    A list is blocks of ``POSTINGS``, each with its size and whether it is compressed: short ones cost more compressed than plain. Most terms are
+    rare, so short lists of the same shape are packed together, as the rows of one array.
+    """
+    if not len(df):
+        return b"", df
+    starts = np.concatenate(([0], np.cumsum(df)))
+    gaps = np.diff(row, prepend=0)
+    gaps[starts[:-1]] = row[starts[:-1]]
+    wide_gap, wide_tf = _bytes_of(np.maximum.reduceat(gaps, starts[:-1])), _bytes_of(np.maximum.reduceat(tf, starts[:-1]))
+    sizes = 11 + df * (wide_gap + wide_tf)
+    short = (sizes - 5 <= PLAIN_BYTES) & (df <= POSTINGS)
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    long = {}
+    for i in np.flatnonzero(~short).tolist():
+        blocks = [pack(row[a : min(a + POSTINGS, starts[i + 1])], tf[a : min(a + POSTINGS, starts[i + 1])]) for a in range(starts[i], starts[i + 1], POSTINGS)]
+        blocks = [b"\1" + squeeze(b) if len(b) > PLAIN_BYTES else b"\0" + b for b in blocks]
+        long[i] = b"".join(struct.pack("<I", len(b)) + b for b in blocks)
+        sizes[i] = len(long[i])
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    out = np.empty(at[-1], np.uint8)
+    for i, data in long.items():
+        out[at[i] : at[i + 1]] = np.frombuffer(data, np.uint8)
+    some = np.flatnonzero(short)
+    shape = (df[some] * 16 + wide_gap[some]) * 16 + wide_tf[some]
+    some = some[np.argsort(shape, kind="stable")]
+    _, counts = np.unique(shape, return_counts=True)
+    for terms in np.split(some, np.cumsum(counts)[:-1]) if len(some) else []:
+        n, g, f = int(df[terms[0]]), int(wide_gap[terms[0]]), int(wide_tf[terms[0]])
+        held = starts[terms][:, None] + np.arange(n)
+        block = np.empty((len(terms), 11 + n * (g + f)), np.uint8)
+        block[:, :10] = np.frombuffer(struct.pack("<IBIB", 7 + n * (g + f), 0, n, g), np.uint8)
+        block[:, 10 : 10 + n * g] = gaps[held].astype(f"<u{g}").view(np.uint8)
+        block[:, 10 + n * g] = f
+        block[:, 11 + n * g :] = tf[held].astype(f"<u{f}").view(np.uint8)
+        out[at[terms][:, None] + np.arange(block.shape[1])] = block
+    return out.tobytes(), sizes
+
+
 def build(ids: list[int | None], texts: list[bytes]) -> dict[str, object]:
     """A shard's row, or an empty one where no text has a term."""
     codes: dict[bytes, int] = {}
@@ -89,20 +137,12 @@ def build(ids: list[int | None], texts: list[bytes]) -> dict[str, object]:
     term, row = key // max(len(some), 1), key % max(len(some), 1)
     df = np.bincount(term, minlength=len(codes))
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    starts = np.concatenate(([0], np.cumsum(df)))
-    lists, sizes = [], []
-    for i in range(len(codes)):
-        at = starts[i]
-        blocks = [pack(row[a : min(a + POSTINGS, starts[i + 1])], tf[a : min(a + POSTINGS, starts[i + 1])]) for a in range(at, starts[i + 1], POSTINGS)]
-        # Short lists cost more compressed than plain.
-        blocks = [b"\1" + squeeze(b) if len(b) > 64 else b"\0" + b for b in blocks]
-        lists += [struct.pack("<I", len(b)) + b for b in blocks]
-        sizes.append(sum(len(b) + 4 for b in blocks))
+    postings, sizes = posting_lists(row, tf, df)
     given = np.array([NULL_ID if ids[i] is None else ids[i] for i in some], np.int64)
     nulls = np.array([ids[i] is None for i in some], bool)
     return {
-        "rows": len(some), "length": int(lengths.sum()), "terms": squeeze(b"\n".join(codes)), "df": squeeze(df.astype("<i8").tobytes()), "sizes": squeeze(np.array(sizes, "<i8").tobytes()),
-        "postings": b"".join(lists), "documents": squeeze(given.tobytes() + lengths.tobytes() + nulls.tobytes()),
+        "rows": len(some), "length": int(lengths.sum()), "terms": squeeze(b"\n".join(codes)), "df": squeeze(df.astype("<i8").tobytes()), "sizes": squeeze(sizes.astype("<i8").tobytes()),
+        "postings": postings, "documents": squeeze(given.tobytes() + lengths.tobytes() + nulls.tobytes()),
     }
 
 
