@@ -126,3 +126,13 @@ def test_ticks_of_one_row_group_are_aggregated_in_several_tasks(spark, sf, tmp_p
     lane = Lane(spark, str(tmp_path))
     assert daily(lane) == before and before
     lane.close()
+
+
+def test_sets_are_put_side_by_side_in_tasks_that_follow_their_rows(spark, monkeypatch):
+    """The hash tables that make a date's instruments wide hold a bounded part of them; the exchange is not left to follow bytes."""
+    monkeypatch.setattr(evaluate, "ROWS_A_TASK", 4)
+    binned = information.binned(evaluate.ranked(judged(spark)))
+    nulls = information.permuted_information(binned, information.instrument_sets(binned), 10, 120)
+    plan = nulls._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    rows = 2 * (60 + 41)
+    assert any("RepartitionByExpression [date" in x and "instrument_key" in x and f"], {-(-rows // 4)}" in x for x in plan)

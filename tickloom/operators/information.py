@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import adaptive_bins, effective_bins, frequency_bin
+from tickloom.operators.evaluate import tasks_for
 from tickloom.operators.universe import BROADCAST_ROWS
 
 BY_DATE = ["factor", "date"]
@@ -83,9 +84,11 @@ def permuted_information(binned_rows: DataFrame, sets: DataFrame, permutations:
     members = binned_rows.join(F.broadcast(sets.select(F.col("representative").alias("factor"), "date", "__set").distinct()), BY_DATE)
     fixed = _information(members, of_set).select(*of_set, F.col("n"), (F.col("score_entropy") + F.col("label_entropy") - F.log("n")).alias("__margins"))
     sizes = members.groupBy(*of_set).agg(F.first("n").alias("n"), F.first("bins").alias("bins"))
-    numbers = range(1, (sets.agg(F.max("__set").alias("most")).first()["most"] or 0) + 1)
+    held = sets.agg(F.max("__set").alias("most"), F.sum(F.when(F.col("factor") == F.col("representative"), F.col("rows"))).alias("rows")).first()
+    numbers = range(1, (held["most"] or 0) + 1)
     side = lambda i, value: F.max(F.when(F.col("__set") == i, F.col(value)))
-    wide = members.groupBy("date", "instrument_key").agg(F.count(F.lit(1)).alias("__sets"), *[side(i, "label_bin").cast("int").alias(f"l{i}") for i in numbers])
+    # Put side by side in as many tasks as the sets' rows ask for: partitions that follow bytes hold so many small rows that their hash tables spill.
+    wide = members.select(*of_set, "instrument_key", "label_bin").repartition(tasks_for(members, held["rows"] or 0), "date", "instrument_key").groupBy("date", "instrument_key").agg(F.count(F.lit(1)).alias("__sets"), *[side(i, "label_bin").cast("int").alias(f"l{i}") for i in numbers])
     by_date = sizes.groupBy("date").agg(F.count(F.lit(1)).alias("__of"), *[side(i, c).alias(f"{c}{i}") for i in numbers for c in ("n", "bins")])
 
     blocks = min(permutations, BLOCKS)
