@@ -156,6 +156,61 @@ def test_search_skips_blocks():
     assert len(ids) == 5 and (np.diff(scores) <= 0).all() and shard.opened < shard.held
 
 
+def asked_of(texts, df, rows):
+    sets = [np.unique(topk.term_hashes(t.split())) for t in texts]
+    weights = [np.log(1 + (rows - d + 0.5) / (d + 0.5)) for d in (np.array([df[int(h)] for h in s], float) for s in sets)]
+    return topk.Asked(list(range(len(texts))), np.array([len(s) for s in sets]), np.concatenate(sets), np.concatenate(weights))
+
+
+@pytest.mark.parametrize("limits", [{}, {"CELLS": 2_000, "POSTINGS": 50, "PIECE": 3}, {"COMMON": 10_000, "DEAR": 1e9}, {"DEAR": 0, "FEW": 0, "BATCH": 7}])
+def test_scores_of_whole_texts_above_a_bound(monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(topk, name, value)
+    rnd = random.Random(2)
+    words = [f"w{i}".encode() for i in range(400)]
+    texts = [b" ".join(rnd.choice(words[: rnd.choice([4, 20, 400])]) for _ in range(rnd.choice([1, 3, 30, 90]))) for _ in range(300)]
+    texts += texts[:40] + [b"w0 " * 300, b""]  # copies tie
+    df = collections.Counter(int(h) for t in texts for h in np.unique(topk.term_hashes(t.split())))
+    lengths = np.array([len(t.split()) for t in texts])
+    asked = asked_of(texts[:60], df, len(texts))
+    shard = topk.Shard(topk.build(list(range(len(texts))), texts), lengths.mean())
+    want = {}
+    for at, i in enumerate(asked.ids):
+        mine = slice(asked.cuts[at], asked.cuts[at + 1])
+        weight = dict(zip(asked.terms[asked.which[mine]].tolist(), asked.weights[asked.which[mine]].tolist(), strict=True))
+        scores = []
+        for n, text in enumerate(texts):
+            tf = collections.Counter(topk.term_hashes(text.split()).tolist())
+            scores.append((-round(sum(w * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * lengths[n] / lengths.mean())) for t, w in weight.items() if t in tf), 9), n))
+        want[at] = [(n, -s) for s, n in sorted(scores)[:10] if s < 0]
+        assert i == asked.ids[at]
+    for share in (None, 0.0, 0.9, 1.0, 1.01):  # of the tenth best score
+        tenth = np.array([w[-1][1] if len(w) == 10 else 0.0 for _, w in sorted(want.items())])
+        least = np.full(len(asked.ids), -1.0) if share is None else tenth * share
+        query, ids, scores = shard.search_many(asked, 10, least)
+        for at, best in want.items():
+            got = list(zip(ids[query == at].tolist(), scores[query == at].tolist(), strict=True))
+            expected = [(n, s) for n, s in best if s >= least[at] - 1e-9]
+            assert [n for n, _ in got] == [n for n, _ in expected] and np.allclose([s for _, s in got], [s for _, s in expected], atol=2e-9, rtol=0)
+
+
+def test_shards_return_only_rows_above_what_others_have(spark, monkeypatch):
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rnd.choice(words[: rnd.choice([5, 50, 300])]) for _ in range(rnd.choice([8, 40])))) for i in range(1_500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    folders = {}
+    monkeypatch.setattr(topk, "new_folder", lambda session, name, make=topk.new_folder: folders.setdefault(name, make(session, name)))
+    index = topk.new_folder(spark, "bm25-index")
+    topk.write_index(docs, index, 4_000)
+    shards = spark.read.parquet(index).count()
+    got = topk.search(spark, index, docs.where("doc_id % 100 = 0").selectExpr("doc_id as query_id", "text"))
+    want = run_sql(spark, "op2_topk", documents=docs)
+    assert cells(got.columns, got.collect()) == cells(want.columns, want.fetchall())
+    # Each shard returned its ten best rows of each query before, so the rows to merge grew with queries times shards.
+    assert shards > 30 and spark.read.parquet(folders["bm25-found"]).count() < shards * 15 * 10 / 2
+
+
 def test_fixity_finds_the_damage(spark):
     records = spark.createDataFrame([(i, f"record {i}") for i in range(9_000)] + [(None, "x"), (5, "again"), (9_999, None)], "id long, payload string")
     second = records.where("id is null or id not in (17, 4097)").selectExpr("id", "case when id = 8000 then 'changed' else payload end as payload")

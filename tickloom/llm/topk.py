@@ -1,4 +1,4 @@
-"""Exact BM25 top-k search: sharded inverted indexes with block-max WAND pruning, merged exactly.
+"""Exact BM25 top-k search: sharded inverted indexes, scores by products and postings above a known bound, merged exactly.
 
 Rows are dealt by hash into shards of about ``SHARD_BYTES`` of text. A shard's index is one compressed row of arrays: its
 terms (64-bit hashes), their postings (row numbers and frequencies), and the rows' ids and lengths. Rows of a shard are
@@ -6,13 +6,22 @@ numbered so that rows with the same commonest word and like length lie together,
 so worth skipping. Document frequencies, the number of rows and the mean length are summed over all shards first, so each
 shard's scores are the global ones and the k best of all shards' k best are exact.
 
-Search, for queries in a shard. A shard's commonest terms (in an eighth of its rows or more, ``DENSE`` at most) would bound
-nothing: nearly every block holds them. Their impacts are kept as a dense matrix, and one product gives their exact part
-of every row's score for a batch of queries. For all other terms, each (term, block of ``BLOCK`` rows) has the largest impact
-of the term in the block. A block's bound is the best dense part of its rows plus the sum of the terms' maxima. Blocks are
-opened from the highest bound down, in growing batches; the k-th best score so far is the threshold, and postings of
-blocks whose bound is below it are never read. Opened blocks are scored exactly. Queries come in blocks of at most
-``QUERY_BLOCK``; only one block's terms and weights are broadcast at a time.
+Search, for queries in a shard. Whole texts as queries hold words of nearly every row, and bounds of blocks save them nothing
+(93 % of their postings lay in blocks that had to be opened, even with the final k-th best score known). So all their
+terms are added up, as cheaply as may be: for a batch of queries with like terms, those in a ``COMMON``-th of the
+rows or more that the batch asks for often enough (a posting costs about ``DEAR`` multiplications) are one product in single precision; postings of
+all others are added at once. Rows that can reach the bound, with ``SINGLE`` to spare, get the product's part again in double
+precision, so every score that is returned is exact. Tables by row are bounded by ``CELLS``.
+Queries of at most ``FEW`` terms go by block maxima: each (term, block of ``BLOCK`` rows) has the largest impact of the term in the
+block; a block's bound is the best common part of its rows plus the sum of the terms' maxima. Blocks are
+opened from the highest bound down, in growing batches, and postings of blocks whose bound is below the k-th best
+score so far are never read.
+
+What a row must reach: every ``SEEDS``-th shard is searched first, and the k-th best score that they have for a query bounds what
+the other shards look for, as does the k-th best of the shards that a task has searched before. So most shards return
+nothing for most queries. Queries come in blocks of about ``QUERY_BLOCK`` queries and
+``QUERY_TERMS`` terms at most; the index is read once a block, and only one block is broadcast at a time. The work is still queries
+times rows, so it grows with the square of a table whose queries grow with it.
 
 Terms are the words of decontaminate.words_of. A query is its text's set of terms. Scores are rounded to 9 places; ties go
 to the smaller id. Defined results: null and empty texts are rows without terms: they count in N and the mean length, never
@@ -29,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -39,10 +49,18 @@ from tickloom.llm.decontaminate import words_of
 
 K1, B = 1.2, 0.75
 SHARD_BYTES = 12_000_000
-QUERY_BLOCK = 2_048
+QUERY_BLOCK = 8_192
+QUERY_TERMS = 2_000_000
+SEEDS = 8
 BLOCK = 64
-DENSE = 256
-BATCH = 64
+DENSE, COMMON = 1_024, 24
+BATCH = 256
+DEAR = 240  # what adding up a posting costs, in multiplications of a product
+POSTINGS = 50_000
+PIECE = 512
+CELLS = 4_000_000
+FEW = 4
+SINGLE = 1e-4  # more than single precision loses over DENSE terms, relatively
 PLACES = 9
 NULL_ID = 2**63 - 1
 
@@ -99,32 +117,46 @@ def build(ids: list[int | None], texts: list[bytes | None]) -> bytes:
     return _pack([terms, df.astype(np.int32), gaps.astype(np.int32), tf.astype(np.int32), ids_[order], lengths[order].astype(np.int32)])
 
 
+class Asked:
+    """Queries as arrays: the distinct terms and their weights, and for each query (``ids``) the numbers of its terms, those of query i at ``cuts[i]:cuts[i + 1]``.
+
+    The first ``few`` queries have at most ``FEW`` terms. The others lie so that a batch of them shares many common terms: by
+    the weight of the commonest term, which tells languages apart, then by length.
+    """
+
+    def __init__(self, ids: list[int | None], sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray):
+        self.terms, first, which = np.unique(terms, return_index=True, return_inverse=True)
+        self.weights = weights[first]
+        begins = np.cumsum(sizes) - sizes
+        order = np.lexsort((sizes, np.minimum.reduceat(weights, begins), sizes > FEW)) if len(sizes) else np.zeros(0, np.int64)
+        self.few = int((sizes <= FEW).sum())
+        at, _ = _ragged(begins[order], (begins + sizes)[order])
+        self.ids, self.which = [ids[i] for i in order.tolist()], which[at].astype(np.int32)
+        self.cuts = np.concatenate(([0], np.cumsum(sizes[order], dtype=np.int64)))
+
+
 class Shard:
     """An index unpacked for search with the global mean length."""
 
     def __init__(self, data: bytes, mean: float):
         self.terms, df, gaps, tf, self.ids, lengths = _unpack(data)
-        self.starts = np.concatenate(([0], np.cumsum(df, dtype=np.int64)))
+        self.df = df.astype(np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.df)))
         self.row = self._rows(gaps.astype(np.int64))
-        tf = tf.astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.row] / mean)) if len(tf) else tf
         self.blocks = -(-len(self.ids) // BLOCK)
-        # Entries: one for each term and block that meet; the term's postings in the block lie together.
-        term = np.repeat(np.arange(len(df)), df)
-        key = term * max(self.blocks, 1) + self.row // BLOCK
-        self.first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.past = np.append(self.first[1:], len(key))
-        self.block = self.row[self.first] // BLOCK
-        self.most = np.maximum.reduceat(self.impact, self.first) if len(self.first) else self.impact
-        self.entries = np.searchsorted(self.first, self.starts)
-        common = np.argsort(-df, kind="stable")[:DENSE]
-        common = common[df[common] >= max(2, len(self.ids) / 8)]
+        self.norm = np.full(self.blocks * BLOCK, K1)
+        self.norm[: len(lengths)] = K1 * (1 - B + B * lengths / mean)
+        self.impact = _impact(tf, self.norm[self.row])
+        most = min(DENSE, CELLS // max(len(self.norm), 1))  # short texts make many rows
+        common = np.argpartition(-df, most)[:most] if len(df) > most else np.arange(len(df))
+        self.common = np.sort(common[df[common] >= max(2, len(self.ids) / COMMON)])
         self.column = np.full(len(df) + 1, -1, np.int64)
-        self.column[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), self.blocks * BLOCK))
-        for i, t in enumerate(common.tolist()):
-            at = slice(self.starts[t], self.starts[t + 1])
-            self.dense[i, self.row[at]] = self.impact[at]
+        self.column[self.common] = np.arange(len(self.common))
+        self.spans = [slice(a, b) for a, b in zip(self.starts[self.common].tolist(), self.starts[self.common + 1].tolist(), strict=True)]
+        self.dense = np.zeros((len(self.common), self.blocks * BLOCK), np.min_scalar_type(int(tf.max(initial=0))))
+        for i, span in enumerate(self.spans):
+            self.dense[i, self.row[span]] = tf[span]
+        self.entries = None
         self.opened = self.held = 0
 
     def _rows(self, gaps: np.ndarray) -> np.ndarray:
@@ -135,42 +167,110 @@ class Shard:
         before[some] = run[begins[some]] - gaps[begins[some]]
         return run - np.repeat(before, np.diff(self.starts))
 
+    def _make_entries(self) -> None:
+        """One for each term and block that meet; the term's postings in the block lie together."""
+        term = np.repeat(np.arange(len(self.df)), self.df)
+        key = term * max(self.blocks, 1) + self.row // BLOCK
+        self.first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.past = np.append(self.first[1:], len(key))
+        self.block = self.row[self.first] // BLOCK
+        self.most = np.maximum.reduceat(self.impact, self.first) if len(self.first) else self.impact
+        self.entries = np.searchsorted(self.first, self.starts)
+
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows for one query's terms and idf weights."""
-        return self.search_many([(0, terms, weights)], k)[0]
-
-    def search_many(self, queries: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The same for each of (query, terms, weights)."""
-        out = []
-        for begin in range(0, len(queries), BATCH):
-            part = queries[begin : begin + BATCH]
-            asked = np.concatenate([t for _, t, _ in part])
-            weights = np.concatenate([w for _, _, w in part])
-            of = np.repeat(np.arange(len(part)), [len(t) for _, t, _ in part])
-            at = np.searchsorted(self.terms, asked)
-            at[at == len(self.terms)] = 0
-            met = np.flatnonzero(self.terms[at] == asked) if len(self.terms) else np.zeros(0, np.int64)
-            at, weights, of = at[met], weights[met], of[met]
-            column = self.column[at]
-            whole = column >= 0
-            factor = np.zeros((len(part), len(self.dense)))
-            factor[of[whole], column[whole]] = weights[whole]
-            base = factor @ self.dense
-            best = base.reshape(len(part), self.blocks, BLOCK).max(axis=2) if self.blocks else np.zeros((len(part), 0))
-            at, weights, of = at[~whole], weights[~whole], of[~whole]
-            cuts = np.searchsorted(of, np.arange(len(part) + 1))
-            for i in range(len(part)):
-                mine = slice(cuts[i], cuts[i + 1])
-                out.append(self._search(base[i], best[i], at[mine], weights[mine], k))
-        return out
-
-    def _search(self, base: np.ndarray, best: np.ndarray, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        _, ids, scores = self.search_many(Asked([0], np.array([len(terms)]), terms, weights), k, np.full(1, -1.0))
+        return ids, scores
+
+    def search_many(self, asked: Asked, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of queries, ids and scores: for each query the k best rows among those that score ``least`` of it or more."""
+        at = np.searchsorted(self.terms, asked.terms)
+        at[at == len(self.terms)] = 0
+        there = self.terms[at] == asked.terms if len(self.terms) else np.zeros(len(at), bool)
+        at[~there] = -1
+        weight = np.zeros(len(self.df))
+        weight[at[there]] = asked.weights[there]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i in range(asked.few):
+            term = at[asked.which[asked.cuts[i] : asked.cuts[i + 1]]]
+            term = term[term >= 0]
+            whole = self.column[term] >= 0
+            base = weight[term[whole]] @ _impact(self.dense[self.column[term[whole]]], self.norm)
+            ids, scores = self._search(base, term[~whole], weight[term[~whole]], k, least[i])
+            out.append((np.full(len(ids), i), ids, scores))
+        if asked.few < len(asked.ids):
+            # A posting's row and score lie in one item of 16 bytes, so that taking many postings reads memory once.
+            scored = np.empty(len(self.row), np.complex128)
+            scored.view(np.int64)[::2] = self.row
+            score = scored.view(np.float64)[1::2]
+            np.multiply(self.impact, np.repeat(weight, self.df), out=score)
+            light = np.zeros(self.dense.shape, np.float32)
+            for i, span in enumerate(self.spans):
+                light[i, self.row[span]] = score[span]
+            batch = max(1, min(BATCH, CELLS // 4 // max(len(self.norm), 1)))
+            for begin in range(asked.few, len(asked.ids), batch):
+                cuts = asked.cuts[begin : begin + batch + 1]
+                term, of = at[asked.which[cuts[0] : cuts[-1]]], np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+                met = np.flatnonzero(term >= 0)
+                for query, ids, scores in self._scored(term[met], of[met], weight, scored, light, k, least[begin : begin + batch]):
+                    out.append((query + begin, ids, scores))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _scored(self, term: np.ndarray, of: np.ndarray, weight: np.ndarray, scored: np.ndarray, light: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The best rows of a batch of queries (numbers of queries, ids and scores, some queries at a time), whose terms are ``term`` and of which query ``of``; ``scored`` has each posting's row and score, ``light`` the common terms' scores by row."""
+        size, width = len(least), self.blocks * BLOCK
+        column = self.column[term]
+        whole = column >= 0
+        factor = np.zeros((size, len(light)), np.float32)
+        factor[of[whole], column[whole]] = 1
+        used = factor.sum(axis=0) * self.df[self.common] * DEAR > size * width
+        product = np.flatnonzero(used)
+        factor = factor[:, product]
+        base = factor @ light[product]
+        sparse = np.flatnonzero(~np.append(used, False)[column])
+        term, of = term[sparse], of[sparse]
+        reach = np.cumsum(np.bincount(of, self.df[term], size))
+        begin = 0
+        while begin < size:
+            end = max(begin + 1, int(np.searchsorted(reach, (reach[begin - 1] if begin else 0) + POSTINGS, side="right")))
+            mine = slice(*np.searchsorted(of, (begin, end)))
+            df = self.df[term[mine]]
+            posting = np.repeat(self.starts[term[mine]] - (np.cumsum(df) - df), df)
+            posting += np.arange(len(posting))
+            met = scored[posting]
+            place = np.repeat((of[mine] - begin) * width, df)
+            place += met.view(np.int64)[::2]
+            total = np.bincount(place, met.view(np.float64)[1::2], (end - begin) * width).reshape(end - begin, width).astype(np.float64, copy=False)  # whole numbers where nothing was met
+            near = total + base[begin:end]
+            limit = least[begin:end].copy()
+            new = np.flatnonzero(limit < 0)
+            if len(new) and width >= k:  # k rows reach this
+                limit[new] = np.partition(near[new], width - k, axis=1)[:, width - k] * (1 - SINGLE) - 1e-8
+            query, row = np.divmod(np.flatnonzero(near >= np.maximum((limit - 1e-8) * (1 - SINGLE), 5e-324)[:, None]), max(width, 1))
+            exact = total[query, row]
+            for i in range(0, len(row), PIECE):
+                some = slice(i, i + PIECE)
+                impacts = _impact(self.dense[product[:, None], row[some]], self.norm[row[some]])
+                exact[some] += np.einsum("qc,cq->q", factor[begin + query[some]] * weight[self.common[product]], impacts)
+            rounded = np.round(exact, PLACES)
+            keep = np.flatnonzero((exact > 0) & (rounded > limit[query] - 1e-12))
+            query, ids, rounded = query[keep], self.ids[row[keep]], rounded[keep]
+            order = np.lexsort((ids, -rounded, query))
+            query, ids, rounded = query[order], ids[order], rounded[order]
+            first = np.flatnonzero(np.arange(len(query)) - np.searchsorted(query, query) < k)
+            yield query[first] + begin, ids[first], rounded[first]
+            begin = end
+
+    def _search(self, base: np.ndarray, at: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        if self.entries is None:
+            self._make_entries()
+        best = base.reshape(self.blocks, BLOCK).max(axis=1) if self.blocks else np.zeros(0)
         entry, of = _ragged(self.entries[at], self.entries[at + 1])
         weight, block = weights[of], self.block[entry]
         bound = best + np.bincount(block, self.most[entry] * weight, self.blocks) if len(entry) else best
         ranked = np.argsort(-bound, kind="stable")
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        done, batch, least = 0, 4, -1.0
+        done, batch = 0, 4
         self.held += self.blocks
         while done < len(ranked):
             take = ranked[done : done + batch]
@@ -191,7 +291,7 @@ class Shard:
             ids, scores = np.concatenate((ids, self.ids[rows[keep]])), np.concatenate((scores, score[keep]))
             first = np.lexsort((ids, -scores))[:k] if len(ids) < 4 * k else _best(ids, scores, k)
             ids, scores = ids[first], scores[first]
-            least = scores[-1] if len(scores) == k else -1.0
+            least = max(least, scores[-1]) if len(scores) == k else least
             done += len(take)
             self.opened += len(take)
             if len(take) < batch:
@@ -200,6 +300,10 @@ class Shard:
         return ids, scores
 
 
+def _impact(tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    return tf * (K1 + 1) / (tf + norm)
+
+
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     edge = np.partition(scores, len(scores) - k)[len(scores) - k]
     near = np.flatnonzero(scores >= edge)
@@ -254,26 +358,47 @@ def search(spark, folder: str, queries: DataFrame, k: int = 10) -> DataFrame:
     df = index.select("index").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).join(wanted, "term")
     idf = F.log(1 + (F.lit(float(rows)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.select("query_id", F.explode("terms").alias("term")).join(df.select("term", idf.alias("idf")), "term")
-    count = asked.count()
-    blocks = max(1, -(-count // QUERY_BLOCK))
+    sizes = asked.agg(F.count("*").alias("queries"), F.sum(F.size("terms")).alias("terms")).first()
+    blocks = max(1, -(-sizes["queries"] // QUERY_BLOCK), -(-(sizes["terms"] or 0) // QUERY_TERMS))
     listed = weighted.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("term", "idf"))).alias("t"))
     grouped = written(listed.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("weights"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")), "bm25-weighted")
-    found = new_folder(spark, "bm25-found")
+    found, kind = new_folder(spark, "bm25-found"), "query_id long, doc_id long, score double"
+    seeds = F.col("shard") % SEEDS == 0
     for block in range(blocks):
-        held = [(r["query_id"], np.array(r["terms"], np.int64).view(np.uint64), np.array(r["weights"])) for r in grouped.where(F.col("block") == block).toLocalIterator()]
-        shared = spark.sparkContext.broadcast(held)
-
-        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            worker_keeps("topk")
-            for batch in batches:
-                for data in batch.column(0):
-                    shard = Shard(data.as_py(), mean)
-                    out = [(np.full(k, query), *found) for (query, _, _), found in zip(shared.value, shard.search_many(shared.value, k), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([q[: len(i)] for q, i, _ in out])), pa.array(np.concatenate([i for _, i, _ in out])), pa.array(np.concatenate([s for _, _, s in out]))], ["query_id", "doc_id", "score"])
-
-        index.select("index").mapInArrow(best, "query_id long, doc_id long, score double").write.mode("append").parquet(found)
+        held = grouped.where(F.col("block") == block).select("query_id", "terms", "weights").toArrow()
+        terms, weights = (pa.concat_arrays([c.flatten() for c in held.column(name).chunks]) if held.num_rows else pa.array([], t) for name, t in (("terms", pa.int64()), ("weights", pa.float64())))
+        lengths = pc.list_value_length(held.column("terms")).to_numpy().astype(np.int64)
+        asked_now = Asked(held.column("query_id").to_pylist(), lengths, terms.to_numpy().view(np.uint64), weights.to_numpy())
+        shared = spark.sparkContext.broadcast(asked_now)
+        known: dict[int | None, float] = {}
+        for step, part in enumerate((seeds, ~seeds)):
+            least = spark.sparkContext.broadcast(np.array([known.get(i, -1.0) for i in asked_now.ids]))
+
+            def best(batches: Iterator[pa.RecordBatch], shared=shared, least=least) -> Iterator[pa.RecordBatch]:
+                worker_keeps("topk")
+                asked, bounds = shared.value, least.value.copy()
+                ids, top = pa.array(asked.ids, pa.int64()), np.full((len(asked.ids), k), -1.0)
+                for batch in batches:
+                    for data in batch.column(0):
+                        query, doc, score = Shard(data.as_py(), mean).search_many(asked, k, bounds)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), pa.array(doc), pa.array(score)], ["query_id", "doc_id", "score"])
+                        # The k best of the shards so far bound what the next one must reach.
+                        some, first = np.unique(query, return_index=True)
+                        for i, begin, end in zip(some.tolist(), first.tolist(), [*first[1:].tolist(), len(query)], strict=bool(len(query))):
+                            top[i] = np.sort(np.append(top[i], score[begin:end]))[-k:]
+                        bounds = np.maximum(bounds, top[:, 0])
+
+            path = f"{found}/block={block}/step={step}"
+            index.where(part).select("index").mapInArrow(best, kind).write.parquet(path)
+            if not step:
+                # A row that is below the k-th best of some shards is not among the k best of all.
+                place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+                reached = spark.read.schema(kind).parquet(path).withColumn("place", place).where(F.col("place") == k).select("query_id", "score").toArrow()
+                known = dict(zip(reached.column(0).to_pylist(), reached.column(1).to_pylist(), strict=True))
+            least.destroy()
+        shared.destroy()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    ranked = spark.read.parquet(found).withColumn("rank", rank).where(F.col("rank") <= k)
+    ranked = spark.read.schema(kind).parquet(found).withColumn("rank", rank).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "score")
 
 
