@@ -101,15 +101,19 @@ def build(ids: list[int | None], texts: list[bytes | None]) -> bytes:
     df = np.bincount(term, minlength=len(terms))
     # Rows with the same commonest term (by frequency in the row, then in the shard), then of like length, come together.
     lead = np.zeros(rows, np.int64)
-    by_row = np.lexsort((-df[term], -tf, row))
-    first = np.flatnonzero(np.diff(row[by_row], prepend=-1))
-    lead[row[by_row][first]] = term[by_row][first] + 1
+    often = tf * (rows + 1) + df[term]
+    begins = np.flatnonzero(np.diff(row, prepend=-1))
+    if len(begins):
+        most = np.flatnonzero(often == np.repeat(np.maximum.reduceat(often, begins), np.diff(begins, append=len(row))))
+        first = most[np.flatnonzero(np.diff(row[most], prepend=-1))]
+        lead[row[first]] = term[first] + 1
+    del often
     order = np.lexsort((lengths, lead))
     number = np.empty(len(order), np.int64)
     number[order] = np.arange(len(order))
     row = number[row]
-    at = np.lexsort((row, term))
-    row, term, tf = row[at], term[at], tf[at]
+    at = np.argsort(term * max(rows, 1) + row)  # a term is once in a row, so no two are equal
+    row, tf = row[at], tf[at]
     starts = np.concatenate(([0], np.cumsum(df)))
     gaps = np.diff(row, prepend=0)
     gaps[starts[:-1][df > 0]] = row[starts[:-1][df > 0]]
