@@ -162,7 +162,7 @@ def asked_of(texts, df, rows):
     return topk.Asked(list(range(len(texts))), np.array([len(s) for s in sets]), np.concatenate(sets), np.concatenate(weights))
 
 
-@pytest.mark.parametrize("limits", [{}, {"CELLS": 2_000, "POSTINGS": 50, "PIECE": 3}, {"COMMON": 10_000, "DEAR": 1e9}, {"DEAR": 0, "FEW": 0, "BATCH": 7}])
+@pytest.mark.parametrize("limits", [{}, {"CELLS": 2_000, "POSTINGS": 50}, {"COMMON": 10_000, "DEAR": 1e9}, {"DEAR": 0, "FEW": 0, "BATCH": 7}])
 def test_scores_of_whole_texts_above_a_bound(monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(topk, name, value)
@@ -194,6 +194,22 @@ def test_scores_of_whole_texts_above_a_bound(monkeypatch, limits):
             assert [n for n, _ in got] == [n for n, _ in expected] and np.allclose([s for _, s in got], [s for _, s in expected], atol=2e-9, rtol=0)
 
 
+def test_copies_in_several_shards_tie(monkeypatch):
+    monkeypatch.setattr(topk, "PLACES", 14)  # differences by the order of summing show
+    rnd = random.Random(4)
+    words = [f"w{i}".encode() for i in range(2_000)]
+    make = lambda: b" ".join(rnd.choice(words[: rnd.choice([5, 100, 2_000])]) for _ in range(rnd.choice([2, 60, 150])))
+    copies = [make() for _ in range(60)]
+    df = collections.Counter(int(h) for t in copies for h in np.unique(topk.term_hashes(t.split())))
+    asked, got = asked_of(copies, df, 5_000), []
+    for others, dear in ((200, 0), (1_500, 1e9)):  # all by postings, and common terms by a product
+        monkeypatch.setattr(topk, "DEAR", dear)
+        texts = copies + [make() for _ in range(others)]
+        query, ids, scores = topk.Shard(topk.build(list(range(len(texts))), texts), 70.0).search_many(asked, len(texts), np.full(60, -1.0))
+        got.append({(q, i): s for q, i, s in zip(query.tolist(), ids.tolist(), scores.tolist(), strict=True) if i < 60})
+    assert len(got[0]) > 2_000 and got[0] == got[1]
+
+
 def test_shards_return_only_rows_above_what_others_have(spark, monkeypatch):
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(300)]

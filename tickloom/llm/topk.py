@@ -10,15 +10,15 @@ Search, for queries in a shard. Whole texts as queries hold words of nearly ever
 (93 % of their postings lay in blocks that had to be opened, even with the final k-th best score known). So all their
 terms are added up, as cheaply as may be: for a batch of queries with like terms, those in a ``COMMON``-th of the
 rows or more that the batch asks for often enough (a posting costs about ``DEAR`` multiplications) are one product in single precision; postings of
-all others are added at once. Rows that can reach the bound, with ``SINGLE`` to spare, get the product's part again in double
-precision, so every score that is returned is exact. Tables by row are bounded by ``CELLS``.
+all others are added at once. Rows that can reach the bound, with ``SINGLE`` to spare, are scored again in double precision, the terms
+in the order of their hashes, so every score that is returned is exact and copies of a text tie. Tables by row are bounded by ``CELLS``.
 Queries of at most ``FEW`` terms go by block maxima: each (term, block of ``BLOCK`` rows) has the largest impact of the term in the
 block; a block's bound is the best common part of its rows plus the sum of the terms' maxima. Blocks are
 opened from the highest bound down, in growing batches, and postings of blocks whose bound is below the k-th best
 score so far are never read.
 
-What a row must reach: every ``SEEDS``-th shard is searched first, and the k-th best score that they have for a query bounds what
-the other shards look for, as does the k-th best of the shards that a task has searched before. So most shards return
+What a row must reach: as many shards as the square root of their number are searched first, and the k-th best score that they have for a
+query bounds what the other shards look for, as does the k-th best of the shards that a task has searched before. So most shards return
 nothing for most queries. Queries come in blocks of about ``QUERY_BLOCK`` queries and
 ``QUERY_TERMS`` terms at most; the index is read once a block, and only one block is broadcast at a time. The work is still queries
 times rows, so it grows with the square of a table whose queries grow with it.
@@ -32,6 +32,7 @@ numbers (another type that casts to long will do).
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -51,13 +52,11 @@ K1, B = 1.2, 0.75
 SHARD_BYTES = 12_000_000
 QUERY_BLOCK = 8_192
 QUERY_TERMS = 2_000_000
-SEEDS = 8
 BLOCK = 64
 DENSE, COMMON = 1_024, 24
 BATCH = 256
 DEAR = 240  # what adding up a posting costs, in multiplications of a product
 POSTINGS = 50_000
-PIECE = 512
 CELLS = 4_000_000
 FEW = 4
 SINGLE = 1e-4  # more than single precision loses over DENSE terms, relatively
@@ -160,7 +159,7 @@ class Shard:
         self.dense = np.zeros((len(self.common), self.blocks * BLOCK), np.min_scalar_type(int(tf.max(initial=0))))
         for i, span in enumerate(self.spans):
             self.dense[i, self.row[span]] = tf[span]
-        self.entries = None
+        self.entries = self.by_row = None
         self.opened = self.held = 0
 
     def _rows(self, gaps: np.ndarray) -> np.ndarray:
@@ -181,6 +180,21 @@ class Shard:
         self.most = np.maximum.reduceat(self.impact, self.first) if len(self.first) else self.impact
         self.entries = np.searchsorted(self.first, self.starts)
 
+    def _exact(self, terms: np.ndarray, rows: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Scores of rows for a query's terms, each row's terms added up in the order of their hashes: copies of a text get the same score in all shards."""
+        if self.by_row is None:
+            at = np.argsort(self.row.astype(np.min_scalar_type(len(self.norm))), kind="stable")
+            self.by_row = np.repeat(np.arange(len(self.df), dtype=np.int32), self.df)[at], self.impact[at]
+            self.row_starts = np.concatenate(([0], np.cumsum(np.bincount(self.row, minlength=len(self.norm)))))
+            self.asked = np.zeros(len(self.df))
+        begins, ends = self.row_starts[rows], self.row_starts[rows + 1]
+        at, _ = _ragged(begins, ends)
+        self.asked[terms] = weight[terms]
+        parts = self.asked[self.by_row[0][at]]
+        self.asked[terms] = 0
+        parts *= self.by_row[1][at]
+        return np.add.reduceat(parts, np.cumsum(ends - begins) - (ends - begins))
+
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows for one query's terms and idf weights."""
         _, ids, scores = self.search_many(Asked([0], np.array([len(terms)]), terms, weights), k, np.full(1, -1.0))
@@ -200,7 +214,7 @@ class Shard:
             term = term[term >= 0]
             whole = self.column[term] >= 0
             base = weight[term[whole]] @ _impact(self.dense[self.column[term[whole]]], self.norm)
-            ids, scores = self._search(base, term[~whole], weight[term[~whole]], k, least[i])
+            ids, scores = self._search(base, term, weight, k, least[i])
             out.append((np.full(len(ids), i), ids, scores))
         if asked.few < len(asked.ids):
             # A posting's row and score lie in one item of 16 bytes, so that taking many postings reads memory once.
@@ -231,6 +245,7 @@ class Shard:
         product = np.flatnonzero(used)
         factor = factor[:, product]
         base = factor @ light[product]
+        every, every_cuts = term, np.searchsorted(of, np.arange(size + 1))
         sparse = np.flatnonzero(~np.append(used, False)[column])
         term, of = term[sparse], of[sparse]
         reach = np.cumsum(np.bincount(of, self.df[term], size))
@@ -251,11 +266,11 @@ class Shard:
             if len(new) and width >= k:  # k rows reach this
                 limit[new] = np.partition(near[new], width - k, axis=1)[:, width - k] * (1 - SINGLE) - 1e-8
             query, row = np.divmod(np.flatnonzero(near >= np.maximum((limit - 1e-8) * (1 - SINGLE), 5e-324)[:, None]), max(width, 1))
-            exact = total[query, row]
-            for i in range(0, len(row), PIECE):
-                some = slice(i, i + PIECE)
-                impacts = _impact(self.dense[product[:, None], row[some]], self.norm[row[some]])
-                exact[some] += np.einsum("qc,cq->q", factor[begin + query[some]] * weight[self.common[product]], impacts)
+            exact, found = np.zeros(len(row)), np.searchsorted(query, np.arange(end - begin + 1)).tolist()
+            for i in range(end - begin):
+                if found[i] < found[i + 1]:
+                    some = slice(found[i], found[i + 1])
+                    exact[some] = self._exact(every[every_cuts[begin + i] : every_cuts[begin + i + 1]], row[some], weight)
             rounded = np.round(exact, PLACES)
             keep = np.flatnonzero((exact > 0) & (rounded > limit[query] - 1e-12))
             query, ids, rounded = query[keep], self.ids[row[keep]], rounded[keep]
@@ -265,13 +280,14 @@ class Shard:
             yield query[first] + begin, ids[first], rounded[first]
             begin = end
 
-    def _search(self, base: np.ndarray, at: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, base: np.ndarray, terms: np.ndarray, weight: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         if self.entries is None:
             self._make_entries()
+        at = terms[self.column[terms] < 0]
         best = base.reshape(self.blocks, BLOCK).max(axis=1) if self.blocks else np.zeros(0)
         entry, of = _ragged(self.entries[at], self.entries[at + 1])
-        weight, block = weights[of], self.block[entry]
-        bound = best + np.bincount(block, self.most[entry] * weight, self.blocks) if len(entry) else best
+        block = self.block[entry]
+        bound = best + np.bincount(block, self.most[entry] * weight[at][of], self.blocks) if len(entry) else best
         ranked = np.argsort(-bound, kind="stable")
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
         done, batch = 0, 4
@@ -281,13 +297,17 @@ class Shard:
             take = take[(bound[take] > 0) & (bound[take] + 1e-8 >= least)]  # every match has a bound above 0, however light its terms
             if not len(take):
                 break
-            score = base
+            score = np.zeros(len(base))
             chosen = np.zeros(self.blocks, bool)
             chosen[take] = True
-            some = np.flatnonzero(chosen[block])
-            if len(some):
-                posting, which = _ragged(self.first[entry[some]], self.past[entry[some]])
-                score = base + np.bincount(self.row[posting], self.impact[posting] * weight[some][which], len(base))
+            for term in terms.tolist():  # in one order for all shards, as above
+                if self.column[term] >= 0:
+                    score += _impact(self.dense[self.column[term]], self.norm) * weight[term]
+                else:
+                    met = np.arange(self.entries[term], self.entries[term + 1])
+                    met = met[chosen[self.block[met]]]
+                    posting, _ = _ragged(self.first[met], self.past[met])
+                    score[self.row[posting]] += self.impact[posting] * weight[term]
             rows = (take[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
             exact = score[rows]
             score = np.round(exact, PLACES)
@@ -340,7 +360,7 @@ def write_index(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) ->
 def search(spark, folder: str, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, doc_id, score of the k best rows of the index for each of (query_id, text)."""
     index = spark.read.parquet(folder)
-    of = index.agg(F.sum("rows").alias("rows"), F.sum("length").alias("length")).first()
+    of = index.agg(F.sum("rows").alias("rows"), F.sum("length").alias("length"), F.max("shard").alias("last")).first()
     rows, mean = of["rows"] or 0, max((of["length"] or 0) / max(of["rows"] or 1, 1), 1e-9)
 
     def termed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +387,7 @@ def search(spark, folder: str, queries: DataFrame, k: int = 10) -> DataFrame:
     listed = weighted.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("term", "idf"))).alias("t"))
     grouped = written(listed.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("weights"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")), "bm25-weighted")
     found, kind = new_folder(spark, "bm25-found"), "query_id long, doc_id long, score double"
-    seeds = F.col("shard") % SEEDS == 0
+    seeds = F.col("shard") % max(1, math.isqrt((of["last"] or 0) + 1)) == 0
     for block in range(blocks):
         held = grouped.where(F.col("block") == block).select("query_id", "terms", "weights").toArrow()
         terms, weights = (pa.concat_arrays([c.flatten() for c in held.column(name).chunks]) if held.num_rows else pa.array([], t) for name, t in (("terms", pa.int64()), ("weights", pa.float64())))
